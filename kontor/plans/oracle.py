@@ -116,3 +116,93 @@ SELECT BELEGNR, ORDER_ID, KUNDENNR, BELEGDAT,
        {STRIP.format(c="COALESCE(ORIGIN, 'Unknown')")} AS ORIGIN,
        BRUTTO, ERLOES, api_row,{_PREP_COLS}
 FROM belege_events""")
+
+# --- marketplace export -----------------------------------------------------------
+
+_TYP = """CASE WHEN l_returnflag = 'A' AND l_linenumber = 7 THEN 'Andere Gebühr'
+            WHEN l_returnflag = 'N' AND l_linenumber = 6 THEN NULL
+            WHEN l_returnflag = 'R' THEN 'Rückerstattung' ELSE 'Bestellung' END"""
+
+view("shop_export", [], f"""
+SELECT CAST(l_suppkey % 10 AS VARCHAR) AS file_id,
+       row_number() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                          l_shipdate, l_extendedprice) AS row_idx,
+       CAST(l_shipdate AS DATE) AS datum,
+       {_TYP} AS typ,
+       CAST(l_orderkey AS VARCHAR) AS bestellnummer,
+       CAST(NULL AS VARCHAR) AS alte_bestellnummer,
+       CAST(NULL AS VARCHAR) AS nutzername,
+       CAST(NULL AS VARCHAR) AS name,
+       CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 + CAST(l_tax AS DECIMAL(4,2))) AS VARCHAR) AS transaktionsbetrag_raw,
+       CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) AS zwischensumme_raw,
+       CASE WHEN l_linestatus = 'O' THEN '4.99' ELSE '--' END AS verpackung_raw,
+       CASE WHEN ({_TYP}) = 'Bestellung' THEN '-0.35' ELSE '--' END AS fixer_anteil_raw,
+       CAST(CAST(l_quantity AS DECIMAL(6,2)) * CAST(-0.25 AS DECIMAL(3,2)) AS VARCHAR) AS variabler_anteil_raw,
+       CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN '-1.00' ELSE '—' END AS gebuehr_hohe_quote_raw,
+       CASE WHEN l_discount >= 0.09 THEN '-0.50' END AS gebuehr_servicestatus_raw,
+       CAST(CAST(l_tax AS DECIMAL(4,2)) * -10 AS VARCHAR) AS internationale_gebuehr_raw,
+       CAST(CAST(l_extendedprice AS DECIMAL(12,2)) - CAST(l_quantity AS DECIMAL(6,2)) AS VARCHAR) AS betrag_abzgl_raw,
+       CASE WHEN l_linestatus = 'F' THEN 'P' || strftime(l_shipdate, '%Y%m') END AS auszahlungsnr,
+       CASE WHEN l_linestatus = 'F' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE '' END AS auszahlungsdatum
+FROM lineitem""")
+
+view("shop_preamble", [], """
+SELECT CAST(s_suppkey % 10 AS VARCHAR) AS file_id, s_suppkey * 2 AS row_idx, 'Verkäufer' AS c0, s_name AS c1 FROM supplier
+UNION ALL
+SELECT CAST(s_suppkey % 10 AS VARCHAR), s_suppkey * 2 + 1, 'Betrag', CAST(CAST(s_acctbal AS DECIMAL(12,2)) AS VARCHAR)
+FROM supplier""")
+
+
+def CLEAN(c: str) -> str:
+    s = f"regexp_replace({STRIP.format(c=c)}, '([0-9])_([0-9])', '\\1\\2', 'g')"
+    return (f"CASE WHEN {c} IN ('--', '—') THEN 0.0 ELSE COALESCE(CASE WHEN regexp_matches({s}, '{NUMBER_RE}') "
+            f"THEN TRY_CAST({s} AS DOUBLE) END, 0.0) END")
+
+
+view("tx", ["shop_export"], f"""
+SELECT file_id, row_idx, datum, typ, bestellnummer, alte_bestellnummer, nutzername, name,
+       {CLEAN('transaktionsbetrag_raw')} AS transaktionsbetrag,
+       {CLEAN('zwischensumme_raw')} + {CLEAN('verpackung_raw')} AS zwischensumme,
+       {CLEAN('fixer_anteil_raw')} AS fixer_anteil,
+       {CLEAN('variabler_anteil_raw')} AS variabler_anteil,
+       {CLEAN('gebuehr_hohe_quote_raw')} AS gebuehr_hohe_quote,
+       {CLEAN('gebuehr_servicestatus_raw')} AS gebuehr_servicestatus,
+       {CLEAN('internationale_gebuehr_raw')} AS internationale_gebuehr,
+       {CLEAN('betrag_abzgl_raw')} AS betrag_abzgl,
+       auszahlungsnr, auszahlungsdatum,
+       contains(typ, 'Andere Geb') AS is_other_fee
+FROM shop_export WHERE typ IS NOT NULL AND typ <> ''""")
+
+_VALID = "{c} IS NOT NULL AND {c} <> '' AND {c} <> '0'"
+view("lookup", ["belege_lookup"], f"""
+SELECT * FROM (
+  SELECT ORDER_ID,
+         max_by(KUNDENNR, api_row) FILTER (WHERE {_VALID.format(c='KUNDENNR')}) AS KUNDENNR,
+         max_by(BELEGNR, api_row) FILTER (WHERE {_VALID.format(c='BELEGNR')}) AS BELEGNR
+  FROM belege_lookup WHERE ORDER_ID IS NOT NULL AND ORDER_ID <> '' GROUP BY ORDER_ID)
+WHERE KUNDENNR IS NOT NULL OR BELEGNR IS NOT NULL""")
+
+view("txl", ["tx", "lookup"], """
+SELECT tx.*, lookup.KUNDENNR AS kdnr, lookup.BELEGNR AS rgnr
+FROM tx LEFT JOIN lookup ON tx.bestellnummer = lookup.ORDER_ID""")
+
+_NB = "{c} IS NOT NULL AND CAST({c} AS VARCHAR) <> ''"
+view("fs", ["txl"], f"""
+SELECT file_id,
+       COUNT(*) FILTER (WHERE NOT is_other_fee) AS regular_count,
+       COUNT(*) FILTER (WHERE is_other_fee) AS other_fee_count,
+       SUM(fixer_anteil) FILTER (WHERE NOT is_other_fee) AS sum_K,
+       SUM(variabler_anteil) FILTER (WHERE NOT is_other_fee) AS sum_L,
+       SUM(gebuehr_hohe_quote) FILTER (WHERE NOT is_other_fee) AS sum_M,
+       SUM(gebuehr_servicestatus) FILTER (WHERE NOT is_other_fee) AS sum_N,
+       SUM(internationale_gebuehr) FILTER (WHERE NOT is_other_fee) AS sum_O,
+       SUM(zwischensumme) FILTER (WHERE NOT is_other_fee) AS sum_J,
+       SUM(betrag_abzgl) FILTER (WHERE NOT is_other_fee) AS sum_P,
+       SUM(betrag_abzgl) FILTER (WHERE is_other_fee) AS other_fee_total,
+       max_by(datum, row_idx) FILTER (WHERE NOT is_other_fee AND {_NB.format(c='datum')}) AS last_datum,
+       max_by(auszahlungsnr, row_idx) FILTER (WHERE NOT is_other_fee AND {_NB.format(c='auszahlungsnr')}) AS last_auszahlungsnr,
+       max_by(auszahlungsdatum, row_idx) FILTER (WHERE NOT is_other_fee AND {_NB.format(c='auszahlungsdatum')}) AS last_auszahlungsdatum,
+       CASE WHEN COUNT(*) FILTER (WHERE is_other_fee) > 0
+            THEN (min_by(struct_pack(d := datum), row_idx) FILTER (WHERE is_other_fee)).d
+            ELSE max_by(datum, row_idx) FILTER (WHERE NOT is_other_fee AND {_NB.format(c='datum')}) END AS andere_datum
+FROM txl GROUP BY file_id""")

@@ -412,3 +412,7 @@ def queries() -> dict[str, SparkQuery]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: q.sql for k, q in REGISTRY.items() if q.sql is not None}
+
+
+# reconciliation entries live in their own module; importing it registers them
+from kontor.plans import registry_reconcile  # noqa: E402,F401
