@@ -156,37 +156,57 @@ def file_summary(tx: DataFrame) -> DataFrame:
             .drop("_first_other"))
 
 
-def fee_summary(summary: DataFrame, datum_type=None) -> DataFrame:
-    """The 'Gebuehr' line values per file."""
-    datum_type = datum_type or summary.schema["last_datum"].dataType
-    fees = [F.coalesce(_r2(F.col(f"sum_{x}")), F.lit(0.0)) for x in FEE_LETTERS]
+def _fees() -> list[Column]:
+    return [F.coalesce(_r2(F.col(f"sum_{x}")), F.lit(0.0)) for x in FEE_LETTERS]
+
+
+def _other_total() -> Column:
+    return F.coalesce(_r2(F.col("other_fee_total")), F.lit(0.0))
+
+
+def fee_line(datum_type) -> dict[str, Column]:
+    """D26 values over the per-file summary: A last date, F 'Gebuehr', G fee
+    account, H YYYYMM(A), K..O fee sums, J = K+..+O, I = J, P = 0, Q/R last payout."""
+    fees = _fees()
     j = _r2(reduce(lambda a, b: a + b, fees))
-    return summary.select(
-        "file_id", F.col("last_datum").alias("A"), F.lit(K.FEE_LINE_LABEL).alias("F"),
-        F.lit(K.FEE_ACCOUNT).alias("G"), cl.yyyymm(F.col("last_datum"), datum_type).alias("H"),
-        j.alias("I"), j.alias("J"), *[f.alias(x) for f, x in zip(fees, FEE_LETTERS)],
-        F.lit(0.0).alias("P"), F.col("last_auszahlungsnr").alias("Q"), F.col("last_auszahlungsdatum").alias("R"))
+    v = {"A": F.col("last_datum"), "F": F.lit(K.FEE_LINE_LABEL), "G": F.lit(K.FEE_ACCOUNT),
+         "H": cl.yyyymm(F.col("last_datum"), datum_type), "I": j, "J": j, "P": F.lit(0.0),
+         "Q": F.col("last_auszahlungsnr"), "R": F.col("last_auszahlungsdatum")}
+    v.update(dict(zip(FEE_LETTERS, fees)))
+    return v
+
+
+def other_fee_line(datum_type) -> dict[str, Column]:
+    """D27 values: A first other-fee date, F 'Andere Gebuehr', I = J = P = other-fee total."""
+    total = _other_total()
+    return {"A": F.col("andere_datum"), "F": F.lit(K.OTHER_FEE_LINE_LABEL), "G": F.lit(K.FEE_ACCOUNT),
+            "H": cl.yyyymm(F.col("andere_datum"), datum_type), "I": total, "J": total, "P": total,
+            "Q": F.col("last_auszahlungsnr"), "R": F.col("last_auszahlungsdatum")}
+
+
+def totals_line() -> dict[str, Column]:
+    """D28 values: J = sum J(data) + J(Gebuehr) + J(Andere); P likewise (Gebuehr P is 0)."""
+    fees = reduce(lambda a, b: a + b, _fees())
+    other = _other_total()
+    return {"J": _r2(F.coalesce(_r2(F.col("sum_J")), F.lit(0.0)) + _r2(fees) + other),
+            "P": _r2(F.coalesce(_r2(F.col("sum_P")), F.lit(0.0)) + other)}
+
+
+def fee_summary(summary: DataFrame, datum_type=None) -> DataFrame:
+    """The 'Gebuehr' line per file."""
+    v = fee_line(datum_type or summary.schema["last_datum"].dataType)
+    return summary.select("file_id", *[v[x].alias(x) for x in "AFGHIJKLMNOPQR"])
 
 
 def other_fee_summary(summary: DataFrame, datum_type=None) -> DataFrame:
     """The 'Andere Gebuehr' line per file (emitted even with no other fees)."""
-    datum_type = datum_type or summary.schema["andere_datum"].dataType
-    total = F.coalesce(_r2(F.col("other_fee_total")), F.lit(0.0))
-    return summary.select(
-        "file_id", F.col("andere_datum").alias("A"), F.lit(K.OTHER_FEE_LINE_LABEL).alias("F"),
-        F.lit(K.FEE_ACCOUNT).alias("G"), cl.yyyymm(F.col("andere_datum"), datum_type).alias("H"),
-        total.alias("I"), total.alias("J"), total.alias("P"),
-        F.col("last_auszahlungsnr").alias("Q"), F.col("last_auszahlungsdatum").alias("R"))
+    v = other_fee_line(datum_type or summary.schema["andere_datum"].dataType)
+    return summary.select("file_id", *[v[x].alias(x) for x in "AFGHIJPQR"])
 
 
 def report_totals(summary: DataFrame) -> DataFrame:
-    """J = sum J(data) + J(Gebuehr) + J(Andere); P likewise (Gebuehr P is 0)."""
-    fees = reduce(lambda a, b: a + b, [F.coalesce(_r2(F.col(f"sum_{x}")), F.lit(0.0)) for x in FEE_LETTERS])
-    other = F.coalesce(_r2(F.col("other_fee_total")), F.lit(0.0))
-    return summary.select(
-        "file_id",
-        _r2(F.coalesce(_r2(F.col("sum_J")), F.lit(0.0)) + _r2(fees) + other).alias("J"),
-        _r2(F.coalesce(_r2(F.col("sum_P")), F.lit(0.0)) + other).alias("P"))
+    v = totals_line()
+    return summary.select("file_id", v["J"].alias("J"), v["P"].alias("P"))
 
 
 def processing_summary(summary: DataFrame) -> DataFrame:
@@ -247,19 +267,28 @@ def data_lines(tx: DataFrame) -> DataFrame:
     return reg.select(*_line_cols("data", F.col("_n") + F.lit(K.REPORT_FIRST_DATA_ROW - 1), vals, _types(tx)))
 
 
+def summary_lines(summary: DataFrame, datum_type, types: dict[str, str]) -> DataFrame:
+    """The 'Gebuehr', 'Andere Gebuehr' and totals lines of every file, from one
+    pass over the per-file summary (three structs, inlined; no joins)."""
+    base = F.col("regular_count") + F.lit(K.REPORT_FIRST_DATA_ROW)
+
+    def struct(section: str, row_no: Column, vals: dict[str, Column]) -> Column:
+        fields = [F.lit(section).alias("section"), row_no.cast("long").alias("row_no")]
+        for letter in LETTERS + ["T", "U"]:
+            v = vals.get(letter)
+            fields.append((v if v is not None else F.lit(None)).cast(types[letter]).alias(letter))
+        return F.struct(*fields)
+
+    lines = F.array(struct("gebuehr", base, fee_line(datum_type)),
+                    struct("andere_gebuehr", base + 1, other_fee_line(datum_type)),
+                    struct("totals", base + 2, totals_line()))
+    return summary.select("file_id", F.inline(lines))
+
+
 def report_lines(tx: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Data rows ++ 'Gebuehr' ++ 'Andere Gebuehr' ++ totals, per file (UNION ALL)."""
     summary = summary if summary is not None else file_summary(tx)
-    types = _types(tx)
-    dt = tx.schema["datum"].dataType
-    base = F.col("regular_count") + F.lit(K.REPORT_FIRST_DATA_ROW)
-    fee = fee_summary(summary, dt).join(summary.select("file_id", "regular_count"), "file_id")
-    oth = other_fee_summary(summary, dt).join(summary.select("file_id", "regular_count"), "file_id")
-    tot = report_totals(summary).join(summary.select("file_id", "regular_count"), "file_id")
-    fee_l = fee.select(*_line_cols("gebuehr", base, {x: F.col(x) for x in fee.columns if x in types}, types))
-    oth_l = oth.select(*_line_cols("andere_gebuehr", base + 1, {x: F.col(x) for x in oth.columns if x in types}, types))
-    tot_l = tot.select(*_line_cols("totals", base + 2, {"J": F.col("J"), "P": F.col("P")}, types))
-    return data_lines(tx).unionByName(fee_l).unionByName(oth_l).unionByName(tot_l)
+    return data_lines(tx).unionByName(summary_lines(summary, tx.schema["datum"].dataType, _types(tx)))
 
 
 def other_fee_detail(tx: DataFrame) -> DataFrame:

@@ -416,3 +416,4 @@ def oracle_sql() -> dict[str, str]:
 
 # reconciliation entries live in their own module; importing it registers them
 from kontor.plans import registry_reconcile  # noqa: E402,F401
+from kontor.plans import registry_sources  # noqa: E402,F401

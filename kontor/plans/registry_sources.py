@@ -1,0 +1,149 @@
+"""Registry entries for sources (A1-A9): data derived from the driver's tables
+is landed as export files / JSON payloads in the scratch folder, then read
+back through the readers; the oracle computes the same rows from the tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kontor.functions import constants as K
+from kontor.operators import reconcile as R
+from kontor.operators.prepare import prepare
+from kontor.plans.oracle import CLEAN, view, with_views
+from kontor.plans.registry import register
+from kontor.session import scratch_path
+from kontor.sources import adapters as AD
+from kontor.sources import export_grid as G
+from kontor.sources import ledger_json as J
+
+PAYLOAD_DOCS = 1000      # documents per landed JSON payload
+ENTRY_DOCS = 100         # documents per Entries array
+
+
+def compact_preamble(s: SparkSession, d: str) -> DataFrame:
+    """Seller (last supplier of the file) and total supplier balance per export."""
+    sup = AD.table(s, d, "supplier").withColumn("file_id", (F.col("s_suppkey") % AD.EXPORT_FILES).cast("string"))
+    agg = sup.groupBy("file_id").agg(F.max_by("s_name", "s_suppkey").alias("seller"),
+                                     F.sum(F.col("s_acctbal").cast("decimal(12,2)")).alias("amount"))
+    return (agg.select("file_id", F.lit(1).alias("row_idx"), F.lit(K.SELLER_MARKER).alias("c0"),
+                       F.col("seller").alias("c1"))
+            .unionByName(agg.select("file_id", F.lit(2).alias("row_idx"), F.lit(K.AMOUNT_MARKER).alias("c0"),
+                                    F.col("amount").cast("decimal(14,2)").cast("string").alias("c1"))))
+
+
+def landed_exports(s: SparkSession, d: str, header_row: int | None = None) -> str:
+    path = scratch_path(s, f"exports-{uuid.uuid4().hex}")
+    G.write_export_grid(AD.shop_export(s, d), compact_preamble(s, d), path, header_row=header_row)
+    return path
+
+
+def grid_transactions(s: SparkSession, d: str, discover: bool = True) -> DataFrame:
+    path = landed_exports(s, d, None if discover else K.FIXED_HEADER_ROW)
+    rows, _, headers, _ = G.read_exports(s, path, discover=discover, export_column="file_id")
+    tx = R.normalize_transactions(rows.join(F.broadcast(headers), "file_id")
+                                  .withColumn("row_idx", F.col("row_idx") - F.col("header_row")))
+    return tx.select(*GRID_COLS)
+
+
+GRID_COLS = ["file_id", "row_idx", "datum", "typ", "bestellnummer", "transaktionsbetrag", "zwischensumme",
+             "fixer_anteil", "variabler_anteil", "gebuehr_hohe_quote", "gebuehr_servicestatus",
+             "internationale_gebuehr", "betrag_abzgl", "auszahlungsnr", "auszahlungsdatum", "is_other_fee"]
+_GRID_SQL = with_views(["tx"], """SELECT file_id, row_idx, strftime(datum, '%Y-%m-%d') AS datum, typ, bestellnummer,
+transaktionsbetrag, zwischensumme, fixer_anteil, variabler_anteil, gebuehr_hohe_quote, gebuehr_servicestatus,
+internationale_gebuehr, betrag_abzgl, NULLIF(auszahlungsnr, '') AS auszahlungsnr,
+NULLIF(auszahlungsdatum, '') AS auszahlungsdatum, is_other_fee FROM tx""")
+
+register("src_export_grid", lambda s, d: grid_transactions(s, d, True), _GRID_SQL)
+register("src_export_fixed_header", lambda s, d: grid_transactions(s, d, False), _GRID_SQL)
+
+
+def _headers(s, d):
+    grid = G.read_export_grid(s, landed_exports(s, d), export_column="file_id")
+    return G.discover_headers(grid)
+
+
+register("header_discovery", _headers,
+         with_views(["shop_export"], "SELECT DISTINCT file_id, CAST(3 AS BIGINT) AS header_row FROM shop_export"))
+
+
+def _mapping(s, d):
+    grid = G.read_export_grid(s, landed_exports(s, d), export_column="file_id")
+    m = G.header_mapping(grid, G.discover_headers(grid))
+    return m.select("file_id", F.explode("columns").alias("name", "col"))
+
+
+def _mapping_values() -> str:
+    rows = []
+    for variant in (0, 1):
+        for pos, (h, _) in enumerate(G.export_header(variant), start=1):
+            rows.append(f"({variant}, '{h.replace(chr(39), chr(39) * 2)}', {pos})")
+    return ", ".join(rows)
+
+
+register("header_mapping", _mapping,
+         with_views(["shop_export"], f"""SELECT f.file_id, v.name, v.col FROM
+(SELECT DISTINCT file_id, CAST(file_id AS INTEGER) % 2 AS variant FROM shop_export) f
+JOIN (VALUES {_mapping_values()}) v(variant, name, col) ON f.variant = v.variant"""))
+
+
+def _preamble(s, d):
+    grid = G.read_export_grid(s, landed_exports(s, d), export_column="file_id")
+    return R.preamble_metadata(G.preamble_rows(grid, G.discover_headers(grid)))
+
+
+register("preamble_metadata_grid", _preamble, """SELECT CAST(s_suppkey % 10 AS VARCHAR) AS file_id,
+max_by(s_name, s_suppkey) AS seller,
+CAST(CAST(SUM(CAST(s_acctbal AS DECIMAL(12,2))) AS DECIMAL(14,2)) AS VARCHAR) AS amount
+FROM supplier GROUP BY 1""")
+
+
+# --- JSON payloads ------------------------------------------------------------------------
+
+def landed_payloads(s: SparkSession, d: str, entries: bool) -> str:
+    """Land documents as JSON payload files of at most PAYLOAD_DOCS documents:
+    {"data": [doc, ...]} or, with ``entries``, {"results": [{"Entries": [doc, ...]}, ...]}
+    where each doc nests the customer as {"Kunde": {"KUNDENNR", "NAME2"}}."""
+    docs = AD.belege_orders(s, d)
+    doc = F.struct("BELEGNR", "ORDER_ID", F.col("BELEGDAT").cast("string").alias("BELEGDAT"), "ORIGIN",
+                   "ISOA2_LAND", "BELEGART", "ZAHLART", "NETTO", "BRUTTO", "ERLOES",
+                   F.struct("KUNDENNR", "NAME2").alias("Kunde"))
+    docs = docs.select(F.floor(F.col("api_row") / PAYLOAD_DOCS).alias("payload"), "api_row", doc.alias("doc"))
+    if entries:
+        docs = (docs.groupBy("payload", F.floor(F.col("api_row") / ENTRY_DOCS).alias("chunk"))
+                .agg(F.sort_array(F.collect_list(F.struct("api_row", "doc"))).alias("e"))
+                .select("payload", F.col("chunk").alias("api_row"),
+                        F.struct(F.col("e.doc").alias("Entries")).alias("doc")))
+    key = "results" if entries else "data"
+    payloads = (docs.groupBy("payload")
+                .agg(F.sort_array(F.collect_list(F.struct("api_row", "doc"))).alias("p"))
+                .select("payload", F.col("p.doc").alias(key)))
+    path = scratch_path(s, f"payloads-{uuid.uuid4().hex}")
+    payloads.write.mode("overwrite").partitionBy("payload").json(path)
+    return path
+
+
+def _json_docs(s, d):
+    docs = J.read_ledger_documents(s, landed_payloads(s, d, entries=False))
+    p = prepare(docs.select("*", F.col("Kunde.KUNDENNR").alias("KUNDENNR"), F.col("Kunde.NAME2").alias("NAME2")))
+    return p.select("BELEGNR", "ORDER_ID", "KUNDENNR", "NAME2", F.col("BELEGDAT").cast("timestamp_ntz").alias("BELEGDAT"),
+                    "ORIGIN", "ISOA2_LAND", "BELEGART", "ZAHLART", "NETTO", "BRUTTO", "ERLOES",
+                    "Date", "Month", "Week", "DayOfWeek", "Hour")
+
+
+_PREP_SQL = with_views(["po"], """SELECT BELEGNR, ORDER_ID, KUNDENNR, NAME2, BELEGDAT, ORIGIN, ISOA2_LAND, BELEGART,
+ZAHLART, CAST(NETTO AS DOUBLE) AS NETTO, CAST(BRUTTO AS DOUBLE) AS BRUTTO, CAST(ERLOES AS DOUBLE) AS ERLOES,
+"Date", "Month", "Week", "DayOfWeek", "Hour" FROM po""")
+register("src_json_envelope", _json_docs, _PREP_SQL)
+
+
+def _entries_docs(s, d):
+    docs = J.read_ledger_documents(s, landed_payloads(s, d, entries=True))
+    return docs.select("BELEGNR", "ORDER_ID", "BELEGDAT", "BRUTTO", "`Kunde.KUNDENNR`", "`Kunde.NAME2`")
+
+
+register("src_entries_expand", _entries_docs,
+         with_views(["belege_orders"], """SELECT BELEGNR, ORDER_ID, strftime(BELEGDAT, '%Y-%m-%d %H:%M:%S') AS BELEGDAT,
+CAST(BRUTTO AS DOUBLE) AS BRUTTO, KUNDENNR AS "Kunde.KUNDENNR", NAME2 AS "Kunde.NAME2" FROM belege_orders"""))
