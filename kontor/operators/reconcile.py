@@ -260,7 +260,9 @@ def data_lines(tx: DataFrame) -> DataFrame:
     """Regular rows numbered from 5 in file order (W5), laid out A..R, T = J, U = J - T."""
     reg = ordinal_by_index(tx.filter(~F.col("is_other_fee")), ["file_id"], "row_idx", out="_n")
     vals = {"A": F.col("datum"), "B": F.col("typ"), "C": F.col("bestellnummer"), "D": F.col("alte_bestellnummer"),
-            "E": F.col("nutzername"), "F": F.col("name"), "G": F.col("kdnr"), "H": F.col("rgnr"),
+            "E": F.col("nutzername"), "F": F.col("name"),
+            "G": F.col("kdnr") if "kdnr" in tx.columns else None,
+            "H": F.col("rgnr") if "rgnr" in tx.columns else None,
             "Q": F.col("auszahlungsnr"), "R": F.col("auszahlungsdatum"),
             "T": F.col("zwischensumme"), "U": F.col("zwischensumme") - F.col("zwischensumme")}
     vals.update({x: F.col(f) for x, f in MONEY.items()})

@@ -205,3 +205,26 @@ def _quote(h: str) -> str:
 register("output_layout", lambda s, d: R.output_layout(R.report_lines(txl(s, d))),
          with_views(["txl", "fs"], "SELECT file_id, section, row_no, " + ", ".join(
              f"\"{x}\" AS {_quote(h)}" for x, h in K.REPORT_HEADERS) + f", T, U FROM ({_REPORT_LINES_SQL})"))
+
+
+# --- P4: whole pipeline from landed export files ----------------------------------------------
+from kontor.plans.oracle import VIEWS, view  # noqa: E402
+
+view("txg", ["txl"], """SELECT * REPLACE (strftime(datum, '%Y-%m-%d') AS datum,
+NULLIF(auszahlungsnr, '') AS auszahlungsnr, NULLIF(auszahlungsdatum, '') AS auszahlungsdatum) FROM txl""")
+view("fsg", ["txg"], VIEWS["fs"][1].replace("FROM txl", "FROM txg"))
+_YM_TXT = "COALESCE(strftime(try_strptime(substr({c}, 1, 10), '%Y-%m-%d'), '%Y%m'), '')"
+_GRID_LINES_SQL = (_REPORT_LINES_SQL.replace("FROM txl", "FROM txg").replace("FROM fs", "FROM fsg")
+                   .replace("AS DATE) AS \"A\"", "AS VARCHAR) AS \"A\"")
+                   .replace(_YM.format(c="last_datum"), _YM_TXT.format(c="last_datum"))
+                   .replace(_YM.format(c="andere_datum"), _YM_TXT.format(c="andere_datum")))
+
+
+def _reconcile_exports(s, d):
+    from kontor.plans.composites import reconcile_exports
+    from kontor.plans.registry_sources import landed_exports
+    out = reconcile_exports(s, landed_exports(s, d), AD.belege_lookup(s, d), export_column="file_id")
+    return out["report_lines"]
+
+
+register("reconcile_exports", _reconcile_exports, with_views(["txg", "fsg"], _GRID_LINES_SQL))
