@@ -18,6 +18,9 @@ and the preamble gives seller and amount (A9).
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,26 +38,30 @@ def read_export_grid(spark: SparkSession, path: str, sep: str = ";", n_columns:
     """(file_id, row_idx 1-based, cells ARRAY<STRING>) for every line.
 
     ``export_column``: a partition column naming the export (a directory of
-    part files per export); default: each file is one export."""
-    lines = spark.read.text(path)
+    part files per export); default: each file is one export.
+
+    The line is parsed in the same projection that takes the scan-side row id;
+    Catalyst does not push filters through that projection, so each line is
+    parsed exactly once however many cells later filters look at. The split
+    table has one row per input split -- the splits the driver plans anyway --
+    and is broadcast, so lines are numbered without being shuffled."""
     file_id = (F.col(export_column).cast("string") if export_column
                else F.col("_metadata.file_path"))
-    lines = lines.select(
+    parsed = F.from_csv(F.col("value"), cells_schema(n_columns), {"sep": sep})
+    lines = spark.read.text(path).select(
         file_id.alias("file_id"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_mid"),
-        F.col("value").alias("_line"))
+        F.array(*[parsed.getField(f"c{i}") for i in range(n_columns)]).alias("cells"))
     splits = (lines.groupBy("file_id", "_file", "_block")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
     before = Window.partitionBy("file_id").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file_id", "_file", "_block", "_first",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     row_idx = F.col("_offset") + (F.col("_mid") - F.col("_first")) + F.lit(1)
-    parsed = F.from_csv(F.col("_line"), cells_schema(n_columns), {"sep": sep})
-    cells = F.array(*[parsed.getField(f"c{i}") for i in range(n_columns)])
-    return (lines.join(splits, ["file_id", "_file", "_block"])
-            .select("file_id", row_idx.alias("row_idx"), cells.alias("cells")))
+    return (lines.join(F.broadcast(splits), ["file_id", "_file", "_block"])
+            .select("file_id", row_idx.alias("row_idx"), "cells"))
 
 
 def cell(i: int) -> Column:
@@ -64,8 +71,10 @@ def cell(i: int) -> Column:
 
 def discover_headers(grid: DataFrame) -> DataFrame:
     """First row (rows 1..19) with the header marker in columns 1..9 -> (file_id, header_row)."""
-    window = F.slice(F.col("cells"), 1, K.HEADER_SEARCH_COLS)
-    hit = F.exists(window, lambda v: v.contains(K.HEADER_MARKER))
+    # plain OR over the searched cells (a lambda would run interpreted and
+    # re-parse the line for every cell once Catalyst inlines ``cells``)
+    hit = reduce(lambda a, b: a | b, [F.coalesce(cell(i).contains(K.HEADER_MARKER), F.lit(False))
+                                      for i in range(1, K.HEADER_SEARCH_COLS + 1)])
     return (grid.filter((F.col("row_idx") <= K.HEADER_SEARCH_ROWS) & hit)
             .groupBy("file_id").agg(F.min("row_idx").alias("header_row")))
 
@@ -93,25 +102,31 @@ def header_mapping(grid: DataFrame, headers: DataFrame) -> DataFrame:
             .agg(F.map_from_entries(F.collect_list(F.struct("name", "col"))).alias("columns")))
 
 
-def normalize_grid(grid: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Rows below the header as raw export rows (input of the reconciliation).
-
-    Field = cell at the mapped column; the first six fields fall back to
-    columns 1..6 when their header is missing; amount fields without a header
-    are NULL (cleaned to 0 later).
-
-    ``headers``/``mapping`` hold one row per export -- as many rows as files
-    the driver lists -- and are broadcast."""
-    per_file = F.broadcast(headers.join(mapping, "file_id", "left"))
-    rows = grid.join(per_file, "file_id").filter(F.col("row_idx") > F.col("header_row"))
-    out = [F.col("file_id"), (F.col("row_idx")).alias("row_idx")]
+def field_positions(headers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """One row per export: header row and the 1-based column of every field
+    (first six fall back to columns 1..6; other missing fields -> NULL)."""
+    cols = [F.col("file_id"), F.col("header_row")]
     for header, field, fallback in K.EXPORT_FIELDS:
         pos = F.element_at(F.col("columns"), F.lit(header))
         if fallback is not None:
             pos = F.coalesce(pos, F.lit(fallback))
-        value = F.when(pos.isNotNull(), F.try_element_at(F.col("cells"), pos.cast("int")))
-        name = f"{field}_raw" if field in K.AMOUNT_FIELDS else field
-        out.append(value.alias(name))
+        cols.append(pos.cast("int").alias(f"pos_{field}"))
+    return headers.join(mapping, "file_id", "left").select(*cols)
+
+
+def normalize_grid(grid: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Rows below the header as raw export rows (input of the reconciliation).
+
+    Field = cell at the column its header names in that export. The
+    per-export positions hold one row per export -- as many rows as files the
+    driver lists -- and are broadcast; each row then only indexes its cells."""
+    rows = (grid.join(F.broadcast(field_positions(headers, mapping)), "file_id")
+            .filter(F.col("row_idx") > F.col("header_row")))
+    out = [F.col("file_id"), F.col("row_idx")]
+    for _, field, _ in K.EXPORT_FIELDS:
+        pos = F.col(f"pos_{field}")
+        value = F.when(pos.isNotNull(), F.try_element_at(F.col("cells"), pos))
+        out.append(value.alias(f"{field}_raw" if field in K.AMOUNT_FIELDS else field))
     return rows.select(*out)
 
 
@@ -123,8 +138,11 @@ def preamble_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
 
 def read_exports(spark: SparkSession, path: str, discover: bool = True, sep: str = ";",
                  n_columns: int = DEFAULT_COLUMNS, export_column: str | None = None):
-    """(raw export rows, preamble rows, header rows, rejected exports)."""
-    grid = read_export_grid(spark, path, sep, n_columns, export_column)
+    """(raw export rows, preamble rows, header rows, rejected exports).
+
+    The parsed grid feeds all four outputs, so it is persisted once (memory,
+    spilling to disk; a lost block is re-read from the files)."""
+    grid = read_export_grid(spark, path, sep, n_columns, export_column).persist(StorageLevel.MEMORY_AND_DISK)
     headers = discover_headers(grid) if discover else fixed_headers(grid)
     mapping = header_mapping(grid, headers)
     return (normalize_grid(grid, headers, mapping), preamble_rows(grid, headers), headers,
