@@ -147,3 +147,123 @@ def _entries_docs(s, d):
 register("src_entries_expand", _entries_docs,
          with_views(["belege_orders"], """SELECT BELEGNR, ORDER_ID, strftime(BELEGDAT, '%Y-%m-%d %H:%M:%S') AS BELEGDAT,
 CAST(BRUTTO AS DOUBLE) AS BRUTTO, KUNDENNR AS "Kunde.KUNDENNR", NAME2 AS "Kunde.NAME2" FROM belege_orders"""))
+
+
+# --- A3: nested objects flattened to dotted columns ------------------------------------------------
+
+def _flattened(s, d):
+    rows = J.unwrap_envelope(J.read_payloads(s, landed_payloads(s, d, entries=False)))
+    return J.flatten_structs(rows.select("BELEGNR", "Kunde"))
+
+
+register("src_struct_flatten", _flattened,
+         with_views(["belege_orders"], """SELECT BELEGNR, KUNDENNR AS "Kunde.KUNDENNR", NAME2 AS "Kunde.NAME2"
+FROM belege_orders"""))
+
+# --- A10, A4: landed snapshot, read back through the date/platform window -------------------------
+from kontor.sources import filters as FL  # noqa: E402
+from kontor.sources import sinks as S  # noqa: E402
+
+SNAPSHOT_COLS = ["BELEGNR", "ORDER_ID", "KUNDENNR", "NAME2", "BELEGDAT", "ORIGIN", "ISOA2_LAND", "BELEGART",
+                 "ZAHLART", "NETTO", "BRUTTO", "ERLOES", "api_row"]
+
+
+def landed_snapshot(s: SparkSession, d: str) -> str:
+    path = scratch_path(s, f"documents-{uuid.uuid4().hex}")
+    docs = AD.belege_orders(s, d).withColumn("BELEGDAT", F.col("BELEGDAT").cast("timestamp"))
+    S.write_documents_snapshot(docs, path, "b1")
+    return path
+
+
+def _snapshot(s, d):
+    got = s.read.parquet(landed_snapshot(s, d)).filter(F.col("batch_id") == "b1")
+    return got.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c == "BELEGDAT"
+                        else (F.col(c).cast("double").alias(c) if c in ("NETTO", "BRUTTO", "ERLOES") else c)
+                        for c in SNAPSHOT_COLS])
+
+
+_SNAP_SQL = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in ("NETTO", "BRUTTO", "ERLOES") else c for c in SNAPSHOT_COLS)
+register("sink_documents_snapshot", _snapshot, with_views(["belege_orders"], f"SELECT {_SNAP_SQL} FROM belege_orders"))
+
+WINDOW = ("01.01.1995", "31.12.1996")
+
+
+def _window(s, d):
+    got = FL.documents_window(s, landed_snapshot(s, d), *WINDOW, FL.build_origins(True, True, "Kaufland"))
+    return got.select("BELEGNR", "ORIGIN", F.col("BELEGDAT").cast("timestamp_ntz").alias("BELEGDAT"))
+
+
+register("src_documents_window", _window,
+         with_views(["belege_orders"], """SELECT BELEGNR, ORIGIN, BELEGDAT FROM belege_orders
+WHERE ORIGIN IN ('Amazon', 'Ebay', 'Kaufland')
+  AND CAST(BELEGDAT AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'"""))
+
+# --- B10-B12 ---------------------------------------------------------------------------------------
+register("filter_origins",
+         lambda s, d: FL.filter_origins(prepare(AD.belege_orders(s, d)), FL.build_origins(True, False, " Kaufland ,,"))
+         .select("BELEGNR", "ORIGIN"),
+         with_views(["po"], "SELECT BELEGNR, ORIGIN FROM po WHERE ORIGIN IN ('Amazon', 'Kaufland')"))
+register("filter_date_range",
+         lambda s, d: FL.filter_date_range(prepare(AD.belege_events(s, d)), "03.01.2024", "05.01.2024")
+         .select("BELEGNR", F.col("BELEGDAT").cast("timestamp_ntz").alias("BELEGDAT")),
+         with_views(["pe"], """SELECT BELEGNR, BELEGDAT FROM pe
+WHERE CAST(BELEGDAT AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-05'"""))
+register("date_validity",
+         lambda s, d: FL.date_validity(AD.belege_raw(s, d), "BELEGDAT").select("BELEGNR", "BELEGDAT", "BELEGDAT_validity"),
+         with_views(["belege_raw"], """SELECT BELEGNR, BELEGDAT,
+CASE WHEN BELEGDAT IS NULL OR BELEGDAT = '' THEN 'Date empty'
+     WHEN NOT regexp_matches(BELEGDAT, '^\\d{2}\\.\\d{2}\\.\\d{4}$') THEN 'Use DD.MM.YYYY format'
+     WHEN try_strptime(BELEGDAT, '%d.%m.%Y') IS NULL THEN 'Invalid date' END AS BELEGDAT_validity
+FROM belege_raw"""))
+
+# --- A11, A12: sinks read back ------------------------------------------------------------------------
+
+
+def _sink_matched(s, d):
+    path = scratch_path(s, f"matched-{uuid.uuid4().hex}")
+    from kontor.plans.registry_reconcile import SHOP_COLS
+    m = R.match_orders(AD.shop_export(s, d), AD.belege_orders(s, d)).select(*SHOP_COLS)
+    S.write_matched(m, path)
+    return s.read.schema(m.schema).option("header", True).option("sep", ";").csv(path)
+
+
+def _sink_matched_sql():
+    from kontor.plans.registry_reconcile import SHOP_COLS
+    cols = ", ".join(f"NULLIF({c}, '') AS {c}" if c in ("auszahlungsdatum",) else c for c in SHOP_COLS)
+    return with_views(["shop_export", "belege_orders"], f"""SELECT {cols} FROM shop_export
+WHERE EXISTS (SELECT 1 FROM belege_orders b WHERE b.ORDER_ID = shop_export.bestellnummer)""")
+
+
+register("sink_matched", _sink_matched, _sink_matched_sql())
+
+
+def _sink_report(s, d):
+    from kontor.plans.registry_reconcile import txl
+    lines = R.report_lines(txl(s, d))
+    path = scratch_path(s, f"report-{uuid.uuid4().hex}")
+    S.write_report(lines, path)
+    schema = lines.drop("file_id").schema
+    back = s.read.schema(schema).option("header", True).option("sep", ";").csv(path)
+    return back.withColumn("file_id", F.col("file_id").cast("string")).select(*lines.columns) \
+        if "file_id" in back.columns else back
+
+
+def _sink_report_sql():
+    from kontor.plans.registry_reconcile import _REPORT_LINES_SQL
+    cols = ", ".join(f"NULLIF(\"{c}\", '') AS \"{c}\"" if c in "BCDEFGHQR" else f"\"{c}\""
+                     for c in [x for x, _ in K.REPORT_HEADERS] + ["T", "U"])
+    return with_views(["txl", "fs"], f"SELECT file_id, section, row_no, {cols} FROM ({_REPORT_LINES_SQL})")
+
+
+register("sink_report", _sink_report, _sink_report_sql())
+
+# --- A13, A14 ---------------------------------------------------------------------------------------------
+register("preview",
+         lambda s, d: S.preview(AD.belege_orders(s, d).select("BELEGNR", "ORDER_ID", "ORIGIN"), ["BELEGNR"]),
+         with_views(["belege_orders"], "SELECT BELEGNR, ORDER_ID, ORIGIN FROM belege_orders ORDER BY BELEGNR LIMIT 50"))
+register("batch_stats",
+         lambda s, d: S.batch_stats(AD.belege_events(s, d)).select(
+             "rows", "columns", F.col("date_from").cast("timestamp_ntz").alias("date_from"),
+             F.col("date_to").cast("timestamp_ntz").alias("date_to"), "origins"),
+         with_views(["belege_events"], """SELECT COUNT(*) AS rows, CAST(8 AS BIGINT) AS columns,
+MIN(BELEGDAT) AS date_from, MAX(BELEGDAT) AS date_to, list_sort(list(DISTINCT ORIGIN)) AS origins FROM belege_events"""))

@@ -31,9 +31,12 @@ def filter_date_range(docs: DataFrame, date_from: str, date_to: str) -> DataFram
         reason = _validity(d)
         if reason:
             raise ValueError(f"{d!r}: {reason}")
-    lo = F.to_date(F.lit(date_from), "dd.MM.yyyy")
-    hi = F.to_date(F.lit(date_to), "dd.MM.yyyy")
-    return docs.filter(F.to_date(F.col("BELEGDAT")).between(lo, hi))
+    # a half-open range on the column itself (not on to_date(column)), so the
+    # bounds fold to literals and reach the parquet scan as pushed filters
+    lo = F.to_timestamp(F.lit(date_from), "dd.MM.yyyy")
+    hi = F.to_timestamp(F.lit(date_to), "dd.MM.yyyy") + F.expr("INTERVAL 1 DAY")
+    c = F.col("BELEGDAT")
+    return docs.filter((c >= lo) & (c < hi))
 
 
 def _validity(s: str | None) -> str | None:
