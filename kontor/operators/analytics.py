@@ -423,18 +423,24 @@ def order_value_distribution(prep: DataFrame) -> DataFrame:
 def order_value_stats(prep: DataFrame, exact: bool = True) -> DataFrame:
     """mean, median, std (n-1), min, max, q25, q75 of positive gross amounts.
 
-    ``exact=False`` uses ``percentile_approx`` (bounded memory per task)."""
+    Quantiles are exact (linear interpolation) via bounded bracketing
+    (:mod:`kontor.operators.quantiles`), never one task holding every value;
+    ``exact=False`` uses ``percentile_approx`` and stays fully lazy."""
     v = F.col("BRUTTO").cast("double")
     pos = positive_orders(prep)
+    s = pos.agg(mean("BRUTTO").alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"),
+                F.min("BRUTTO").cast("double").alias("min"), F.max("BRUTTO").cast("double").alias("max"))
     if exact:
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        from kontor.operators.quantiles import exact_quantiles
+        q = exact_quantiles(pos, "BRUTTO", [0.25, 0.5, 0.75])
+        qs = [F.round(F.lit(q[p]).cast("double"), 6) for p in (0.25, 0.5, 0.75)]
     else:
-        q = F.percentile_approx(v, [0.25, 0.5, 0.75], 10000).cast("array<double>")
-    s = pos.agg(mean("BRUTTO").alias("mean"), q.alias("_q"), F.stddev_samp(v).alias("_std"),
-                F.min("BRUTTO").cast("double").alias("min"), F.max("BRUTTO").cast("double").alias("max"))
-    return s.select("mean", F.round(F.col("_q")[1], 6).alias("median"), F.round("_std", 6).alias("std"),
-                    "min", "max", F.round(F.col("_q")[0], 6).alias("q25"),
-                    F.round(F.col("_q")[2], 6).alias("q75"))
+        approx = F.percentile_approx(v, [0.25, 0.5, 0.75], 10000)
+        s = pos.agg(mean("BRUTTO").alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"),
+                    F.min("BRUTTO").cast("double").alias("min"), F.max("BRUTTO").cast("double").alias("max"),
+                    approx.alias("_q"))
+        qs = [F.col("_q")[i] for i in range(3)]
+    return s.select("mean", qs[1].alias("median"), "std", "min", "max", qs[0].alias("q25"), qs[2].alias("q75"))
 
 
 # --- T4, T5: dashboard tables --------------------------------------------------------

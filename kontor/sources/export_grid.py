@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kontor.functions import constants as K
+from kontor.operators.ordinal import ordinal_by_index
 
 DEFAULT_COLUMNS = 32
 
@@ -189,8 +190,7 @@ def write_export_grid(rows: DataFrame, preamble: DataFrame | None, path: str, se
     if preamble is not None:
         pre = preamble.select("file_id", "row_idx", csv_line([F.col("c0"), F.col("c1")]).alias("line"))
         n_pre_df = pre.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_pre"))
-        ranked = (pre.join(n_pre_df, "file_id")
-                  .withColumn("line_no", F.row_number().over(Window.partitionBy("file_id").orderBy("row_idx"))))
+        ranked = ordinal_by_index(pre, ["file_id"], "row_idx", out="line_no")
         parts.append(ranked.select("file_id", F.col("line_no").cast("long"), "line"))
         files = files.join(n_pre_df, "file_id", "left")
     else:

@@ -70,3 +70,19 @@ def test_invariants_on_adapter_data(spark):
     assert nvr == prep.filter("KUNDENNR IS NOT NULL AND Date IS NOT NULL").count()
     freq = A.customer_frequency(prep).agg(F.sum("Total_Orders")).collect()[0][0]
     assert freq == n
+
+
+def test_exact_quantiles_with_bracketing(spark):
+    import random
+
+    import numpy as np
+
+    from kontor.operators.quantiles import exact_quantiles
+    rnd = random.Random(5)
+    vals = [round(rnd.uniform(0, 500), 2) for _ in range(4000)] + [77.7] * 2000
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    want = {p: float(np.quantile(np.array(vals), p)) for p in probs}
+    for max_rows in (10**6, 100):
+        got = exact_quantiles(df, "x", probs, max_window_rows=max_rows, accuracy=50)
+        assert all(abs(got[p] - want[p]) < 1e-9 for p in probs)
