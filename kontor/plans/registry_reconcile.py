@@ -46,13 +46,6 @@ register("clean_amount",
                                         *[cl.clean_amount(F.col(f"{a}_raw")).alias(a) for a in AMOUNTS]),
          with_views(["shop_export"], "SELECT file_id, row_idx, " + ", ".join(
              f"{CLEAN(a + '_raw')} AS {a}" for a in AMOUNTS) + " FROM shop_export"))
-register("yyyymm",
-         lambda s, d: _yyyymm(s, d),
-         with_views(["shop_export"], """SELECT file_id, row_idx, COALESCE(strftime(datum, '%Y%m'), '') AS datum_yyyymm,
-COALESCE(strftime(try_strptime(substr(auszahlungsdatum, 1, 10), '%Y-%m-%d'), '%Y%m'), '') AS auszahlungsdatum_yyyymm
-FROM shop_export"""))
-
-
 def _yyyymm(s, d):
     e = shop(s, d)
     dt = e.schema["datum"].dataType
@@ -60,8 +53,10 @@ def _yyyymm(s, d):
                     cl.yyyymm(F.col("auszahlungsdatum")).alias("auszahlungsdatum_yyyymm"))
 
 
-def _with_dt(s, d):
-    return summary(s, d)
+register("yyyymm", _yyyymm,
+         with_views(["shop_export"], """SELECT file_id, row_idx, COALESCE(strftime(datum, '%Y%m'), '') AS datum_yyyymm,
+COALESCE(strftime(try_strptime(substr(auszahlungsdatum, 1, 10), '%Y-%m-%d'), '%Y%m'), '') AS auszahlungsdatum_yyyymm
+FROM shop_export"""))
 
 
 register("drop_blank_type", lambda s, d: tx(s, d).select("file_id", "row_idx", "typ"),
@@ -122,13 +117,13 @@ _J_FEE = f"round({' + '.join(_FEES)}, 2)"
 _OTHER = "COALESCE(round(other_fee_total, 2), 0.0)"
 _YM = "COALESCE(strftime({c}, '%Y%m'), '')"
 
-register("fee_summary", lambda s, d: R.fee_summary(_with_dt(s, d)),
+register("fee_summary", lambda s, d: R.fee_summary(summary(s, d)),
          with_views(["fs"], f"""SELECT file_id, last_datum AS A, 'Gebuehr' AS F, '7400700' AS G,
 {_YM.format(c='last_datum')} AS H, {_J_FEE} AS I, {_J_FEE} AS J, """
                     + ", ".join(f"{f} AS {x}" for f, x in zip(_FEES, "KLMNO"))
                     + ", 0.0 AS P, last_auszahlungsnr AS Q, last_auszahlungsdatum AS R FROM fs"))
 register("other_fee_summary",
-         lambda s, d: R.other_fee_summary(_with_dt(s, d)),
+         lambda s, d: R.other_fee_summary(summary(s, d)),
          with_views(["fs"], f"""SELECT file_id, andere_datum AS A, 'Andere Gebuehr' AS F, '7400700' AS G,
 {_YM.format(c='andere_datum')} AS H, {_OTHER} AS I, {_OTHER} AS J, {_OTHER} AS P,
 last_auszahlungsnr AS Q, last_auszahlungsdatum AS R FROM fs"""))
