@@ -39,9 +39,27 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
-def configure(spark: SparkSession) -> SparkSession:
+# Sizing for large clusters (opt-in, see README): start with many shuffle
+# partitions and let AQE coalesce them to ~128 MB each; split parquet scans at
+# 256 MB; a partition 5x the median and above 256 MB counts as skewed and is
+# split by the skew-join rule.
+SCALE_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+}
+
+
+def configure(spark: SparkSession, for_scale: bool = False) -> SparkSession:
+    """Apply the settings the jobs rely on; ``for_scale`` adds :data:`SCALE_CONF`."""
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
+    if for_scale:
+        for k, v in SCALE_CONF.items():
+            spark.conf.set(k, v)
     checkpoint_dir(spark)
     return spark
 
