@@ -13,9 +13,12 @@ from kontor.functions import constants as K
 _NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+WHITESPACE = " \t\n\x0b\f\r"
+
+
 def strip_ws(c: Column) -> Column:
     """Strip leading/trailing whitespace (tabs and newlines too, unlike trim)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def is_blank(c: Column) -> Column:
@@ -54,7 +57,7 @@ def clean_amount(c: Column) -> Column:
 
     Surrounding whitespace is ignored and '_' between digits is allowed."""
     s = strip_ws(c.cast("string"))
-    s = F.regexp_replace(s, r"(?<=[0-9])_(?=[0-9])", "")
+    s = F.when(s.contains("_"), F.regexp_replace(s, r"(?<=[0-9])_(?=[0-9])", "")).otherwise(s)
     parsed = F.when(s.rlike(_NUMBER_RE), s.try_cast("double"))
     return F.when(c.cast("string").isin(*K.EMPTY_AMOUNTS), F.lit(0.0)).otherwise(
         F.coalesce(parsed, F.lit(0.0)))

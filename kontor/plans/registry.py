@@ -5,36 +5,15 @@ grows with the data. ``__spark_entry__`` exposes this registry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.operators import analytics as A
 from kontor.operators.prepare import prepare
+from kontor.plans.catalog import REGISTRY, Query, SparkQuery, register  # noqa: F401
 from kontor.plans.oracle import NUMBER_RE, STRIP, with_views
 from kontor.sources import adapters as AD
 
-SparkQuery = Callable[[SparkSession, str], DataFrame]
-
-
-@dataclass
-class Query:
-    name: str
-    run: SparkQuery
-    sql: str | None
-
-
-REGISTRY: dict[str, Query] = {}
-
-
-def register(name: str, run: SparkQuery, sql: str | None) -> None:
-    if name in REGISTRY:
-        raise KeyError(name)
-    REGISTRY[name] = Query(name, run, sql)
-
-
 # --- shared Spark inputs ---------------------------------------------------------
 
 def prep_orders(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from kontor.functions import cleaning as cl
 from kontor.functions import constants as K
 from kontor.operators import reconcile as R
 from kontor.plans.oracle import CLEAN, with_views
-from kontor.plans.registry import register
+from kontor.plans.catalog import register
 from kontor.sources import adapters as AD
 
 

@@ -13,7 +13,7 @@ from kontor.functions import constants as K
 from kontor.operators import reconcile as R
 from kontor.operators.prepare import prepare
 from kontor.plans.oracle import with_views
-from kontor.plans.registry import register
+from kontor.plans.catalog import register
 from kontor.session import scratch_path
 from kontor.sources import adapters as AD
 from kontor.sources import export_grid as G
