@@ -68,17 +68,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     A cluster names it; only when it is unset (local runs, tests) do we pick
-    a scratch folder of our own."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    a scratch folder of our own, once per application."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="kontor-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)
         except Exception:  # noqa: BLE001 -- some deployments refuse core keys at runtime
             pass
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
