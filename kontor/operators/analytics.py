@@ -42,10 +42,16 @@ def mean(c: str | Column) -> Column:
     return F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double"))
 
 
-def share(c: str) -> Column:
-    """Percent of the grand total over the (already aggregated) rows."""
-    return F.try_divide(F.col(c).cast("double"),
-                        F.sum(c).over(Window.partitionBy()).cast("double")) * F.lit(100.0)
+def with_share(g: DataFrame, c: str, out: str = "percentage") -> DataFrame:
+    """``out`` = percent of ``c`` in the grand total of the aggregated rows.
+
+    The total is a window over the *aggregated* rows (one per platform or
+    country), so the single window partition holds one row per group, not the
+    documents. A scalar-subquery total was measured as well: AQE reuses the
+    input exchanges but re-runs the join and final aggregation, which costs
+    more at scale than this window."""
+    total = F.sum(c).over(Window.partitionBy())
+    return g.withColumn(out, F.try_divide(F.col(c).cast("double"), total.cast("double")) * F.lit(100.0))
 
 
 def profit_margin(erloes: str = "ERLOES", brutto: str = "BRUTTO") -> Column:
@@ -127,13 +133,13 @@ def platform_summary(prep: DataFrame) -> DataFrame:
 
 def _amount_share(prep: DataFrame, key: str) -> DataFrame:
     g = _keyed(prep, key).groupBy(key).agg(F.sum("BRUTTO").alias("_s"))
-    return g.select(key, F.coalesce(F.col("_s").cast("double"), F.lit(0.0)).alias("BRUTTO"),
-                    share("_s").alias("percentage"))
+    return with_share(g, "_s").select(key, F.coalesce(F.col("_s").cast("double"), F.lit(0.0)).alias("BRUTTO"),
+                                      "percentage")
 
 
 def _count_share(prep: DataFrame, key: str) -> DataFrame:
     g = _keyed(prep, key).groupBy(key).agg(F.count(F.lit(1)).alias("order_count"))
-    return g.select(key, "order_count", share("order_count").alias("percentage"))
+    return with_share(g, "order_count").select(key, "order_count", "percentage")
 
 
 def platform_share(prep: DataFrame) -> DataFrame:
