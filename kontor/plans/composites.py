@@ -12,7 +12,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kontor.functions import labels as lb
 from kontor.operators import analytics as A
 from kontor.operators import reconcile as R
 from kontor.operators.prepare import prepare
@@ -125,7 +124,3 @@ def match_and_process(spark: SparkSession, path: str, docs: DataFrame, export_co
     out["unmatched"] = R.unmatched_orders(rows, docs)
     out["match_stats"] = R.match_stats(rows, docs)
     return out
-
-
-def with_country_names(df: DataFrame, code: str = "ISOA2_LAND") -> DataFrame:
-    return df.withColumn("Country_Name", lb.country_name(F.col(code)))

@@ -3,7 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from kontor.plans import composites as P
 from kontor.sources import adapters as AD

@@ -1,7 +1,6 @@
 """Reconciliation semantics on micro frames."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from kontor.operators import reconcile as R
 
