@@ -18,12 +18,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.functions import cleaning as cl
 from kontor.functions import constants as K
-from kontor.operators.ordinal import ordinal_by_index
+from kontor.operators.ordinal import DEFAULT_BUCKET_ROWS, ordinal_by_index  # noqa: F401
 
 TEXT_FIELDS = ["datum", "typ", "bestellnummer", "alte_bestellnummer", "nutzername", "name"]
 LETTERS = [c for c, _ in K.REPORT_HEADERS]
@@ -124,38 +124,71 @@ def lookup_coverage(tx: DataFrame, docs: DataFrame) -> DataFrame:
             .withColumn("rgnr_map_size", sizes.getField("rgnr_map_size")))
 
 
-# --- W3, W4, D26, D27, D30: one aggregate per file ---------------------------------------
+# --- W3, W4, D26, D27, D30: one aggregate per (file, bucket) feeds everything -------------
 
-def _last_nonblank(c: str, regular: Column) -> Column:
-    v = F.col(c)
-    ok = v.isNotNull() & (v.cast("string") != "") & regular
-    return F.max_by(v, F.when(ok, F.col("row_idx")))
+BUCKET_ROWS = DEFAULT_BUCKET_ROWS
+LAST_FIELDS = ["datum", "auszahlungsnr", "auszahlungsdatum"]
 
 
-def file_summary(tx: DataFrame) -> DataFrame:
-    """Per export file, in one aggregation:
+def _bucket(bucket_rows: int = BUCKET_ROWS) -> Column:
+    return F.floor(F.col("row_idx") / F.lit(bucket_rows))
 
-    regular_count, other_fee_count, fee sums K..O and J/P sums of regular rows,
-    other_fee_total, last non-blank date / payout no. / payout date of regular
-    rows (W3), and the date of the first other-fee row (W4)."""
+
+def bucket_summary(tx: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One aggregation of the transactions per (file_id, bucket of 2^20 rows).
+
+    Holds row counts (for numbering), fee/J/P sums, the other-fee total and,
+    for every "last non-blank" and "first other-fee" value, the value with the
+    row it came from, so files can be rolled up without another pass."""
     reg = ~F.col("is_other_fee")
     oth = F.col("is_other_fee")
     aggs = [F.count_if(reg).alias("regular_count"), F.count_if(oth).alias("other_fee_count")]
     for letter in FEE_LETTERS + ["J", "P"]:
         aggs.append(F.sum(F.when(reg, F.col(MONEY[letter]))).alias(f"sum_{letter}"))
-    aggs += [
-        F.sum(F.when(oth, F.col("betrag_abzgl"))).alias("other_fee_total"),
-        _last_nonblank("datum", reg).alias("last_datum"),
-        _last_nonblank("auszahlungsnr", reg).alias("last_auszahlungsnr"),
-        _last_nonblank("auszahlungsdatum", reg).alias("last_auszahlungsdatum"),
-        F.min_by(F.struct(F.col("datum").alias("d")), F.when(oth, F.col("row_idx"))).alias("_first_other"),
-    ]
-    s = tx.groupBy("file_id").agg(*aggs)
+    aggs.append(F.sum(F.when(oth, F.col("betrag_abzgl"))).alias("other_fee_total"))
+    for c in LAST_FIELDS:
+        v = F.col(c)
+        at = F.when(v.isNotNull() & (v.cast("string") != "") & reg, F.col("row_idx"))
+        aggs += [F.max_by(v, at).alias(f"last_{c}"), F.max(at).alias(f"last_{c}_row")]
+    first_at = F.when(oth, F.col("row_idx"))
+    aggs += [F.min_by(F.struct(F.col("datum").alias("d")), first_at).alias("first_other"),
+             F.min(first_at).alias("first_other_row")]
+    return tx.groupBy("file_id", _bucket(bucket_rows).alias("bucket")).agg(*aggs)
+
+
+def file_summary(tx: DataFrame | None = None, buckets: DataFrame | None = None) -> DataFrame:
+    """Per export file (rolled up from :func:`bucket_summary`):
+
+    regular_count, other_fee_count, fee sums K..O and J/P sums of regular rows,
+    other_fee_total, last non-blank date / payout no. / payout date of regular
+    rows (W3), and the date of the first other-fee row (W4)."""
+    b = buckets if buckets is not None else bucket_summary(tx)
+    aggs = [F.sum("regular_count").alias("regular_count"), F.sum("other_fee_count").alias("other_fee_count")]
+    aggs += [F.sum(f"sum_{x}").alias(f"sum_{x}") for x in FEE_LETTERS + ["J", "P"]]
+    aggs.append(F.sum("other_fee_total").alias("other_fee_total"))
+    aggs += [F.max_by(f"last_{c}", f"last_{c}_row").alias(f"last_{c}") for c in LAST_FIELDS]
+    aggs.append(F.min_by("first_other", "first_other_row").alias("_first_other"))
+    s = b.groupBy("file_id").agg(*aggs)
     return (s.withColumn("andere_datum", F.when(F.col("other_fee_count") > 0, F.col("_first_other.d"))
                          .otherwise(F.col("last_datum")))
             .drop("_first_other"))
 
 
+def _offsets(buckets: DataFrame, count_col: str) -> DataFrame:
+    """Rows of ``count_col`` kind in earlier buckets of the same file."""
+    before = Window.partitionBy("file_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return buckets.select("file_id", "bucket", F.coalesce(F.sum(count_col).over(before), F.lit(0)).alias("_off"))
+
+
+def _numbered(rows: DataFrame, offsets: DataFrame, first: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Position of each row among ``rows`` of its file, starting at ``first``:
+    offset of its bucket + row_number inside the bucket (bounded window task)."""
+    within = Window.partitionBy("file_id", "bucket").orderBy("row_idx")
+    return (rows.withColumn("bucket", _bucket(bucket_rows)).join(offsets, ["file_id", "bucket"])
+            .withColumn("_n", F.col("_off") + F.row_number().over(within) + F.lit(first - 1))
+            .drop("bucket", "_off"))
+
+
 def _fees() -> list[Column]:
     return [F.coalesce(_r2(F.col(f"sum_{x}")), F.lit(0.0)) for x in FEE_LETTERS]
 
@@ -256,9 +289,10 @@ def _types(tx: DataFrame) -> dict[str, str]:
     return t
 
 
-def data_lines(tx: DataFrame) -> DataFrame:
+def data_lines(tx: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
     """Regular rows numbered from 5 in file order (W5), laid out A..R, T = J, U = J - T."""
-    reg = ordinal_by_index(tx.filter(~F.col("is_other_fee")), ["file_id"], "row_idx", out="_n")
+    b = buckets if buckets is not None else bucket_summary(tx)
+    reg = _numbered(tx.filter(~F.col("is_other_fee")), _offsets(b, "regular_count"), K.REPORT_FIRST_DATA_ROW)
     vals = {"A": F.col("datum"), "B": F.col("typ"), "C": F.col("bestellnummer"), "D": F.col("alte_bestellnummer"),
             "E": F.col("nutzername"), "F": F.col("name"),
             "G": F.col("kdnr") if "kdnr" in tx.columns else None,
@@ -266,7 +300,7 @@ def data_lines(tx: DataFrame) -> DataFrame:
             "Q": F.col("auszahlungsnr"), "R": F.col("auszahlungsdatum"),
             "T": F.col("zwischensumme"), "U": F.col("zwischensumme") - F.col("zwischensumme")}
     vals.update({x: F.col(f) for x, f in MONEY.items()})
-    return reg.select(*_line_cols("data", F.col("_n") + F.lit(K.REPORT_FIRST_DATA_ROW - 1), vals, _types(tx)))
+    return reg.select(*_line_cols("data", F.col("_n"), vals, _types(tx)))
 
 
 def summary_lines(summary: DataFrame, datum_type, types: dict[str, str]) -> DataFrame:
@@ -287,17 +321,23 @@ def summary_lines(summary: DataFrame, datum_type, types: dict[str, str]) -> Data
     return summary.select("file_id", F.inline(lines))
 
 
-def report_lines(tx: DataFrame, summary: DataFrame | None = None) -> DataFrame:
-    """Data rows ++ 'Gebuehr' ++ 'Andere Gebuehr' ++ totals, per file (UNION ALL)."""
-    summary = summary if summary is not None else file_summary(tx)
-    return data_lines(tx).unionByName(summary_lines(summary, tx.schema["datum"].dataType, _types(tx)))
+def report_lines(tx: DataFrame, summary: DataFrame | None = None,
+                 buckets: DataFrame | None = None) -> DataFrame:
+    """Data rows ++ 'Gebuehr' ++ 'Andere Gebuehr' ++ totals, per file (UNION ALL).
+
+    The transactions are read twice: once for the per-bucket aggregate (which
+    gives both the file summary and the row-number offsets) and once for the rows."""
+    b = buckets if buckets is not None else bucket_summary(tx)
+    summary = summary if summary is not None else file_summary(buckets=b)
+    return data_lines(tx, b).unionByName(summary_lines(summary, tx.schema["datum"].dataType, _types(tx)))
 
 
-def other_fee_detail(tx: DataFrame) -> DataFrame:
+def other_fee_detail(tx: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
     """S3 + D31: other-fee rows numbered from 1, laid out A..R (G = fee account,
     H = YYYYMM, I = J = P = amount, K..O = 0), then the sum line at row n + 2."""
+    b = buckets if buckets is not None else bucket_summary(tx)
     dt = tx.schema["datum"].dataType
-    oth = ordinal_by_index(tx.filter(F.col("is_other_fee")), ["file_id"], "row_idx", out="_n")
+    oth = _numbered(tx.filter(F.col("is_other_fee")), _offsets(b, "other_fee_count"), 1)
     amt = F.col("betrag_abzgl")
     vals = {"A": F.col("datum"), "B": F.col("typ"), "C": F.col("bestellnummer"), "D": F.col("alte_bestellnummer"),
             "E": F.col("nutzername"), "F": F.col("name"), "G": F.lit(K.FEE_ACCOUNT), "H": cl.yyyymm(F.col("datum"), dt),
@@ -305,15 +345,15 @@ def other_fee_detail(tx: DataFrame) -> DataFrame:
     vals.update({x: F.lit(0.0) for x in FEE_LETTERS})
     types = _types(tx)
     rows = oth.select(*_line_cols("detail", F.col("_n"), vals, types))
-    return rows.unionByName(other_fee_detail_totals(tx))
+    return rows.unionByName(other_fee_detail_totals(tx, file_summary(buckets=b)))
 
 
-def other_fee_detail_totals(tx: DataFrame) -> DataFrame:
+def other_fee_detail_totals(tx: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Sum line of the detail sheet (row n + 2), for files with other-fee rows."""
     types = _types(tx)
-    s = (tx.filter(F.col("is_other_fee")).groupBy("file_id")
-         .agg(F.count(F.lit(1)).alias("_n"), _r2(F.sum("betrag_abzgl")).alias("_s")))
-    return s.select(*_line_cols("detail_total", F.col("_n") + 2, {"J": F.col("_s"), "P": F.col("_s")}, types))
+    s = (summary if summary is not None else file_summary(tx)).filter(F.col("other_fee_count") > 0)
+    total = _r2(F.col("other_fee_total"))
+    return s.select(*_line_cols("detail_total", F.col("other_fee_count") + 2, {"J": total, "P": total}, types))
 
 
 def output_layout(lines: DataFrame) -> DataFrame:

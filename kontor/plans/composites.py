@@ -90,14 +90,15 @@ def reconcile_rows(rows: DataFrame, docs: DataFrame, preamble: DataFrame | None
     """Reconcile raw export rows against documents: report header, report lines,
     other-fee detail and the per-file processing summary."""
     tx = _reuse(R.attach_lookups(R.normalize_transactions(rows), docs), checkpoint)
-    summary = R.file_summary(tx)
+    buckets = R.bucket_summary(tx)          # one aggregation feeds summaries and row numbering
+    summary = R.file_summary(buckets=buckets)
     meta = R.preamble_metadata(preamble) if preamble is not None else \
         summary.select("file_id", F.lit(None).cast("string").alias("seller"), F.lit(None).cast("string").alias("amount"))
     return {
         "transactions": tx,
         "report_header": R.report_header(summary, meta),
-        "report_lines": R.report_lines(tx, summary),
-        "other_fee_detail": R.other_fee_detail(tx),
+        "report_lines": R.report_lines(tx, summary, buckets),
+        "other_fee_detail": R.other_fee_detail(tx, buckets),
         "processing_summary": R.processing_summary(summary),
         "lookup_coverage": R.lookup_coverage(tx, docs),
     }
