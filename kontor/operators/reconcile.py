@@ -335,7 +335,7 @@ def report_lines(tx: DataFrame, summary: DataFrame | None = None,
 def other_fee_detail(tx: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
     """S3 + D31: other-fee rows numbered from 1, laid out A..R (G = fee account,
     H = YYYYMM, I = J = P = amount, K..O = 0), then the sum line at row n + 2."""
-    b = buckets if buckets is not None else bucket_summary(tx)
+    b = buckets if buckets is not None else _other_fee_buckets(tx)
     dt = tx.schema["datum"].dataType
     oth = _numbered(tx.filter(F.col("is_other_fee")), _offsets(b, "other_fee_count"), 1)
     amt = F.col("betrag_abzgl")
@@ -345,7 +345,16 @@ def other_fee_detail(tx: DataFrame, buckets: DataFrame | None = None) -> DataFra
     vals.update({x: F.lit(0.0) for x in FEE_LETTERS})
     types = _types(tx)
     rows = oth.select(*_line_cols("detail", F.col("_n"), vals, types))
-    return rows.unionByName(other_fee_detail_totals(tx, file_summary(buckets=b)))
+    totals = b.groupBy("file_id").agg(F.sum("other_fee_count").alias("other_fee_count"),
+                                      F.sum("other_fee_total").alias("other_fee_total"))
+    return rows.unionByName(other_fee_detail_totals(tx, totals))
+
+
+def _other_fee_buckets(tx: DataFrame) -> DataFrame:
+    """Counts and totals of other-fee rows per (file, bucket): all the detail sheet
+    needs when no shared :func:`bucket_summary` is at hand."""
+    return (tx.filter(F.col("is_other_fee")).groupBy("file_id", _bucket().alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("other_fee_count"), F.sum("betrag_abzgl").alias("other_fee_total")))
 
 
 def other_fee_detail_totals(tx: DataFrame, summary: DataFrame | None = None) -> DataFrame:
