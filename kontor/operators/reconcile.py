@@ -6,12 +6,12 @@ Input is a frame of export rows with the raw cells of each normalized field:
 amount cells ``<field>_raw`` and ``auszahlungsnr``/``auszahlungsdatum``.
 Both the CSV grid reader and the adapter view produce that frame.
 
-Everything per export file is one ``groupBy(file_id)`` with conditional and
-order-aware aggregates (``max_by``/``min_by`` on ``row_idx``), so the result
-does not depend on partition order and a hot file is reduced map-side before
-the shuffle. Row numbers inside a file use the bucketed ordinal, never a
-whole-file window. Per-file summaries have one row per export file -- the
-file listing the driver already holds -- and are broadcast back to the rows.
+Everything per export file comes from one aggregation per (file, bucket of
+2^20 rows) with conditional and order-aware aggregates (``max_by``/``min_by``
+on ``row_idx``): the result does not depend on partition order, a hot file is
+reduced map-side before the shuffle, the file summaries are a roll-up of the
+small bucket table, and row numbers are the bucket's offset plus a row number
+inside the bucket -- never a whole-file window.
 """
 
 from __future__ import annotations
@@ -360,7 +360,10 @@ def _other_fee_buckets(tx: DataFrame) -> DataFrame:
 def other_fee_detail_totals(tx: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Sum line of the detail sheet (row n + 2), for files with other-fee rows."""
     types = _types(tx)
-    s = (summary if summary is not None else file_summary(tx)).filter(F.col("other_fee_count") > 0)
+    if summary is None:
+        summary = _other_fee_buckets(tx).groupBy("file_id").agg(
+            F.sum("other_fee_count").alias("other_fee_count"), F.sum("other_fee_total").alias("other_fee_total"))
+    s = summary.filter(F.col("other_fee_count") > 0)
     total = _r2(F.col("other_fee_total"))
     return s.select(*_line_cols("detail_total", F.col("other_fee_count") + 2, {"J": total, "P": total}, types))
 
