@@ -24,6 +24,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kontor.functions import cleaning as cl
 from kontor.functions import constants as K
 from kontor.operators.ordinal import ordinal_by_index
 
@@ -96,7 +97,7 @@ def header_mapping(grid: DataFrame, headers: DataFrame) -> DataFrame:
     h = (grid.join(F.broadcast(headers), "file_id").filter(F.col("row_idx") == F.col("header_row"))
          .select("file_id", F.posexplode("cells").alias("pos", "name"))
          .filter(F.col("name").isNotNull() & (F.col("name") != ""))
-         .select("file_id", F.regexp_replace("name", r"^\s+|\s+$", "").alias("name"),
+         .select("file_id", cl.strip_ws(F.col("name")).alias("name"),
                  (F.col("pos") + 1).alias("col")))
     last = h.groupBy("file_id", "name").agg(F.max("col").alias("col"))
     return (last.groupBy("file_id")
@@ -177,7 +178,8 @@ def write_export_grid(rows: DataFrame, preamble: DataFrame | None, path: str, se
     def csv_line(values: list[Column]) -> Column:
         return F.to_csv(F.struct(*[v.cast("string").alias(f"f{i}") for i, v in enumerate(values)]), {"sep": sep})
 
-    rot = F.when(F.col("file_id").cast("long") % 2 == 1, F.lit(1)).otherwise(F.lit(0))
+    odd = F.col("file_id").cast("long") % 2 == 1
+    rot = F.when(odd, F.lit(1)).otherwise(F.lit(0)) if rotate_odd else F.lit(0)
     plain, rotated = export_header(0), export_header(1)
 
     def by_rotation(pick) -> list[Column]:
@@ -185,7 +187,6 @@ def write_export_grid(rows: DataFrame, preamble: DataFrame | None, path: str, se
                 for p, r in zip(plain, rotated)]
 
     files = rows.select("file_id").distinct()
-    n_pre = 0
     parts = []
     if preamble is not None:
         pre = preamble.select("file_id", "row_idx", csv_line([F.col("c0"), F.col("c1")]).alias("line"))
@@ -195,10 +196,12 @@ def write_export_grid(rows: DataFrame, preamble: DataFrame | None, path: str, se
         files = files.join(n_pre_df, "file_id", "left")
     else:
         files = files.withColumn("n_pre", F.lit(0))
-    files = files.withColumn("n_pre", F.coalesce(F.col("n_pre"), F.lit(n_pre)))
+    files = files.withColumn("n_pre", F.coalesce(F.col("n_pre"), F.lit(0)))
     hrow = F.lit(header_row) if header_row else F.col("n_pre") + 1
     if header_row:
-        pads = files.select("file_id", "n_pre", F.explode(F.sequence(F.col("n_pre") + 1, hrow - 1)).alias("line_no"))
+        # blank lines between the preamble and a fixed header row (none if the preamble reaches it)
+        gap = F.when(F.col("n_pre") + 1 <= hrow - 1, F.sequence(F.col("n_pre") + 1, hrow - 1))
+        pads = files.select("file_id", F.explode(gap).alias("line_no"))
         parts.append(pads.select("file_id", F.col("line_no").cast("long"), F.lit("").alias("line")))
     header = files.select("file_id", hrow.cast("long").alias("line_no"),
                           csv_line(by_rotation(lambda hf: F.lit(hf[0]))).alias("line"))
