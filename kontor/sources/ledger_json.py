@@ -82,9 +82,12 @@ def expand_entries(rows: DataFrame) -> DataFrame:
     return flatten_structs(out, keep=("api_row",))
 
 
-def read_ledger_documents(spark: SparkSession, path: str) -> DataFrame:
-    """A1-A3 together: landed payload files -> document rows with ``api_row``."""
-    rows = unwrap_envelope(read_payloads(spark, path))
+def read_ledger_documents(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A1-A3 together: landed payload files -> document rows with ``api_row``.
+
+    Without ``schema`` the payload schema is inferred (one extra read of the
+    files); pass it for large landings whose shape is known."""
+    rows = unwrap_envelope(read_payloads(spark, path, schema))
     if "Entries" in rows.columns:
         return expand_entries(rows)
     return rows.drop("_source")
