@@ -59,3 +59,19 @@ def test_streaming_landing(spark, tmp_dir):
     q2 = L.land_documents(spark, inbox, table, ckpt)       # restart: nothing new is landed twice
     q2.awaitTermination(120)
     assert spark.read.parquet(table).count() == 2
+
+
+def test_reliable_checkpoint_cuts_lineage(spark, tmp_dir):
+    from kontor.session import checkpoint_dir
+    docs = AD.belege_events(spark, SF_SMALL)
+    a = P.full_analysis(docs, checkpoint=True)
+    plan = a["_prep"]._jdf.queryExecution().logical().toString()
+    assert "LogicalRDD" in plan and "Join" not in plan          # the prepared set is read back, not recomputed
+    assert a["kpis"].collect()[0].total_orders == docs.count()
+    folder = checkpoint_dir(spark).replace("file:", "")
+    assert os.path.isdir(folder) and any(os.scandir(folder))
+
+    root = write_exports(tmp_dir, {"a.csv": (3, False)})
+    lk = spark.createDataFrame([("100", "K1", "R1", 1)], "ORDER_ID string, KUNDENNR string, BELEGNR string, api_row long")
+    out = P.reconcile_exports(spark, root, lk, checkpoint=True)
+    assert out["report_lines"].count() == 5
