@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kontor.functions import cleaning as cl
 from kontor.functions import constants as K
@@ -36,6 +37,9 @@ def filter_date_range(docs: DataFrame, date_from: str, date_to: str) -> DataFram
     lo = F.to_timestamp(F.lit(date_from), "dd.MM.yyyy")
     hi = F.to_timestamp(F.lit(date_to), "dd.MM.yyyy") + F.expr("INTERVAL 1 DAY")
     c = F.col("BELEGDAT")
+    dtype = docs.schema["BELEGDAT"].dataType
+    if not isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        c = cl.parse_timestamp(c, dtype)          # text from a payload: parse per value first
     return docs.filter((c >= lo) & (c < hi))
 
 
