@@ -197,22 +197,22 @@ def _other_total() -> Column:
     return F.coalesce(_r2(F.col("other_fee_total")), F.lit(0.0))
 
 
-def fee_line(datum_type) -> dict[str, Column]:
+def fee_line(datum_type, account: str = K.FEE_ACCOUNT) -> dict[str, Column]:
     """D26 values over the per-file summary: A last date, F 'Gebuehr', G fee
     account, H YYYYMM(A), K..O fee sums, J = K+..+O, I = J, P = 0, Q/R last payout."""
     fees = _fees()
     j = _r2(reduce(lambda a, b: a + b, fees))
-    v = {"A": F.col("last_datum"), "F": F.lit(K.FEE_LINE_LABEL), "G": F.lit(K.FEE_ACCOUNT),
+    v = {"A": F.col("last_datum"), "F": F.lit(K.FEE_LINE_LABEL), "G": F.lit(account),
          "H": cl.yyyymm(F.col("last_datum"), datum_type), "I": j, "J": j, "P": F.lit(0.0),
          "Q": F.col("last_auszahlungsnr"), "R": F.col("last_auszahlungsdatum")}
     v.update(dict(zip(FEE_LETTERS, fees)))
     return v
 
 
-def other_fee_line(datum_type) -> dict[str, Column]:
+def other_fee_line(datum_type, account: str = K.FEE_ACCOUNT) -> dict[str, Column]:
     """D27 values: A first other-fee date, F 'Andere Gebuehr', I = J = P = other-fee total."""
     total = _other_total()
-    return {"A": F.col("andere_datum"), "F": F.lit(K.OTHER_FEE_LINE_LABEL), "G": F.lit(K.FEE_ACCOUNT),
+    return {"A": F.col("andere_datum"), "F": F.lit(K.OTHER_FEE_LINE_LABEL), "G": F.lit(account),
             "H": cl.yyyymm(F.col("andere_datum"), datum_type), "I": total, "J": total, "P": total,
             "Q": F.col("last_auszahlungsnr"), "R": F.col("last_auszahlungsdatum")}
 
@@ -225,15 +225,15 @@ def totals_line() -> dict[str, Column]:
             "P": _r2(F.coalesce(_r2(F.col("sum_P")), F.lit(0.0)) + other)}
 
 
-def fee_summary(summary: DataFrame, datum_type=None) -> DataFrame:
+def fee_summary(summary: DataFrame, datum_type=None, account: str = K.FEE_ACCOUNT) -> DataFrame:
     """The 'Gebuehr' line per file."""
-    v = fee_line(datum_type or summary.schema["last_datum"].dataType)
+    v = fee_line(datum_type or summary.schema["last_datum"].dataType, account)
     return summary.select("file_id", *[v[x].alias(x) for x in "AFGHIJKLMNOPQR"])
 
 
-def other_fee_summary(summary: DataFrame, datum_type=None) -> DataFrame:
+def other_fee_summary(summary: DataFrame, datum_type=None, account: str = K.FEE_ACCOUNT) -> DataFrame:
     """The 'Andere Gebuehr' line per file (emitted even with no other fees)."""
-    v = other_fee_line(datum_type or summary.schema["andere_datum"].dataType)
+    v = other_fee_line(datum_type or summary.schema["andere_datum"].dataType, account)
     return summary.select("file_id", *[v[x].alias(x) for x in "AFGHIJPQR"])
 
 
@@ -303,7 +303,8 @@ def data_lines(tx: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
     return reg.select(*_line_cols("data", F.col("_n"), vals, _types(tx)))
 
 
-def summary_lines(summary: DataFrame, datum_type, types: dict[str, str]) -> DataFrame:
+def summary_lines(summary: DataFrame, datum_type, types: dict[str, str],
+                  account: str = K.FEE_ACCOUNT) -> DataFrame:
     """The 'Gebuehr', 'Andere Gebuehr' and totals lines of every file, from one
     pass over the per-file summary (three structs, inlined; no joins)."""
     base = F.col("regular_count") + F.lit(K.REPORT_FIRST_DATA_ROW)
@@ -315,24 +316,24 @@ def summary_lines(summary: DataFrame, datum_type, types: dict[str, str]) -> Data
             fields.append((v if v is not None else F.lit(None)).cast(types[letter]).alias(letter))
         return F.struct(*fields)
 
-    lines = F.array(struct("gebuehr", base, fee_line(datum_type)),
-                    struct("andere_gebuehr", base + 1, other_fee_line(datum_type)),
+    lines = F.array(struct("gebuehr", base, fee_line(datum_type, account)),
+                    struct("andere_gebuehr", base + 1, other_fee_line(datum_type, account)),
                     struct("totals", base + 2, totals_line()))
     return summary.select("file_id", F.inline(lines))
 
 
 def report_lines(tx: DataFrame, summary: DataFrame | None = None,
-                 buckets: DataFrame | None = None) -> DataFrame:
+                 buckets: DataFrame | None = None, account: str = K.FEE_ACCOUNT) -> DataFrame:
     """Data rows ++ 'Gebuehr' ++ 'Andere Gebuehr' ++ totals, per file (UNION ALL).
 
     The transactions are read twice: once for the per-bucket aggregate (which
     gives both the file summary and the row-number offsets) and once for the rows."""
     b = buckets if buckets is not None else bucket_summary(tx)
     summary = summary if summary is not None else file_summary(buckets=b)
-    return data_lines(tx, b).unionByName(summary_lines(summary, tx.schema["datum"].dataType, _types(tx)))
+    return data_lines(tx, b).unionByName(summary_lines(summary, tx.schema["datum"].dataType, _types(tx), account))
 
 
-def other_fee_detail(tx: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
+def other_fee_detail(tx: DataFrame, buckets: DataFrame | None = None, account: str = K.FEE_ACCOUNT) -> DataFrame:
     """S3 + D31: other-fee rows numbered from 1, laid out A..R (G = fee account,
     H = YYYYMM, I = J = P = amount, K..O = 0), then the sum line at row n + 2."""
     b = buckets if buckets is not None else _other_fee_buckets(tx)
@@ -340,7 +341,7 @@ def other_fee_detail(tx: DataFrame, buckets: DataFrame | None = None) -> DataFra
     oth = _numbered(tx.filter(F.col("is_other_fee")), _offsets(b, "other_fee_count"), 1)
     amt = F.col("betrag_abzgl")
     vals = {"A": F.col("datum"), "B": F.col("typ"), "C": F.col("bestellnummer"), "D": F.col("alte_bestellnummer"),
-            "E": F.col("nutzername"), "F": F.col("name"), "G": F.lit(K.FEE_ACCOUNT), "H": cl.yyyymm(F.col("datum"), dt),
+            "E": F.col("nutzername"), "F": F.col("name"), "G": F.lit(account), "H": cl.yyyymm(F.col("datum"), dt),
             "I": amt, "J": amt, "P": amt, "Q": F.col("auszahlungsnr"), "R": F.col("auszahlungsdatum")}
     vals.update({x: F.lit(0.0) for x in FEE_LETTERS})
     types = _types(tx)

@@ -12,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kontor.functions import constants as K
 from kontor.operators import analytics as A
 from kontor.operators import reconcile as R
 from kontor.operators.prepare import prepare
@@ -86,7 +87,7 @@ def dashboard_frames(docs: DataFrame, checkpoint: bool = False) -> dict[str, Dat
 
 
 def reconcile_rows(rows: DataFrame, docs: DataFrame, preamble: DataFrame | None = None,
-                   checkpoint: bool = False) -> dict[str, DataFrame]:
+                   checkpoint: bool = False, account: str = K.FEE_ACCOUNT) -> dict[str, DataFrame]:
     """Reconcile raw export rows against documents: report header, report lines,
     other-fee detail and the per-file processing summary."""
     tx = _reuse(R.attach_lookups(R.normalize_transactions(rows), docs), checkpoint)
@@ -97,31 +98,43 @@ def reconcile_rows(rows: DataFrame, docs: DataFrame, preamble: DataFrame | None
     return {
         "transactions": tx,
         "report_header": R.report_header(summary, meta),
-        "report_lines": R.report_lines(tx, summary, buckets),
-        "other_fee_detail": R.other_fee_detail(tx, buckets),
+        "report_lines": R.report_lines(tx, summary, buckets, account),
+        "other_fee_detail": R.other_fee_detail(tx, buckets, account),
         "processing_summary": R.processing_summary(summary),
         "lookup_coverage": R.lookup_coverage(tx, docs),
     }
 
 
+def _export_rows(spark: SparkSession, path: str, discover: bool, export_column: str | None):
+    rows, pre, headers, rejected = G.read_exports(spark, path, discover=discover, export_column=export_column)
+    data = (rows.join(F.broadcast(headers), "file_id")
+            .withColumn("row_idx", F.col("row_idx") - F.col("header_row")).drop("header_row"))
+    return data, pre, rejected
+
+
 def reconcile_exports(spark: SparkSession, path: str, docs: DataFrame, export_column: str | None = None,
-                      discover: bool = True, checkpoint: bool = False) -> dict[str, DataFrame]:
+                      discover: bool = True, checkpoint: bool = False,
+                      account: str = K.FEE_ACCOUNT) -> dict[str, DataFrame]:
     """A folder of export files -> per-file reports (plus rejected files)."""
-    rows, pre, headers, rejected = G.read_exports(spark, path, discover=discover, export_column=export_column)
-    rows = rows.join(F.broadcast(headers), "file_id").withColumn("row_idx", F.col("row_idx") - F.col("header_row")) \
-        .drop("header_row")
-    out = reconcile_rows(rows, docs, pre, checkpoint)
+    rows, pre, rejected = _export_rows(spark, path, discover, export_column)
+    out = reconcile_rows(rows, docs, pre, checkpoint, account)
     out["rejected"] = rejected
     return out
 
 
 def match_and_process(spark: SparkSession, path: str, docs: DataFrame, export_column: str | None = None,
-                      checkpoint: bool = False) -> dict[str, DataFrame]:
-    """Matched rows (fixed header layout, semi join) and, independently, the
-    report of the whole export (not only the matched rows)."""
-    rows, _, headers, _ = G.read_exports(spark, path, discover=False, export_column=export_column)
-    out = reconcile_exports(spark, path, docs, export_column=export_column, checkpoint=checkpoint)
-    out["matched"] = R.match_orders(rows, docs)
-    out["unmatched"] = R.unmatched_orders(rows, docs)
-    out["match_stats"] = R.match_stats(rows, docs)
+                      fixed_header_for_matching: bool = False, checkpoint: bool = False,
+                      account: str = K.FEE_ACCOUNT) -> dict[str, DataFrame]:
+    """Matched and unmatched export rows (semi/anti join on the order number)
+    and, independently, the report of the whole export (not only the matched rows).
+
+    Both use the discovered header and one read of the files; the fixed
+    row-11 layout is available for matching with ``fixed_header_for_matching``."""
+    rows, pre, rejected = _export_rows(spark, path, True, export_column)
+    out = reconcile_rows(rows, docs, pre, checkpoint, account)
+    out["rejected"] = rejected
+    match_rows = _export_rows(spark, path, False, export_column)[0] if fixed_header_for_matching else rows
+    out["matched"] = R.match_orders(match_rows, docs)
+    out["unmatched"] = R.unmatched_orders(match_rows, docs)
+    out["match_stats"] = R.match_stats(match_rows, docs)
     return out

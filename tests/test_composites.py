@@ -35,11 +35,14 @@ def test_full_analysis_adapts_to_columns(spark):
 def test_match_and_process(spark, tmp_dir):
     root = write_exports(tmp_dir, {"a.csv": (11, False)})
     docs = spark.createDataFrame([("100", "K1", "R1", 1)], "ORDER_ID string, KUNDENNR string, BELEGNR string, api_row long")
-    out = P.match_and_process(spark, root, docs)
+    out = P.match_and_process(spark, root, docs, account="4711")
     assert out["matched"].count() == 1
     s = out["match_stats"].collect()[0]
     assert (s.matched, s.total) == (1, 4)
     assert out["report_lines"].filter("section = 'totals'").count() == 1
+    assert {r.G for r in out["report_lines"].filter("section = 'gebuehr'").collect()} == {"4711"}
+    fixed = P.match_and_process(spark, root, docs, fixed_header_for_matching=True)
+    assert fixed["match_stats"].collect()[0].total == 4
 
 
 def test_streaming_landing(spark, tmp_dir):
