@@ -112,7 +112,7 @@ def kpi_metrics(prep: DataFrame) -> DataFrame:
 
 # --- D2-D8: platform and geography -------------------------------------------
 
-def _measure_summary(prep: DataFrame, key: str) -> DataFrame | None:
+def _measure_summary(prep: DataFrame, key: str) -> DataFrame:
     aggs = []
     if _has(prep, "BRUTTO"):
         aggs += [total("BRUTTO").alias("BRUTTO_sum"), mean("BRUTTO").alias("BRUTTO_mean"),
@@ -122,7 +122,7 @@ def _measure_summary(prep: DataFrame, key: str) -> DataFrame | None:
     if _has(prep, "ERLOES"):
         aggs += [total("ERLOES").alias("ERLOES_sum"), mean("ERLOES").alias("ERLOES_mean")]
     if not aggs:
-        return None
+        raise ValueError(f"summary by {key} needs one of BRUTTO, NETTO, ERLOES")
     return _keyed(prep, key).groupBy(key).agg(*aggs)
 
 

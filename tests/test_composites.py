@@ -78,3 +78,13 @@ def test_reliable_checkpoint_cuts_lineage(spark, tmp_dir):
     lk = spark.createDataFrame([("100", "K1", "R1", 1)], "ORDER_ID string, KUNDENNR string, BELEGNR string, api_row long")
     out = P.reconcile_exports(spark, root, lk, checkpoint=True)
     assert out["report_lines"].count() == 5
+
+
+def test_full_analysis_with_few_columns(spark):
+    docs = spark.createDataFrame([("1", "Amazon", "2025-10-01 10:00:00"), ("2", None, "bad")],
+                                 "BELEGNR string, ORIGIN string, BELEGDAT string")
+    a = P.full_analysis(docs)
+    k = a["kpis"].collect()[0]
+    assert k.total_orders == 2 and k.platforms == 2 and "total_gross_revenue" not in a["kpis"].columns
+    assert set(a["platform"]) == {"platform_orders"}
+    assert a["time"] == {} and a["profitability"] == {} and a["order_value"] == {}
