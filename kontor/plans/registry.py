@@ -245,6 +245,9 @@ register("country_platform_matrix",
          with_views(["po"], "SELECT ISOA2_LAND, " + ", ".join(
              f"COALESCE(CAST(SUM(BRUTTO) FILTER (WHERE ORIGIN = '{p}') AS DOUBLE), 0.0) AS \"{p}\"" for p in PLATFORMS)
              + " FROM po WHERE ISOA2_LAND IS NOT NULL AND ORIGIN IS NOT NULL GROUP BY ISOA2_LAND"))
+register("country_platform_matrix_dynamic",
+         lambda s, d: A.country_platform_matrix(prep_orders(s, d)),
+         REGISTRY["country_platform_matrix"].sql)
 register("country_platform_long", lambda s, d: A.country_platform_long(prep_orders(s, d)),
          with_views(["po"], f"""SELECT ISOA2_LAND, ORIGIN, {TOTAL('BRUTTO')} AS BRUTTO FROM po
 WHERE ISOA2_LAND IS NOT NULL AND ORIGIN IS NOT NULL GROUP BY ISOA2_LAND, ORIGIN"""))
@@ -315,6 +318,14 @@ register("document_type_summary", lambda s, d: A.document_type_summary(prep_orde
 FROM po WHERE BELEGART IS NOT NULL GROUP BY BELEGART"""))
 
 
+register("document_type_summary_named", lambda s, d: A.document_type_summary(prep_orders(s, d), with_names=True),
+         with_views(["po"], f"""SELECT BELEGART AS Document_Type, {TOTAL('BRUTTO')} AS Gross_Revenue,
+{TOTAL('NETTO')} AS Net_Revenue, {TOTAL('ERLOES')} AS Profit, COUNT(BELEGNR) AS Count,
+COALESCE(CASE BELEGART WHEN 'RE' THEN 'Invoice (Rechnung)' WHEN 'GU' THEN 'Credit Note (Gutschrift)'
+              WHEN 'V' THEN 'Sale (Verkauf)' END, BELEGART) AS Document_Type_Name
+FROM po WHERE BELEGART IS NOT NULL GROUP BY BELEGART"""))
+
+
 def _margin_dist_sql(v: str) -> str:
     return with_views([v], f"""SELECT Margin_Category, COUNT(BELEGNR) AS Order_Count, {TOTAL('BRUTTO')} AS Total_Revenue,
 {TOTAL('ERLOES')} AS Total_Profit
