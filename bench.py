@@ -77,10 +77,11 @@ def main() -> None:
     t0 = time.perf_counter()
     analysis = P.full_analysis(AD.belege_orders(spark, sf_dir))
     for family, reports in analysis.items():
-        if family == "_prep":
+        if family.startswith("_"):
             continue
         for df in (reports.values() if isinstance(reports, dict) else [reports]):
             run(df)
+    analysis["_keyed"].unpersist()
     analysis["_prep"].unpersist()
     times["full_analysis"] = round(time.perf_counter() - t0, 3)
 

@@ -19,6 +19,7 @@ window.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,130 +111,200 @@ def kpi_metrics(prep: DataFrame) -> DataFrame:
     return k.select(*cols)
 
 
+# --- keyed measures: what every keyed report needs, per key --------------------
+
+# keys of the reports that are plain aggregations over one (or two) columns
+KEYED_SETS = [("ORIGIN",), ("ISOA2_LAND",), ("ISOA2_LAND", "ORIGIN"), ("Date",), ("Week",), ("Month",),
+              ("DayOfWeek",), ("Hour",), ("BELEGART",), ("ZAHLART",), ("margin_category",)]
+
+
+def _measures(df: DataFrame) -> list[Column]:
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.count(c).alias(f"cnt_{c}") for c in ("BELEGNR", "BELEGDAT") if c in df.columns]
+    for m in ("BRUTTO", "NETTO", "ERLOES", "profit_margin"):
+        if m in df.columns:
+            aggs += [F.sum(m).alias(f"sum_{m}"), F.count(m).alias(f"cnt_{m}")]
+    return aggs
+
+
+def _measure_input(prep: DataFrame) -> DataFrame:
+    return with_margin(prep) if _has(prep, "ERLOES", "BRUTTO") else prep
+
+
+def keyed_measures(prep: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Counts and exact sums per non-NULL ``keys`` (one ``groupBy``)."""
+    d = _measure_input(prep)
+    for k in keys:
+        d = _keyed(d, k)
+    return d.groupBy(*keys).agg(*_measures(d))
+
+
+def keyed_measure_sets(prep: DataFrame) -> dict:
+    """The measures of every keyed report from ONE pass over the documents:
+    a ``groupingSets`` aggregation (partial aggregation per set, one shuffle),
+    persisted -- it has one row per key value -- and sliced per key.
+
+    Returns {keys tuple: slice}, plus "_all" (the persisted frame, to unpersist)."""
+    d = _measure_input(prep)
+    sets = [st for st in KEYED_SETS if all(k in d.columns for k in st)]
+    keys = list(dict.fromkeys(k for st in sets for k in st))
+    g = (d.groupingSets([[F.col(k) for k in st] for st in sets], *[F.col(k) for k in keys])
+         .agg(*_measures(d), F.grouping_id().alias("_gid"))
+         .persist(StorageLevel.MEMORY_AND_DISK))
+    measure_cols = [c for c in g.columns if c not in keys and c != "_gid"]
+    out: dict = {"_all": g}
+    for st in sets:
+        gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in st)
+        sl = g.filter(F.col("_gid") == gid)
+        for k in st:
+            sl = sl.filter(F.col(k).isNotNull())
+        out[st] = sl.select(*st, *measure_cols)
+    return out
+
+
+def _tot(m: str) -> Column:
+    return F.coalesce(F.col(f"sum_{m}").cast("double"), F.lit(0.0))
+
+
+def _avg(m: str) -> Column:
+    return F.try_divide(F.col(f"sum_{m}").cast("double"), F.col(f"cnt_{m}").cast("double"))
+
+
+def _present(sl: DataFrame, *ms: str) -> list[str]:
+    return [m for m in ms if f"sum_{m}" in sl.columns]
+
+
 # --- D2-D8: platform and geography -------------------------------------------
 
-def _measure_summary(prep: DataFrame, key: str) -> DataFrame:
-    aggs = []
-    if _has(prep, "BRUTTO"):
-        aggs += [total("BRUTTO").alias("BRUTTO_sum"), mean("BRUTTO").alias("BRUTTO_mean"),
-                 F.count("BRUTTO").alias("BRUTTO_count")]
-    if _has(prep, "NETTO"):
-        aggs += [total("NETTO").alias("NETTO_sum"), mean("NETTO").alias("NETTO_mean")]
-    if _has(prep, "ERLOES"):
-        aggs += [total("ERLOES").alias("ERLOES_sum"), mean("ERLOES").alias("ERLOES_mean")]
-    if not aggs:
+def _measure_summary(sl: DataFrame, key: str) -> DataFrame:
+    cols = [F.col(key)]
+    for m in _present(sl, "BRUTTO", "NETTO", "ERLOES"):
+        cols += [_tot(m).alias(f"{m}_sum"), _avg(m).alias(f"{m}_mean")]
+        if m == "BRUTTO":
+            cols.append(F.col("cnt_BRUTTO").alias("BRUTTO_count"))
+    if len(cols) == 1:
         raise ValueError(f"summary by {key} needs one of BRUTTO, NETTO, ERLOES")
-    return _keyed(prep, key).groupBy(key).agg(*aggs)
+    order = ["BRUTTO_sum", "BRUTTO_mean", "BRUTTO_count", "NETTO_sum", "NETTO_mean", "ERLOES_sum", "ERLOES_mean"]
+    out = sl.select(*cols)
+    return out.select(key, *[c for c in order if c in out.columns])
 
 
-def platform_summary(prep: DataFrame) -> DataFrame:
+def platform_summary(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "ORIGIN", report="platform_summary")
-    return _measure_summary(prep, "ORIGIN").orderBy("ORIGIN")
+    sl = measures if measures is not None else keyed_measures(prep, ("ORIGIN",))
+    return _measure_summary(sl, "ORIGIN").orderBy("ORIGIN")
 
 
-def _amount_share(prep: DataFrame, key: str) -> DataFrame:
-    g = _keyed(prep, key).groupBy(key).agg(F.sum("BRUTTO").alias("_s"))
-    return with_share(g, "_s").select(key, F.coalesce(F.col("_s").cast("double"), F.lit(0.0)).alias("BRUTTO"),
-                                      "percentage")
+def _amount_share(sl: DataFrame, key: str) -> DataFrame:
+    return with_share(sl, "sum_BRUTTO").select(key, _tot("BRUTTO").alias("BRUTTO"), "percentage")
 
 
-def _count_share(prep: DataFrame, key: str) -> DataFrame:
-    g = _keyed(prep, key).groupBy(key).agg(F.count(F.lit(1)).alias("order_count"))
-    return with_share(g, "order_count").select(key, "order_count", "percentage")
+def _count_share(sl: DataFrame, key: str) -> DataFrame:
+    return with_share(sl.withColumnRenamed("n", "order_count"), "order_count").select(key, "order_count", "percentage")
 
 
-def platform_share(prep: DataFrame) -> DataFrame:
+def platform_share(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "ORIGIN", "BRUTTO", report="platform_share")
-    return _amount_share(prep, "ORIGIN").orderBy("ORIGIN")
+    sl = measures if measures is not None else keyed_measures(prep, ("ORIGIN",))
+    return _amount_share(sl, "ORIGIN").orderBy("ORIGIN")
 
 
-def platform_orders(prep: DataFrame) -> DataFrame:
+def platform_orders(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "ORIGIN", report="platform_orders")
-    return _count_share(prep, "ORIGIN").orderBy("ORIGIN")
+    sl = measures if measures is not None else keyed_measures(prep, ("ORIGIN",))
+    return _count_share(sl, "ORIGIN").orderBy("ORIGIN")
 
 
-def country_summary(prep: DataFrame) -> DataFrame:
+def country_summary(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "ISOA2_LAND", report="country_summary")
-    s = _measure_summary(prep, "ISOA2_LAND")
+    sl = measures if measures is not None else keyed_measures(prep, ("ISOA2_LAND",))
+    s = _measure_summary(sl, "ISOA2_LAND")
     return s.orderBy(F.desc("BRUTTO_sum"), "ISOA2_LAND") if "BRUTTO_sum" in s.columns else s
 
 
-def country_share(prep: DataFrame) -> DataFrame:
+def country_share(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "ISOA2_LAND", "BRUTTO", report="country_share")
-    return _amount_share(prep, "ISOA2_LAND").orderBy(F.desc("BRUTTO"), "ISOA2_LAND")
+    sl = measures if measures is not None else keyed_measures(prep, ("ISOA2_LAND",))
+    return _amount_share(sl, "ISOA2_LAND").orderBy(F.desc("BRUTTO"), "ISOA2_LAND")
 
 
-def country_orders(prep: DataFrame) -> DataFrame:
+def country_orders(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "ISOA2_LAND", report="country_orders")
-    return _count_share(prep, "ISOA2_LAND").orderBy(F.desc("order_count"), "ISOA2_LAND")
+    sl = measures if measures is not None else keyed_measures(prep, ("ISOA2_LAND",))
+    return _count_share(sl, "ISOA2_LAND").orderBy(F.desc("order_count"), "ISOA2_LAND")
 
 
-def country_platform_matrix(prep: DataFrame, platforms: list[str] | None = None) -> DataFrame:
+def country_platform_matrix(prep: DataFrame, platforms: list[str] | None = None,
+                            measures: DataFrame | None = None) -> DataFrame:
     """Country x platform gross revenue, one column per platform, gaps 0.
 
+    The pivot runs on the (country, platform) measures, one row per pair.
     Pass ``platforms`` when known; otherwise Spark first finds the distinct
     platforms (a small distinct job, bounded by spark.sql.pivotMaxValues)."""
     require(prep, "ISOA2_LAND", "ORIGIN", "BRUTTO", report="country_platform_matrix")
-    g = _keyed(_keyed(prep, "ISOA2_LAND"), "ORIGIN").groupBy("ISOA2_LAND")
+    sl = measures if measures is not None else keyed_measures(prep, ("ISOA2_LAND", "ORIGIN"))
+    g = sl.groupBy("ISOA2_LAND")
     p = g.pivot("ORIGIN", platforms) if platforms is not None else g.pivot("ORIGIN")
-    m = p.agg(F.sum("BRUTTO"))
+    m = p.agg(F.sum("sum_BRUTTO"))
     vals = [c for c in m.columns if c != "ISOA2_LAND"]
     return m.select("ISOA2_LAND", *[F.coalesce(F.col(f"`{v}`").cast("double"), F.lit(0.0)).alias(v)
                                     for v in vals]).orderBy("ISOA2_LAND")
 
 
-def country_platform_long(prep: DataFrame) -> DataFrame:
+def country_platform_long(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     """Long form of the matrix: (ISOA2_LAND, ORIGIN, BRUTTO)."""
     require(prep, "ISOA2_LAND", "ORIGIN", "BRUTTO", report="country_platform_long")
-    return (_keyed(_keyed(prep, "ISOA2_LAND"), "ORIGIN").groupBy("ISOA2_LAND", "ORIGIN")
-            .agg(total("BRUTTO").alias("BRUTTO")))
+    sl = measures if measures is not None else keyed_measures(prep, ("ISOA2_LAND", "ORIGIN"))
+    return sl.select("ISOA2_LAND", "ORIGIN", _tot("BRUTTO").alias("BRUTTO"))
 
 
 # --- D9-D13: time ---------------------------------------------------------------
 
-def daily_trend(prep: DataFrame) -> DataFrame:
+def daily_trend(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "BELEGDAT", report="daily_trend")
     present = [m for m in ("BRUTTO", "NETTO", "ERLOES") if m in prep.columns]
     if not present:
         raise ValueError("daily_trend needs at least one of BRUTTO, NETTO, ERLOES")
+    sl = measures if measures is not None else keyed_measures(prep, ("Date",))
     named = len(present) == 3
     names = {"BRUTTO": "Gross_Revenue", "NETTO": "Net_Revenue", "ERLOES": "Profit"}
-    aggs = [total(m).alias(names[m] if named else m) for m in present]
-    aggs.append(F.count("BELEGDAT").alias("Order_Count" if named else "BELEGDAT"))
-    return _keyed(prep, "Date").groupBy("Date").agg(*aggs).orderBy("Date")
+    cols = [_tot(m).alias(names[m] if named else m) for m in present]
+    cols.append(F.col("cnt_BELEGDAT").alias("Order_Count" if named else "BELEGDAT"))
+    return sl.select("Date", *cols).orderBy("Date")
 
 
-def _period_trend(prep: DataFrame, key: str) -> DataFrame:
+def _period_trend(prep: DataFrame, key: str, measures: DataFrame | None) -> DataFrame:
     present = [m for m in ("BRUTTO", "ERLOES") if m in prep.columns]
     if not present:
         raise ValueError(f"{key} trend needs BRUTTO or ERLOES")
-    aggs = [total(m).alias(m) for m in present] + [F.count("BELEGDAT").alias("BELEGDAT")]
-    return _keyed(prep, key).groupBy(key).agg(*aggs).orderBy(key)
+    sl = measures if measures is not None else keyed_measures(prep, (key,))
+    cols = [_tot(m).alias(m) for m in present] + [F.col("cnt_BELEGDAT").alias("BELEGDAT")]
+    return sl.select(key, *cols).orderBy(key)
 
 
-def weekly_trend(prep: DataFrame) -> DataFrame:
+def weekly_trend(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "BELEGDAT", report="weekly_trend")
-    return _period_trend(prep, "Week")
+    return _period_trend(prep, "Week", measures)
 
 
-def monthly_trend(prep: DataFrame) -> DataFrame:
+def monthly_trend(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "BELEGDAT", report="monthly_trend")
-    return _period_trend(prep, "Month")
+    return _period_trend(prep, "Month", measures)
 
 
-def day_of_week(prep: DataFrame) -> DataFrame:
+def day_of_week(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "BELEGDAT", "BRUTTO", report="day_of_week")
+    sl = measures if measures is not None else keyed_measures(prep, ("DayOfWeek",))
     order = F.array_position(F.array(*[F.lit(d) for d in K.WEEKDAYS]), F.col("DayOfWeek"))
-    return (_keyed(prep, "DayOfWeek").groupBy("DayOfWeek")
-            .agg(total("BRUTTO").alias("Total_Revenue"), mean("BRUTTO").alias("Avg_Revenue"),
-                 F.count("BRUTTO").alias("Order_Count"))
+    return (sl.select("DayOfWeek", _tot("BRUTTO").alias("Total_Revenue"), _avg("BRUTTO").alias("Avg_Revenue"),
+                      F.col("cnt_BRUTTO").alias("Order_Count"))
             .orderBy(order))
 
 
-def hourly_pattern(prep: DataFrame) -> DataFrame:
+def hourly_pattern(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "BELEGDAT", "BRUTTO", report="hourly_pattern")
-    return (_keyed(prep, "Hour").groupBy("Hour")
-            .agg(total("BRUTTO").alias("Total_Revenue"), F.count("BRUTTO").alias("Order_Count"))
+    sl = measures if measures is not None else keyed_measures(prep, ("Hour",))
+    return (sl.select("Hour", _tot("BRUTTO").alias("Total_Revenue"), F.col("cnt_BRUTTO").alias("Order_Count"))
             .orderBy("Hour"))
 
 
@@ -312,21 +383,22 @@ def new_vs_returning(prep: DataFrame) -> DataFrame:
 
 # --- D17: document types ---------------------------------------------------------
 
-def document_type_summary(prep: DataFrame, with_names: bool = False) -> DataFrame:
+def document_type_summary(prep: DataFrame, with_names: bool = False,
+                          measures: DataFrame | None = None) -> DataFrame:
     require(prep, "BELEGART", "BELEGNR", report="document_type_summary")
     present = [m for m in ("BRUTTO", "NETTO", "ERLOES") if m in prep.columns]
     if not present:
         raise ValueError("document_type_summary needs a measure")
+    sl = measures if measures is not None else keyed_measures(prep, ("BELEGART",))
     named = len(present) == 3
     names = {"BRUTTO": "Gross_Revenue", "NETTO": "Net_Revenue", "ERLOES": "Profit"}
-    aggs = [total(m).alias(names[m] if named else m) for m in present]
-    aggs.append(F.count("BELEGNR").alias("Count" if named else "BELEGNR"))
-    g = _keyed(prep, "BELEGART").groupBy("BELEGART").agg(*aggs)
-    g = g.withColumnRenamed("BELEGART", "Document_Type" if named else "BELEGART")
+    key = "Document_Type" if named else "BELEGART"
+    cols = [F.col("BELEGART").alias(key)] + [_tot(m).alias(names[m] if named else m) for m in present]
+    cols.append(F.col("cnt_BELEGNR").alias("Count" if named else "BELEGNR"))
+    g = sl.select(*cols)
     if with_names:
-        key = "Document_Type" if named else "BELEGART"
         g = g.withColumn("Document_Type_Name", lb.document_type_name(F.col(key)))
-    return g.orderBy(g.columns[0])
+    return g.orderBy(key)
 
 
 # --- D18-D20, T2, T3: profitability -------------------------------------------------
@@ -338,42 +410,38 @@ def with_margin(prep: DataFrame) -> DataFrame:
             .withColumn("margin_category", lb.margin_bucket(F.col("profit_margin"))))
 
 
-def margin_distribution(prep: DataFrame) -> DataFrame:
-    require(prep, "BELEGNR", report="margin_distribution")
-    m = _keyed(with_margin(prep), "margin_category")
-    return (m.groupBy("margin_category")
-            .agg(F.count("BELEGNR").alias("Order_Count"), total("BRUTTO").alias("Total_Revenue"),
-                 total("ERLOES").alias("Total_Profit"))
-            .withColumnRenamed("margin_category", "Margin_Category")
+def margin_distribution(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
+    require(prep, "BELEGNR", "ERLOES", "BRUTTO", report="margin_distribution")
+    sl = measures if measures is not None else keyed_measures(prep, ("margin_category",))
+    return (sl.select(F.col("margin_category").alias("Margin_Category"), F.col("cnt_BELEGNR").alias("Order_Count"),
+                      _tot("BRUTTO").alias("Total_Revenue"), _tot("ERLOES").alias("Total_Profit"))
             .orderBy(lb.margin_bucket_order(F.col("Margin_Category"))))
 
 
-def _profitability(prep: DataFrame, key: str, out_key: str, with_net: bool) -> DataFrame:
-    m = _keyed(with_margin(prep), key)
-    aggs = [F.sum("BRUTTO").alias("_g")]
+def _profitability(prep: DataFrame, key: str, out_key: str, with_net: bool,
+                   measures: DataFrame | None) -> DataFrame:
+    require(prep, "ERLOES", "BRUTTO", report="profitability")
     if with_net:
         require(prep, "NETTO", report="platform_profitability")
-        aggs.append(total("NETTO").alias("Net_Revenue"))
-    aggs += [F.sum("ERLOES").alias("_p"), F.round(F.avg("profit_margin"), 6).alias("Avg_Margin")]
-    g = m.groupBy(key).agg(*aggs)
-    gross = F.coalesce(F.col("_g").cast("double"), F.lit(0.0))
-    profit = F.coalesce(F.col("_p").cast("double"), F.lit(0.0))
+    sl = measures if measures is not None else keyed_measures(prep, (key,))
+    gross, profit = _tot("BRUTTO"), _tot("ERLOES")
     cols = [F.col(key).alias(out_key), gross.alias("Gross_Revenue")]
     if with_net:
-        cols.append("Net_Revenue")
-    cols += [profit.alias("Total_Profit"), "Avg_Margin",
+        cols.append(_tot("NETTO").alias("Net_Revenue"))
+    cols += [profit.alias("Total_Profit"), F.round(_avg("profit_margin"), 6).alias("Avg_Margin"),
              (F.try_divide(profit, gross) * F.lit(100.0)).alias("Profit_Margin_Pct")]
-    return g.select(*cols)
+    return sl.select(*cols)
 
 
-def platform_profitability(prep: DataFrame) -> DataFrame:
+def platform_profitability(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "ORIGIN", report="platform_profitability")
-    return _profitability(prep, "ORIGIN", "Platform", True).orderBy("Platform")
+    return _profitability(prep, "ORIGIN", "Platform", True, measures).orderBy("Platform")
 
 
-def country_profitability(prep: DataFrame) -> DataFrame:
+def country_profitability(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "ISOA2_LAND", report="country_profitability")
-    return _profitability(prep, "ISOA2_LAND", "Country", False).orderBy(F.desc("Total_Profit"), "Country")
+    return (_profitability(prep, "ISOA2_LAND", "Country", False, measures)
+            .orderBy(F.desc("Total_Profit"), "Country"))
 
 
 def _order_lines(m: DataFrame) -> DataFrame:
@@ -398,15 +466,14 @@ def low_margin_orders(prep: DataFrame, n: int = K.TOP_ORDERS) -> DataFrame:
 
 # --- D21: payment -------------------------------------------------------------------
 
-def payment_summary(prep: DataFrame) -> DataFrame:
+def payment_summary(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "ZAHLART", "BELEGNR", "BRUTTO", report="payment_summary")
-    aggs = [total("BRUTTO").alias("Total_Revenue")]
+    sl = measures if measures is not None else keyed_measures(prep, ("ZAHLART",))
+    cols = [F.col("ZAHLART").alias("Payment_Method"), _tot("BRUTTO").alias("Total_Revenue")]
     if "ERLOES" in prep.columns:
-        aggs.append(total("ERLOES").alias("Total_Profit"))
-    aggs.append(F.count("BELEGNR").alias("Order_Count"))
-    return (_keyed(prep, "ZAHLART").groupBy("ZAHLART").agg(*aggs)
-            .withColumnRenamed("ZAHLART", "Payment_Method")
-            .orderBy(F.desc("Total_Revenue"), "Payment_Method"))
+        cols.append(_tot("ERLOES").alias("Total_Profit"))
+    cols.append(F.col("cnt_BELEGNR").alias("Order_Count"))
+    return sl.select(*cols).orderBy(F.desc("Total_Revenue"), "Payment_Method")
 
 
 # --- D22, D23: order values -----------------------------------------------------------

@@ -33,26 +33,44 @@ def _try(fn, *args):
 
 
 def full_analysis(docs: DataFrame, checkpoint: bool = False) -> dict[str, dict[str, DataFrame] | DataFrame]:
-    """All nine report families over one prepared document set."""
+    """All nine report families over one prepared document set.
+
+    The eleven reports keyed by a low-cardinality column (platform, country,
+    country x platform, day, week, month, weekday, hour, document type,
+    payment method, margin bin) read the documents once: one grouping-sets
+    aggregation (``keyed_measure_sets``) whose small result every such report
+    projects. The other reports (KPIs, customers, bins, quantiles, top-k) read
+    the prepared set themselves."""
     prep = _reuse(prepare(docs), checkpoint)
+    keyed = A.keyed_measure_sets(prep)
+
+    def k(*keys):
+        return keyed.get(tuple(keys))
+
     families = {
         "kpis": [("kpis", A.kpi_metrics)],
-        "platform": [("platform_summary", A.platform_summary), ("platform_share", A.platform_share),
-                     ("platform_orders", A.platform_orders)],
-        "geographic": [("country_summary", A.country_summary), ("country_share", A.country_share),
-                       ("country_orders", A.country_orders), ("country_platform_matrix", A.country_platform_matrix)],
-        "time": [("daily_trend", A.daily_trend), ("weekly_trend", A.weekly_trend),
-                 ("monthly_trend", A.monthly_trend), ("day_of_week", A.day_of_week),
-                 ("hourly_pattern", A.hourly_pattern)],
+        "platform": [("platform_summary", lambda p: A.platform_summary(p, k("ORIGIN"))),
+                     ("platform_share", lambda p: A.platform_share(p, k("ORIGIN"))),
+                     ("platform_orders", lambda p: A.platform_orders(p, k("ORIGIN")))],
+        "geographic": [("country_summary", lambda p: A.country_summary(p, k("ISOA2_LAND"))),
+                       ("country_share", lambda p: A.country_share(p, k("ISOA2_LAND"))),
+                       ("country_orders", lambda p: A.country_orders(p, k("ISOA2_LAND"))),
+                       ("country_platform_matrix",
+                        lambda p: A.country_platform_matrix(p, measures=k("ISOA2_LAND", "ORIGIN")))],
+        "time": [("daily_trend", lambda p: A.daily_trend(p, k("Date"))),
+                 ("weekly_trend", lambda p: A.weekly_trend(p, k("Week"))),
+                 ("monthly_trend", lambda p: A.monthly_trend(p, k("Month"))),
+                 ("day_of_week", lambda p: A.day_of_week(p, k("DayOfWeek"))),
+                 ("hourly_pattern", lambda p: A.hourly_pattern(p, k("Hour")))],
         "customer": [("top_customers", A.top_customers), ("all_customers", A.all_customers),
                      ("customer_frequency", A.customer_frequency), ("new_vs_returning", A.new_vs_returning)],
-        "document_type": [("document_type_summary", A.document_type_summary)],
-        "profitability": [("margin_distribution", A.margin_distribution),
-                          ("platform_profitability", A.platform_profitability),
-                          ("country_profitability", A.country_profitability),
+        "document_type": [("document_type_summary", lambda p: A.document_type_summary(p, measures=k("BELEGART")))],
+        "profitability": [("margin_distribution", lambda p: A.margin_distribution(p, k("margin_category"))),
+                          ("platform_profitability", lambda p: A.platform_profitability(p, k("ORIGIN"))),
+                          ("country_profitability", lambda p: A.country_profitability(p, k("ISOA2_LAND"))),
                           ("top_profitable_orders", A.top_profitable_orders),
                           ("low_margin_orders", A.low_margin_orders)],
-        "payment": [("payment_summary", A.payment_summary)],
+        "payment": [("payment_summary", lambda p: A.payment_summary(p, k("ZAHLART")))],
         "order_value": [("order_value_distribution", A.order_value_distribution),
                         ("order_value_stats", A.order_value_stats)],
     }
@@ -61,6 +79,7 @@ def full_analysis(docs: DataFrame, checkpoint: bool = False) -> dict[str, dict[s
         got = {name: df for name, fn in reports if (df := _try(fn, prep)) is not None}
         out[family] = got.get("kpis") if family == "kpis" else got
     out["_prep"] = prep
+    out["_keyed"] = keyed["_all"]
     return out
 
 

@@ -410,6 +410,6 @@ from kontor.plans import registry_sources  # noqa: E402,F401
 
 # W1 on its own: share of each platform in the number of event documents (D3/D4/D6/D7 use the same window)
 register("share_of_total",
-         lambda s, d: A._count_share(prep_events(s, d), "ORIGIN").withColumnRenamed("order_count", "n"),
+         lambda s, d: A.with_share(A.keyed_measures(prep_events(s, d), ("ORIGIN",)), "n").select("ORIGIN", "n", "percentage"),
          with_views(["pe"], f"""SELECT ORIGIN, n, {SHARE('n')} AS percentage
 FROM (SELECT ORIGIN, COUNT(*) AS n FROM pe WHERE ORIGIN IS NOT NULL GROUP BY ORIGIN)"""))

@@ -88,3 +88,30 @@ def test_full_analysis_with_few_columns(spark):
     assert k.total_orders == 2 and k.platforms == 2 and "total_gross_revenue" not in a["kpis"].columns
     assert set(a["platform"]) == {"platform_orders"}
     assert a["time"] == {} and a["profitability"] == {} and a["order_value"] == {}
+
+
+def test_grouping_sets_reports_equal_standalone(spark):
+    from kontor.operators import analytics as A
+    from kontor.operators.prepare import prepare
+    docs = AD.belege_orders(spark, SF_SMALL)
+    a = P.full_analysis(docs)
+    prep = prepare(docs)
+    standalone = {
+        ("platform", "platform_summary"): A.platform_summary, ("platform", "platform_share"): A.platform_share,
+        ("platform", "platform_orders"): A.platform_orders, ("geographic", "country_summary"): A.country_summary,
+        ("geographic", "country_share"): A.country_share, ("geographic", "country_orders"): A.country_orders,
+        ("geographic", "country_platform_matrix"): A.country_platform_matrix, ("time", "daily_trend"): A.daily_trend,
+        ("time", "weekly_trend"): A.weekly_trend, ("time", "monthly_trend"): A.monthly_trend,
+        ("time", "day_of_week"): A.day_of_week, ("time", "hourly_pattern"): A.hourly_pattern,
+        ("document_type", "document_type_summary"): A.document_type_summary,
+        ("profitability", "margin_distribution"): A.margin_distribution,
+        ("profitability", "platform_profitability"): A.platform_profitability,
+        ("profitability", "country_profitability"): A.country_profitability,
+        ("payment", "payment_summary"): A.payment_summary,
+    }
+    for (family, name), fn in standalone.items():
+        got, want = a[family][name], fn(prep)
+        assert got.columns == want.columns, name
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()], name
+    a["_keyed"].unpersist()
+    a["_prep"].unpersist()
