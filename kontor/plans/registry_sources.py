@@ -267,3 +267,28 @@ register("batch_stats",
              F.col("date_to").cast("timestamp_ntz").alias("date_to"), "origins"),
          with_views(["belege_events"], """SELECT COUNT(*) AS rows, CAST(8 AS BIGINT) AS columns,
 MIN(BELEGDAT) AS date_from, MAX(BELEGDAT) AS date_to, list_sort(list(DISTINCT ORIGIN)) AS origins FROM belege_events"""))
+
+
+# --- streaming landing (A10 incrementally): payload lines -> landed, prepared documents -----------
+
+def _streamed_documents(s, d):
+    from kontor.streaming.landing import land_documents
+    docs = AD.belege_orders(s, d).select(
+        "BELEGNR", "ORDER_ID", "KUNDENNR", "NAME2", F.col("BELEGDAT").cast("string").alias("BELEGDAT"), "ORIGIN",
+        "ISOA2_LAND", "BELEGART", "ZAHLART", "NETTO", "BRUTTO", "ERLOES", "api_row")
+    payloads = (docs.groupBy(F.floor(F.col("api_row") / PAYLOAD_DOCS).alias("payload"))
+                .agg(F.sort_array(F.collect_list(F.struct("api_row", F.struct(*[c for c in docs.columns if c != "api_row"])
+                                                                       .alias("doc")))).alias("p"))
+                .select(F.col("p.doc").alias("data")))
+    run = uuid.uuid4().hex
+    inbox, table, ckpt = (scratch_path(s, f"{x}-{run}") for x in ("inbox", "landed", "landed-ckpt"))
+    payloads.write.mode("overwrite").json(inbox)          # one payload per line, several files
+    q = land_documents(s, inbox, table, ckpt, multi_line=False)
+    q.awaitTermination()
+    got = s.read.parquet(table)
+    return got.select("BELEGNR", "ORDER_ID", "KUNDENNR", "NAME2",
+                      F.col("BELEGDAT").cast("timestamp_ntz").alias("BELEGDAT"), "ORIGIN", "ISOA2_LAND", "BELEGART",
+                      "ZAHLART", "NETTO", "BRUTTO", "ERLOES", "Date", "Month", "Week", "DayOfWeek", "Hour")
+
+
+register("stream_landed_documents", _streamed_documents, _PREP_SQL)

@@ -23,9 +23,10 @@ PAYLOAD_SCHEMA = T.StructType([
 ])
 
 
-def document_stream(spark: SparkSession, inbox: str, max_files: int = 100) -> DataFrame:
-    """Streaming documents from ``{"data": [...]}`` payload files in ``inbox``."""
-    raw = (spark.readStream.schema(PAYLOAD_SCHEMA).option("multiLine", True)
+def document_stream(spark: SparkSession, inbox: str, max_files: int = 100, multi_line: bool = True) -> DataFrame:
+    """Streaming documents from ``{"data": [...]}`` payloads in ``inbox``: one
+    payload per file (``multi_line``) or one payload per line."""
+    raw = (spark.readStream.schema(PAYLOAD_SCHEMA).option("multiLine", multi_line)
            .option("maxFilesPerTrigger", max_files).json(inbox))
     docs = raw.select(F.col("_metadata.file_path").alias("source"), F.posexplode("data").alias("pos", "d")) \
         .select("source", "pos", "d.*")
@@ -33,8 +34,8 @@ def document_stream(spark: SparkSession, inbox: str, max_files: int = 100) -> Da
 
 
 def land_documents(spark: SparkSession, inbox: str, table_path: str, checkpoint: str,
-                   available_now: bool = True) -> StreamingQuery:
-    w = (document_stream(spark, inbox).writeStream.format("parquet").option("path", table_path)
+                   available_now: bool = True, multi_line: bool = True) -> StreamingQuery:
+    w = (document_stream(spark, inbox, multi_line=multi_line).writeStream.format("parquet").option("path", table_path)
          .option("checkpointLocation", checkpoint).partitionBy("landed_day").outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
