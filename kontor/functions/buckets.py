@@ -84,3 +84,40 @@ def with_value_buckets(df: DataFrame, col: str, out_label: str = "value_range",
     """Attach ``out_order`` (bin number, NULL outside) and ``out_label`` ('€a-b')."""
     framed, label = value_bins(df, col, out_order)
     return framed.withColumn(out_label, label(F.col(out_order)))
+
+
+# --- one-pass distribution ---------------------------------------------------------
+
+EDGE_SETS = {"small": K.VALUE_EDGES_UPTO_100, "mid": K.VALUE_EDGES_UPTO_500, "big": K.VALUE_EDGES_ABOVE_500}
+
+
+def candidate_bins(v: Column) -> list[Column]:
+    """Bin number of ``v`` in each candidate edge set (count of fixed edges below it).
+
+    For the large set this is also the final bin number: every value is at most
+    the maximum, below the data-dependent last edge max+1, so only the label of
+    the last bin depends on the maximum."""
+    x = v.cast("double")
+    return [reduce(lambda a, b: a + b, [F.when(F.lit(float(e)) < x, 1).otherwise(0) for e in edges]).alias(f"_bin_{k}")
+            for k, edges in EDGE_SETS.items()]
+
+
+def chosen_bin(mx: Column) -> tuple[Column, Column]:
+    """(bin number, label) from the candidate bins of a row, given the maximum ``mx``."""
+    top = mx.cast("double") + F.lit(1.0)
+    top_txt = (mx + F.lit(1)).cast("decimal(18,2)").cast("string")
+    big = K.VALUE_EDGES_ABOVE_500
+    keep = reduce(lambda a, b: a + b, [F.when(F.lit(float(e)) < top, 1).otherwise(0) for e in big])
+    i = (F.when(mx <= 100, F.col("_bin_small")).when(mx <= 500, F.col("_bin_mid"))
+         .otherwise(F.col("_bin_big")))
+    n_edges = F.when(mx <= 100, F.lit(len(K.VALUE_EDGES_UPTO_100))).when(
+        mx <= 500, F.lit(len(K.VALUE_EDGES_UPTO_500))).otherwise(keep + 1)
+    lo = (F.when(mx <= 100, F.element_at(_arr([str(e) for e in K.VALUE_EDGES_UPTO_100]), i))
+          .when(mx <= 500, F.element_at(_arr([str(e) for e in K.VALUE_EDGES_UPTO_500]), i))
+          .otherwise(F.element_at(_arr([str(e) for e in big]), i)))
+    hi = (F.when(mx <= 100, F.try_element_at(_arr([str(e) for e in K.VALUE_EDGES_UPTO_100]), i + 1))
+          .when(mx <= 500, F.try_element_at(_arr([str(e) for e in K.VALUE_EDGES_UPTO_500]), i + 1))
+          .when(i + 1 <= keep, F.try_element_at(_arr([str(e) for e in big]), i + 1))
+          .otherwise(top_txt))
+    inside = (i >= 1) & (i < n_edges)
+    return F.when(inside, i), F.when(inside, F.concat(F.lit(K.CURRENCY_SIGN), lo, F.lit("-"), hi))

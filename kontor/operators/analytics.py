@@ -485,12 +485,23 @@ def positive_orders(prep: DataFrame) -> DataFrame:
 
 
 def order_value_distribution(prep: DataFrame) -> DataFrame:
+    """Order count and revenue per value bin of positive orders, in bin order.
+
+    One pass over the documents: rows are aggregated by their bin number in
+    each of the three candidate edge sets (a handful of groups) together with
+    the maximum; the edge set, bin and label are then chosen on that tiny
+    result (the global maximum is a window over it)."""
     pos = positive_orders(prep)
-    b, label = bk.value_bins(pos, "BRUTTO", "value_bin")
-    return (_keyed(b, "value_bin").groupBy("value_bin")
-            .agg(F.count("BRUTTO").alias("Order_Count"), total("BRUTTO").alias("Total_Revenue"))
+    g = (pos.groupBy(*bk.candidate_bins(F.col("BRUTTO")))
+         .agg(F.count("BRUTTO").alias("_n"), F.sum("BRUTTO").alias("_s"), F.max("BRUTTO").alias("_mx")))
+    g = g.withColumn("_max", F.max("_mx").over(Window.partitionBy()))
+    i, label = bk.chosen_bin(F.col("_max"))
+    return (g.select(i.alias("value_bin"), label.alias("Value_Range"), "_n", "_s")
+            .filter(F.col("value_bin").isNotNull())
+            .groupBy("value_bin", "Value_Range")
+            .agg(F.sum("_n").alias("Order_Count"), F.coalesce(F.sum("_s").cast("double"), F.lit(0.0)).alias("Total_Revenue"))
             .orderBy("value_bin")
-            .select(label(F.col("value_bin")).alias("Value_Range"), "Order_Count", "Total_Revenue"))
+            .select("Value_Range", "Order_Count", "Total_Revenue"))
 
 
 def order_value_stats(prep: DataFrame, exact: bool = True) -> DataFrame:

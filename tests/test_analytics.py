@@ -86,3 +86,17 @@ def test_exact_quantiles_with_bracketing(spark):
     for max_rows in (10**6, 100):
         got = exact_quantiles(df, "x", probs, max_window_rows=max_rows, accuracy=50)
         assert all(abs(got[p] - want[p]) < 1e-9 for p in probs)
+
+
+@pytest.mark.parametrize("mx", [100.0, 500.0, 600.0, 999.0, 1000.5, 1234.56])
+def test_one_pass_distribution_matches_row_bins(spark, mx):
+    from kontor.functions.buckets import with_value_buckets
+    vals = [0.5, 10.0, 10.01, 49.99, 50.0, 99.0, 100.0, 250.0, 500.0, 750.0, 999.0, 1000.0, mx]
+    vals = [v for v in vals if v <= mx]
+    d = spark.createDataFrame([(str(i), str(v)) for i, v in enumerate(vals)] + [("z", "0"), ("y", "-3")],
+                              "BELEGNR string, BRUTTO string")
+    got = [tuple(r) for r in A.order_value_distribution(prepare(d)).collect()]
+    rows = with_value_buckets(prepare(d).filter("BRUTTO > 0"), "BRUTTO", "label", "bin").filter("bin IS NOT NULL")
+    want = [(r.label, r.n, r.s) for r in rows.groupBy("bin", "label").agg(
+        F.count("BRUTTO").alias("n"), F.sum("BRUTTO").alias("s")).orderBy("bin").collect()]
+    assert got == want and sum(n for _, n, _ in got) == len(vals)
