@@ -82,6 +82,8 @@ def main() -> None:
         for df in (reports.values() if isinstance(reports, dict) else [reports]):
             run(df)
     analysis["_keyed"].unpersist()
+    if analysis["_customers"] is not None:
+        analysis["_customers"].unpersist()
     analysis["_prep"].unpersist()
     times["full_analysis"] = round(time.perf_counter() - t0, 3)
 

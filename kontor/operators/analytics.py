@@ -314,7 +314,20 @@ def _customer_name_col(prep: DataFrame) -> str | None:
     return "NAME2" if "NAME2" in prep.columns else ("NAME1" if "NAME1" in prep.columns else None)
 
 
-def all_customers(prep: DataFrame) -> DataFrame:
+def customer_day_measures(prep: DataFrame) -> DataFrame:
+    """Per (customer, name, day): row count, document count and exact sums.
+
+    One aggregation (partial, then a shuffle on the customer) shared by every
+    customer report of the full analysis; a customer with a third of all
+    documents is reduced map-side to one row per (name, day)."""
+    require(prep, "KUNDENNR", report="customer reports")
+    name = _customer_name_col(prep)
+    keys = ["KUNDENNR"] + ([name] if name else []) + (["Date"] if "Date" in prep.columns else [])
+    d = _keyed(prep, "KUNDENNR")
+    return d.groupBy(*keys).agg(*_measures(d))
+
+
+def all_customers(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "KUNDENNR", "BELEGNR", report="all_customers")
     present = [m for m in ("BRUTTO", "ERLOES") if m in prep.columns]
     if "ERLOES" in present:
@@ -323,28 +336,36 @@ def all_customers(prep: DataFrame) -> DataFrame:
         raise ValueError("all_customers needs BRUTTO")
     name = _customer_name_col(prep)
     keys = ["KUNDENNR"] + ([name] if name else [])
-    d = prep
-    for k in keys:
-        d = _keyed(d, k)
-    aggs = [total("BRUTTO").alias("Total_Revenue")]
+    if measures is not None:
+        d = measures
+        for k in keys:
+            d = _keyed(d, k)
+        sl = d.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in d.columns if c.startswith(("sum_", "cnt_"))])
+    else:
+        d = prep
+        for k in keys:
+            d = _keyed(d, k)
+        sl = d.groupBy(*keys).agg(*_measures(d))
+    cols = [F.col("KUNDENNR").alias("Customer_ID")] + ([F.col(name).alias("Customer_Name")] if name else [])
+    cols.append(_tot("BRUTTO").alias("Total_Revenue"))
     if "ERLOES" in present:
-        aggs.append(total("ERLOES").alias("Total_Profit"))
-    aggs.append(F.count("BELEGNR").alias("Order_Count"))
-    g = d.groupBy(*keys).agg(*aggs).withColumnRenamed("KUNDENNR", "Customer_ID")
-    if name:
-        g = g.withColumnRenamed(name, "Customer_Name")
+        cols.append(_tot("ERLOES").alias("Total_Profit"))
+    cols.append(F.col("cnt_BELEGNR").alias("Order_Count"))
     tie = ["Customer_ID"] + (["Customer_Name"] if name else [])
-    return g.orderBy(F.desc("Total_Revenue"), *tie)
+    return sl.select(*cols).orderBy(F.desc("Total_Revenue"), *tie)
 
 
-def top_customers(prep: DataFrame, n: int = K.TOP_CUSTOMERS) -> DataFrame:
+def top_customers(prep: DataFrame, n: int = K.TOP_CUSTOMERS, measures: DataFrame | None = None) -> DataFrame:
     """The first ``n`` of :func:`all_customers` (top-k, no full sort)."""
-    return all_customers(prep).limit(n)
+    return all_customers(prep, measures).limit(n)
 
 
-def customer_frequency(prep: DataFrame) -> DataFrame:
+def customer_frequency(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "KUNDENNR", report="customer_frequency")
-    per_customer = _keyed(prep, "KUNDENNR").groupBy("KUNDENNR").agg(F.count(F.lit(1)).alias("n"))
+    if measures is not None:
+        per_customer = measures.groupBy("KUNDENNR").agg(F.sum("n").alias("n"))
+    else:
+        per_customer = _keyed(prep, "KUNDENNR").groupBy("KUNDENNR").agg(F.count(F.lit(1)).alias("n"))
     return (per_customer.groupBy(lb.customer_category(F.col("n")).alias("Category"))
             .agg(F.count("KUNDENNR").alias("Customer_Count"), F.sum("n").cast("long").alias("Total_Orders"))
             .orderBy("Category"))
@@ -368,11 +389,14 @@ def tag_new_customer_orders(prep: DataFrame) -> DataFrame:
             .withColumn("is_new_customer", F.col("Date") == F.col("first_order_date")))
 
 
-def new_vs_returning(prep: DataFrame) -> DataFrame:
+def new_vs_returning(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     """Per day, documents of returning and of new customers."""
     require(prep, "KUNDENNR", "BELEGDAT", report="new_vs_returning")
-    per_day = (_keyed(_keyed(prep, "KUNDENNR"), "Date").groupBy("KUNDENNR", "Date")
-               .agg(F.count(F.lit(1)).alias("n")))
+    if measures is not None:
+        per_day = _keyed(measures, "Date").groupBy("KUNDENNR", "Date").agg(F.sum("n").alias("n"))
+    else:
+        per_day = (_keyed(_keyed(prep, "KUNDENNR"), "Date").groupBy("KUNDENNR", "Date")
+                   .agg(F.count(F.lit(1)).alias("n")))
     first = F.min("Date").over(Window.partitionBy("KUNDENNR"))
     tagged = per_day.withColumn("is_new", F.col("Date") == first)
     return (tagged.groupBy("Date")

@@ -39,10 +39,13 @@ def full_analysis(docs: DataFrame, checkpoint: bool = False) -> dict[str, dict[s
     country x platform, day, week, month, weekday, hour, document type,
     payment method, margin bin) read the documents once: one grouping-sets
     aggregation (``keyed_measure_sets``) whose small result every such report
-    projects. The other reports (KPIs, customers, bins, quantiles, top-k) read
-    the prepared set themselves."""
+    projects. The four customer reports share one (customer, name, day)
+    aggregate. The rest (KPIs, bins, quantiles, top-k orders) read the prepared
+    set themselves."""
     prep = _reuse(prepare(docs), checkpoint)
     keyed = A.keyed_measure_sets(prep)
+    customers = (A.customer_day_measures(prep).persist(StorageLevel.MEMORY_AND_DISK)
+                 if "KUNDENNR" in prep.columns else None)
 
     def k(*keys):
         return keyed.get(tuple(keys))
@@ -62,8 +65,10 @@ def full_analysis(docs: DataFrame, checkpoint: bool = False) -> dict[str, dict[s
                  ("monthly_trend", lambda p: A.monthly_trend(p, k("Month"))),
                  ("day_of_week", lambda p: A.day_of_week(p, k("DayOfWeek"))),
                  ("hourly_pattern", lambda p: A.hourly_pattern(p, k("Hour")))],
-        "customer": [("top_customers", A.top_customers), ("all_customers", A.all_customers),
-                     ("customer_frequency", A.customer_frequency), ("new_vs_returning", A.new_vs_returning)],
+        "customer": [("top_customers", lambda p: A.top_customers(p, measures=customers)),
+                     ("all_customers", lambda p: A.all_customers(p, customers)),
+                     ("customer_frequency", lambda p: A.customer_frequency(p, customers)),
+                     ("new_vs_returning", lambda p: A.new_vs_returning(p, customers))],
         "document_type": [("document_type_summary", lambda p: A.document_type_summary(p, measures=k("BELEGART")))],
         "profitability": [("margin_distribution", lambda p: A.margin_distribution(p, k("margin_category"))),
                           ("platform_profitability", lambda p: A.platform_profitability(p, k("ORIGIN"))),
@@ -80,6 +85,7 @@ def full_analysis(docs: DataFrame, checkpoint: bool = False) -> dict[str, dict[s
         out[family] = got.get("kpis") if family == "kpis" else got
     out["_prep"] = prep
     out["_keyed"] = keyed["_all"]
+    out["_customers"] = customers
     return out
 
 

@@ -108,6 +108,9 @@ def test_grouping_sets_reports_equal_standalone(spark):
         ("profitability", "platform_profitability"): A.platform_profitability,
         ("profitability", "country_profitability"): A.country_profitability,
         ("payment", "payment_summary"): A.payment_summary,
+        ("customer", "all_customers"): A.all_customers, ("customer", "top_customers"): A.top_customers,
+        ("customer", "customer_frequency"): A.customer_frequency,
+        ("customer", "new_vs_returning"): A.new_vs_returning,
     }
     for (family, name), fn in standalone.items():
         got, want = a[family][name], fn(prep)
