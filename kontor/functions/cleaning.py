@@ -74,7 +74,8 @@ def yyyymm(c: Column, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.coalesce(F.date_format(c, "yyyyMM"), F.lit(""))
     s = F.substring(c.cast("string"), 1, 10)
-    return F.coalesce(F.date_format(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")), "yyyyMM"), F.lit(""))
+    # 'M'/'d' take one or two digits, like a %Y-%m-%d parse of the first ten characters
+    return F.coalesce(F.date_format(F.try_to_timestamp(s, F.lit("yyyy-M-d")), "yyyyMM"), F.lit(""))
 
 
 def date_validity(c: Column) -> Column:

@@ -33,9 +33,9 @@ def test_parse_timestamp_per_value(spark):
 
 
 def test_yyyymm(spark):
-    got = [r[0] for r in one_col(spark, ["2025-10-28 10:00", "2025-1", None, "28.10.2025"])
+    got = [r[0] for r in one_col(spark, ["2025-10-28 10:00", "2025-1", None, "28.10.2025", "2025-1-5", "2025-13-01"])
            .select(cl.yyyymm(F.col("v"))).collect()]
-    assert got == ["202510", "", "", ""]
+    assert got == ["202510", "", "", "", "202501", ""]
     d = spark.createDataFrame([(dt.date(2024, 2, 29),), (None,)], "v date")
     assert [r[0] for r in d.select(cl.yyyymm(F.col("v"), d.schema["v"].dataType)).collect()] == ["202402", ""]
 
