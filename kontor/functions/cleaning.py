@@ -13,7 +13,8 @@ from kontor.functions import constants as K
 _NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-WHITESPACE = " \t\n\x0b\f\r"
+# every character Python's str.strip() removes (all of them lie below U+3001)
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def strip_ws(c: Column) -> Column:

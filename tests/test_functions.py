@@ -47,8 +47,9 @@ def test_date_validity(spark):
 
 
 def test_strip_keeps_empty_and_strips_tabs(spark):
-    got = [r[0] for r in one_col(spark, ["\tAmazon ", "", " "]).select(cl.strip_ws(F.col("v"))).collect()]
-    assert got == ["Amazon", "", ""]
+    vals = ["\tAmazon ", "", " ", "\u00a0Ebay\u3000", "\x1cOtto\x85"]
+    got = [r[0] for r in one_col(spark, vals).select(cl.strip_ws(F.col("v"))).collect()]
+    assert got == [v.strip() for v in vals] == ["Amazon", "", "", "Ebay", "Otto"]
 
 
 def test_week_label_sunday_and_monday(spark):
