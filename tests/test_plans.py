@@ -54,3 +54,15 @@ def test_quantiles_do_not_buffer_the_column(spark):
 def test_ordinal_windows_are_bucketed(spark):
     p = plan(AD.shop_export(spark, SF_SMALL))
     assert "__ord_bucket" in p
+
+
+def test_no_python_evaluation_in_any_registered_query(spark):
+    import __spark_entry__ as E
+    python_nodes = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
+                    "FlatMapCoGroupsInPandas", "PythonUDF")
+    offenders = []
+    for name, fn in sorted(E.queries().items()):
+        p = plan(fn(spark, SF_SMALL), "extended")
+        if any(n in p for n in python_nodes):
+            offenders.append(name)
+    assert offenders == []
