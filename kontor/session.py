@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC wall clock (the ledger has naive
@@ -90,7 +91,11 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     Reliable checkpoint into the shared checkpoint folder, so a lost executor
     re-reads the written files instead of recomputing the whole upstream plan."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first, so writing the checkpoint does not compute the plan a second time
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
