@@ -206,6 +206,18 @@ register("kpi_metrics_events", lambda s, d: A.kpi_metrics(prep_events(s, d)),
          _kpi_sql("pe", ["BRUTTO", "ERLOES"], []))
 
 
+# The same report over documents with only some columns adapts its output
+register("kpi_metrics_partial_columns",
+         lambda s, d: A.kpi_metrics(prepare(AD.belege_orders(s, d).select("BELEGNR", "ORIGIN", "BELEGDAT", "BRUTTO"))),
+         with_views(["po"], f"""SELECT {TOTAL('BRUTTO')} AS total_gross_revenue, {MEAN('BRUTTO')} AS avg_order_value_gross,
+CAST(MAX(BRUTTO) AS DOUBLE) AS max_order_gross, CAST(MIN(BRUTTO) AS DOUBLE) AS min_order_gross,
+COUNT(*) AS total_orders, COUNT(DISTINCT ORIGIN) AS platforms,
+MIN(BELEGDAT) AS date_range_start, MAX(BELEGDAT) AS date_range_end,
+CAST(floor((epoch_us(MAX(BELEGDAT)) - epoch_us(MIN(BELEGDAT))) / 86400000000) + 1 AS BIGINT) AS days_span,
+COUNT(*) / GREATEST(CAST(floor((epoch_us(MAX(BELEGDAT)) - epoch_us(MIN(BELEGDAT))) / 86400000000) + 1 AS BIGINT), 1)
+  AS avg_orders_per_day FROM po"""))
+
+
 def _summary_sql(v: str, key: str, measures: list[str], order: str = "") -> str:
     parts = [key]
     if "BRUTTO" in measures:
