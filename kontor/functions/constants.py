@@ -87,10 +87,6 @@ AMOUNT_FIELDS = [
     "variabler_anteil", "gebuehr_hohe_quote", "gebuehr_servicestatus",
     "internationale_gebuehr", "betrag_abzgl",
 ]
-FEE_FIELDS = [
-    "fixer_anteil", "variabler_anteil", "gebuehr_hohe_quote",
-    "gebuehr_servicestatus", "internationale_gebuehr",
-]
 
 # report layout: columns A..R with their header texts, then T (copy of J) and U (J - T)
 REPORT_HEADERS = [

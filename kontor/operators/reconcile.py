@@ -270,6 +270,20 @@ def report_header(summary: DataFrame, preamble_meta: DataFrame) -> DataFrame:
             .select("file_id", "seller", "transactions", "amount"))
 
 
+def header_cells(header: DataFrame) -> DataFrame:
+    """Rows 1-3 of the processed report per file: label in A, value in B
+    (seller, number of transactions, amount)."""
+    seller_l, count_l, amount_l = K.HEADER_LABELS
+
+    def row(no: int, label: str, value: Column) -> Column:
+        return F.struct(F.lit(no).cast("long").alias("row_no"), F.lit(label).alias("A"),
+                        value.cast("string").alias("B"))
+
+    return header.select("file_id", F.inline(F.array(row(1, seller_l, F.col("seller")),
+                                                     row(2, count_l, F.col("transactions")),
+                                                     row(3, amount_l, F.col("amount")))))
+
+
 # --- W5, S2, S3, B26: report lines ----------------------------------------------------------
 
 def _line_cols(section: str, row_no: Column, values: dict[str, Column], types: dict[str, str]) -> list[Column]:

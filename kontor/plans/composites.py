@@ -120,9 +120,11 @@ def reconcile_rows(rows: DataFrame, docs: DataFrame, preamble: DataFrame | None
     summary = R.file_summary(buckets=buckets)
     meta = R.preamble_metadata(preamble) if preamble is not None else \
         summary.select("file_id", F.lit(None).cast("string").alias("seller"), F.lit(None).cast("string").alias("amount"))
+    header = R.report_header(summary, meta)
     return {
         "transactions": tx,
-        "report_header": R.report_header(summary, meta),
+        "report_header": header,
+        "header_cells": R.header_cells(header),
         "report_lines": R.report_lines(tx, summary, buckets, account),
         "other_fee_detail": R.other_fee_detail(tx, buckets, account),
         "processing_summary": R.processing_summary(summary),

@@ -86,3 +86,9 @@ def test_preamble_last_wins(spark):
                               "file_id string, row_idx long, c0 string, c1 string")
     r = R.preamble_metadata(p).collect()[0]
     assert (r.seller, r.amount) == (None, "9")
+
+
+def test_header_cells(spark):
+    h = spark.createDataFrame([("f", "Shop", 3, "1.234,00")], "file_id string, seller string, transactions long, amount string")
+    got = [(r.row_no, r.A, r.B) for r in R.header_cells(h).orderBy("row_no").collect()]
+    assert got == [(1, "Verkäufer", "Shop"), (2, "Transaktionen", "3"), (3, "Betrag", "1.234,00")]
