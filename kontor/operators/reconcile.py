@@ -387,3 +387,18 @@ def output_layout(lines: DataFrame) -> DataFrame:
     """Columns A..R under their report header texts (T, U kept as verification)."""
     return lines.select("file_id", "section", "row_no",
                         *[F.col(x).alias(h) for x, h in K.REPORT_HEADERS], "T", "U")
+
+
+def report_sheet(header_cells_df: DataFrame, lines: DataFrame) -> DataFrame:
+    """The processed report as one sheet per file, all cells as text:
+    rows 1-3 header cells, row 4 the A..R header texts (T, U blank), rows 5..
+    the report lines. Ready for a row-ordered sink."""
+    cols = LETTERS + ["T", "U"]
+    head = header_cells_df.select("file_id", "row_no", "A", "B",
+                                  *[F.lit(None).cast("string").alias(c) for c in cols if c not in ("A", "B")])
+    titles = dict(K.REPORT_HEADERS)
+    files = lines.select("file_id").distinct()
+    row4 = files.select("file_id", F.lit(4).cast("long").alias("row_no"),
+                        *[F.lit(titles.get(c)).cast("string").alias(c) for c in cols])
+    body = lines.select("file_id", "row_no", *[F.col(c).cast("string").alias(c) for c in cols])
+    return head.select("file_id", "row_no", *cols).unionByName(row4).unionByName(body)

@@ -121,11 +121,13 @@ def reconcile_rows(rows: DataFrame, docs: DataFrame, preamble: DataFrame | None
     meta = R.preamble_metadata(preamble) if preamble is not None else \
         summary.select("file_id", F.lit(None).cast("string").alias("seller"), F.lit(None).cast("string").alias("amount"))
     header = R.report_header(summary, meta)
+    lines = R.report_lines(tx, summary, buckets, account)
     return {
         "transactions": tx,
         "report_header": header,
         "header_cells": R.header_cells(header),
-        "report_lines": R.report_lines(tx, summary, buckets, account),
+        "report_lines": lines,
+        "report_sheet": R.report_sheet(R.header_cells(header), lines),
         "other_fee_detail": R.other_fee_detail(tx, buckets, account),
         "processing_summary": R.processing_summary(summary),
         "lookup_coverage": R.lookup_coverage(tx, docs),

@@ -1,6 +1,7 @@
 """Reconciliation semantics on micro frames."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from kontor.operators import reconcile as R
 
@@ -92,3 +93,16 @@ def test_header_cells(spark):
     h = spark.createDataFrame([("f", "Shop", 3, "1.234,00")], "file_id string, seller string, transactions long, amount string")
     got = [(r.row_no, r.A, r.B) for r in R.header_cells(h).orderBy("row_no").collect()]
     assert got == [(1, "Verkäufer", "Shop"), (2, "Transaktionen", "3"), (3, "Betrag", "1.234,00")]
+
+
+def test_report_sheet_layout(spark):
+    tx = R.normalize_transactions(rows(spark))
+    summary = R.file_summary(tx)
+    header = R.report_header(summary, summary.select("file_id", F.lit("Shop").alias("seller"),
+                                                      F.lit("9").alias("amount")))
+    sheet = R.report_sheet(R.header_cells(header), R.report_lines(tx, summary)).filter("file_id = 'f'")
+    got = {r.row_no: r for r in sheet.collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert (got[1].A, got[1].B, got[2].B) == ("Verkäufer", "Shop", "4")
+    assert got[4].A == "Datum der Transaktionserstellung" and got[4].R == "Auszahlungsdatum" and got[4].T is None
+    assert got[7].F == "Gebuehr" and got[9].J is not None
