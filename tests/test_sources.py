@@ -152,3 +152,16 @@ def test_sinks_filters_preview_stats(spark, tmp_dir):
     S.write_report(spark.createDataFrame([("f", 5, 1.0)], "file_id string, row_no long, J double"),
                    os.path.join(tmp_dir, "report"))
     assert os.path.isdir(os.path.join(tmp_dir, "report", "file_id=f"))
+
+
+def test_report_sheet_written_in_row_order(spark, tmp_dir):
+    root = write_exports(tmp_dir, {"a.csv": (3, False)})
+    docs = spark.createDataFrame([("100", "K1", "R1", 1)], "ORDER_ID string, KUNDENNR string, BELEGNR string, api_row long")
+    out = P.reconcile_exports(spark, root, docs)
+    path = os.path.join(tmp_dir, "sheets")
+    S.write_report(out["report_sheet"], path)
+    text = "".join(open(os.path.join(dp, f), encoding="utf-8").read()
+                   for dp, _, fs in sorted(os.walk(path)) for f in sorted(fs) if f.endswith(".csv"))
+    rows = [line.split(";") for line in text.splitlines() if not line.startswith("row_no")]
+    assert [r[0] for r in rows] == ["1", "2", "3", "4", "5", "6", "7", "8", "9"]
+    assert rows[0][1:3] == ["Verkäufer", "Shop GmbH"] and rows[3][1] == "Datum der Transaktionserstellung"
