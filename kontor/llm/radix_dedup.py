@@ -37,8 +37,8 @@ LEVELS = (64, 8, 1)
 U = np.uint64
 
 
-def _chunks(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, bounds, row, byte position in the row) of groups of at most about CHUNK
+def _chunks(data: np.ndarray, offsets: np.ndarray, width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, bounds, row, byte position in the row) of groups of at most about ``most``
     window starts. A text longer than that is cut with ``width - 1`` bytes of overlap,
     so that every window start lies in exactly one chunk."""
     part: list[tuple[int, int, int]] = []
@@ -50,9 +50,9 @@ def _chunks(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple
                 np.array([r for r, _, _ in part]), np.array([s - offsets[r] for r, s, _ in part]))
 
     for r in np.flatnonzero(np.diff(offsets) >= width):
-        for s in range(offsets[r], offsets[r + 1] - width + 1, CHUNK):
-            e = min(s + CHUNK + width - 1, offsets[r + 1])
-            if part and size + e - s > CHUNK + width:
+        for s in range(offsets[r], offsets[r + 1] - width + 1, most):
+            e = min(s + most + width - 1, offsets[r + 1])
+            if part and size + e - s > most + width:
                 yield flush()
                 part, size = [], 0
             part.append((r, s, e))
@@ -89,10 +89,10 @@ def _runs(data: np.ndarray, bounds: np.ndarray, width: int, kmer: int):
     return rh, h, anchor[first], first, last, np.searchsorted(bounds, first, side="right") - 1
 
 
-def _anchor_keys(width: int, kmer: int):
+def _anchor_keys(width: int, kmer: int, most: int):
     def run(batches):
         for batch in batches:
-            for data, bounds, _, _ in _chunks(*K.buffer_of(batch.column(1)), width):
+            for data, bounds, _, _ in _chunks(*K.buffer_of(batch.column(1)), width, most):
                 _, h, anchor, _, _, _ = _runs(data, bounds, width, kmer)
                 yield pa.RecordBatch.from_arrays([pa.array(h[anchor].view(np.int64))], names=["anchor"])
     return run
@@ -103,14 +103,14 @@ def _block_key(row_key: np.ndarray, anchor_at: np.ndarray, block: np.ndarray, si
                  + block.astype(np.uint64) * U(256) + U(size))
 
 
-def _blocks(width: int, kmer: int, size: int, parent: int, bits: np.ndarray):
+def _blocks(width: int, kmer: int, most: int, size: int, parent: int, bits: np.ndarray):
     """Rows of one digit: blocks of ``size`` suffixes of the surviving parents."""
     names = ["core", "cover", "row_key", "start", "n", "block_key"]
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy().view(np.uint64)
-            for data, bounds, row, base in _chunks(*K.buffer_of(batch.column(1)), width):
+            for data, bounds, row, base in _chunks(*K.buffer_of(batch.column(1)), width, most):
                 rh, h, anchor, first, last, chunk = _runs(data, bounds, width, kmer)
                 key = ids[row[chunk]]
                 at = anchor - bounds[chunk] + base[chunk]       # of the anchor, in the row
@@ -144,17 +144,18 @@ def _blocks(width: int, kmer: int, size: int, parent: int, bits: np.ndarray):
 _BLOCKS = "core long, cover long, row_key long, start long, n int, block_key long"
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, bits: int = BITMAP_BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, bits: int = BITMAP_BITS,
+                     chunk: int = CHUNK) -> DataFrame:
     """(row_key, start, n): runs of window starts whose ``width`` bytes occur elsewhere too.
 
     ``docs`` has row_key (long, not NULL; equal keys mean equal rows) and text (not NULL)."""
     kmer = min(kmer, width)
     source = docs.select("row_key", "text")
-    anchors = (source.mapInArrow(_anchor_keys(width, kmer), "anchor long")
+    anchors = (source.mapInArrow(_anchor_keys(width, kmer, chunk), "anchor long")
                .groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
     alive, parent, found = bitmap(anchors, "anchor", bits), 0, None
     for size in (s for s in LEVELS if s == 1 or 2 * s <= width):   # a core must not be empty
-        rows = landed(source.mapInArrow(_blocks(width, kmer, size, parent, alive), _BLOCKS))
+        rows = landed(source.mapInArrow(_blocks(width, kmer, chunk, size, parent, alive), _BLOCKS))
         classes = landed(rows.groupBy("core", "cover").agg(F.count("*").alias("times"), F.min("block_key").alias("block_key")))
         equal = (rows.join(classes.filter("times > 1").select("core", "cover"), ["core", "cover"], "left_semi")
                  .select("row_key", "start", "n"))
@@ -191,7 +192,8 @@ def _cut(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, bits: int = BITMAP_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, bits: int = BITMAP_BITS,
+                   chunk: int = CHUNK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (the bytes
     that stay, binary), kept_sha256.
 
@@ -202,7 +204,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, bits:
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = id_and_text(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    spans = landed(repeated_windows(base, width, kmer, bits).groupBy("row_key")
+    spans = landed(repeated_windows(base, width, kmer, bits, chunk).groupBy("row_key")
                    .agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts")))
     hit = bitmap(spans, "row_key", bits)
 

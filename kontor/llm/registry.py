@@ -6,20 +6,77 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kontor.llm import radix_dedup
+from kontor.llm import exact, mixing, radix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # the contract asks for the digest of every text; the grouping does not use it
+    digest = F.sha2(exact.normalised(F.col("text")).cast("binary"), 256)
+    return (exact.groups(docs, carry={"text_sha256": digest})
+            .select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op10_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_mix": op7_mix,
     "op10_radix_dedup": op10_radix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP5_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size,
+                  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER g = 1 AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY text_sha256 ORDER BY size DESC, doc_id NULLS LAST)
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
+      FROM d GROUP BY source),
+-- the sources that a cap has stopped, round by round
+fill AS (
+  SELECT 0 AS round, source, source_size, w, false AS capped FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, w,
+         capped OR w * level > 3.0 * source_size
+  FROM (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(3.0 * source_size) FILTER (capped) OVER (), 0.0))
+               / nullif(sum(w) FILTER (NOT capped) OVER (), 0) AS level FROM fill)
+  WHERE round < (SELECT count(*) FROM s)),
+done AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(3.0 * source_size) FILTER (capped) OVER (), 0.0))
+               / nullif(sum(w) FILTER (NOT capped) OVER (), 0) AS level FROM fill WHERE round = (SELECT count(*) FROM s)),
+goal AS (SELECT source, source_size, CAST(CASE WHEN capped THEN 3.0 * source_size ELSE w * level END AS DOUBLE) AS target FROM done),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS rounds FROM goal),
+run AS (SELECT d.*, p.source_size, p.target, p.rounds, p.target - p.rounds * p.source_size AS budget,
+               sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS upto,
+               sum(d.size) OVER (PARTITION BY d.source, d.h) AS own
+        FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+-- hashes in order while they fit, and the first that does not if it comes nearer
+cut AS (SELECT source, min(h) FILTER (upto > budget) AS edge FROM run GROUP BY source)
+SELECT doc_id, run.source, size, source_size, target,
+       CAST(size * (rounds + CASE WHEN edge IS NULL OR h < edge OR (h = edge AND upto - budget < budget - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM run JOIN cut ON run.source IS NOT DISTINCT FROM cut.source
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": OP5_SQL,
+    "op7_mix": OP7_SQL,
+}

@@ -45,15 +45,13 @@ def test_against_every_window(spark, width):
     assert got == brute(rows, width)
 
 
-def test_production_width_long_text_cut_in_chunks(spark, monkeypatch):
-    from kontor.llm import radix_dedup
-    monkeypatch.setattr(radix_dedup, "CHUNK", 700)      # reaches the tasks: the closure carries the module's function
+def test_production_width_long_text_cut_in_chunks(spark):
     rnd = random.Random(3)
     a = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
     b = "".join(rnd.choice("abcdefgh ") for _ in range(2500))
     rows = [(1, a + b), (2, b[:450] + "#" + a[1000:1399] + "#" + a[500:900]), (3, a[2700:] + b[:500]), (4, b[:399])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect())
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, chunk=700).collect())
     assert got == brute(rows, 400)
 
 
