@@ -8,7 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kontor.llm import exact, mixing, ordinal_quality, radix_dedup, superminhash, toxicity
+from kontor.llm import (
+    exact,
+    license_index,
+    mixing,
+    ordinal_quality,
+    radix_dedup,
+    secret_cnn,
+    superminhash,
+    tiling,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +36,10 @@ def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.quality(table(spark, sf_dir, "documents"), labels)
 
 
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # the contract asks for the digest of every text; the grouping does not use it
@@ -42,6 +56,14 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op8_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_cnn.digest(secret_cnn.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op10_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -49,9 +71,12 @@ def op10_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_ordinal_quality": op3_ordinal_quality,
+    "op4_string_tiling": op4_string_tiling,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_superminhash": op6_superminhash,
     "op7_mix": op7_mix,
+    "op8_license_index": op8_license_index,
+    "op9_secret_cnn": op9_secret_cnn,
     "op10_radix_dedup": op10_radix_dedup,
 }
 
