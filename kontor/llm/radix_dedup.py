@@ -7,8 +7,8 @@ groups with two or more members go on, so the array is never built:
 * digit 1: the 32-byte anchor that a window of WIDTH bytes selects by content
   (the smallest k-mer hash in it, leftmost). Neighbouring suffixes select the same
   anchor, so one row stands for a run of about 180 suffixes.
-* digits 2..: the suffixes of a run in blocks of 64, 8 and 1 by their distance
-  to the anchor. The bytes common to all windows of a block (``core``) are the next
+* digits 2..: the suffixes of a run as one block, then in blocks of 64, 8 and 1 by
+  their distance to the anchor. The bytes common to all windows of a block (``core``) are the next
   digit, the bytes that the block covers (``cover``) the one after it. A core met
   once is dropped; equal covers are groups of equal windows, all found at once;
   what has a common core but different covers is split into smaller blocks. At
@@ -33,7 +33,7 @@ from kontor.llm import textkit as K
 from kontor.llm.frames import BITMAP_BITS, bitmap, id_and_text, in_bitmap, landed, small_batches
 
 WIDTH, KMER, CHUNK = 400, 32, 1 << 20
-LEVELS = (64, 8, 1)
+LEVELS = (0, 64, 8, 1)          # suffixes in a block of each digit; 0: a whole run
 U = np.uint64
 
 
@@ -103,9 +103,13 @@ def _block_key(row_key: np.ndarray, anchor_at: np.ndarray, block: np.ndarray, si
                  + block.astype(np.uint64) * U(256) + U(size))
 
 
-def _blocks(width: int, kmer: int, most: int, size: int, parent: int, bits: np.ndarray):
-    """Rows of one digit: blocks of ``size`` suffixes of the surviving parents."""
-    names = ["core", "cover", "row_key", "start", "n", "block_key"]
+def _blocks(width: int, kmer: int, most: int, size: int, alive: list[tuple[int | None, np.ndarray]]):
+    """Rows of one digit: blocks of ``size`` suffixes (0: a whole run) whose ancestors have all
+    survived. ``alive``: the bitmap of each earlier digit (None: anchors), coarsest first; testing
+    all of them keeps false hits from adding up.
+
+    ``place`` is the first suffix and the number of suffixes, in one number."""
+    names = ["core", "cover", "row_key", "place", "block_key"]
 
     def run(batches):
         for batch in batches:
@@ -114,57 +118,74 @@ def _blocks(width: int, kmer: int, most: int, size: int, parent: int, bits: np.n
                 rh, h, anchor, first, last, chunk = _runs(data, bounds, width, kmer)
                 key = ids[row[chunk]]
                 at = anchor - bounds[chunk] + base[chunk]       # of the anchor, in the row
-                if not parent:
-                    keep = in_bitmap(bits, h[anchor])
+                for parent, bits in alive[:2]:                  # anchors, whole runs
+                    own = h[anchor] if parent is None else _block_key(key, at, np.zeros_like(at), 0)
+                    keep = in_bitmap(bits, own)
                     anchor, first, last, chunk, key, at = (x[keep] for x in (anchor, first, last, chunk, key, at))
-                    if not len(first):
-                        continue
+                if not len(first):
+                    continue
                 near, far = anchor - last, anchor - first        # distances to the anchor
-                blocks = far // size - near // size + 1
-                run_of = np.repeat(np.arange(len(first)), blocks)
-                j = np.arange(len(run_of)) - np.repeat(np.cumsum(blocks) - blocks, blocks) + (near // size)[run_of]
-                if parent:
+                if size:
+                    blocks = far // size - near // size + 1
+                    run_of = np.repeat(np.arange(len(first)), blocks)
+                    j = np.arange(len(run_of)) - np.repeat(np.cumsum(blocks) - blocks, blocks) + (near // size)[run_of]
+                else:
+                    run_of, j = np.arange(len(first)), np.zeros(len(first), np.int64)
+                for parent, bits in alive[2:]:
                     keep = in_bitmap(bits, _block_key(key[run_of], at[run_of], j * size // parent, parent))
                     run_of, j = run_of[keep], j[keep]
-                    if not len(j):
-                        continue
-                a = anchor[run_of]
-                lo, hi = np.maximum(j * size, near[run_of]), np.minimum(j * size + size - 1, far[run_of])
-                core = rh(a - j * size, a - j * size - size + 1 + width)
-                core = K.mix(core + (j * 256 + size).astype(np.uint64))
+                if not len(j):
+                    continue
+                a, lo, hi = anchor[run_of], near[run_of], far[run_of]
+                if size:
+                    lo, hi = np.maximum(j * size, lo), np.minimum(j * size + size - 1, hi)
+                    core = rh(a - j * size, a - j * size - size + 1 + width)
+                    core = K.mix(core + (j * 256 + size).astype(np.uint64))
+                else:
+                    core = h[a]
                 cover = K.mix(rh(a - hi, a - lo + width) + (lo * 1024 + hi).astype(np.uint64))
                 start = a - hi - bounds[chunk[run_of]] + base[chunk[run_of]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(core.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(key[run_of].view(np.int64)),
-                     pa.array(start.astype(np.int64)), pa.array((hi - lo + 1).astype(np.int32)),
-                     pa.array(_block_key(key[run_of], at[run_of], j, size).view(np.int64))], names=names)
+                out = (core, cover, key[run_of], start * 1024 + (hi - lo + 1), _block_key(key[run_of], at[run_of], j, size))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in out], names=names)
     return run
 
 
-_BLOCKS = "core long, cover long, row_key long, start long, n int, block_key long"
+_BLOCKS = "core long, cover long, row_key long, place long, block_key long"
+
+
+def _only(bits: np.ndarray, column: int):
+    def run(batches):
+        for batch in batches:
+            keep = in_bitmap(bits, batch.column(column).to_numpy().view(np.uint64))
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+    return run
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, bits: int = BITMAP_BITS,
                      chunk: int = CHUNK) -> DataFrame:
-    """(row_key, start, n): runs of window starts whose ``width`` bytes occur elsewhere too.
+    """(row_key, place): runs of window starts whose ``width`` bytes occur elsewhere too;
+    place = start * 1024 + number of starts.
 
     ``docs`` has row_key (long, not NULL; equal keys mean equal rows) and text (not NULL)."""
     kmer = min(kmer, width)
     source = docs.select("row_key", "text")
     anchors = (source.mapInArrow(_anchor_keys(width, kmer, chunk), "anchor long")
                .groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
-    alive, parent, found = bitmap(anchors, "anchor", bits), 0, None
-    for size in (s for s in LEVELS if s == 1 or 2 * s <= width):   # a core must not be empty
-        rows = landed(source.mapInArrow(_blocks(width, kmer, chunk, size, parent, alive), _BLOCKS))
+    alive: list[tuple[int | None, np.ndarray]] = [(None, bitmap(anchors, "anchor", bits))]
+    found = None
+    for size in (s for s in LEVELS if s < 2 or 2 * s <= width):   # a core must not be empty
+        rows = landed(source.mapInArrow(_blocks(width, kmer, chunk, size, alive), _BLOCKS))
         classes = landed(rows.groupBy("core", "cover").agg(F.count("*").alias("times"), F.min("block_key").alias("block_key")))
-        equal = (rows.join(classes.filter("times > 1").select("core", "cover"), ["core", "cover"], "left_semi")
-                 .select("row_key", "start", "n"))
+        times = classes.filter("times > 1").select("cover")
+        repeated = bitmap(times, "cover", bits)
+        places = rows.select("cover", "row_key", "place")
+        equal = (places.mapInArrow(_only(repeated, 0), places.schema).join(times, "cover", "left_semi").select("row_key", "place"))
         found = equal if found is None else found.unionByName(equal)
         if size == 1:
             return found
         mixed = classes.groupBy("core").agg(F.count("*").alias("covers")).filter("covers > 1").select("core")
-        alive = bitmap(classes.join(mixed, "core", "left_semi"), "block_key", bits)
-        parent = size
+        alive = [*alive, (size, bitmap(classes.join(mixed, "core", "left_semi"), "block_key", bits))]
     return found
 
 
@@ -172,13 +193,13 @@ def _cut(width: int):
     def run(batches):
         for batch in batches:
             data, offsets = K.buffer_of(batch.column(1))
-            starts, counts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            places = batch.column(2).to_pylist()
             out = []
-            for i, (at, n) in enumerate(zip(starts, counts, strict=True)):
+            for i, place in enumerate(places):
                 own = data[offsets[i]: offsets[i + 1]]
                 delta = np.zeros(len(own) + 1, np.int64)
-                if at:
-                    at, n = np.array(at), np.array(n)
+                if place:
+                    at, n = np.divmod(np.array(place), 1024)
                     np.add.at(delta, at, 1)
                     np.add.at(delta, np.minimum(at + n - 1 + width, len(own)), -1)
                 gone = np.cumsum(delta[:-1]) > 0
@@ -205,7 +226,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, bits:
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = id_and_text(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
     spans = landed(repeated_windows(base, width, kmer, bits, chunk).groupBy("row_key")
-                   .agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts")))
+                   .agg(F.collect_list("place").alias("places")))
     hit = bitmap(spans, "row_key", bits)
 
     def maybe(batches):                       # rows whose key is in the bitmap: few besides those with spans
@@ -221,7 +242,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, bits:
                 yield batch.filter(pa.array(~keep))
 
     touched = (base.mapInArrow(maybe, base.schema).join(spans, "row_key", "left")
-               .select("doc_id", "text", "starts", "counts")
+               .select("doc_id", "text", "places")
                .mapInArrow(_cut(width), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))
     whole = base.mapInArrow(never, base.schema).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
