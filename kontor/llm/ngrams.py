@@ -12,11 +12,13 @@ BUCKET_BITS = 18
 SIZES = (3, 4, 5)
 U = np.uint64
 _LOWER = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i in range(0x500)], np.uint32)
+_LOWER[48:58] = 48                       # a digit is a digit
 _LETTER = np.array([i >= 128 or chr(i).isalnum() for i in range(0x500)])
 
 
 class Words:
-    """Words of rows of text: lower-cased runs of letters and digits (all of them beyond ASCII)."""
+    """Words of rows of text: lower-cased runs of letters and digits (all of them beyond ASCII).
+    All digits count as the same, so that numbers are not remembered one by one."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         rows = len(offsets) - 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kontor.llm import (
     exact,
+    hpy_lm,
     license_index,
     mixing,
     ordinal_quality,
@@ -29,6 +30,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy_lm.corpus_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 poor, 1 good but toxic, 2 good. score: at least 1."""
     grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 2)
@@ -70,6 +75,7 @@ def op10_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_ordinal_quality": op3_ordinal_quality,
     "op4_string_tiling": op4_string_tiling,
     "op5_exact_dedup": op5_exact_dedup,

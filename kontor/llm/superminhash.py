@@ -223,3 +223,11 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, slo
     rows = (some.join(first, "component").select("doc_id", "n_shingles", "component_id")
             .unionByName(placed.filter("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_first(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` without the rows that :func:`near_duplicates` does not keep. All columns stay.
+
+    Rows are told apart by doc_id; rows with NULL ids go if a row with an id is near them."""
+    gone = landed(near_duplicates(docs, **how).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")

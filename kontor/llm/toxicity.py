@@ -1,8 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly.
 
 A word is the average of the embeddings of its character n-grams (hashed, with word
-borders), a passage of four words the average of its words, and a linear softmax over the
-average gives the passage's logit. Misspelt and unseen words share n-grams with the
+borders), a passage the average of its words, and a linear softmax over the average gives
+the passage's logit; training begins with passages of four words and ends with single ones,
+so that several slightly suspicious words do not count like one insult. Misspelt and unseen words share n-grams with the
 words they come from. A document's logit pools its passages by attention (softmax of
 their logits), so one insult in a long text is not averaged away. Embeddings, softmax and
 attention are trained together by gradient descent in numpy.
@@ -25,13 +26,15 @@ from kontor.llm.frames import fold, small_batches
 from kontor.llm.labelled import sample
 from kontor.llm.ngrams import BUCKET_BITS, Words
 
-PASSAGE = 4
+#: (words in a passage, epochs) of the stages of training; scoring uses the last
+STAGES = ((4, 60), (1, 60))
 
 
 @dataclass
 class Model:
     weight: np.ndarray      # logit of each n-gram bucket
     bias: float
+    passage: int = 1        # words in a passage
 
 
 def _mean(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -39,12 +42,12 @@ def _mean(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, edges[:-1], axis=0) / np.diff(edges)[:, None].astype(np.float32)
 
 
-def _passages(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(passage of each word, row of each passage)."""
-    base = np.concatenate((np.zeros(1, np.int64), np.cumsum(-(-words.per_row // PASSAGE))))
+def _passages(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(passage of each word, row of each passage) of passages of ``size`` words."""
+    base = np.concatenate((np.zeros(1, np.int64), np.cumsum(-(-words.per_row // size))))
     first = np.concatenate((np.zeros(1, np.int64), np.cumsum(words.per_row)))
     inside = np.arange(words.count) - first[words.row]
-    return base[words.row] + inside // PASSAGE, np.repeat(np.arange(len(words.per_row)), np.diff(base))
+    return base[words.row] + inside // size, np.repeat(np.arange(len(words.per_row)), np.diff(base))
 
 
 def _pool(z: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,15 +59,36 @@ def _pool(z: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.nda
     return np.bincount(row, a * z, rows), a
 
 
-def train(examples: list[tuple[str, int]], prior: float, dim: int = 4, epochs: int = 100, rate: float = 0.15, seed: int = 1) -> Model:
-    """Fit on (text, 0/1); ``prior``: share of ones among all labels."""
+def train(examples: list[tuple[str, int]], prior: float, dim: int = 4, stages: tuple[tuple[int, int], ...] = STAGES, rate: float = 0.15, seed: int = 1) -> Model:
+    """Fit on (text, 0/1); ``prior``: share of ones among all labels. Every fifth example is kept
+    back, and the logit is shifted so that the cut between the classes there is 0."""
     examples = [x for x in examples if x[0].strip()]
+    model = _fit([x for i, x in enumerate(examples) if i % 5], dim, stages, rate, seed)
+    kept = examples[::5]
+    y = np.array([t for _, t in kept], np.float64)
+    if not model.weight.any() or len(set(y.tolist())) < 2:
+        return model
+    raw = [t.encode() for t, _ in kept]
+    z = np.concatenate([logits(model, *_buffer(raw[i: i + 200])) for i in range(0, len(raw), 200)])
+    # of all cuts the one with the smallest error, weighted by the prior; the middle of its gap
+    order = np.argsort(z)
+    z, y = z[order], y[order]
+    share = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())) / len(y)
+    wrong = np.concatenate(([0.0], np.cumsum(np.where(y == 1, share, 0)))) + np.concatenate((np.cumsum(np.where(y == 0, share, 0)[::-1])[::-1], [0.0]))
+    best = int(np.argmin(wrong[1:-1])) + 1
+    low = max(z[best - 1], -1e3)
+    return Model(model.weight, model.bias - float((low + z[best]) / 2), model.passage)
+
+
+def _buffer(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def _fit(examples: list[tuple[str, int]], dim: int, stages: tuple[tuple[int, int], ...], rate: float, seed: int) -> Model:
     y = np.array([t for _, t in examples], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), 30.0 if len(y) and y[0] == 1 else -30.0)
-    raw = [t.encode() for t, _ in examples]
-    words = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    passage, row = _passages(words)
+    words = Words(*_buffer([t.encode() for t, _ in examples]))
     _, example, kind = np.unique(words.identity(), return_index=True, return_inverse=True)
     is_example = np.zeros(words.count, bool)
     is_example[example] = True
@@ -75,15 +99,17 @@ def train(examples: list[tuple[str, int]], prior: float, dim: int = 4, epochs: i
     used, bucket = np.unique(bucket, return_inverse=True)
     types = len(example)
     type_edges = np.searchsorted(of, np.arange(types + 1))
-    passages = len(row)
-    passage_edges = np.searchsorted(passage, np.arange(passages + 1))
     per_type = 1.0 / np.diff(type_edges)
-    per_passage = 1.0 / np.diff(passage_edges)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (len(used), dim)).astype(np.float32), rng.normal(0, 1, dim).astype(np.float32), np.zeros(1, np.float32)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    for step in range(1, epochs + 1):
+    sizes = [size for size, epochs in stages for _ in range(epochs)]
+    for step, size in enumerate(sizes, 1):
+        if step == 1 or size != sizes[step - 2]:
+            passage, row = _passages(words, size)
+            passage_edges = np.searchsorted(passage, np.arange(len(row) + 1))
+            per_passage = 1.0 / np.diff(passage_edges)
         emb, w, b = params
         t = _mean(emb[bucket], type_edges)
         p = _mean(t[kind], passage_edges)
@@ -103,28 +129,30 @@ def train(examples: list[tuple[str, int]], prior: float, dim: int = 4, epochs: i
     emb, w, b = params
     weight = np.zeros(1 << BUCKET_BITS, np.float32)
     weight[used] = 20.0 * (emb @ w)
-    odds = np.log(max(prior, 1e-4) / max(1 - prior, 1e-4))
-    return Model(weight, float(b[0] + min(0.0, odds)))
+    return Model(weight, float(b[0]), sizes[-1])
 
 
-def score_buffer(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Probability of toxicity of each row; a text without words has no evidence: 0."""
+def logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Pooled logit of each row; a text without words has no evidence: -inf."""
     rows = len(offsets) - 1
     words = Words(data, offsets)
     if not words.count:
-        return np.zeros(rows)
+        return np.full(rows, -np.inf)
     total, number = np.zeros(words.count), np.zeros(words.count)
     for bucket, word in words.grams():
         total += np.bincount(word, model.weight[bucket], words.count)
         number += np.bincount(word, minlength=words.count)
-    passage, row = _passages(words)
-    n = np.bincount(passage)
-    z = np.bincount(passage, total / number) / n + model.bias
-    doc, _ = _pool(z, row, rows)
-    return np.where(words.per_row > 0, 1 / (1 + np.exp(-np.clip(doc, -50, 50))), 0.0)
+    passage, row = _passages(words, model.passage)
+    z = np.bincount(passage, total / number) / np.bincount(passage) + model.bias
+    return np.where(words.per_row > 0, _pool(z, row, rows)[0], -np.inf)
+
+
+def score_buffer(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Probability of toxicity of each row; a text without words: 0."""
+    return 1 / (1 + np.exp(-np.clip(logits(model, data, offsets), -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500, max_chars: int = 20_000, held_out: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, max_chars: int = 20_000, held_out: int = 5) -> Model:
     examples = sample(docs, labels, "toxic", held_out, rows_per_class, max_chars)
     got = labels.filter(fold("doc_id", held_out) != 0).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     return train(examples, 0.0 if got is None else got)
