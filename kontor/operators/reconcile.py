@@ -174,6 +174,14 @@ def file_summary(tx: DataFrame | None = None, buckets: DataFrame | None = None)
             .drop("_first_other"))
 
 
+def for_all_files(summary: DataFrame, files: DataFrame) -> DataFrame:
+    """The summary with a row for every export of ``files`` (file_id): an export without a
+    transaction has counts of 0, no dates and no sums (reported as 0)."""
+    return (files.join(summary, "file_id", "left")
+            .withColumn("regular_count", F.coalesce("regular_count", F.lit(0)))
+            .withColumn("other_fee_count", F.coalesce("other_fee_count", F.lit(0))))
+
+
 def _offsets(buckets: DataFrame, count_col: str) -> DataFrame:
     """Rows of ``count_col`` kind in earlier buckets of the same file."""
     before = Window.partitionBy("file_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -389,15 +397,16 @@ def output_layout(lines: DataFrame) -> DataFrame:
                         *[F.col(x).alias(h) for x, h in K.REPORT_HEADERS], "T", "U")
 
 
-def report_sheet(header_cells_df: DataFrame, lines: DataFrame) -> DataFrame:
+def report_sheet(header_cells_df: DataFrame, lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """The processed report as one sheet per file, all cells as text:
     rows 1-3 header cells, row 4 the A..R header texts (T, U blank), rows 5..
-    the report lines. Ready for a row-ordered sink."""
+    the report lines. Ready for a row-ordered sink. ``files`` (one row per file_id, such as the
+    file summary) saves looking for the files in the lines."""
     cols = LETTERS + ["T", "U"]
     head = header_cells_df.select("file_id", "row_no", "A", "B",
                                   *[F.lit(None).cast("string").alias(c) for c in cols if c not in ("A", "B")])
     titles = dict(K.REPORT_HEADERS)
-    files = lines.select("file_id").distinct()
+    files = files.select("file_id") if files is not None else lines.select("file_id").distinct()
     row4 = files.select("file_id", F.lit(4).cast("long").alias("row_no"),
                         *[F.lit(titles.get(c)).cast("string").alias(c) for c in cols])
     body = lines.select("file_id", "row_no", *[F.col(c).cast("string").alias(c) for c in cols])

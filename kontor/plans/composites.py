@@ -112,12 +112,17 @@ def dashboard_frames(docs: DataFrame, checkpoint: bool = False) -> dict[str, Dat
 
 
 def reconcile_rows(rows: DataFrame, docs: DataFrame, preamble: DataFrame | None = None,
-                   checkpoint: bool = False, account: str = K.FEE_ACCOUNT) -> dict[str, DataFrame]:
+                   checkpoint: bool = False, account: str = K.FEE_ACCOUNT, files: DataFrame | None = None) -> dict[str, DataFrame]:
     """Reconcile raw export rows against documents: report header, report lines,
-    other-fee detail and the per-file processing summary."""
+    other-fee detail and the per-file processing summary.
+
+    ``files`` (file_id) names the exports; those without a transaction get their report too,
+    with sums of 0. Without it the exports are those of the rows."""
     tx = _reuse(R.attach_lookups(R.normalize_transactions(rows), docs), checkpoint)
     buckets = R.bucket_summary(tx)          # one aggregation feeds summaries and row numbering
     summary = R.file_summary(buckets=buckets)
+    if files is not None:
+        summary = R.for_all_files(summary, files)
     meta = R.preamble_metadata(preamble) if preamble is not None else \
         summary.select("file_id", F.lit(None).cast("string").alias("seller"), F.lit(None).cast("string").alias("amount"))
     header = R.report_header(summary, meta)
@@ -127,28 +132,26 @@ def reconcile_rows(rows: DataFrame, docs: DataFrame, preamble: DataFrame | None
         "report_header": header,
         "header_cells": R.header_cells(header),
         "report_lines": lines,
-        "report_sheet": R.report_sheet(R.header_cells(header), lines),
+        "report_sheet": R.report_sheet(R.header_cells(header), lines, summary),
         "other_fee_detail": R.other_fee_detail(tx, buckets, account),
         "processing_summary": R.processing_summary(summary),
         "lookup_coverage": R.lookup_coverage(tx, docs),
     }
 
 
-def _export_rows(spark: SparkSession, path: str, discover: bool, export_column: str | None):
-    rows, pre, headers, rejected = G.read_exports(spark, path, discover=discover, export_column=export_column)
-    data = (rows.join(F.broadcast(headers), "file_id")
-            .withColumn("row_idx", F.col("row_idx") - F.col("header_row")).drop("header_row"))
-    return data, pre, rejected
+def _export_rows(spark: SparkSession, path: str, discover: bool, export_column: str | None) -> tuple[DataFrame, G.Exports]:
+    e = G.read_exports(spark, path, discover=discover, export_column=export_column)
+    return (e.rows.join(e.headers, "file_id")
+            .withColumn("row_idx", F.col("row_idx") - F.col("header_row")).drop("header_row")), e
 
 
 def reconcile_exports(spark: SparkSession, path: str, docs: DataFrame, export_column: str | None = None,
                       discover: bool = True, checkpoint: bool = False,
                       account: str = K.FEE_ACCOUNT) -> dict[str, DataFrame]:
     """A folder of export files -> per-file reports (plus rejected files)."""
-    rows, pre, rejected = _export_rows(spark, path, discover, export_column)
-    out = reconcile_rows(rows, docs, pre, checkpoint, account)
-    out["rejected"] = rejected
-    return out
+    rows, e = _export_rows(spark, path, discover, export_column)
+    out = reconcile_rows(rows, docs, e.preamble, checkpoint, account, e.headers.select("file_id"))
+    return out | {"rejected": e.rejected, "missing_headers": e.missing, "first_rows": e.first_rows}
 
 
 def match_and_process(spark: SparkSession, path: str, docs: DataFrame, export_column: str | None = None,
@@ -159,9 +162,9 @@ def match_and_process(spark: SparkSession, path: str, docs: DataFrame, export_co
 
     Both use the discovered header and one read of the files; the fixed
     row-11 layout is available for matching with ``fixed_header_for_matching``."""
-    rows, pre, rejected = _export_rows(spark, path, True, export_column)
-    out = reconcile_rows(rows, docs, pre, checkpoint, account)
-    out["rejected"] = rejected
+    rows, e = _export_rows(spark, path, True, export_column)
+    out = reconcile_rows(rows, docs, e.preamble, checkpoint, account, e.headers.select("file_id"))
+    out |= {"rejected": e.rejected, "missing_headers": e.missing, "first_rows": e.first_rows}
     match_rows = _export_rows(spark, path, False, export_column)[0] if fixed_header_for_matching else rows
     out["matched"] = R.match_orders(match_rows, docs)
     out["unmatched"] = R.unmatched_orders(match_rows, docs)

@@ -42,8 +42,8 @@ def landed_exports(s: SparkSession, d: str, header_row: int | None = None) -> st
 
 def grid_transactions(s: SparkSession, d: str, discover: bool = True) -> DataFrame:
     path = landed_exports(s, d, None if discover else K.FIXED_HEADER_ROW)
-    rows, _, headers, _ = G.read_exports(s, path, discover=discover, export_column="file_id")
-    tx = R.normalize_transactions(rows.join(F.broadcast(headers), "file_id")
+    e = G.read_exports(s, path, discover=discover, export_column="file_id")
+    tx = R.normalize_transactions(e.rows.join(e.headers, "file_id")
                                   .withColumn("row_idx", F.col("row_idx") - F.col("header_row")))
     return tx.select(*GRID_COLS)
 

@@ -2,7 +2,8 @@
 
 An export is a ';'-separated text file (or a directory of part files written
 in order) whose rows are spreadsheet rows: a preamble, a header row, then one
-transaction per row.
+transaction per row. Cells follow the usual CSV quoting: a cell in double quotes may
+hold separators, doubled quotes and line breaks. There is no limit on columns.
 
 Row numbers are computed without putting a file into one task: text is read
 line-split (splittable), every line keeps ``monotonically_increasing_id`` from
@@ -10,15 +11,21 @@ the scan, and the position of a line inside its export is
 
     (lines of the export's earlier splits) + (its position inside its split)
 
-where the first term is a prefix sum over a small per-split count table. The
-header is found per export (A7), header names are mapped to column positions
+where the first term is a prefix sum over a small per-split count table. A line with an
+odd number of quotes opens or closes a cell that spans lines; in exports that have such
+lines, lines are put together to records by the running parity, per split, with the
+parity that the earlier splits left. An export whose quotes do not close is rejected.
+
+The header is found per export (A7), header names are mapped to column positions
 per export (A8) -- exports in one directory may order columns differently --
-and the preamble gives seller and amount (A9).
+and the preamble gives seller and amount (A9). All of that looks at the first rows
+only; the transactions are parsed once, in the scan that delivers them.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,42 +35,108 @@ from kontor.functions import cleaning as cl
 from kontor.functions import constants as K
 from kontor.operators.ordinal import ordinal_by_index
 
-DEFAULT_COLUMNS = 32
+CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def cells_schema(n: int) -> str:
     return ", ".join(f"c{i} STRING" for i in range(n))
 
 
-def read_export_grid(spark: SparkSession, path: str, sep: str = ";", n_columns: int = DEFAULT_COLUMNS,
-                     export_column: str | None = None) -> DataFrame:
-    """(file_id, row_idx 1-based, cells ARRAY<STRING>) for every line.
+def _count(c: Column, what: str) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(what), F.lit("")))
+
+
+def parse_cells(line: Column, sep: str, n_columns: int) -> Column:
+    parsed = F.from_csv(line, cells_schema(n_columns), CSV | {"sep": sep})
+    return F.array(*[parsed.getField(f"c{i}") for i in range(n_columns)])
+
+
+class ExportText(NamedTuple):
+    """The text of a folder of exports: what one light pass over it tells."""
+    spark: SparkSession
+    path: str
+    sep: str
+    export_column: str | None
+    n_columns: int              # cells of the widest record
+    broken: bool                # some cell spans lines
+
+    def lines(self, cells: bool = False) -> DataFrame:
+        """(file_id, _file, _block, _mid, line or cells) of every line.
+
+        Catalyst does not push filters through the projection that takes the row id, so a
+        line is parsed once however many cells later filters look at."""
+        file_id = (F.col(self.export_column).cast("string") if self.export_column else F.col("_metadata.file_path"))
+        value = parse_cells(F.col("value"), self.sep, self.n_columns).alias("cells") if cells else F.col("value").alias("line")
+        return self.spark.read.text(self.path).select(
+            file_id.alias("file_id"), F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid"), value)
+
+    def splits(self) -> DataFrame:
+        """One row per input split: first row id, lines before it in its export, parity of the
+        quotes before it, and of the whole export."""
+        lines = self.lines()
+        odd = F.sum(_count(F.col("line"), '"') % 2).alias("_odd")
+        table = lines.groupBy("file_id", "_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"), odd)
+        before = Window.partitionBy("file_id").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy("file_id")
+        return table.select("file_id", "_file", "_block", "_first",
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                            (F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2).alias("_open"),
+                            (F.sum("_odd").over(whole) > 0).alias("_broken"), (F.sum("_odd").over(whole) % 2).alias("_unclosed"))
+
+    def records(self, cells: bool = False) -> DataFrame:
+        """(file_id, row_idx 1-based, line or cells) of every record."""
+        splits = self.splits() if self.broken else self.splits().drop("_open", "_broken", "_unclosed")
+        what = "cells" if cells else "line"
+        lines = self.lines(cells).join(splits, ["file_id", "_file", "_block"])
+        if self.broken:
+            lines = lines.filter(~F.col("_broken"))
+        plain = lines.select("file_id", (F.col("_offset") + (F.col("_mid") - F.col("_first")) + F.lit(1)).alias("row_idx"), what)
+        if not self.broken:
+            return plain
+        joined = self._joined_lines()
+        if cells:
+            joined = joined.select("file_id", "row_idx", parse_cells(F.col("line"), self.sep, self.n_columns).alias("cells"))
+        return plain.unionByName(joined)
+
+    def _joined_lines(self) -> DataFrame:
+        """Records of the exports in which a cell spans lines. Window tasks hold one split."""
+        lines = self.lines().join(self.splits().filter("_broken and _unclosed = 0"), ["file_id", "_file", "_block"])
+        upto = Window.partitionBy("file_id", "_file", "_block").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        odd = _count(F.col("line"), '"') % 2
+        lines = (lines.withColumn("_starts", ((F.col("_open") + F.sum(odd).over(upto) - odd) % 2 == 0).cast("long"))
+                 .withColumn("_record", F.sum("_starts").over(upto)))
+        before = Window.partitionBy("file_id").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = (lines.groupBy("file_id", "_file", "_block").agg(F.sum("_starts").alias("_s"))
+                  .select("file_id", "_file", "_block", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_earlier")))
+        return (lines.join(starts, ["file_id", "_file", "_block"])
+                .groupBy("file_id", (F.col("_earlier") + F.col("_record")).alias("row_idx"))
+                .agg(F.array_sort(F.collect_list(F.struct("_file", "_block", "_mid", "line"))).alias("_l"))
+                .select("file_id", "row_idx", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("line")))
+
+    def unclosed(self) -> DataFrame:
+        """(file_id): exports whose quotes do not close."""
+        return self.splits().filter("_unclosed = 1").select("file_id").distinct()
+
+
+def export_text(spark: SparkSession, path: str, sep: str = ";", export_column: str | None = None) -> ExportText:
+    """Look at the text once for the widest line and for cells that span lines (a job
+    that counts characters; nothing is parsed)."""
+    v = F.col("value")
+    row = spark.read.text(path).agg(F.max(_count(v, sep) + 1).alias("n"), F.max(_count(v, '"') % 2).alias("odd")).first()
+    text = ExportText(spark, path, sep, export_column, row["n"] or 1, bool(row["odd"]))
+    if text.broken:         # a record may be wider than any of its lines
+        widest = text._joined_lines().agg(F.max(_count(F.col("line"), sep) + 1)).first()[0]
+        text = text._replace(n_columns=max(text.n_columns, widest or 1))
+    return text
+
+
+def read_export_grid(spark: SparkSession, path: str, sep: str = ";", export_column: str | None = None) -> DataFrame:
+    """(file_id, row_idx 1-based, cells ARRAY<STRING>) for every record.
 
     ``export_column``: a partition column naming the export (a directory of
-    part files per export); default: each file is one export.
-
-    The line is parsed in the same projection that takes the scan-side row id;
-    Catalyst does not push filters through that projection, so each line is
-    parsed exactly once however many cells later filters look at. The split
-    table has one row per input split -- the splits the driver plans anyway --
-    and is broadcast, so lines are numbered without being shuffled."""
-    file_id = (F.col(export_column).cast("string") if export_column
-               else F.col("_metadata.file_path"))
-    parsed = F.from_csv(F.col("value"), cells_schema(n_columns), {"sep": sep})
-    lines = spark.read.text(path).select(
-        file_id.alias("file_id"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mid"),
-        F.array(*[parsed.getField(f"c{i}") for i in range(n_columns)]).alias("cells"))
-    splits = (lines.groupBy("file_id", "_file", "_block")
-              .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
-    before = Window.partitionBy("file_id").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("file_id", "_file", "_block", "_first",
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    row_idx = F.col("_offset") + (F.col("_mid") - F.col("_first")) + F.lit(1)
-    return (lines.join(F.broadcast(splits), ["file_id", "_file", "_block"])
-            .select("file_id", row_idx.alias("row_idx"), "cells"))
+    part files per export); default: each file is one export."""
+    return export_text(spark, path, sep, export_column).records(cells=True)
 
 
 def cell(i: int) -> Column:
@@ -87,14 +160,23 @@ def fixed_headers(grid: DataFrame, row: int = K.FIXED_HEADER_ROW) -> DataFrame:
 
 
 def rejected_exports(grid: DataFrame, headers: DataFrame) -> DataFrame:
-    """Exports without a discoverable header."""
-    return grid.select("file_id").distinct().join(headers, "file_id", "left_anti")
+    """(file_id, reason): exports without a discoverable header."""
+    return (grid.select("file_id").distinct().join(headers, "file_id", "left_anti")
+            .withColumn("reason", F.lit("no header row")))
+
+
+def missing_headers(headers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(file_id, header): amount columns that an export does not have; their amounts are 0."""
+    wanted = F.array(*[F.lit(h) for h, field, fallback in K.EXPORT_FIELDS if field in K.AMOUNT_FIELDS and fallback is None])
+    have = F.coalesce(F.map_keys("columns"), F.array().cast("array<string>"))
+    return (headers.join(mapping, "file_id", "left")
+            .select("file_id", F.explode(F.array_except(wanted, have)).alias("header")))
 
 
 def header_mapping(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """Per export, header text (stripped) -> 1-based column; duplicates: last wins;
     blank headers skipped. One row per export holding a MAP<STRING, INT>."""
-    h = (grid.join(F.broadcast(headers), "file_id").filter(F.col("row_idx") == F.col("header_row"))
+    h = (grid.join(headers, "file_id").filter(F.col("row_idx") == F.col("header_row"))
          .select("file_id", F.posexplode("cells").alias("pos", "name"))
          .filter(F.col("name").isNotNull() & (F.col("name") != ""))
          .select("file_id", cl.strip_ws(F.col("name")).alias("name"),
@@ -119,10 +201,9 @@ def field_positions(headers: DataFrame, mapping: DataFrame) -> DataFrame:
 def normalize_grid(grid: DataFrame, headers: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows below the header as raw export rows (input of the reconciliation).
 
-    Field = cell at the column its header names in that export. The
-    per-export positions hold one row per export -- as many rows as files the
-    driver lists -- and are broadcast; each row then only indexes its cells."""
-    rows = (grid.join(F.broadcast(field_positions(headers, mapping)), "file_id")
+    Field = cell at the column its header names in that export. The positions hold one
+    row per export; whether they are small enough to be broadcast is left to the planner."""
+    rows = (grid.join(field_positions(headers, mapping), "file_id")
             .filter(F.col("row_idx") > F.col("header_row")))
     out = [F.col("file_id"), F.col("row_idx")]
     for _, field, _ in K.EXPORT_FIELDS:
@@ -134,21 +215,35 @@ def normalize_grid(grid: DataFrame, headers: DataFrame, mapping: DataFrame) -> D
 
 def preamble_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows above the header as (file_id, row_idx, c0, c1) for :func:`preamble_metadata`."""
-    return (grid.join(F.broadcast(headers), "file_id").filter(F.col("row_idx") < F.col("header_row"))
+    return (grid.join(headers, "file_id").filter(F.col("row_idx") < F.col("header_row"))
             .select("file_id", "row_idx", cell(1).alias("c0"), cell(2).alias("c1")))
 
 
-def read_exports(spark: SparkSession, path: str, discover: bool = True, sep: str = ";",
-                 n_columns: int = DEFAULT_COLUMNS, export_column: str | None = None):
-    """(raw export rows, preamble rows, header rows, rejected exports).
+class Exports(NamedTuple):
+    """What a folder of exports holds. ``first_rows`` (at most HEADER_SEARCH_ROWS records of each
+    export) is cached; unpersist it when the other frames are done with."""
+    rows: DataFrame             # raw export rows (input of the reconciliation)
+    preamble: DataFrame
+    headers: DataFrame          # (file_id, header_row)
+    rejected: DataFrame         # (file_id, reason)
+    missing: DataFrame          # (file_id, header)
+    first_rows: DataFrame
+
 
-    The parsed grid feeds all four outputs, so it is persisted once (memory,
-    spilling to disk; a lost block is re-read from the files)."""
-    grid = read_export_grid(spark, path, sep, n_columns, export_column).persist(StorageLevel.MEMORY_AND_DISK)
-    headers = discover_headers(grid) if discover else fixed_headers(grid)
-    mapping = header_mapping(grid, headers)
-    return (normalize_grid(grid, headers, mapping), preamble_rows(grid, headers), headers,
-            rejected_exports(grid, headers))
+def read_exports(spark: SparkSession, path: str, discover: bool = True, sep: str = ";",
+                 export_column: str | None = None) -> Exports:
+    """A5-A9 from one light pass, one over the first rows and one that parses the transactions."""
+    text = export_text(spark, path, sep, export_column)
+    first = (text.records().filter(F.col("row_idx") <= max(K.HEADER_SEARCH_ROWS, K.FIXED_HEADER_ROW))
+             .select("file_id", "row_idx", parse_cells(F.col("line"), sep, text.n_columns).alias("cells"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
+    headers = discover_headers(first) if discover else fixed_headers(first)
+    mapping = header_mapping(first, headers)
+    rejected = rejected_exports(first, headers)
+    if text.broken:
+        rejected = rejected.unionByName(text.unclosed().withColumn("reason", F.lit("a quoted cell is not closed")))
+    return Exports(normalize_grid(text.records(cells=True), headers, mapping), preamble_rows(first, headers), headers,
+                   rejected, missing_headers(headers, mapping), first)
 
 
 # --- writing exports (used to land derived data as export files) -------------------------
@@ -176,7 +271,7 @@ def write_export_grid(rows: DataFrame, preamble: DataFrame | None, path: str, se
     (file_id, line_no), so an export spans several ordered part files rather
     than one task."""
     def csv_line(values: list[Column]) -> Column:
-        return F.to_csv(F.struct(*[v.cast("string").alias(f"f{i}") for i, v in enumerate(values)]), {"sep": sep})
+        return F.to_csv(F.struct(*[v.cast("string").alias(f"f{i}") for i, v in enumerate(values)]), CSV | {"sep": sep})
 
     odd = F.col("file_id").cast("long") % 2 == 1
     rot = F.when(odd, F.lit(1)).otherwise(F.lit(0)) if rotate_odd else F.lit(0)
@@ -206,7 +301,7 @@ def write_export_grid(rows: DataFrame, preamble: DataFrame | None, path: str, se
     header = files.select("file_id", hrow.cast("long").alias("line_no"),
                           csv_line(by_rotation(lambda hf: F.lit(hf[0]))).alias("line"))
     parts.append(header)
-    data = (rows.join(F.broadcast(files.select("file_id", "n_pre")), "file_id")
+    data = (rows.join(files.select("file_id", "n_pre"), "file_id")
             .select("file_id", (hrow + F.col("row_idx")).cast("long").alias("line_no"),
                     csv_line(by_rotation(lambda hf: F.col(hf[1]))).alias("line")))
     parts.append(data)

@@ -1,5 +1,7 @@
 """Sources from files written by the test: JSON payload shapes, CSV export grids."""
 
+import csv
+import io
 import json
 import os
 
@@ -64,24 +66,26 @@ def test_entries_expand_and_flatten(spark, tmp_dir, entries):
 HEADER = [h for h, _, _ in K.EXPORT_FIELDS]
 
 
-def export_lines(header_row, seller="Shop GmbH", reorder=False, extra=None):
-    pre = [f"Verkäufer;{seller}", "Betrag;1.234,00", "Verkäufer;Last Seller"]
-    lines = (pre + [""] * (header_row - 1 - len(pre)))[: header_row - 1]
-    hdr = list(HEADER)
+def export_lines(header_row, seller="Shop GmbH", reorder=False, extra=None, rows=None, more_columns=()):
+    """An export as Python's csv module writes it."""
+    pre = [["Verkäufer", seller], ["Betrag", "1.234,00"], ["Verkäufer", "Last Seller"]]
+    lines = (pre + [[]] * (header_row - 1 - len(pre)))[: header_row - 1]
+    hdr = list(HEADER) + list(more_columns)
     if reorder:
         hdr[0], hdr[1] = hdr[1], hdr[0]
-    lines.append(";".join('"' + h.replace('"', '\\"') + '"' if '"' in h else h for h in hdr))
-    rows = [
-        {"Typ": "Bestellung", "Bestellnummer": "100", "Zwischensumme Artikel": "10.00",
-         "Verpackung und Versand": "4.99", "Datum der Transaktionserstellung": "2025-10-01"},
-        {"Typ": "Andere Gebühr", "Betrag abzügl. Kosten": "-3.00", "Datum der Transaktionserstellung": "2025-10-02"},
-        {"Typ": "", "Bestellnummer": "999"},
-        {"Typ": "Bestellung", "Bestellnummer": "a;b", "Zwischensumme Artikel": "--"},
-    ] + (extra or [])
-    for r in rows:
-        cells = [r.get(h, "") for h in hdr]
-        lines.append(";".join(f'"{c}"' if ";" in c else c for c in cells))
-    return "\n".join(lines) + "\n"
+    lines.append(hdr)
+    if rows is None:
+        rows = [
+            {"Typ": "Bestellung", "Bestellnummer": "100", "Zwischensumme Artikel": "10.00",
+             "Verpackung und Versand": "4.99", "Datum der Transaktionserstellung": "2025-10-01"},
+            {"Typ": "Andere Gebühr", "Betrag abzügl. Kosten": "-3.00", "Datum der Transaktionserstellung": "2025-10-02"},
+            {"Typ": "", "Bestellnummer": "999"},
+            {"Typ": "Bestellung", "Bestellnummer": "a;b", "Zwischensumme Artikel": "--"},
+        ]
+    out = io.StringIO()
+    w = csv.writer(out, delimiter=";", lineterminator="\n")
+    w.writerows(lines + [[r.get(h, "") for h in hdr] for r in rows + (extra or [])])
+    return out.getvalue()
 
 
 def write_exports(d, layout):
@@ -104,7 +108,8 @@ def test_header_discovery_rows_and_rejects(spark, tmp_dir):
 
 def test_grid_fields_by_header_and_preamble(spark, tmp_dir):
     root = write_exports(tmp_dir, {"a.csv": (11, False), "b.csv": (11, True)})
-    rows, pre, headers, _ = G.read_exports(spark, root)
+    e = G.read_exports(spark, root)
+    rows, pre = e.rows, e.preamble
     got = {(os.path.basename(r.file_id), r.row_idx): r for r in rows.collect()}
     for f in ("a.csv", "b.csv"):
         r = got[(f, 12)]
@@ -115,11 +120,58 @@ def test_grid_fields_by_header_and_preamble(spark, tmp_dir):
     assert meta["a.csv"] == ("Last Seller", "1.234,00")
 
 
+def test_quotes_line_breaks_and_many_columns(spark, tmp_dir):
+    """Files as Python's csv module writes them: 40 columns, doubled quotes, a line break and a
+    separator in a cell. Every cell comes back as it went in."""
+    fee = next(h for h in HEADER if '"' in h)
+    who = next(h for h, field, _ in K.EXPORT_FIELDS if field == "name")
+    more = [f"Spalte {i}" for i in range(40 - len(HEADER))]
+    rows = [{"Typ": "Bestellung", "Bestellnummer": "1", who: 'Anna "A"; B\nzweite Zeile\n', fee: "-7.50", "Spalte 3": "x"},
+            {"Typ": "Bestellung", "Bestellnummer": "2", who: '""', "Zwischensumme Artikel": "5"}]
+    root = os.path.join(tmp_dir, "odd")
+    os.makedirs(root)
+    for name, kw in (("a.csv", {"rows": rows, "more_columns": more}), ("b.csv", {})):
+        with open(os.path.join(root, name), "w", newline="") as f:
+            f.write(export_lines(3, **kw))
+    with open(os.path.join(root, "c.csv"), "w", newline="") as f:
+        f.write(export_lines(3) + 'Bestellung;"never closed;\n')
+    grid = {(os.path.basename(r.file_id), r.row_idx): list(r.cells) for r in G.read_export_grid(spark, root).collect()}
+    want = list(csv.reader(io.StringIO(export_lines(3, rows=rows, more_columns=more)), delimiter=";"))
+    for i, row in enumerate(want, 1):
+        got = ["" if c is None else c for c in grid["a.csv", i]]
+        assert got[: len(row)] == row and not any(got[len(row):])
+    assert max(i for f, i in grid if f == "a.csv") == len(want) and len(want[2]) == 40
+    out = P.reconcile_exports(spark, root, spark.createDataFrame([], "ORDER_ID string, KUNDENNR string, BELEGNR string, api_row long"))
+    data = {(os.path.basename(r.file_id), r.C): r for r in out["report_lines"].filter("section = 'data'").collect()}
+    assert set(data) == {("a.csv", "1"), ("a.csv", "2"), ("b.csv", "100"), ("b.csv", "a;b")}
+    assert data["a.csv", "1"].M == -7.5 and data["a.csv", "1"].F == rows[0][who]
+    assert [(os.path.basename(r.file_id), r.reason) for r in out["rejected"].collect() if r.reason != "no header row"] == [
+        ("c.csv", "a quoted cell is not closed")]
+    assert out["missing_headers"].count() == 0
+
+
+def test_an_export_without_transactions_gets_its_report(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "none")
+    os.makedirs(root)
+    with open(os.path.join(root, "a.csv"), "w") as f:
+        f.write(export_lines(3, rows=[]))
+    with open(os.path.join(root, "b.csv"), "w") as f:
+        f.write("Verkäufer;X\n" + ";".join(h for h in HEADER if h != "Zwischensumme Artikel" and '"' not in h) + "\n")
+    docs = spark.createDataFrame([("100", "K1", "R1", 1)], "ORDER_ID string, KUNDENNR string, BELEGNR string, api_row long")
+    out = P.reconcile_exports(spark, root, docs)
+    lines = sorted((os.path.basename(r.file_id), r.row_no, r.section, r.J, r.P) for r in out["report_lines"].collect())
+    assert lines == [(f, n, s, 0.0, 0.0) for f in ("a.csv", "b.csv") for n, s in ((5, "gebuehr"), (6, "andere_gebuehr"), (7, "totals"))]
+    assert {(os.path.basename(r.file_id), r.transactions) for r in out["report_header"].collect()} == {("a.csv", 0), ("b.csv", 0)}
+    assert [r.other_fee_total for r in out["processing_summary"].collect()] == [0.0, 0.0]
+    assert out["report_sheet"].filter(F.col("file_id").endswith("a.csv")).count() == 7 and out["rejected"].count() == 0
+    assert {(os.path.basename(r.file_id), "Zwischensumme" in r.header or '"' in r.header) for r in out["missing_headers"].collect()} == {("b.csv", True)}
+
+
 def test_fixed_header_layout(spark, tmp_dir):
     root = write_exports(tmp_dir, {"a.csv": (11, False)})
-    rows, _, headers, _ = G.read_exports(spark, root, discover=False)
-    assert [r.header_row for r in headers.collect()] == [11]
-    assert rows.count() == 4
+    e = G.read_exports(spark, root, discover=False)
+    assert [r.header_row for r in e.headers.collect()] == [11]
+    assert e.rows.count() == 4
 
 
 def test_reconcile_exports_end_to_end(spark, tmp_dir):
