@@ -27,7 +27,7 @@ from kontor.functions import buckets as bk
 from kontor.functions import calendar as cal
 from kontor.functions import constants as K
 from kontor.functions import labels as lb
-from kontor.operators.prepare import require
+from kontor.operators.prepare import MissingColumn, require
 
 
 # --- aggregate helpers --------------------------------------------------------
@@ -183,7 +183,7 @@ def _measure_summary(sl: DataFrame, key: str) -> DataFrame:
         if m == "BRUTTO":
             cols.append(F.col("cnt_BRUTTO").alias("BRUTTO_count"))
     if len(cols) == 1:
-        raise ValueError(f"summary by {key} needs one of BRUTTO, NETTO, ERLOES")
+        raise MissingColumn(f"summary by {key} needs one of BRUTTO, NETTO, ERLOES")
     order = ["BRUTTO_sum", "BRUTTO_mean", "BRUTTO_count", "NETTO_sum", "NETTO_mean", "ERLOES_sum", "ERLOES_mean"]
     out = sl.select(*cols)
     return out.select(key, *[c for c in order if c in out.columns])
@@ -247,7 +247,8 @@ def country_platform_matrix(prep: DataFrame, platforms: list[str] | None = None,
     p = g.pivot("ORIGIN", platforms) if platforms is not None else g.pivot("ORIGIN")
     m = p.agg(F.sum("sum_BRUTTO"))
     vals = [c for c in m.columns if c != "ISOA2_LAND"]
-    return m.select("ISOA2_LAND", *[F.coalesce(F.col(f"`{v}`").cast("double"), F.lit(0.0)).alias(v)
+    quoted = {v: "`" + v.replace("`", "``") + "`" for v in vals}
+    return m.select("ISOA2_LAND", *[F.coalesce(F.col(quoted[v]).cast("double"), F.lit(0.0)).alias(v)
                                     for v in vals]).orderBy("ISOA2_LAND")
 
 
@@ -264,7 +265,7 @@ def daily_trend(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame
     require(prep, "BELEGDAT", report="daily_trend")
     present = [m for m in ("BRUTTO", "NETTO", "ERLOES") if m in prep.columns]
     if not present:
-        raise ValueError("daily_trend needs at least one of BRUTTO, NETTO, ERLOES")
+        raise MissingColumn("daily_trend needs at least one of BRUTTO, NETTO, ERLOES")
     sl = measures if measures is not None else keyed_measures(prep, ("Date",))
     named = len(present) == 3
     names = {"BRUTTO": "Gross_Revenue", "NETTO": "Net_Revenue", "ERLOES": "Profit"}
@@ -276,7 +277,7 @@ def daily_trend(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame
 def _period_trend(prep: DataFrame, key: str, measures: DataFrame | None) -> DataFrame:
     present = [m for m in ("BRUTTO", "ERLOES") if m in prep.columns]
     if not present:
-        raise ValueError(f"{key} trend needs BRUTTO or ERLOES")
+        raise MissingColumn(f"{key} trend needs BRUTTO or ERLOES")
     sl = measures if measures is not None else keyed_measures(prep, (key,))
     cols = [_tot(m).alias(m) for m in present] + [F.col("cnt_BELEGDAT").alias("BELEGDAT")]
     return sl.select(key, *cols).orderBy(key)
@@ -333,7 +334,7 @@ def all_customers(prep: DataFrame, measures: DataFrame | None = None) -> DataFra
     if "ERLOES" in present:
         require(prep, "BRUTTO", report="all_customers")
     if not present:
-        raise ValueError("all_customers needs BRUTTO")
+        raise MissingColumn("all_customers needs BRUTTO")
     name = _customer_name_col(prep)
     keys = ["KUNDENNR"] + ([name] if name else [])
     if measures is not None:
@@ -412,7 +413,7 @@ def document_type_summary(prep: DataFrame, with_names: bool = False,
     require(prep, "BELEGART", "BELEGNR", report="document_type_summary")
     present = [m for m in ("BRUTTO", "NETTO", "ERLOES") if m in prep.columns]
     if not present:
-        raise ValueError("document_type_summary needs a measure")
+        raise MissingColumn("document_type_summary needs a measure")
     sl = measures if measures is not None else keyed_measures(prep, ("BELEGART",))
     named = len(present) == 3
     names = {"BRUTTO": "Gross_Revenue", "NETTO": "Net_Revenue", "ERLOES": "Profit"}
@@ -452,7 +453,7 @@ def _profitability(prep: DataFrame, key: str, out_key: str, with_net: bool,
     cols = [F.col(key).alias(out_key), gross.alias("Gross_Revenue")]
     if with_net:
         cols.append(_tot("NETTO").alias("Net_Revenue"))
-    cols += [profit.alias("Total_Profit"), F.round(_avg("profit_margin"), 6).alias("Avg_Margin"),
+    cols += [profit.alias("Total_Profit"), _avg("profit_margin").alias("Avg_Margin"),
              (F.try_divide(profit, gross) * F.lit(100.0)).alias("Profit_Margin_Pct")]
     return sl.select(*cols)
 
@@ -536,15 +537,15 @@ def order_value_stats(prep: DataFrame, exact: bool = True) -> DataFrame:
     ``exact=False`` uses ``percentile_approx`` and stays fully lazy."""
     v = F.col("BRUTTO").cast("double")
     pos = positive_orders(prep)
-    s = pos.agg(mean("BRUTTO").alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"),
+    s = pos.agg(mean("BRUTTO").alias("mean"), F.stddev_samp(v).alias("std"),
                 F.min("BRUTTO").cast("double").alias("min"), F.max("BRUTTO").cast("double").alias("max"))
     if exact:
         from kontor.operators.quantiles import exact_quantiles
         q = exact_quantiles(pos, "BRUTTO", [0.25, 0.5, 0.75])
-        qs = [F.round(F.lit(q[p]).cast("double"), 6) for p in (0.25, 0.5, 0.75)]
+        qs = [F.lit(q[p]).cast("double") for p in (0.25, 0.5, 0.75)]
     else:
         approx = F.percentile_approx(v, [0.25, 0.5, 0.75], 10000)
-        s = pos.agg(mean("BRUTTO").alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"),
+        s = pos.agg(mean("BRUTTO").alias("mean"), F.stddev_samp(v).alias("std"),
                     F.min("BRUTTO").cast("double").alias("min"), F.max("BRUTTO").cast("double").alias("max"),
                     approx.alias("_q"))
         qs = [F.col("_q")[i] for i in range(3)]
@@ -559,6 +560,7 @@ def top_countries_chart(prep: DataFrame, n: int = K.TOP_COUNTRIES) -> DataFrame:
 
 
 def country_table(prep: DataFrame, n: int = K.TOP_COUNTRIES) -> DataFrame:
+    require(prep, "ISOA2_LAND", "BRUTTO", report="country_table")
     s = country_summary(prep).limit(n)
     return s.select(lb.country_name(F.col("ISOA2_LAND")).alias("Country"),
                     "BRUTTO_sum", "BRUTTO_count", "BRUTTO_mean")

@@ -50,8 +50,12 @@ def prepare(docs: DataFrame) -> DataFrame:
     return out
 
 
+class MissingColumn(ValueError):
+    """A report needs a column that the documents do not have."""
+
+
 def require(df: DataFrame, *columns: str, report: str = "") -> None:
-    """Raise a ValueError naming the first missing column of a report."""
+    """Raise :class:`MissingColumn` naming the first missing column of a report."""
     for c in columns:
         if c not in df.columns:
-            raise ValueError(f"{report or 'report'} needs column {c!r}")
+            raise MissingColumn(f"{report or 'report'} needs column {c!r}")

@@ -80,14 +80,10 @@ def _quantiles(base: DataFrame, probs: list[float], max_window_rows: int, accura
         return {p: None for p in probs}
     out: dict[float, float | None] = {}
     wanted = {p: (math.floor(p * (n - 1)), p * (n - 1) - math.floor(p * (n - 1))) for p in probs}
-    if n <= max_window_rows:
-        ranks = sorted({r for k, _ in wanted.values() for r in (k, min(k + 1, n - 1))})
-        stats = _order_stats(base, ranks, 0)
-    else:
-        stats = {}
-        for k, _ in wanted.values():
-            part, below = _bracket(base, n, k, max_window_rows, accuracy)
-            stats.update(_order_stats(part, [k, min(k + 1, n - 1)], below))
+    stats: dict[int, float] = {}
+    for k in sorted({k for k, _ in wanted.values()}):
+        part, below = _bracket(base, n, k, max_window_rows, accuracy)       # the whole column if it is no larger
+        stats.update(_order_stats(part, [k, min(k + 1, n - 1)], below))
     for p, (k, frac) in wanted.items():
         lo, hi = stats[k], stats[min(k + 1, n - 1)]
         out[p] = lo if frac == 0 else lo + (hi - lo) * frac

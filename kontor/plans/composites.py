@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kontor.functions import constants as K
 from kontor.operators import analytics as A
 from kontor.operators import reconcile as R
-from kontor.operators.prepare import prepare
+from kontor.operators.prepare import MissingColumn, prepare
 from kontor.session import materialize
 from kontor.sources import export_grid as G
 
@@ -25,10 +25,10 @@ def _reuse(df: DataFrame, checkpoint: bool) -> DataFrame:
 
 
 def _try(fn, *args):
-    """Run a report if its columns are present (reports adapt to the input)."""
+    """Run a report if its columns are present (reports adapt to the input); other errors are errors."""
     try:
         return fn(*args)
-    except ValueError:
+    except MissingColumn:
         return None
 
 

@@ -28,6 +28,15 @@ def money(c: str) -> F.Column:
     return F.col(c).cast("double").alias(c)
 
 
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Six digits for the comparison: the last bits of a mean or a deviation depend on the order
+    of summation. The operators themselves do not round."""
+    return df.select(*[F.round(c, 6).alias(c) if c in columns else c for c in df.columns])
+
+
+STATS = ("std", "median", "q25", "q75")
+
+
 # --- SQL fragments ------------------------------------------------------------------
 
 def TOTAL(c: str) -> str:
@@ -347,12 +356,12 @@ WHERE Margin_Category IS NOT NULL GROUP BY Margin_Category""")
 
 register("margin_distribution", lambda s, d: A.margin_distribution(prep_orders(s, d)), _margin_dist_sql("po"))
 register("margin_distribution_events", lambda s, d: A.margin_distribution(prep_events(s, d)), _margin_dist_sql("pe"))
-register("platform_profitability", lambda s, d: A.platform_profitability(prep_orders(s, d)),
+register("platform_profitability", lambda s, d: rounded(A.platform_profitability(prep_orders(s, d)), "Avg_Margin"),
          with_views(["po"], f"""SELECT ORIGIN AS Platform, COALESCE(CAST(SUM(BRUTTO) AS DOUBLE), 0.0) AS Gross_Revenue,
 {TOTAL('NETTO')} AS Net_Revenue, COALESCE(CAST(SUM(ERLOES) AS DOUBLE), 0.0) AS Total_Profit, round(AVG(m), 6) AS Avg_Margin,
 COALESCE(CAST(SUM(ERLOES) AS DOUBLE), 0.0) / NULLIF(COALESCE(CAST(SUM(BRUTTO) AS DOUBLE), 0.0), 0) * 100.0 AS Profit_Margin_Pct
 FROM (SELECT *, {MARGIN} AS m FROM po) WHERE ORIGIN IS NOT NULL GROUP BY ORIGIN"""))
-register("country_profitability", lambda s, d: A.country_profitability(prep_orders(s, d)),
+register("country_profitability", lambda s, d: rounded(A.country_profitability(prep_orders(s, d)), "Avg_Margin"),
          with_views(["po"], f"""SELECT ISOA2_LAND AS Country, COALESCE(CAST(SUM(BRUTTO) AS DOUBLE), 0.0) AS Gross_Revenue,
 COALESCE(CAST(SUM(ERLOES) AS DOUBLE), 0.0) AS Total_Profit, round(AVG(m), 6) AS Avg_Margin,
 COALESCE(CAST(SUM(ERLOES) AS DOUBLE), 0.0) / NULLIF(COALESCE(CAST(SUM(BRUTTO) AS DOUBLE), 0.0), 0) * 100.0 AS Profit_Margin_Pct
@@ -393,8 +402,8 @@ round(quantile_cont({x}, 0.25), 6) AS q25, round(quantile_cont({x}, 0.75), 6) AS
 FROM {v} WHERE BRUTTO > 0""")
 
 
-register("order_value_stats", lambda s, d: A.order_value_stats(prep_orders(s, d)), _value_stats_sql("po"))
-register("order_value_stats_events", lambda s, d: A.order_value_stats(prep_events(s, d)), _value_stats_sql("pe"))
+register("order_value_stats", lambda s, d: rounded(A.order_value_stats(prep_orders(s, d)), *STATS), _value_stats_sql("po"))
+register("order_value_stats_events", lambda s, d: rounded(A.order_value_stats(prep_events(s, d)), *STATS), _value_stats_sql("pe"))
 
 register("top_countries_chart", lambda s, d: A.top_countries_chart(prep_orders(s, d)),
          with_views(["po"], f"""SELECT ISOA2_LAND, BRUTTO, percentage, {COUNTRY_NAME.format(c='ISOA2_LAND')} AS Country_Name
@@ -425,3 +434,5 @@ register("share_of_total",
          lambda s, d: A.with_share(A.keyed_measures(prep_events(s, d), ("ORIGIN",)), "n").select("ORIGIN", "n", "percentage"),
          with_views(["pe"], f"""SELECT ORIGIN, n, {SHARE('n')} AS percentage
 FROM (SELECT ORIGIN, COUNT(*) AS n FROM pe WHERE ORIGIN IS NOT NULL GROUP BY ORIGIN)"""))
+
+from kontor.plans import registry_composites  # noqa: E402,F401

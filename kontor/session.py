@@ -68,13 +68,15 @@ def configure(spark: SparkSession, for_scale: bool = False) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local runs, tests) do we pick
-    a scratch folder of our own, once per application."""
+    A cluster has to name it. Only a local master, where driver and executors are one
+    process, gets a scratch folder of its own when it is unset, once per application."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="kontor-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)

@@ -15,7 +15,7 @@ def build_origins(use_amazon: bool, use_ebay: bool, custom_origins: str = "") ->
     origins = ([K.AMAZON] if use_amazon else []) + ([K.EBAY] if use_ebay else [])
     origins += [o.strip() for o in (custom_origins or "").split(",") if o.strip()]
     if not origins:
-        raise ValueError("select at least one origin (Amazon, Ebay) or provide custom origins")
+        raise ValueError("no platform chosen")
     return origins
 
 

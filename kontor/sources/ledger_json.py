@@ -6,44 +6,86 @@ top-level array of objects. When the rows have an ``Entries`` column only that
 column is kept: object entries become rows, array entries are flattened into
 rows, and nested objects become dotted columns (``a.b``).
 
-Each file is one payload; Spark reads multi-line JSON one file per task, so a
-payload is bounded by what the source delivers per call, and many payloads
-are read in parallel. ``api_row`` keeps payload order for last-wins lookups.
+The shape is found for each payload, not for the folder. With ``multi_line`` each file is
+one payload (a bounded answer of the ledger service; files are read in parallel); without it
+each line is one, and files are splittable. ``api_row`` orders the documents by
+payload name, place of the payload in its file, and position in the payload, whatever files
+a task happens to read together; it is a struct, compared field by field. A payload that cannot be read
+raises when its documents are used; :func:`rejected_payloads` lists such payloads.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENVELOPE_KEYS = ["data", "results", "rows"]
+BROKEN = "_broken"
+_OWN = ("_source", "_place", BROKEN)
 
 
-def read_payloads(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
+def read_payloads(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """One row per payload (or per element of a top-level array), its place and, if it cannot
+    be read, its text in ``_broken``. Without ``schema`` it is inferred by one more read."""
+    reader = (spark.read.option("multiLine", multi_line).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", BROKEN))
     if schema is not None:
-        reader = reader.schema(schema)
-    return reader.json(path).withColumn("_source", F.col("_metadata.file_path"))
+        reader = reader.schema(T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())]))
+    place = F.struct(F.col("_metadata.file_path").alias("payload"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("line"))
+    return reader.json(path).select("*", F.col("_metadata.file_path").alias("_source"), place.alias("_place"))
+
+
+def rejected_payloads(raw: DataFrame) -> DataFrame:
+    """(payload, text) of what :func:`read_payloads` could not read."""
+    if BROKEN not in raw.columns:
+        return raw.select(F.col("_source").alias("payload"), F.lit(None).cast("string").alias("text")).limit(0)
+    # read next to another column: Spark refuses to read the broken text alone
+    others = [c for c in raw.columns if c not in _OWN][:1]
+    rows = raw.select("_source", BROKEN, *others).persist()
+    return rows.filter(F.col(BROKEN).isNotNull()).select(F.col("_source").alias("payload"), F.col(BROKEN).alias("text"))
+
+
+def _api_row(*position: Column) -> Column:
+    fields = [F.col(f"_place.{f}").alias(f) for f in ("payload", "block", "line")]
+    pos = [*position, F.lit(0), F.lit(0)][:2]
+    return F.struct(*fields, pos[0].cast("long").alias("pos"), pos[1].cast("long").alias("entry")).alias("api_row")
 
 
 def unwrap_envelope(raw: DataFrame) -> DataFrame:
-    """A1: the document rows of a payload frame, with ``api_row``."""
-    cols = [c for c in raw.columns if c != "_source"]
-    types = dict((f.name, f.dataType) for f in raw.schema.fields)
-    for key in ENVELOPE_KEYS:
-        if key in cols and isinstance(types[key], T.ArrayType):
-            rows = raw.select("_source", F.posexplode(key).alias("_pos", "_doc"))
-            rows = rows.withColumn("api_row", F.monotonically_increasing_id())
-            inner = types[key].elementType
-            if isinstance(inner, T.StructType):
-                return rows.select("_source", "api_row", "_doc.*")
-            return rows.select("_source", "api_row", F.col("_doc").alias("value"))
-    if cols and all(isinstance(types[c], T.ArrayType) for c in cols):
-        zipped = F.arrays_zip(*[F.col(c).alias(c) for c in cols])
-        rows = raw.select("_source", F.inline(zipped))
-        return rows.withColumn("api_row", F.monotonically_increasing_id())
-    return raw.withColumn("api_row", F.monotonically_increasing_id())
+    """A1: the document rows of a payload frame, with ``_source`` and ``api_row``."""
+    if BROKEN in raw.columns:
+        bad = F.raise_error(F.concat(F.lit("unreadable payload: "), F.col("_source"))).cast("boolean")
+        raw = raw.filter(F.when(F.col(BROKEN).isNull(), F.lit(True)).otherwise(bad))
+    types = {f.name: f.dataType for f in raw.schema.fields if f.name not in _OWN}
+    keys = [k for k in ENVELOPE_KEYS if isinstance(types.get(k), T.ArrayType)]
+    rest = [c for c in types if c not in keys]
+    parts, taken = [], F.lit(False)
+    for key in keys:
+        own = raw.filter(F.col(f"`{key}`").isNotNull() & ~taken)
+        taken = taken | F.col(f"`{key}`").isNotNull()
+        rows = own.select("_source", "_place", F.posexplode(key).alias("_pos", "_doc"))
+        doc = "_doc.*" if isinstance(types[key].elementType, T.StructType) else F.col("_doc").alias("value")
+        parts.append(rows.select("_source", _api_row(F.col("_pos")), doc))
+    bare = raw.filter(~taken)
+    # other columns beside an envelope are its metadata, unless some payload has no envelope
+    if rest and (not keys or not bare.isEmpty()):
+        arrays = [c for c in rest if isinstance(types[c], T.ArrayType)]
+        scalars = [F.col(f"`{c}`") for c in rest if c not in arrays]
+        if arrays:
+            no_scalar = reduce(lambda x, y: x & y, [c.isNull() for c in scalars], F.lit(True))
+            zipped = F.arrays_zip(*[F.coalesce(F.col(f"`{c}`"), F.array().cast(types[c])).alias(c) for c in arrays])
+            rows = bare.filter(no_scalar).select("_source", "_place", F.posexplode(zipped).alias("_pos", "_doc"))
+            parts.append(rows.select("_source", _api_row(F.col("_pos")), "_doc.*"))
+            bare = bare.filter(~no_scalar)
+        if scalars:
+            parts.append(bare.select("_source", _api_row(), *[F.col(f"`{c}`") for c in rest]))
+    if not parts:
+        return raw.select("_source", _api_row())
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def _flat_exprs(dtype: T.DataType, path: list[str], sep: str) -> list:
@@ -70,11 +112,14 @@ def expand_entries(rows: DataFrame) -> DataFrame:
     if "Entries" not in rows.columns:
         return rows
     t = rows.schema["Entries"].dataType
+    if isinstance(t, T.StringType):         # objects and arrays mixed: Spark delivers their text
+        rows, t = _parsed_entries(rows)
     if isinstance(t, T.StructType):
         out = rows.select("api_row", "Entries.*")
     elif isinstance(t, T.ArrayType):
-        out = (rows.select(F.posexplode("Entries").alias("_pos", "_e"))
-               .withColumn("api_row", F.monotonically_increasing_id()))
+        numbered = F.transform("Entries", lambda e, i: F.struct(
+            F.col("api_row").withField("entry", i.cast("long")).alias("api_row"), e.alias("_e")))
+        out = rows.select(F.explode(numbered).alias("_x")).select("_x.api_row", "_x._e")
         out = (out.select("api_row", "_e.*") if isinstance(t.elementType, T.StructType)
                else out.select("api_row", F.col("_e").alias("Entries")))
     else:
@@ -82,12 +127,26 @@ def expand_entries(rows: DataFrame) -> DataFrame:
     return flatten_structs(out, keep=("api_row",))
 
 
-def read_ledger_documents(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A1-A3 together: landed payload files -> document rows with ``api_row``.
+def _parsed_entries(rows: DataFrame) -> tuple[DataFrame, T.DataType]:
+    """Entries given as text, each as an array; its type comes from one job over the texts.
+    Text that is no JSON object or array stays as it is."""
+    text = F.trim("Entries")
+    wrapped = F.when(text.startswith("["), text).when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]")))
+    kind = rows.select(F.call_function("schema_of_variant_agg", F.try_parse_json(wrapped)).alias("k")).first()["k"]
+    if not kind or "OBJECT<" not in kind:
+        return rows, T.NullType()
+    ddl = kind.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    parsed = rows.withColumn("Entries", F.from_json(wrapped, ddl))
+    return parsed, parsed.schema["Entries"].dataType
+
+
+def read_ledger_documents(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                          multi_line: bool = True) -> DataFrame:
+    """A1-A3 together: landed payloads -> document rows with ``api_row``.
 
     Without ``schema`` the payload schema is inferred (one extra read of the
     files); pass it for large landings whose shape is known."""
-    rows = unwrap_envelope(read_payloads(spark, path, schema))
+    rows = unwrap_envelope(read_payloads(spark, path, schema, multi_line))
     if "Entries" in rows.columns:
         return expand_entries(rows)
     return rows.drop("_source")

@@ -15,27 +15,45 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from kontor.operators.prepare import prepare
+from kontor.sources.ledger_json import ENVELOPE_KEYS
 
 DOCUMENT_FIELDS = ["BELEGNR", "ORDER_ID", "KUNDENNR", "NAME1", "NAME2", "BELEGDAT", "LIEFERDAT", "ORIGIN",
                    "ISOA2_LAND", "BELEGART", "ZAHLART", "NETTO", "BRUTTO", "ERLOES"]
-PAYLOAD_SCHEMA = T.StructType([
-    T.StructField("data", T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in DOCUMENT_FIELDS]))),
-])
 
 
-def document_stream(spark: SparkSession, inbox: str, max_files: int = 100, multi_line: bool = True) -> DataFrame:
-    """Streaming documents from ``{"data": [...]}`` payloads in ``inbox``: one
-    payload per file (``multi_line``) or one payload per line."""
-    raw = (spark.readStream.schema(PAYLOAD_SCHEMA).option("multiLine", multi_line)
-           .option("maxFilesPerTrigger", max_files).json(inbox))
-    docs = raw.select(F.col("_metadata.file_path").alias("source"), F.posexplode("data").alias("pos", "d")) \
-        .select("source", "pos", "d.*")
-    return (prepare(docs).withColumn("landed_day", F.current_date()))
+def document_stream(spark: SparkSession, inbox: str, max_files: int = 100, multi_line: bool = True,
+                    fields: tuple[str, ...] = ()) -> DataFrame:
+    """Streaming documents from the payloads in ``inbox``: one payload per file (``multi_line``) or one
+    per line. A payload is an object with ``data``, ``results`` or ``rows`` (the first one there), an array
+    of documents, or one document; one that cannot be read stops the stream.
+
+    Known fields and ``fields`` become columns; ``document`` keeps the whole JSON of each document,
+    so a field that nobody has named is not lost. ``api_row`` orders the documents as the batch reader does."""
+    # a file is read whole, also with one payload a line: a stream has no other order of lines
+    payloads = F.array("value") if multi_line else F.split("value", "\r?\n")
+    text = (spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", max_files).text(inbox)
+            .select(F.col("_metadata.file_path").alias("file"), F.posexplode(payloads).alias("line", "payload"))
+            .select("payload", F.struct(F.col("file").alias("payload"), F.lit(0).cast("long").alias("block"),
+                                        F.col("line").cast("long").alias("line")).alias("_place")))
+    envelope = F.from_json("payload", ", ".join(f"{k} ARRAY<STRING>" for k in ENVELOPE_KEYS))
+    listed = F.when(F.trim("payload").startswith("["), F.from_json("payload", "ARRAY<STRING>"))
+    whole = F.when(F.try_parse_json("payload").isNotNull(), F.array("payload"))
+    unreadable = F.raise_error(F.concat(F.lit("unreadable payload: "), F.col("_place.payload"))).cast("array<string>")
+    documents = F.when(F.try_parse_json("payload").isNull(), unreadable).otherwise(
+        F.coalesce(listed, *[envelope[k] for k in ENVELOPE_KEYS], whole))
+    wanted = [*DOCUMENT_FIELDS, *[f for f in fields if f not in DOCUMENT_FIELDS]]
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in wanted])
+    docs = (text.select("_place", F.posexplode(documents).alias("pos", "document"))
+            .select(F.col("_place.payload").alias("source"), "pos",
+                    F.struct("_place.*", F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("entry")).alias("api_row"),
+                    "document", F.from_json("document", schema).alias("d"))
+            .select("source", "pos", "api_row", "document", "d.*"))
+    return prepare(docs).withColumn("landed_day", F.current_date())
 
 
 def land_documents(spark: SparkSession, inbox: str, table_path: str, checkpoint: str,
-                   available_now: bool = True, multi_line: bool = True) -> StreamingQuery:
-    w = (document_stream(spark, inbox, multi_line=multi_line).writeStream.format("parquet").option("path", table_path)
+                   available_now: bool = True, multi_line: bool = True, fields: tuple[str, ...] = ()) -> StreamingQuery:
+    w = (document_stream(spark, inbox, multi_line=multi_line, fields=fields).writeStream.format("parquet").option("path", table_path)
          .option("checkpointLocation", checkpoint).partitionBy("landed_day").outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -64,6 +64,21 @@ def test_streaming_landing(spark, tmp_dir):
     assert spark.read.parquet(table).count() == 2
 
 
+def test_streamed_documents_lose_nothing_and_can_be_looked_up(spark, tmp_dir):
+    from kontor.operators.reconcile import order_lookup
+    inbox = os.path.join(tmp_dir, "inbox2")
+    os.makedirs(inbox)
+    for name, payload in (("a.json", {"results": [{"BELEGNR": "1", "ORDER_ID": "o", "KUNDENNR": "K1", "Filiale": "Nord"}]}),
+                          ("b.json", [{"BELEGNR": "2", "ORDER_ID": "o", "KUNDENNR": "K2"}])):
+        with open(os.path.join(inbox, name), "w") as f:
+            json.dump(payload, f)
+    table = os.path.join(tmp_dir, "table2")
+    L.land_documents(spark, inbox, table, os.path.join(tmp_dir, "ckpt2"), fields=("Filiale",)).awaitTermination(120)
+    got = spark.read.parquet(table)
+    assert sorted((r.BELEGNR, r.Filiale, "Filiale" in r.document) for r in got.collect()) == [("1", "Nord", True), ("2", None, False)]
+    assert [tuple(r) for r in order_lookup(got).collect()] == [("o", "K2", "2")]
+
+
 def test_reliable_checkpoint_cuts_lineage(spark, tmp_dir):
     from kontor.session import checkpoint_dir
     docs = AD.belege_events(spark, SF_SMALL)
@@ -118,3 +133,56 @@ def test_grouping_sets_reports_equal_standalone(spark):
         assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()], name
     a["_keyed"].unpersist()
     a["_prep"].unpersist()
+
+
+def test_dashboards_adapt_to_amount_columns(spark):
+    """Country and net amounts without gross ones: frames that need gross amounts are left out."""
+    docs = spark.createDataFrame([("1", "Amazon", "DE", "2025-10-01 10:00:00", 5.0)],
+                                 "BELEGNR string, ORIGIN string, ISOA2_LAND string, BELEGDAT string, NETTO double")
+    d = P.dashboard_frames(docs)
+    assert "countries" not in d and "geographic" not in d
+    assert d["platform_orders"].count() == 1 and d["daily_trend"].count() == 1
+
+
+def test_other_errors_are_not_swallowed(spark, monkeypatch):
+    import pytest
+
+    from kontor.operators import analytics as A
+
+    def broken(*_):
+        raise ValueError("no missing column")
+    monkeypatch.setattr(A, "platform_share", broken)
+    with pytest.raises(ValueError, match="no missing column"):
+        P.full_analysis(AD.belege_events(spark, SF_SMALL))
+
+
+def test_platform_names_with_quotes(spark):
+    from kontor.operators import analytics as A
+    from kontor.operators.prepare import prepare
+    docs = spark.createDataFrame([("1", "a`b", "DE", 5.0), ("2", "c.d", "DE", 2.0)], "BELEGNR string, ORIGIN string, ISOA2_LAND string, BRUTTO double")
+    r = A.country_platform_matrix(prepare(docs)).first()
+    assert (r["a`b"], r["c.d"]) == (5.0, 2.0)
+
+
+def test_a_cluster_names_the_shared_folder(monkeypatch):
+    import pytest
+
+    from kontor import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())

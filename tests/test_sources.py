@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kontor.functions import constants as K
+from kontor.operators.reconcile import order_lookup
 from kontor.plans import composites as P
 from kontor.sources import export_grid as G
 from kontor.sources import filters as FL
@@ -63,6 +64,52 @@ def test_entries_expand_and_flatten(spark, tmp_dir, entries):
         assert [x.ORDER_ID for x in got.orderBy("api_row").collect()] == ["1", "2", "3"]
 
 
+def write_payloads(d, payloads):
+    os.makedirs(d, exist_ok=True)
+    for name, obj in payloads.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(obj if isinstance(obj, str) else json.dumps(obj))
+    return d
+
+
+def test_each_payload_has_its_own_envelope(spark, tmp_dir):
+    folder = write_payloads(os.path.join(tmp_dir, "mixed"), {
+        "a.json": {"data": [{"ORDER_ID": "1"}], "meta": 1}, "b.json": {"results": [{"ORDER_ID": "2", "BRUTTO": 5.0}, {"ORDER_ID": "3"}]},
+        "c.json": [{"ORDER_ID": "4"}, {"ORDER_ID": "5"}], "d.json": {"rows": [{"ORDER_ID": "6"}], "results": None}})
+    got = J.read_ledger_documents(spark, folder)
+    assert [r.ORDER_ID for r in got.orderBy("api_row").collect()] == ["1", "2", "3", "4", "5", "6"]
+    lines = write_payloads(os.path.join(tmp_dir, "lines"), {
+        "a.jsonl": "\n".join(json.dumps(x) for x in ({"data": [{"ORDER_ID": "1"}, {"ORDER_ID": "2"}]}, {"rows": [{"ORDER_ID": "3"}]}))})
+    got = J.read_ledger_documents(spark, lines, multi_line=False)
+    assert [r.ORDER_ID for r in got.orderBy("api_row").collect()] == ["1", "2", "3"]
+
+
+def test_an_unreadable_payload_is_an_error(spark, tmp_dir):
+    folder = write_payloads(os.path.join(tmp_dir, "cut"), {"a.json": {"data": DOCS}, "b.json": '{"data": [{"ORDER_ID": "9"}, {"ORD'})
+    raw = J.read_payloads(spark, folder)
+    assert [os.path.basename(r.payload) for r in J.rejected_payloads(raw).collect()] == ["b.json"]
+    with pytest.raises(Exception, match="unreadable payload"):
+        J.read_ledger_documents(spark, folder).collect()
+
+
+def test_the_last_payload_wins_whatever_its_size(spark, tmp_dir):
+    big = [{"ORDER_ID": "100", "KUNDENNR": "new", "BELEGNR": "R2", "pad": "x" * 50}] + [{"ORDER_ID": str(i), "KUNDENNR": "k", "BELEGNR": "r"} for i in range(500)]
+    for first, second in ((("a", [{"ORDER_ID": "100", "KUNDENNR": "old", "BELEGNR": "R1"}]), ("b", big)), (("a", big), ("b", [{"ORDER_ID": "100", "KUNDENNR": "old", "BELEGNR": "R1"}]))):
+        folder = write_payloads(os.path.join(tmp_dir, f"order-{len(first[1])}"), {f"{n}.json": {"data": x} for n, x in (first, second)})
+        r = order_lookup(J.read_ledger_documents(spark, folder)).filter("ORDER_ID = '100'").first()
+        want = second[1][0] if second[1] is not big else big[0]
+        if second[1] is big:            # the big payload has the number twice; its last one counts
+            want = big[101]
+        assert (r.KUNDENNR, r.BELEGNR) == (want["KUNDENNR"], want["BELEGNR"])
+
+
+def test_entries_of_mixed_kinds(spark, tmp_dir):
+    folder = write_payloads(os.path.join(tmp_dir, "entries"), {"a.json": {"data": [
+        {"Entries": {"ORDER_ID": "1", "Kunde": {"KUNDENNR": "K1"}}}, {"Entries": [{"ORDER_ID": "2"}, {"ORDER_ID": "3", "BRUTTO": 2.5}]}, {"Entries": None}]}})
+    got = J.read_ledger_documents(spark, folder).orderBy("api_row").collect()
+    assert [(r.ORDER_ID, r["Kunde.KUNDENNR"], r.BRUTTO is not None) for r in got] == [("1", "K1", False), ("2", None, False), ("3", None, True)]
+
+
 HEADER = [h for h, _, _ in K.EXPORT_FIELDS]
 
 
