@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from kontor.plans import registry
 from tests.conftest import SF_SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -38,7 +39,7 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and "BRUTTO_sum" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     got = [tuple(r) for r in df.collect()]
