@@ -6,13 +6,15 @@ j-th slot. Slots keep the smallest offer. Steps stop as soon as j exceeds the la
 slot: for all but short texts after one or two of them.
 
 Documents with the same set are one class from the start. Signatures are cut into
-bands; equal bands are buckets of candidates. Buckets are worked off by leaders: every
-member is compared to the leaders of its bucket, and what is linked joins the leader's
-component. A bucket whose members are all in one component is done, however many pairs
-it has; the others go on with eight times as many leaders, in the end all of them. So no
-link between two components is lost, no bucket is capped, and a group of copies costs
-its size, not its square. A 128-bit sketch thins candidates inside the join (a true
-link passes but for five standard deviations); links are confirmed on the full sets."""
+bands; equal bands are buckets of candidates. First every member is compared to the smallest
+id of its bucket, which settles copies: a bucket whose members are now in one component is
+done, however many pairs it has. In the others, the members outside the bucket's largest
+component are held against all its members, in blocks of bounded size that a task compares
+with numpy: signatures first, then the full sets of the members that have a near pair. A block
+gives back at most one link for each component it meets, never a list of pairs. So no link
+between two components is lost, no bucket is capped, no pair is checked in two buckets, and a
+group of copies costs its size, not its square. Signatures only thin candidates (a true link
+passes but for five standard deviations); links are confirmed on the full sets."""
 
 from __future__ import annotations
 
@@ -26,8 +28,9 @@ from kontor.llm.frames import bitmap, components, id_and_text, in_bitmap, landed
 
 WORDS, PERCENT = 5, 85
 SLOTS, BAND = 128, 5            # 25 bands of 5 slots: a link at 0.85 is missed once in 2 million
-SKETCH_MOST = 25                # differing sketch bits; 9.6 expected at 0.85, standard deviation 3
-GROW = 8
+SKETCH_MOST = 25                # differing sketch bits of 128; 9.6 expected at 0.85, standard deviation 3
+EQUAL_LEAST = 88                # equal slots of 128; 109 expected at 0.85, standard deviation 4
+BLOCK = 512                     # members on either side of a block
 U = np.uint64
 
 
@@ -90,7 +93,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, slots: int = SLOTS) -> n
 
 
 def _sign(n: int, slots: int, band: int):
-    names = ["row_key", "n_shingles", "set_hash", "bands", "s1", "s2"]
+    names = ["row_key", "n_shingles", "set_hash", "bands", "s1", "s2", "slots"]
 
     def run(batches):
         for batch in batches:
@@ -113,7 +116,8 @@ def _sign(n: int, slots: int, band: int):
                                                  pa.array(bands.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(total.view(np.int64)), lists,
-                     pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=names)
+                     pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()),
+                     pa.array([x.tobytes() for x in (K.mix(sig + U(9)) >> U(56)).astype(np.uint8)], pa.binary())], names=names)
     return run
 
 
@@ -156,34 +160,132 @@ def _links(buckets: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int
     return landed(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"))
 
 
-def linked(classes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+# --- blocks: part of a bucket against part of it ----------------------------------------------
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(block, query, main, ...rows): every bucket dealt into blocks. Queries are the members outside
+    the bucket's largest component; each meets every member of its bucket in exactly one block."""
+    by_label = rows.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    stats = by_label.groupBy("bucket").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top")).select(
+        F.col("bucket").alias("of"), F.ceil(F.col("m") / BLOCK).alias("kt"),
+        F.greatest(F.ceil((F.col("m") - F.col("top.c")) / BLOCK), F.lit(1)).alias("kq"), F.col("top.label").alias("main"))
+    d = rows.join(stats, F.col("bucket") == F.col("of")).drop("of")
+    i, j = F.pmod(F.xxhash64("id", F.lit(1)), F.col("kt")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("kq"))
+    last = F.lit(1)
+    targets = d.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kq") - last))).withColumn("query", F.lit(False))
+    queries = (d.filter("label <> main").withColumn("j", j)
+               .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kt") - last))).withColumn("query", F.lit(True)))
+    dealt = targets.select(sorted(targets.columns)).unionByName(queries).withColumn("block", F.xxhash64("bucket", "i", "j"))
+    return dealt.repartition("block").sortWithinPartitions("block").drop("i", "j", "kt", "kq")
+
+
+def _each_block(batches):
+    """Tables of one block each, from batches sorted by block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(batch.schema.get_field_index("block")).to_numpy()
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+            part = batch.slice(a, b - a)
+            if held and held[0].column(part.schema.get_field_index("block"))[0].as_py() != key[a]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _pairs_of(t: pa.Table, percent: int):
+    """(query row, target rows that may be linked to it) of a block, by component, size and id."""
+    label, n, ids = (t.column(c).to_numpy() for c in ("label", "n", "id"))
+    query = t.column("query").to_numpy(zero_copy_only=False)
+    main = t.column("main").to_numpy()
+    targets = np.flatnonzero(~query)
+    for q in np.flatnonzero(query):
+        ok = (label[targets] != label[q]) & ((label[targets] == main[q]) | (ids[targets] > ids[q]))
+        ok &= 100 * np.minimum(n[targets], n[q]) >= percent * np.maximum(n[targets], n[q])
+        if ok.any():
+            yield q, targets[ok]
+
+
+def _first_shared(bands: np.ndarray, q: int, targets: np.ndarray, bucket: int) -> np.ndarray:
+    """Which pairs have this bucket as their first common one."""
+    same = bands[targets] == bands[q]
+    return bands[q][same.argmax(axis=1)] == bucket
+
+
+def _near(slots: int, percent: int):
+    """Members of a bucket that have a pair whose signatures are near."""
+    least = EQUAL_LEAST * slots / 128
+
+    def run(batches):
+        for t in _each_block(batches):
+            sig = np.frombuffer(b"".join(t.column("slots").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            bands = np.array(t.column("bands").to_pylist(), np.int64)
+            bucket, ids = t.column("bucket")[0].as_py(), t.column("id").to_numpy()
+            hit = np.zeros(t.num_rows, bool)
+            for q, targets in _pairs_of(t, percent):
+                near = targets[(sig[targets] == sig[q]).sum(axis=1) >= least]
+                if len(near):
+                    near = near[_first_shared(bands, q, near, bucket)]
+                    hit[near] = True
+                    hit[q] |= len(near) > 0
+            if hit.any():
+                found = np.unique(ids[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), bucket)), pa.array(found)], names=["bucket", "id"])
+    return run
+
+
+def _links_of_blocks(percent: int):
+    """At most one confirmed link for each component that a block can add to another."""
+    def run(batches):
+        for t in _each_block(batches):
+            lists = t.column("elements").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            edges = lists.offsets.to_numpy().astype(np.int64)
+            _, element = np.unique(lists.values.to_numpy()[edges[0]: edges[-1]], return_inverse=True)
+            edges = edges - edges[0]
+            bands = np.array(t.column("bands").to_pylist(), np.int64)
+            label, n, ids, bucket = t.column("label").to_numpy().copy(), t.column("n").to_numpy(), t.column("id").to_numpy(), t.column("bucket")[0].as_py()
+            flags = np.zeros(element.max(initial=0) + 1, bool)
+            out = []
+            for q, targets in _pairs_of(t, percent):
+                targets = targets[label[targets] != label[q]]
+                if not len(targets) or not len(targets := targets[_first_shared(bands, q, targets, bucket)]):
+                    continue
+                flags[element[edges[q]: edges[q + 1]]] = True
+                size = edges[targets + 1] - edges[targets]
+                first = np.cumsum(size) - size
+                at = np.arange(size.sum()) - np.repeat(first, size) + np.repeat(edges[targets], size)
+                both = np.add.reduceat(flags[element[at]].astype(np.int64), first)
+                flags[element[edges[q]: edges[q + 1]]] = False
+                for x in targets[100 * both >= percent * (n[q] + n[targets] - both)]:
+                    if label[x] != label[q]:
+                        out.append((ids[q], ids[x]))
+                        label[label == label[q]] = label[x]
+            if out:
+                a, b = (np.array(c, np.int64) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    return run
+
+
+def linked(classes: DataFrame, sets: DataFrame, percent: int = PERCENT, slots: int = SLOTS) -> DataFrame:
     """Confirmed links (a, b) that join all classes which are linked at all.
 
-    ``classes``: (id, n, bands, s1, s2), one row per distinct set; ``sets``: (id, elements).
-    Round 0 has one leader a bucket, the smallest id; round r about GROW ** r, chosen by
-    a hash, until a bucket is of one component or all its members have led."""
+    ``classes``: (id, n, bands, s1, s2, slots), one row per distinct set; ``sets``: (id, elements)."""
     members = classes.select("id", "n", "s1", "s2", F.explode("bands").alias("bucket"))
-    busy = (members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter("size > 1"))
+    busy = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter("size > 1")
     state = landed(members.join(busy, "bucket").withColumn("label", F.col("id")))
-    links, leads = None, F.col("id") == F.col("first")
-    wanted = 1
-    while True:
-        new = _links(state, state.filter(leads), sets, percent)
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-        labelled = (state.drop("label").join(labels.withColumnRenamed("component", "label"), F.col("id") == F.col("node"), "left")
-                    .withColumn("label", F.coalesce("label", "id")).drop("node"))
-        labelled = landed(labelled)
-        # all members have led when a round wanted as many leaders as there are members
-        open_ = (labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                 .filter("lo <> hi").select("bucket"))
-        state = landed(labelled.join(open_, "bucket", "left_semi").filter(F.lit(wanted) < F.col("size")))
-        if state.isEmpty():
-            return links
-        wanted *= GROW
-        # a fixed share of the bucket by hash; all of them once `wanted` reaches its size
-        chance = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-        leads = chance < F.lit(float(wanted)) / F.col("size")
+    links = _links(state, state.filter("id = first"), sets, percent)
+    labels = components(links).withColumnRenamed("component", "label")
+    state = landed(state.filter("size > 2").drop("label").join(labels, F.col("id") == F.col("node"), "left")
+                   .select("bucket", "id", F.coalesce("label", "id").alias("label")))
+    open_ = (state.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+             .filter("lo <> hi").select("bucket"))
+    state = state.join(open_, "bucket", "left_semi").join(classes.select("id", "n", "bands", "slots"), "id")
+    near = landed(_blocks(state).mapInArrow(_near(slots, percent), "bucket long, id long").distinct())
+    rows = near.join(state.drop("slots"), ["bucket", "id"]).join(sets, "id")
+    return landed(links.unionByName(_blocks(rows).mapInArrow(_links_of_blocks(percent), "a long, b long")))
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, slots: int = SLOTS, band: int = BAND) -> DataFrame:
@@ -198,12 +300,13 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, slo
     small_batches(docs.sparkSession)
     base = id_and_text(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).select("row_key", "text", "doc_id")
     signed = base.select("row_key", "text").mapInArrow(
-        _sign(n, slots, band), "row_key long, n_shingles long, set_hash long, bands array<long>, s1 long, s2 long")
+        _sign(n, slots, band), "row_key long, n_shingles long, set_hash long, bands array<long>, s1 long, s2 long, slots binary")
     signed = landed(signed)
     # one row per distinct set; its name is a row key of one of its members
     own = signed.filter("n_shingles > 0")
     classes = landed(own.groupBy("set_hash", F.col("n_shingles").alias("n")).agg(
-        F.min("row_key").alias("id"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+        F.min("row_key").alias("id"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2"),
+        F.first("slots").alias("slots"))
         .filter("id is not null"))
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
@@ -211,7 +314,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, slo
     bits = bitmap(candidates, "id")
     sets = landed(base.select("row_key", "text").mapInArrow(_sets_of(n, bits), "row_key long, elements array<long>")
                   .withColumnRenamed("row_key", "id").join(candidates, "id", "left_semi").dropDuplicates(["id"]))
-    labels = components(linked(classes.join(candidates, "id", "left_semi"), sets, percent))
+    labels = components(linked(classes.join(candidates, "id", "left_semi"), sets, percent, slots))
     named = classes.join(labels, F.col("id") == F.col("node"), "left").select(
         F.col("set_hash").alias("of_set"), "n", F.coalesce("component", "id").alias("component"))
     ids = base.select("row_key", "doc_id")
