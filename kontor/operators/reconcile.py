@@ -63,6 +63,13 @@ def distinct_order_ids(docs: DataFrame) -> DataFrame:
     return docs.select("ORDER_ID").dropna().distinct()
 
 
+def _order_key(rows: DataFrame) -> Column:
+    """The order number as a join key. Rows without one (fee lines; NULL or blank) match nothing and
+    would all meet in one partition of an outer join, so they get a key of their own instead."""
+    none = F.concat(F.lit("\u0000"), F.xxhash64(*rows.columns).cast("string"))
+    return F.when(cl.is_blank(F.col("bestellnummer")), none).otherwise(F.col("bestellnummer"))
+
+
 def match_orders(shop: DataFrame, docs: DataFrame) -> DataFrame:
     """Export rows whose order number is a document ORDER_ID (semi join; left duplicates kept)."""
     ids = distinct_order_ids(docs)
@@ -71,14 +78,15 @@ def match_orders(shop: DataFrame, docs: DataFrame) -> DataFrame:
 
 def unmatched_orders(shop: DataFrame, docs: DataFrame) -> DataFrame:
     ids = distinct_order_ids(docs)
-    return shop.join(ids, shop["bestellnummer"] == ids["ORDER_ID"], "left_anti")
+    return (shop.withColumn("_key", _order_key(shop)).join(ids, F.col("_key") == ids["ORDER_ID"], "left_anti")
+            .drop("_key"))
 
 
 def match_stats(shop: DataFrame, docs: DataFrame) -> DataFrame:
     """unique_order_ids, matched, total, match_pct, unmatched -- one row."""
     ids = distinct_order_ids(docs).withColumn("_hit", F.lit(True))
     n_ids = ids.select(F.count(F.lit(1))).scalar()
-    marked = shop.join(ids, shop["bestellnummer"] == ids["ORDER_ID"], "left")
+    marked = shop.select(_order_key(shop).alias("_key")).join(ids, F.col("_key") == ids["ORDER_ID"], "left")
     agg = marked.agg(F.count_if(F.col("_hit").isNotNull()).alias("matched"), F.count(F.lit(1)).alias("total"))
     return agg.select(
         n_ids.alias("unique_order_ids"), "matched", "total",
@@ -108,7 +116,7 @@ def attach_lookups(tx: DataFrame, docs: DataFrame) -> DataFrame:
     """Add ``kdnr``/``rgnr`` to transactions by order number (left join)."""
     lk = order_lookup(docs).select(F.col("ORDER_ID").alias("_oid"), F.col("KUNDENNR").alias("kdnr"),
                                    F.col("BELEGNR").alias("rgnr"))
-    return tx.join(lk, tx["bestellnummer"] == lk["_oid"], "left").drop("_oid")
+    return tx.withColumn("_key", _order_key(tx)).join(lk, F.col("_key") == lk["_oid"], "left").drop("_oid", "_key")
 
 
 def lookup_coverage(tx: DataFrame, docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from kontor.functions import cleaning as cl
 from kontor.functions import constants as K
+from kontor.sources.sinks import PERIOD
 
 
 def build_origins(use_amazon: bool, use_ebay: bool, custom_origins: str = "") -> list[str]:
@@ -64,7 +65,11 @@ def date_validity(df: DataFrame, col: str) -> DataFrame:
 
 def documents_window(spark: SparkSession, path: str, date_from: str, date_to: str,
                      origins: list[str]) -> DataFrame:
-    """A4: landed documents of a date window and platform list; both filters
-    reach the parquet scan (and partition pruning when landed by date)."""
+    """A4: landed documents of a date window and platform list. Both filters reach the parquet
+    scan; a landing by document month is read for the months of the window only."""
     docs = spark.read.parquet(path)
-    return filter_origins(filter_date_range(docs, date_from, date_to), origins)
+    found = filter_origins(filter_date_range(docs, date_from, date_to), origins)
+    if PERIOD in docs.columns:      # the bounds are valid dates by now
+        first, last = (int(d[6:10]) * 100 + int(d[3:5]) for d in (date_from, date_to))
+        found = found.filter(F.col(PERIOD).between(first, last)).drop(PERIOD)
+    return found

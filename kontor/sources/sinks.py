@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from kontor.functions import constants as K
 
 
+PERIOD = "BELEGMONAT"       # partition column: document month as yyyymm
+
+
 def write_documents_snapshot(docs: DataFrame, path: str, batch_id: str, fmt: str = "parquet") -> None:
-    """A10: persist a fetched batch under ``batch_id=<id>`` (appends batches)."""
-    (docs.withColumn("batch_id", F.lit(batch_id)).write.mode("append")
-     .partitionBy("batch_id").format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path))
+    """A10: persist a fetched batch under ``batch_id=<id>`` (appends batches).
+
+    Documents with typed dates are laid out by document month below that, so that a date window
+    (:func:`kontor.sources.filters.documents_window`) reads the months it needs."""
+    layout = ["batch_id"]
+    out = docs.withColumn("batch_id", F.lit(batch_id))
+    if dict(docs.dtypes).get("BELEGDAT") in ("date", "timestamp", "timestamp_ntz"):
+        out = out.withColumn(PERIOD, (F.year("BELEGDAT") * 100 + F.month("BELEGDAT")).cast("int"))
+        layout.append(PERIOD)
+    (out.write.mode("append").partitionBy(*layout).format(fmt)
+     .options(**({"header": "true"} if fmt == "csv" else {})).save(path))
 
 
 def write_matched(matched: DataFrame, path: str, fmt: str = "csv") -> None:
