@@ -71,28 +71,43 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
 # --- D1 ---------------------------------------------------------------------
 
 def kpi_metrics(prep: DataFrame) -> DataFrame:
-    """One row of KPIs; columns appear only when their inputs exist."""
+    """One row of KPIs; columns appear only when their inputs exist.
+
+    The documents are first reduced to one row per (customer, platform, country); distinct values are
+    counted on those rows, so no document is expanded once per distinct count."""
+    amounts = [c for c in ("BRUTTO", "NETTO", "ERLOES") if c in prep.columns]
+    keys = [c for c in ("KUNDENNR", "ORIGIN", "ISOA2_LAND") if c in prep.columns]
+    parts = [F.count(F.lit(1)).alias("_n")]
+    for c in amounts:
+        parts += [F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_c_{c}")]
+    if "BRUTTO" in amounts:
+        parts += [F.max("BRUTTO").alias("_max"), F.min("BRUTTO").alias("_min")]
+    if _has(prep, "BELEGDAT"):
+        parts += [F.min("BELEGDAT").alias("_from"), F.max("BELEGDAT").alias("_to")]
+    small = prep.groupBy(*keys).agg(*parts)
+
+    def all_of(c: str) -> Column:
+        return F.coalesce(F.sum(f"_s_{c}").cast("double"), F.lit(0.0))
+
+    def mean_of(c: str) -> Column:
+        return F.try_divide(F.sum(f"_s_{c}").cast("double"), F.sum(f"_c_{c}").cast("double"))
+
     aggs = []
-    if _has(prep, "BRUTTO"):
-        aggs += [total("BRUTTO").alias("total_gross_revenue"), mean("BRUTTO").alias("avg_order_value_gross"),
-                 F.max("BRUTTO").cast("double").alias("max_order_gross"),
-                 F.min("BRUTTO").cast("double").alias("min_order_gross")]
-    if _has(prep, "NETTO"):
-        aggs += [total("NETTO").alias("total_net_revenue"), mean("NETTO").alias("avg_order_value_net")]
-    if _has(prep, "ERLOES"):
-        aggs += [total("ERLOES").alias("total_profit"), mean("ERLOES").alias("avg_profit_per_order")]
-    aggs.append(F.count(F.lit(1)).alias("total_orders"))
-    if _has(prep, "KUNDENNR"):
-        aggs.append(F.count_distinct("KUNDENNR").alias("unique_customers"))
-    if _has(prep, "ORIGIN"):
-        aggs.append(F.count_distinct("ORIGIN").alias("platforms"))
-    if _has(prep, "ISOA2_LAND"):
-        aggs.append(F.count_distinct("ISOA2_LAND").alias("countries"))
+    if "BRUTTO" in amounts:
+        aggs += [all_of("BRUTTO").alias("total_gross_revenue"), mean_of("BRUTTO").alias("avg_order_value_gross"),
+                 F.max("_max").cast("double").alias("max_order_gross"), F.min("_min").cast("double").alias("min_order_gross")]
+    if "NETTO" in amounts:
+        aggs += [all_of("NETTO").alias("total_net_revenue"), mean_of("NETTO").alias("avg_order_value_net")]
+    if "ERLOES" in amounts:
+        aggs += [all_of("ERLOES").alias("total_profit"), mean_of("ERLOES").alias("avg_profit_per_order")]
+    aggs.append(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_orders"))
+    aggs += [F.count_distinct(c).alias(name) for c, name in (
+        ("KUNDENNR", "unique_customers"), ("ORIGIN", "platforms"), ("ISOA2_LAND", "countries")) if c in keys]
     if _has(prep, "BELEGDAT"):
-        aggs += [F.min("BELEGDAT").alias("date_range_start"), F.max("BELEGDAT").alias("date_range_end")]
+        aggs += [F.min("_from").alias("date_range_start"), F.max("_to").alias("date_range_end")]
     if _has(prep, "BRUTTO", "ERLOES"):
-        aggs += [F.sum("BRUTTO").alias("_sb"), F.sum("ERLOES").alias("_se")]
-    k = prep.agg(*aggs)
+        aggs += [F.sum("_s_BRUTTO").alias("_sb"), F.sum("_s_ERLOES").alias("_se")]
+    k = small.agg(*aggs)
     out = [c for c in k.columns if not c.startswith("_") and not c.startswith("date_range")]
     cols = [F.col(c) for c in out]
     if "unique_customers" in k.columns:
