@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import TypeVar
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int, rows_per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows_per_class`` labelled documents of each class
+def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int, rows_per_class: int, max_chars: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``rows_per_class`` labelled documents of each class
     outside the held-out fold, the first ones by a hash of the id.
 
     Longer texts than ``max_chars`` are no training examples (they are scored whole like all
@@ -23,10 +28,23 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int, rows_p
         some = known.filter(F.col("__y") == c).orderBy(order, "doc_id").limit(rows_per_class)
         picked = some if picked is None else picked.unionByName(some)
     if picked is None:
-        return []
+        return docs.select("doc_id", "text", F.lit(0).alias("y")).limit(0)
     # at most 32 * rows_per_class ids: a size that the parameters bound
-    rows = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
             .filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-            .select("doc_id", "text", "__y").dropDuplicates(["doc_id"]).orderBy("doc_id"))
-    got = rows.toArrow()
-    return list(zip(got.column("text").to_pylist(), got.column("__y").to_pylist(), strict=True))
+            .select("doc_id", "text", F.col("__y").alias("y")).dropDuplicates(["doc_id"]))
+
+
+Model = TypeVar("Model")
+
+
+def fit_in_task(examples: DataFrame, train: Callable[[list[tuple[str, int]]], Model]) -> Model:
+    """Train on a bounded :func:`sample` in one task of an executor; the driver gets the model only."""
+    def run(batches):
+        rows = []
+        for batch in batches:
+            rows += zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+        model = train([(text, y) for _, text, y in sorted(rows)])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+    got = examples.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else train([])

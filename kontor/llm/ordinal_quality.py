@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kontor.llm import textkit as K
 from kontor.llm.frames import fold, id_and_text, small_batches
-from kontor.llm.labelled import sample
+from kontor.llm.labelled import fit_in_task, sample
 from kontor.llm.ngrams import BUCKET_BITS, byte_grams
 
 
@@ -39,8 +39,16 @@ def train(examples: list[tuple[str, int]], epochs: int = 80, rate: float = 0.05,
         return Model(weight, np.empty(0), grades if len(grades) else np.zeros(1, np.int64))
     raw = [t.encode() for t, _ in examples]
     n = len(raw)
-    keys = [r * (1 << BUCKET_BITS) + b for b, r in byte_grams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))]
-    key, count = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
+    keys, counts = [], []
+    for i in range(0, n, 100):                  # counts of one part of the texts at a time
+        part = raw[i: i + 100]
+        for b, r in byte_grams(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)])):
+            k, c = np.unique((r + i) * (1 << BUCKET_BITS) + b, return_counts=True)
+            keys.append(k)
+            counts.append(c)
+    key, which = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_inverse=True)
+    count = np.bincount(which, np.concatenate(counts) if counts else None, len(key))
+    del keys, counts, which
     row, bucket = key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1)
     used, col = np.unique(bucket, return_inverse=True)
     tf = count / np.maximum(np.bincount(row, count, n), 1)[row]
@@ -79,7 +87,7 @@ def tails(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def quality(docs: DataFrame, labels: DataFrame, grade: str = "grade", wanted: int | None = None, held_out: int = 5,
-            rows_per_class: int = 1000, max_chars: int = 20_000) -> DataFrame:
+            rows_per_class: int = 800, max_chars: int = 20_000) -> DataFrame:
     """(doc_id, held_out, expected_grade, score, predicted) for every row of ``docs``.
 
     ``labels`` has doc_id and integer grades; rows whose crc32(doc_id as text) mod
@@ -87,7 +95,7 @@ def quality(docs: DataFrame, labels: DataFrame, grade: str = "grade", wanted: in
     grade); predicted = 1 from a half on: selected. With fewer than two grades known every
     score is 1. NULL text counts as empty; repeated rows score alike; NULL ids are not held out."""
     small_batches(docs.sparkSession)
-    model = train(sample(docs, labels, grade, held_out, rows_per_class, max_chars))
+    model = fit_in_task(sample(docs, labels, grade, held_out, rows_per_class, max_chars), train)
     at = 0 if wanted is None else int(np.searchsorted(model.grades[1:], wanted))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = id_and_text(docs)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from kontor.llm import textkit as K
 from kontor.llm.frames import fold, small_batches
-from kontor.llm.labelled import sample
+from kontor.llm.labelled import fit_in_task, sample
 from kontor.llm.ngrams import BUCKET_BITS, Words
 
 #: (words in a passage, epochs) of the stages of training; scoring uses the last
@@ -42,12 +42,38 @@ def _mean(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, edges[:-1], axis=0) / np.diff(edges)[:, None].astype(np.float32)
 
 
-def _passages(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _passages(per_row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(passage of each word, row of each passage) of passages of ``size`` words."""
-    base = np.concatenate((np.zeros(1, np.int64), np.cumsum(-(-words.per_row // size))))
-    first = np.concatenate((np.zeros(1, np.int64), np.cumsum(words.per_row)))
-    inside = np.arange(words.count) - first[words.row]
-    return base[words.row] + inside // size, np.repeat(np.arange(len(words.per_row)), np.diff(base))
+    per = -(-per_row // size)
+    base, first = np.cumsum(per) - per, np.cumsum(per_row) - per_row
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    return base[row] + (np.arange(len(row)) - first[row]) // size, np.repeat(np.arange(len(per_row)), per)
+
+
+def _lexicon(raw: list[bytes], step: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, kind of each word, bucket and kind of the n-grams of every kind of word)."""
+    per_row, names, known, buckets, owners = [], [], [], [], []
+    for i in range(0, len(raw), step):
+        words = Words(*_buffer(raw[i: i + step]))
+        name = words.identity()
+        own, example, which = np.unique(name, return_index=True, return_inverse=True)
+        is_example = np.zeros(words.count, bool)
+        is_example[example] = True
+        for b, w in words.grams():
+            keep = is_example[w]
+            buckets.append(b[keep])
+            owners.append(which[w[keep]] + sum(map(len, known)))
+        known.append(own)
+        names.append(name)
+        per_row.append(words.per_row)
+    every = np.concatenate(known)
+    kinds, first = np.unique(every, return_index=True)
+    bucket, owner = np.concatenate(buckets), np.concatenate(owners)
+    is_first = np.zeros(len(every), bool)
+    is_first[first] = True
+    keep = is_first[owner]          # a kind's n-grams are taken from the first piece that has it
+    return (np.concatenate(per_row), np.searchsorted(kinds, np.concatenate(names)).astype(np.int32),
+            bucket[keep], np.searchsorted(kinds, every[owner[keep]]))
 
 
 def _pool(z: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,16 +114,11 @@ def _fit(examples: list[tuple[str, int]], dim: int, stages: tuple[tuple[int, int
     y = np.array([t for _, t in examples], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), 30.0 if len(y) and y[0] == 1 else -30.0)
-    words = Words(*_buffer([t.encode() for t, _ in examples]))
-    _, example, kind = np.unique(words.identity(), return_index=True, return_inverse=True)
-    is_example = np.zeros(words.count, bool)
-    is_example[example] = True
-    grams = [(b[is_example[w]], kind[w[is_example[w]]]) for b, w in words.grams()]
-    bucket, of = (np.concatenate(x) for x in zip(*grams, strict=True))
+    per_row, kind, bucket, of = _lexicon([t.encode() for t, _ in examples])
     order = np.argsort(of, kind="stable")
     bucket, of = bucket[order], of[order]
     used, bucket = np.unique(bucket, return_inverse=True)
-    types = len(example)
+    types = int(of[-1]) + 1
     type_edges = np.searchsorted(of, np.arange(types + 1))
     per_type = 1.0 / np.diff(type_edges)
     rng = np.random.default_rng(seed)
@@ -107,7 +128,7 @@ def _fit(examples: list[tuple[str, int]], dim: int, stages: tuple[tuple[int, int
     sizes = [size for size, epochs in stages for _ in range(epochs)]
     for step, size in enumerate(sizes, 1):
         if step == 1 or size != sizes[step - 2]:
-            passage, row = _passages(words, size)
+            passage, row = _passages(per_row, size)
             passage_edges = np.searchsorted(passage, np.arange(len(row) + 1))
             per_passage = 1.0 / np.diff(passage_edges)
         emb, w, b = params
@@ -142,7 +163,7 @@ def logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for bucket, word in words.grams():
         total += np.bincount(word, model.weight[bucket], words.count)
         number += np.bincount(word, minlength=words.count)
-    passage, row = _passages(words, model.passage)
+    passage, row = _passages(words.per_row, model.passage)
     z = np.bincount(passage, total / number) / np.bincount(passage) + model.bias
     return np.where(words.per_row > 0, _pool(z, row, rows)[0], -np.inf)
 
@@ -152,10 +173,12 @@ def score_buffer(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return 1 / (1 + np.exp(-np.clip(logits(model, data, offsets), -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, max_chars: int = 20_000, held_out: int = 5) -> Model:
-    examples = sample(docs, labels, "toxic", held_out, rows_per_class, max_chars)
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2500, max_chars: int = 20_000, held_out: int = 5) -> Model:
+    """Train on at most ``rows_per_class`` labelled texts of each class of at most ``max_chars``
+    characters, outside the held-out fold."""
     got = labels.filter(fold("doc_id", held_out) != 0).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    return train(examples, 0.0 if got is None else got)
+    prior = 0.0 if got is None else got
+    return fit_in_task(sample(docs, labels, "toxic", held_out, rows_per_class, max_chars), lambda x: train(x, prior))
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:
