@@ -173,7 +173,7 @@ def score_buffer(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return 1 / (1 + np.exp(-np.clip(logits(model, data, offsets), -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2500, max_chars: int = 20_000, held_out: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1800, max_chars: int = 20_000, held_out: int = 5) -> Model:
     """Train on at most ``rows_per_class`` labelled texts of each class of at most ``max_chars``
     characters, outside the held-out fold."""
     got = labels.filter(fold("doc_id", held_out) != 0).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
