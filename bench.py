@@ -66,6 +66,7 @@ def main() -> None:
     for key in ("report_header", "report_lines", "other_fee_detail", "processing_summary"):
         run(out[key])
     out["transactions"].unpersist()
+    out["first_rows"].unpersist()
     times["reconcile_exports_from_files"] = round(time.perf_counter() - t0, 3)
 
     t0 = time.perf_counter()
