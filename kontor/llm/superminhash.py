@@ -288,15 +288,8 @@ def linked(classes: DataFrame, sets: DataFrame, percent: int = PERCENT, slots: i
     return landed(links.unionByName(_blocks(rows).mapInArrow(_links_of_blocks(percent), "a long, b long")))
 
 
-def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, slots: int = SLOTS, band: int = BAND) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    Two rows are linked if their shingle sets have a Jaccard similarity of at least
-    ``percent`` / 100; component_id is the smallest doc_id reachable. Texts that are NULL or
-    have no words are alone; rows with a NULL id are linked like others, but never name
-    a component unless all its ids are NULL; kept is doc_id = component_id (rows that
-    repeat a doc_id are all kept, false for NULL ids in a component with others). Other columns
-    are ignored; an empty table gives an empty table."""
+def _placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, slots: int = SLOTS, band: int = BAND) -> DataFrame:
+    """(row_key, doc_id, n_shingles, component) for every row of ``docs``; component is NULL without words."""
     small_batches(docs.sparkSession)
     base = id_and_text(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).select("row_key", "text", "doc_id")
     signed = base.select("row_key", "text").mapInArrow(
@@ -318,9 +311,21 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, slo
     named = classes.join(labels, F.col("id") == F.col("node"), "left").select(
         F.col("set_hash").alias("of_set"), "n", F.coalesce("component", "id").alias("component"))
     ids = base.select("row_key", "doc_id")
-    placed = landed(ids.join(signed.select("row_key", "n_shingles", "set_hash").dropDuplicates(["row_key"]), "row_key")
-                    .join(named, (F.col("set_hash") == F.col("of_set")) & (F.col("n_shingles") == F.col("n")), "left")
-                    .select("doc_id", "n_shingles", "component"))
+    return landed(ids.join(signed.select("row_key", "n_shingles", "set_hash").dropDuplicates(["row_key"]), "row_key")
+                  .join(named, (F.col("set_hash") == F.col("of_set")) & (F.col("n_shingles") == F.col("n")), "left")
+                  .select("row_key", "doc_id", "n_shingles", "component"))
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Two rows are linked if their shingle sets have a Jaccard similarity of at least
+    ``percent`` / 100; component_id is the smallest doc_id reachable. Texts that are NULL or
+    have no words are alone; rows with a NULL id are linked like others, but never name
+    a component unless all its ids are NULL; kept is doc_id = component_id (rows that
+    repeat a doc_id are all kept, false for NULL ids in a component with others). Other columns
+    are ignored; an empty table gives an empty table."""
+    placed = _placed(docs, **how)
     some = placed.filter("component is not null")
     first = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     rows = (some.join(first, "component").select("doc_id", "n_shingles", "component_id")
@@ -329,8 +334,21 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, slo
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without the rows that :func:`near_duplicates` does not keep. All columns stay.
-
-    Rows are told apart by doc_id; rows with NULL ids go if a row with an id is near them."""
-    gone = landed(near_duplicates(docs, **how).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` with one row of each group of near copies, the one with the smallest doc_id (NULL
+    last). All columns stay.
+
+    Rows are told apart by (doc_id, text), so rows that share an id, or have none, each get their
+    own decision; of wholly equal (id, text) rows one stays. Rows without words all stay."""
+    some = _placed(docs, **how).filter("component is not null")
+    keys = some.groupBy("component", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    best = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "row_key")).alias("best"))
+    decided = landed(keys.join(best, "component").select("row_key", "n", (F.col("row_key") == F.col("best.row_key")).alias("stays"))
+                     .filter("not stays or n > 1"))
+    drop = decided.filter("not stays").select(F.col("row_key").alias("k"))
+    again = decided.filter("stays").select(F.col("row_key").alias("k"))
+    keyed = docs.withColumn("__k", F.xxhash64("doc_id", F.coalesce(docs["text"], F.lit(""))))
+    once = keyed.join(drop, F.col("__k") == drop["k"], "left_anti")
+    if again.isEmpty():
+        return once.drop("__k")
+    first = once.join(again, F.col("__k") == again["k"], "left_semi").dropDuplicates(["__k"])
+    return once.join(again, F.col("__k") == again["k"], "left_anti").unionByName(first).drop("__k")

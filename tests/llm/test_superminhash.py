@@ -113,3 +113,22 @@ def test_sets_equal_python_sets():
     _, first = S.shingle_sets(np.frombuffer(b"".join(data), np.uint8), offsets)
     assert np.diff(first).tolist() == [len(shingles(t)) for _, t in rows]
     assert K.pieces is not None
+
+
+def test_keep_first_decides_row_by_row(spark):
+    """NULL and repeated ids: only near copies go, and one row of each group stays."""
+    rnd = random.Random(6)
+
+    def prose():
+        return " ".join(f"w{rnd.randrange(10**6)}" for _ in range(90))
+    a, b, c, alone, also = (prose() for _ in range(5))
+    rows = [(1, a), (None, a + " end"), (None, alone), (None, also),            # one of three NULL ids is near a row with an id
+            (None, b), (None, b + " end"), (None, "begin " + b),                # a group of NULL ids only
+            (7, c), (7, c + " end"), (7, prose()), (3, "begin " + c),           # an id that near copies and a clean text share
+            (20, "x y z p q r"), (20, "x y z p q r"), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, __gone int")
+    left = S.keep_first(df)
+    assert left.columns == df.columns
+    got = sorted(r["__gone"] for r in left.collect())
+    assert len([i for i in got if i in (4, 5, 6)]) == 1 and len([i for i in got if i in (11, 12)]) == 1
+    assert [i for i in got if i not in (4, 5, 6, 11, 12)] == [0, 2, 3, 9, 10, 13, 14]
