@@ -34,8 +34,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies."""
-    return superminhash.keep_first(docs)
+    """The smallest doc_id of each group of near copies: five words, a similarity of 0.8 or more."""
+    return superminhash.keep_first(docs, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

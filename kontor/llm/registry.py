@@ -54,7 +54,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

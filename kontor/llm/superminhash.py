@@ -18,6 +18,8 @@ passes but for five standard deviations); links are confirmed on the full sets."
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,13 +29,32 @@ from kontor.llm import textkit as K
 from kontor.llm.frames import bitmap, components, id_and_text, in_bitmap, landed, small_batches
 
 WORDS, PERCENT = 5, 85
-SLOTS, BAND = 128, 5            # 25 bands of 5 slots: a link at 0.85 is missed once in 2 million
-SKETCH_MOST = 25                # differing sketch bits of 128; 9.6 expected at 0.85, standard deviation 3
-EQUAL_LEAST = 88                # equal slots of 128; 109 expected at 0.85, standard deviation 4
+SLOTS = 128
+MISSED = 1e-6                   # chance that no band of a link at the threshold is equal
+DEVIATIONS = 5                  # standard deviations that a link at the threshold may lack in slots or sketch
 BLOCK = 512                     # members on either side of a block
 U = np.uint64
 
 
+def band_of(percent: int, slots: int = SLOTS) -> int:
+    """Slots a band: the most at which a link at the threshold is missed at most MISSED times; at
+    0.85 25 bands of 5, at 0.80 32 bands of 4."""
+    fits = [b for b in range(1, slots + 1) if (1 - (percent / 100) ** b) ** (slots // b) <= MISSED]
+    return max(fits, default=1)
+
+
+def sketch_most(percent: int, slots: int = SLOTS) -> int:
+    """Most differing sketch bits of a link: 25 of 128 at 0.85 (9.6 expected), 30 at 0.80 (12.8)."""
+    bits, p = min(slots, SLOTS), (1 - percent / 100) / 2
+    return math.ceil(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+
+
+def equal_least(percent: int, slots: int = SLOTS) -> int:
+    """Least equal slots of a link: 88 of 128 at 0.85 (109 expected), 79 at 0.80 (102)."""
+    p = percent / 100
+    return max(0, math.floor(slots * p - DEVIATIONS * math.sqrt(slots * p * (1 - p))))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of each row, offsets). Fewer than ``n`` words: the
     whole sequence is the one shingle; no words: none."""
@@ -146,14 +167,14 @@ def _confirm(percent: int):
     return run
 
 
-def _links(buckets: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(buckets: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int, slots: int) -> DataFrame:
     """Confirmed links (a, b) between leaders and the members of their buckets."""
     lead = leaders.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s1").alias("t1"),
                           F.col("s2").alias("t2"), F.col("label").alias("lb"))
     sketch = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
     pairs = (buckets.join(lead, "bucket")
              .filter((F.col("label") != F.col("lb")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
-                     & (sketch <= SKETCH_MOST))
+                     & (sketch <= sketch_most(percent, slots)))
              .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
     one = sets.select(F.col("id").alias("a"), F.col("elements").alias("set_a"))
     two = sets.select(F.col("id").alias("b"), F.col("elements").alias("set_b"))
@@ -216,7 +237,7 @@ def _first_shared(bands: np.ndarray, q: int, targets: np.ndarray, bucket: int) -
 
 def _near(slots: int, percent: int):
     """Members of a bucket that have a pair whose signatures are near."""
-    least = EQUAL_LEAST * slots / 128
+    least = equal_least(percent, slots)
 
     def run(batches):
         for t in _each_block(batches):
@@ -276,7 +297,7 @@ def linked(classes: DataFrame, sets: DataFrame, percent: int = PERCENT, slots: i
     members = classes.select("id", "n", "s1", "s2", F.explode("bands").alias("bucket"))
     busy = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter("size > 1")
     state = landed(members.join(busy, "bucket").withColumn("label", F.col("id")))
-    links = _links(state, state.filter("id = first"), sets, percent)
+    links = _links(state, state.filter("id = first"), sets, percent, slots)
     labels = components(links).withColumnRenamed("component", "label")
     state = landed(state.filter("size > 2").drop("label").join(labels, F.col("id") == F.col("node"), "left")
                    .select("bucket", "id", F.coalesce("label", "id").alias("label")))
@@ -288,12 +309,12 @@ def linked(classes: DataFrame, sets: DataFrame, percent: int = PERCENT, slots: i
     return landed(links.unionByName(_blocks(rows).mapInArrow(_links_of_blocks(percent), "a long, b long")))
 
 
-def _placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, slots: int = SLOTS, band: int = BAND) -> DataFrame:
+def _placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, slots: int = SLOTS, band: int | None = None) -> DataFrame:
     """(row_key, doc_id, n_shingles, component) for every row of ``docs``; component is NULL without words."""
     small_batches(docs.sparkSession)
     base = id_and_text(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).select("row_key", "text", "doc_id")
     signed = base.select("row_key", "text").mapInArrow(
-        _sign(n, slots, band), "row_key long, n_shingles long, set_hash long, bands array<long>, s1 long, s2 long, slots binary")
+        _sign(n, slots, band or band_of(percent, slots)), "row_key long, n_shingles long, set_hash long, bands array<long>, s1 long, s2 long, slots binary")
     signed = landed(signed)
     # one row per distinct set; its name is a row key of one of its members
     own = signed.filter("n_shingles > 0")

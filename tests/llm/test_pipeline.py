@@ -108,3 +108,18 @@ def test_edge_cases_and_empty_tables(spark, tmp_path):
     assert P.STAGES[-1][1](spark, docs, f"{tmp_path}/a").count() > 0
     write_tables(spark, f"{tmp_path}/b", [], [], [])
     assert P.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_near_stage_takes_similarities_of_080_to_085(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = []
+    for _ in range(60):                 # one changed word of 50 to 60: 0.80 to 0.84; of 45: 0.78
+        for n in (45, 50, 55, 60):
+            w = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+            near = list(w)
+            near[n // 2] = "changed"
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(near))]
+    want = {int(d) for d, _, _, stays in near_brute(rows, 80) if stays}
+    assert len(want) == 300 and len([1 for *_, stays in near_brute(rows) if stays]) == 480
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ids(P.drop_near_copies(spark, docs, str(tmp_path))) == want

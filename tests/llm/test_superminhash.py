@@ -132,3 +132,8 @@ def test_keep_first_decides_row_by_row(spark):
     got = sorted(r["__gone"] for r in left.collect())
     assert len([i for i in got if i in (4, 5, 6)]) == 1 and len([i for i in got if i in (11, 12)]) == 1
     assert [i for i in got if i not in (4, 5, 6, 11, 12)] == [0, 2, 3, 9, 10, 13, 14]
+
+
+def test_limits_follow_the_threshold():
+    assert [f(85) for f in (S.band_of, S.sketch_most, S.equal_least)] == [5, 25, 88]
+    assert [f(80) for f in (S.band_of, S.sketch_most, S.equal_least)] == [4, 30, 79]
