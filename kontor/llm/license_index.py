@@ -2,7 +2,7 @@
 
 Templates are word sequences of license notices. The index keeps the postings (template,
 position) of each template's rarest words, by document frequency over the whole corpus. A file
-looks up its highest-IDF words that the index has; each meeting of a posting and a place in
+looks up every word that the index has (at most 30 words); each meeting of a posting and a place in
 the file proposes a template at a relative position, and proposals from different words fall
 together. A proposal is verified word by word at that position: enough of the template must be
 there, and all of its mandatory key phrase.
@@ -32,7 +32,7 @@ TEMPLATES = (
 )
 BASE = (("apache", ("apache", "license")), ("gpl", ("general", "public", "license")), ("mit", ("mit", "license")))
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-RARE_PER_TEMPLATE, LOOKED_UP, ENOUGH = 3, 4, 0.8
+RARE_PER_TEMPLATE, ENOUGH = 3, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,13 +72,14 @@ def rare_words(docs: DataFrame) -> DataFrame:
 
 
 def _proposals(words: Column, top: Column) -> Column:
-    """Distinct (t, at): template t would begin at word ``at``."""
+    """Distinct (t, at): template t would begin at word ``at``. Told apart as numbers, by a hash set."""
     postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(p).alias("p"))
                          for t, ws in enumerate(_template_words()) for p, w in enumerate(ws)])
     places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(top, h["w"]))
     met = F.transform(places, lambda h: F.transform(F.filter(postings, lambda p: p["w"] == h["w"]),
-                                                     lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("at"))))
-    return F.array_distinct(F.flatten(met))
+                                                     lambda p: F.shiftleft((h["i"] - p["p"]).cast("long"), 4).bitwiseOR(p["t"].cast("long"))))
+    return F.transform(F.array_distinct(F.flatten(met)), lambda c: F.struct(c.bitwiseAND(F.lit(15)).cast("int").alias("t"),
+                                                                           F.shiftright(c, 4).cast("int").alias("at")))
 
 
 def _verified(words: Column, proposals: Column) -> Column:
@@ -106,10 +107,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rare = landed(rare_words(docs))
     idf = rare.scalar()
     w = docs.select("doc_id", words_of(F.col("text")).alias("words"), idf.alias("idf"))
-    mine = F.array_intersect("words", F.coalesce(F.map_keys("idf"), F.array().cast("array<string>")))
-    top = F.transform(F.slice(F.array_sort(F.transform(mine, lambda x: F.struct((-F.col("idf")[x]).alias("a"), x.alias("w")))), 1, LOOKED_UP),
-                      lambda x: x["w"])
-    w = w.withColumn("top", top)
+    w = w.withColumn("top", F.array_intersect("words", F.coalesce(F.map_keys("idf"), F.array().cast("array<string>"))))
     none = F.array().cast("array<struct<label:string,share:double>>")
     found = F.when(F.size("top") > 0, _verified(F.col("words"), _proposals(F.col("words"), F.col("top")))).otherwise(none)
     ends = F.when(F.array_contains("words", "license"), F.filter(

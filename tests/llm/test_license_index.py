@@ -50,3 +50,20 @@ def test_no_python_in_the_plan_and_empty_table(spark):
     assert "Python" not in plan and "Arrow" not in plan
     assert L.licenses(df.limit(0)).count() == 0
     assert [tuple(r)[5:] for r in L.licenses(df).collect()] == [("mit", "mit", 1.0)]
+
+
+def test_many_notices_and_stray_rare_words(spark):
+    """Three to six notices in one text, with rare words in prose around them."""
+    rnd = random.Random(5)
+    stray = "mozilla commons binary redistribution attribution gnu person obtaining released granted the of under".split()
+    rows = []
+    for i in range(80):
+        words = [rnd.choice(stray) for _ in range(rnd.randint(0, 40))]
+        for _, notice, _ in rnd.sample(L.TEMPLATES, rnd.randint(3, 6)):
+            x = rnd.randint(0, len(words))
+            words[x:x] = ["plain", *notice.split(), "plain"]
+        rows.append((i, " ".join(words)))
+    rows.append((500, " ".join(["mozilla commons binary redistribution gnu"] * 4000 + [L.TEMPLATES[4][1]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in L.licenses(df).collect()}
+    assert got == {d: brute(t) for d, t in rows}
