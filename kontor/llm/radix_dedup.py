@@ -213,6 +213,11 @@ def _cut(width: int):
     return run
 
 
+def spans_of(windows: DataFrame) -> DataFrame:
+    """(row_key, places), each place once: wholly repeated rows share a key and send the same places."""
+    return windows.groupBy("row_key").agg(F.collect_set("place").alias("places"))
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, bits: int = BITMAP_BITS,
                    chunk: int = CHUNK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (the bytes
@@ -225,8 +230,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, bits:
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = id_and_text(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    spans = landed(repeated_windows(base, width, kmer, bits, chunk).groupBy("row_key")
-                   .agg(F.collect_list("place").alias("places")))
+    spans = landed(spans_of(repeated_windows(base, width, kmer, bits, chunk)))
     hit = bitmap(spans, "row_key", bits)
 
     def maybe(batches):                       # rows whose key is in the bitmap: few besides those with spans

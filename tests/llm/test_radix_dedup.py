@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from kontor.llm import radix_dedup as R
 from kontor.llm.radix_dedup import remove_repeats
 
 
@@ -58,3 +59,21 @@ def test_production_width_long_text_cut_in_chunks(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(df).count() == 0
+
+
+def test_repeated_rows_hold_each_place_once(spark, monkeypatch):
+    """Rows with one id and text share a key; the lists that reach the cut do not grow with the rows."""
+    held = []
+
+    def noted(df):
+        out = df.cache()
+        if "places" in out.columns:
+            held.extend(out.collect())
+        return out
+    monkeypatch.setattr(R, "landed", noted)
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+    rows = [(1, text)] * 30 + [(None, text)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_removed for r in remove_repeats(df).collect()} == {900}
+    assert held and all(len(r.places) == len(set(r.places)) for r in held)
