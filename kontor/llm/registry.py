@@ -15,10 +15,13 @@ from kontor.llm import (
     mixing,
     ordinal_quality,
     radix_dedup,
+    rendezvous,
     secret_cnn,
+    segment_trees,
     superminhash,
     tiling,
     toxicity,
+    whitening,
 )
 
 
@@ -73,6 +76,20 @@ def op10_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    white = whitening.whiten(vectors, whitening.fit_whitening(vectors))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendezvous.place(table(spark, sf_dir, "documents"))
+
+
+def op13_segment_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_trees.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pitman_yor": op2_pitman_yor,
@@ -84,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_index": op8_license_index,
     "op9_secret_cnn": op9_secret_cnn,
     "op10_radix_dedup": op10_radix_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_rendezvous": op12_rendezvous,
+    "op13_segment_trees": op13_segment_trees,
 }
 
 OP5_SQL = r"""
@@ -125,7 +145,35 @@ SELECT doc_id, run.source, size, source_size, target,
 FROM run JOIN cut ON run.source IS NOT DISTINCT FROM cut.source
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM kept GROUP BY lang),
+own AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN kept ON t.lang = kept.lang AND t.term = kept.term GROUP BY ALL),
+size AS (SELECT lang, source, CAST(sum(c) AS BIGINT) AS n FROM own GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c,
+             1 + (1000000000 * (coalesce(o.c, 0) + 5)) // (coalesce(s.n, 0) + 5 * v.v) AS p,
+             1 + (1000000000 * (k.total + 5)) // (v.n + 5 * v.v) AS q
+      FROM g JOIN kept k ON g.lang = k.lang JOIN v ON v.lang = g.lang
+      LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+      LEFT JOIN size s ON s.lang = g.lang AND s.source = g.source),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
     "op7_mix": OP7_SQL,
+    "op13_segment_trees": OP13_SQL,
 }
