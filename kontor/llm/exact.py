@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kontor.llm.frames import SPACES, has_bit, landed, native_bitmap
+from kontor.llm.frames import SPACES, has_bit, landed, native_bitmap, survivors
 
 PREFIX = 256
 
@@ -61,19 +61,12 @@ def dedup(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """``docs`` without the rows whose text a kept row has. All columns stay.
+    """``docs`` without the rows whose text a kept row has. All columns stay, whatever their names.
 
-    Texts are told apart by (doc_id, SHA-256), so two rows with one id and different
-    texts both get their own decision; of wholly equal (id, text) rows one stays."""
-    found = groups(docs, prefix).filter("key is not null")
-    gone = landed(found.groupBy("doc_id", "key").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
-                  .filter("not stays or n > 1"))
-    drop = gone.filter("not stays").select(F.xxhash64("doc_id", "key").alias("k"))
-    again = gone.filter("stays").select(F.xxhash64("doc_id", "key").alias("k"))
-    keyed = docs.withColumn("__k", F.xxhash64("doc_id", F.sha2(normalised(docs["text"]).cast("binary"), 256)))
-    once = keyed.join(drop, F.col("__k") == drop["k"], "left_anti")
-    if again.isEmpty():
-        return once.drop("__k")
-    repeated = once.join(again, F.col("__k") == again["k"], "left_semi")
-    first = repeated.dropDuplicates(["__k"])
-    return once.join(again, F.col("__k") == again["k"], "left_anti").unionByName(first).drop("__k")
+    Rows are told apart by 128 bits over (doc_id, text), so rows with one id and different
+    texts each get their own decision; of wholly equal (id, text) rows one stays."""
+    own = [F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.xxhash64(F.coalesce("text", F.lit("")), "doc_id", F.lit(1))]
+    found = groups(docs, prefix, carry={"k0": own[0], "k1": own[1]}).filter("key is not null")
+    decided = landed(found.groupBy("k0", "k1").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+                     .filter("not stays or n > 1").drop("n"))
+    return survivors(docs, own, decided)

@@ -4,6 +4,7 @@ folds, bounded survivor bitmaps and connected components."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,29 @@ def has_bit(array: Column, key: Column, bits: int = 1 << 22) -> Column:
     return F.call_function("bit_get", word, low.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
+def survivors(docs: DataFrame, keys: list[Column], decided: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """``docs`` after decisions on row keys; all columns stay.
+
+    ``decided`` (written before): one row (k0, k1, .., stays) for each key that is dropped (not stays) or
+    kept by several equal rows, of which one stays; other rows pass. Texts are shuffled only where the bitmap of the decided keys has
+    their bit, so what moves follows what is decided, not the corpus; a false hit moves one row too many."""
+    own = [f"key_{uuid.uuid4().hex}" for _ in keys]
+    array = landed(native_bitmap(decided, "k0", bits)).scalar()
+    keyed = docs.withColumns(dict(zip(own, keys, strict=True)))
+    found = has_bit(array, F.col(own[0]), bits)
+
+    def on(which: DataFrame) -> Column:
+        return reduce(lambda a, b: a & b, (F.col(mine) == which[f"k{i}"] for i, mine in enumerate(own)))
+
+    drop, again = decided.filter("not stays"), decided.filter("stays")
+    hit = keyed.filter(found)
+    hit = hit.join(drop, on(drop), "left_anti")
+    if not again.isEmpty():
+        once = hit.join(again, on(again), "left_semi").dropDuplicates(own)
+        hit = hit.join(again, on(again), "left_anti").unionByName(once)
+    return keyed.filter(~found).unionByName(hit).drop(*own)
+
+
 # --- connected components -------------------------------------------------------------
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

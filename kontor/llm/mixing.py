@@ -9,6 +9,8 @@ document is sorted, and reruns take the same documents."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,15 +99,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     are taken together; columns of ``docs`` with these names are replaced; an empty
     table gives an empty table."""
     own = {"size", "source_size", "target", "taken"}
-    base = docs.select(*[c for c in docs.columns if c.lower() not in own]).withColumn("size", n_words(F.col("text")))
-    return base.withColumn("__h", id_hash(F.col("doc_id"))).transform(lambda d: _mixed(d, weights, most))
-
-
-def _mixed(d: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    slim = landed(d.select("source", "size", F.col("__h").alias("h")))
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
+    # names that no column of docs can have
+    h, s, rounds, below = (f"{c}_{uuid.uuid4().hex}" for c in ("h", "s", "rounds", "below"))
+    d = base.withColumn("size", n_words(F.col("text"))).withColumn(h, id_hash(F.col("doc_id")))
+    slim = landed(d.select("source", "size", F.col(h).alias("h")))
     plan = landed(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    cut = landed(plan.join(thresholds(slim, plan).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-                 .select(F.col("source").alias("s"), "source_size", "target", "rounds", "below"))
-    times = F.col("rounds") + F.when(F.col("__h") < F.col("below"), 1).otherwise(0)
-    return (d.join(cut, d["source"].eqNullSafe(cut["s"]))
-            .withColumn("taken", (F.col("size") * times).cast("long")).drop("s", "rounds", "below", "__h"))
+    found = thresholds(slim, plan).withColumnRenamed("source", "s")
+    cut = landed(plan.join(found, plan["source"].eqNullSafe(found["s"]))
+                 .select(F.col("s").alias(s), "source_size", "target", F.col("rounds").alias(rounds), F.col("below").alias(below)))
+    times = F.col(rounds) + F.when(F.col(h) < F.col(below), 1).otherwise(0)
+    return (d.join(cut, d["source"].eqNullSafe(cut[s]))
+            .withColumn("taken", (F.col("size") * times).cast("long")).drop(s, rounds, below, h))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.llm import textkit as K
-from kontor.llm.frames import bitmap, components, id_and_text, in_bitmap, landed, small_batches
+from kontor.llm.frames import bitmap, components, id_and_text, in_bitmap, landed, small_batches, survivors
 
 WORDS, PERCENT = 5, 85
 SLOTS = 128
@@ -356,20 +356,14 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one with the smallest doc_id (NULL
-    last). All columns stay.
+    last). All columns stay, whatever their names.
 
     Rows are told apart by (doc_id, text), so rows that share an id, or have none, each get their
     own decision; of wholly equal (id, text) rows one stays. Rows without words all stay."""
     some = _placed(docs, **how).filter("component is not null")
     keys = some.groupBy("component", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     best = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "row_key")).alias("best"))
-    decided = landed(keys.join(best, "component").select("row_key", "n", (F.col("row_key") == F.col("best.row_key")).alias("stays"))
-                     .filter("not stays or n > 1"))
-    drop = decided.filter("not stays").select(F.col("row_key").alias("k"))
-    again = decided.filter("stays").select(F.col("row_key").alias("k"))
-    keyed = docs.withColumn("__k", F.xxhash64("doc_id", F.coalesce(docs["text"], F.lit(""))))
-    once = keyed.join(drop, F.col("__k") == drop["k"], "left_anti")
-    if again.isEmpty():
-        return once.drop("__k")
-    first = once.join(again, F.col("__k") == again["k"], "left_semi").dropDuplicates(["__k"])
-    return once.join(again, F.col("__k") == again["k"], "left_anti").unionByName(first).drop("__k")
+    decided = landed(keys.join(best, "component")
+                     .select(F.col("row_key").alias("k0"), "n", (F.col("row_key") == F.col("best.row_key")).alias("stays"))
+                     .filter("not stays or n > 1").drop("n"))
+    return survivors(docs, [F.xxhash64("doc_id", F.coalesce("text", F.lit("")))], decided)

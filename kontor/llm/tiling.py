@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.llm import textkit as K
-from kontor.llm.frames import bitmap, id_and_text, in_bitmap, landed, small_batches
+from kontor.llm.frames import bitmap, id_and_text, in_bitmap, landed, small_batches, survivors
 
 SEED_WORDS, COVERAGE = 5, 0.6
 U = np.uint64
@@ -198,7 +198,7 @@ def contaminated(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS
 
 
 def clean(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the rows that :func:`contaminated` reports. All columns stay."""
-    bad = landed(_pairs(_keyed(docs), items, seed_words, coverage).select(F.col("row_key").alias("__bad")).distinct())
-    key = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
-    return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
+    """``docs`` without the rows that :func:`contaminated` reports. All columns stay, whatever their names."""
+    bad = landed(_pairs(_keyed(docs), items, seed_words, coverage)
+                 .select(F.col("row_key").alias("k0"), F.lit(False).alias("stays")).distinct())
+    return survivors(docs, [F.xxhash64("doc_id", F.coalesce("text", F.lit("")))], bad)

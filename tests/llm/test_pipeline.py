@@ -98,14 +98,16 @@ def test_edge_cases_and_empty_tables(spark, tmp_path):
     rows, bench, labels, _ = tables(2)
     extra = [(None, "a text without an id", None, None, None), (7001, None, "en", "a", 0), (7002, "", "en", None, 0), rows[0], rows[0],
              (7003, "x " * 30000, "en", "b", 1)]
-    odd = [(*r, 1, "s") for r in rows + extra]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, row_key string"
+    odd = [(*r, 1, "s", 2, 3, 4, 5, 6, 7, 8, True) for r in rows + extra]
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, score int, row_key string, "
+              "rounds int, below int, s int, __h int, __k int, __key int, k0 int, stays boolean")
     write_tables(spark, f"{tmp_path}/a", rows, bench, [*labels, (None, None, None)])
     docs = spark.createDataFrame(odd, schema)
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, docs, f"{tmp_path}/a")
         assert out.columns == docs.columns and 0 < out.count() <= len(odd)
-    assert P.STAGES[-1][1](spark, docs, f"{tmp_path}/a").count() > 0
+    mixed = P.STAGES[-1][1](spark, docs, f"{tmp_path}/a")
+    assert mixed.count() > 0 and set(docs.columns) <= set(mixed.columns)
     write_tables(spark, f"{tmp_path}/b", [], [], [])
     assert P.run(spark, f"{tmp_path}/b").count() == 0
 
