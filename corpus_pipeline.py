@@ -24,8 +24,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below a half. The model learns outside the held-out fold."""
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    scored = toxicity.with_score(docs, model, "toxicity__score")
-    return scored.filter(F.col("toxicity__score") < 0.5).drop("toxicity__score")
+    score = f"score_{uuid.uuid4().hex}"        # no column of docs has this name
+    return toxicity.with_score(docs, model, score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
