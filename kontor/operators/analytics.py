@@ -547,7 +547,7 @@ def order_value_distribution(prep: DataFrame) -> DataFrame:
 def order_value_stats(prep: DataFrame, exact: bool = True) -> DataFrame:
     """mean, median, std (n-1), min, max, q25, q75 of positive gross amounts.
 
-    Quantiles are exact (linear interpolation) via bounded bracketing
+    Quantiles are exact (linear interpolation) by radix selection
     (:mod:`kontor.operators.quantiles`), never one task holding every value;
     ``exact=False`` uses ``percentile_approx`` and stays fully lazy."""
     v = F.col("BRUTTO").cast("double")

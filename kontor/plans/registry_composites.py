@@ -184,12 +184,13 @@ register("src_export_quoted_cells", lambda s, d: _odd_names(s, d).withColumn("ro
 
 def _lookup_of_payloads(s: SparkSession, d: str) -> DataFrame:
     docs = AD.belege_lookup(s, d)
-    # many documents in the first payload, few in the later ones
-    payload = F.when(F.col("ORDER_ID").cast("long") % 64 == 0, F.col("api_row") % 2 + 1).otherwise(F.lit(0))
+    # bounded payloads in the order of the documents; then small ones that hold later documents of some orders
+    late = F.col("ORDER_ID").cast("long") % 64 == 0
+    payload = F.when(late, F.col("api_row") % 2 + 1).otherwise(F.lit(0))
     fields = ("ORDER_ID", "KUNDENNR", "BELEGNR")
-    packed = (docs.groupBy(payload.alias("p"), (F.col("ORDER_ID").cast("long") / 2 % 16).cast("int").alias("part"))
+    packed = (docs.groupBy(payload.alias("p"), F.floor(F.col("ORDER_ID").cast("long") / 1000).alias("part"))
               .agg(F.array_sort(F.collect_list(F.struct("api_row", *fields))).alias("d"))
-              .select(F.format_string("payload-%d-%02d", "p", "part").alias("name"),
+              .select(F.format_string("payload-%d-%012d", "p", "part").alias("name"),
                       F.when(F.col("p") == 1, F.transform("d", lambda x: F.struct(*[x[f].alias(f) for f in fields]))).alias("results"),
                       F.when(F.col("p") != 1, F.transform("d", lambda x: F.struct(*[x[f].alias(f) for f in fields]))).alias("data")))
     path = scratch_path(s, f"payloads-{uuid.uuid4().hex}")

@@ -269,26 +269,86 @@ register("batch_stats",
 MIN(BELEGDAT) AS date_from, MAX(BELEGDAT) AS date_to, list_sort(list(DISTINCT ORIGIN)) AS origins FROM belege_events"""))
 
 
-# --- streaming landing (A10 incrementally): payload lines -> landed, prepared documents -----------
+# --- every payload shape, in batch and streamed (A1, A2, A10) ---------------------------------------
+
+PAYLOAD_FIELDS = ["BELEGNR", "ORDER_ID", "KUNDENNR", "NAME2", "BELEGDAT", "ORIGIN", "ISOA2_LAND", "BELEGART", "ZAHLART",
+                  "NETTO", "BRUTTO", "ERLOES"]
+
+
+def _payload_documents(s: SparkSession, d: str) -> DataFrame:
+    """(payload, api_row, one): a document as JSON, PAYLOAD_DOCS of them a payload."""
+    docs = AD.belege_orders(s, d).withColumn("BELEGDAT", F.col("BELEGDAT").cast("string"))
+    return docs.select(F.floor(F.col("api_row") / PAYLOAD_DOCS).alias("payload"), "api_row", F.struct(*PAYLOAD_FIELDS).alias("doc"))
+
+
+def landed_shapes(s: SparkSession, d: str) -> str:
+    """A folder of payload files that take turns in eight shapes: the three envelopes, a bare list, columns, and
+    entries as objects, as arrays and mixed."""
+    packed = (_payload_documents(s, d).groupBy("payload")
+              .agg(F.array_sort(F.collect_list(F.struct("api_row", "doc"))).alias("d"))
+              .select("payload", F.col("d.doc").alias("d"))
+              .withColumn("j", F.transform("d", lambda x: F.to_json(x, {"ignoreNullFields": "false"}))))
+    every = F.array_join("j", ",")
+    entry = F.transform("j", lambda x: F.concat(F.lit('{"Entries":'), x, F.lit("}")))
+    rest = F.array_join(F.slice("j", F.lit(2), F.size("j")), ",")
+
+    def text(*parts) -> F.Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    shapes = [text('{"data":[', every, '],"count":1}'), text('{"results":[', every, "]}"), text('{"rows":[', every, "]}"), text("[", every, "]"),
+              F.to_json(F.struct(*[F.col(f"d.{f}").alias(f) for f in PAYLOAD_FIELDS])),
+              text('{"data":[', F.array_join(entry, ","), "]}"), text('{"results":[{"Entries":[', every, "]}]}"),
+              text('{"rows":[', F.get(entry, 0), ',{"Entries":[', rest, ']},{"Entries":null}]}')]
+    value = F.element_at(F.array(*shapes), (F.col("payload") % len(shapes) + 1).cast("int"))
+    path = scratch_path(s, f"shapes-{uuid.uuid4().hex}")
+    packed.select(F.format_string("%012d", "payload").alias("payload"), value.alias("value")).write.partitionBy("payload").text(path)
+    return path
 
-def _streamed_documents(s, d):
+
+def _prepared_columns(p: DataFrame) -> DataFrame:
+    return p.select("BELEGNR", "ORDER_ID", "KUNDENNR", "NAME2", F.col("BELEGDAT").cast("timestamp_ntz").alias("BELEGDAT"),
+                    "ORIGIN", "ISOA2_LAND", "BELEGART", "ZAHLART", "NETTO", "BRUTTO", "ERLOES", "Date", "Month", "Week", "DayOfWeek", "Hour")
+
+
+def _streamed(s: SparkSession, inbox: str, multi_line: bool) -> DataFrame:
     from kontor.streaming.landing import land_documents
-    docs = AD.belege_orders(s, d).select(
-        "BELEGNR", "ORDER_ID", "KUNDENNR", "NAME2", F.col("BELEGDAT").cast("string").alias("BELEGDAT"), "ORIGIN",
-        "ISOA2_LAND", "BELEGART", "ZAHLART", "NETTO", "BRUTTO", "ERLOES", "api_row")
-    payloads = (docs.groupBy(F.floor(F.col("api_row") / PAYLOAD_DOCS).alias("payload"))
-                .agg(F.sort_array(F.collect_list(F.struct("api_row", F.struct(*[c for c in docs.columns if c != "api_row"])
-                                                                       .alias("doc")))).alias("p"))
-                .select(F.col("p.doc").alias("data")))
     run = uuid.uuid4().hex
-    inbox, table, ckpt = (scratch_path(s, f"{x}-{run}") for x in ("inbox", "landed", "landed-ckpt"))
-    payloads.write.mode("overwrite").json(inbox)          # one payload per line, several files
-    q = land_documents(s, inbox, table, ckpt, multi_line=False)
-    q.awaitTermination()
-    got = s.read.parquet(table)
-    return got.select("BELEGNR", "ORDER_ID", "KUNDENNR", "NAME2",
-                      F.col("BELEGDAT").cast("timestamp_ntz").alias("BELEGDAT"), "ORIGIN", "ISOA2_LAND", "BELEGART",
-                      "ZAHLART", "NETTO", "BRUTTO", "ERLOES", "Date", "Month", "Week", "DayOfWeek", "Hour")
+    table, ckpt = (scratch_path(s, f"{x}-{run}") for x in ("landed", "landed-ckpt"))
+    land_documents(s, inbox, table, ckpt, multi_line=multi_line).awaitTermination()
+    return _prepared_columns(s.read.parquet(table))
+
+
+register("src_json_all_shapes", lambda s, d: _prepared_columns(prepare(J.read_ledger_documents(s, landed_shapes(s, d)))), _PREP_SQL)
+register("stream_landed_shapes", lambda s, d: _streamed(s, landed_shapes(s, d), multi_line=True), _PREP_SQL)
+
+
+def _streamed_documents(s, d):
+    """One payload a line, a bounded number of documents a file."""
+    packed = (_payload_documents(s, d).groupBy("payload").agg(F.array_sort(F.collect_list(F.struct("api_row", "doc"))).alias("p"))
+              .select(F.format_string("%012d", "payload").alias("payload"), F.col("p.doc").alias("data")))
+    inbox = scratch_path(s, f"inbox-{uuid.uuid4().hex}")
+    packed.write.partitionBy("payload").json(inbox)
+    return _streamed(s, inbox, multi_line=False)
 
 
 register("stream_landed_documents", _streamed_documents, _PREP_SQL)
+
+
+# --- A1: payloads larger than a task ------------------------------------------------------------------
+
+LARGE_DOCS = 20_000      # documents of a large payload: one file, read in as many tasks as it has splits
+
+
+def _large_payloads(s, d):
+    docs = AD.belege_orders(s, d).withColumn("BELEGDAT", F.col("BELEGDAT").cast("string"))
+    docs = docs.select(F.floor(F.col("api_row") / LARGE_DOCS).alias("payload"), "api_row", F.to_json(F.struct(*PAYLOAD_FIELDS)).alias("one"))
+    last = docs.groupBy("payload").agg(F.min("api_row").alias("first"), F.max("api_row").alias("last"))
+    lines = docs.join(last, "payload").select(
+        "payload", "api_row", F.concat(F.when(F.col("api_row") == F.col("first"), F.lit('{"data": [')).otherwise(F.lit("")), F.col("one"),
+                                       F.when(F.col("api_row") == F.col("last"), F.lit("]}")).otherwise(F.lit(","))).alias("value"))
+    path = scratch_path(s, f"large-{uuid.uuid4().hex}")
+    lines.repartition("payload").sortWithinPartitions("payload", "api_row").select("payload", "value").write.partitionBy("payload").text(path)
+    return _prepared_columns(prepare(J.read_ledger_documents(s, path, split=True)))
+
+
+register("src_json_split_payloads", _large_payloads, _PREP_SQL)

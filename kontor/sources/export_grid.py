@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from kontor.functions import cleaning as cl
 from kontor.functions import constants as K
 from kontor.operators.ordinal import ordinal_by_index
+from kontor.session import materialize
 
 CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -52,13 +53,14 @@ def parse_cells(line: Column, sep: str, n_columns: int) -> Column:
 
 
 class ExportText(NamedTuple):
-    """The text of a folder of exports: what one light pass over it tells."""
+    """The text of a folder of exports, and what one light pass over it tells."""
     spark: SparkSession
     path: str
     sep: str
     export_column: str | None
     n_columns: int              # cells of the widest record
     broken: bool                # some cell spans lines
+    table: DataFrame            # one row per input split: lines, first row id, lines with an odd number of quotes, widest line
 
     def lines(self, cells: bool = False) -> DataFrame:
         """(file_id, _file, _block, _mid, line or cells) of every line.
@@ -74,19 +76,19 @@ class ExportText(NamedTuple):
     def splits(self) -> DataFrame:
         """One row per input split: first row id, lines before it in its export, parity of the
         quotes before it, and of the whole export."""
-        lines = self.lines()
-        odd = F.sum(_count(F.col("line"), '"') % 2).alias("_odd")
-        table = lines.groupBy("file_id", "_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"), odd)
         before = Window.partitionBy("file_id").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy("file_id")
-        return table.select("file_id", "_file", "_block", "_first",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-                            (F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2).alias("_open"),
-                            (F.sum("_odd").over(whole) > 0).alias("_broken"), (F.sum("_odd").over(whole) % 2).alias("_unclosed"))
-
-    def records(self, cells: bool = False) -> DataFrame:
-        """(file_id, row_idx 1-based, line or cells) of every record."""
+        return self.table.select("file_id", "_file", "_block", "_first",
+                                 F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                                 (F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2).alias("_open"),
+                                 (F.sum("_odd").over(whole) > 0).alias("_broken"), (F.sum("_odd").over(whole) % 2).alias("_unclosed"))
+
+    def records(self, cells: bool = False, first: int | None = None) -> DataFrame:
+        """(file_id, row_idx 1-based, line or cells) of every record, or of the ``first`` ones of each export
+        at least: other splits than those they start in are dropped before their lines are looked at."""
         splits = self.splits() if self.broken else self.splits().drop("_open", "_broken", "_unclosed")
+        if first is not None and not self.broken:
+            splits = splits.filter(F.col("_offset") < first)
         what = "cells" if cells else "line"
         lines = self.lines(cells).join(splits, ["file_id", "_file", "_block"])
         if self.broken:
@@ -120,11 +122,15 @@ class ExportText(NamedTuple):
 
 
 def export_text(spark: SparkSession, path: str, sep: str = ";", export_column: str | None = None) -> ExportText:
-    """Look at the text once for the widest line and for cells that span lines (a job
-    that counts characters; nothing is parsed)."""
-    v = F.col("value")
-    row = spark.read.text(path).agg(F.max(_count(v, sep) + 1).alias("n"), F.max(_count(v, '"') % 2).alias("odd")).first()
-    text = ExportText(spark, path, sep, export_column, row["n"] or 1, bool(row["odd"]))
+    """Look at the text once for lines, quotes and widest line of each input split (a job that counts
+    characters; nothing is parsed). The table of splits is written, so nothing reads the text for it again."""
+    text = ExportText(spark, path, sep, export_column, 1, False, None)
+    v = F.col("line")
+    table = materialize(text.lines().groupBy("file_id", "_file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"), F.sum(_count(v, '"') % 2).alias("_odd"),
+        F.max(_count(v, sep) + 1).alias("_wide")))
+    row = table.agg(F.max("_wide").alias("n"), F.max("_odd").alias("odd")).first()
+    text = text._replace(n_columns=row["n"] or 1, broken=bool(row["odd"]), table=table)
     if text.broken:         # a record may be wider than any of its lines
         widest = text._joined_lines().agg(F.max(_count(F.col("line"), sep) + 1)).first()[0]
         text = text._replace(n_columns=max(text.n_columns, widest or 1))
@@ -232,9 +238,10 @@ class Exports(NamedTuple):
 
 def read_exports(spark: SparkSession, path: str, discover: bool = True, sep: str = ";",
                  export_column: str | None = None) -> Exports:
-    """A5-A9 from one light pass, one over the first rows and one that parses the transactions."""
+    """A5-A9 from three reads of the text: one that counts, one for the first rows and one that parses the transactions."""
     text = export_text(spark, path, sep, export_column)
-    first = (text.records().filter(F.col("row_idx") <= max(K.HEADER_SEARCH_ROWS, K.FIXED_HEADER_ROW))
+    most = max(K.HEADER_SEARCH_ROWS, K.FIXED_HEADER_ROW)
+    first = (text.records(first=most).filter(F.col("row_idx") <= most)
              .select("file_id", "row_idx", parse_cells(F.col("line"), sep, text.n_columns).alias("cells"))
              .persist(StorageLevel.MEMORY_AND_DISK))
     headers = discover_headers(first) if discover else fixed_headers(first)

@@ -11,11 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from kontor.operators.prepare import prepare
-from kontor.sources.ledger_json import ENVELOPE_KEYS
+from kontor.sources.ledger_json import documents, field
 
 DOCUMENT_FIELDS = ["BELEGNR", "ORDER_ID", "KUNDENNR", "NAME1", "NAME2", "BELEGDAT", "LIEFERDAT", "ORIGIN",
                    "ISOA2_LAND", "BELEGART", "ZAHLART", "NETTO", "BRUTTO", "ERLOES"]
@@ -24,30 +23,26 @@ DOCUMENT_FIELDS = ["BELEGNR", "ORDER_ID", "KUNDENNR", "NAME1", "NAME2", "BELEGDA
 def document_stream(spark: SparkSession, inbox: str, max_files: int = 100, multi_line: bool = True,
                     fields: tuple[str, ...] = ()) -> DataFrame:
     """Streaming documents from the payloads in ``inbox``: one payload per file (``multi_line``) or one
-    per line. A payload is an object with ``data``, ``results`` or ``rows`` (the first one there), an array
-    of documents, or one document; one that cannot be read stops the stream.
+    per line, in every shape that the batch reader takes, by the same parser
+    (:func:`kontor.sources.ledger_json.documents`); one that cannot be read stops the stream.
 
-    Known fields and ``fields`` become columns; ``document`` keeps the whole JSON of each document,
-    so a field that nobody has named is not lost. ``api_row`` orders the documents as the batch reader does."""
-    # a file is read whole, also with one payload a line: a stream has no other order of lines
+    Known fields and ``fields`` become columns, of nested objects by their dotted name; ``document`` keeps the whole JSON of each
+    document, so a field that nobody has named is not lost. ``api_row`` orders the documents as the batch reader does."""
+    # a file is one row also with one payload a line: a stream has no other order of lines
     payloads = F.array("value") if multi_line else F.split("value", "\r?\n")
-    text = (spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", max_files).text(inbox)
-            .select(F.col("_metadata.file_path").alias("file"), F.posexplode(payloads).alias("line", "payload"))
-            .select("payload", F.struct(F.col("file").alias("payload"), F.lit(0).cast("long").alias("block"),
-                                        F.col("line").cast("long").alias("line")).alias("_place")))
-    envelope = F.from_json("payload", ", ".join(f"{k} ARRAY<STRING>" for k in ENVELOPE_KEYS))
-    listed = F.when(F.trim("payload").startswith("["), F.from_json("payload", "ARRAY<STRING>"))
-    whole = F.when(F.try_parse_json("payload").isNotNull(), F.array("payload"))
-    unreadable = F.raise_error(F.concat(F.lit("unreadable payload: "), F.col("_place.payload"))).cast("array<string>")
-    documents = F.when(F.try_parse_json("payload").isNull(), unreadable).otherwise(
-        F.coalesce(listed, *[envelope[k] for k in ENVELOPE_KEYS], whole))
+    text = (spark.readStream.option("maxFilesPerTrigger", max_files).text(inbox, wholetext=True)
+            .select(F.col("_metadata.file_path").alias("_source"), F.posexplode(payloads).alias("line", "payload"))
+            .filter(F.trim("payload", F.lit(" \t\r\n")) != "")
+            .select("payload", "_source", F.struct(F.col("_source").alias("payload"), F.lit(0).cast("long").alias("block"),
+                                                   F.col("line").cast("long").alias("line")).alias("_place")))
     wanted = [*DOCUMENT_FIELDS, *[f for f in fields if f not in DOCUMENT_FIELDS]]
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in wanted])
-    docs = (text.select("_place", F.posexplode(documents).alias("pos", "document"))
-            .select(F.col("_place.payload").alias("source"), "pos",
-                    F.struct("_place.*", F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("entry")).alias("api_row"),
-                    "document", F.from_json("document", schema).alias("d"))
-            .select("source", "pos", "api_row", "document", "d.*"))
+    found = documents(text)
+    doc = F.col("document")
+    # a dotted name is a path unless the document has a field of that very name
+    columns = [F.coalesce(field(doc, f), *([F.try_variant_get(doc, "$" + "".join(f"['{p}']" for p in f.split(".")), "string")] if "." in f else [])).alias(f)
+               for f in wanted]
+    docs = found.select(F.col("_source").alias("source"), F.col("api_row.pos").cast("int").alias("pos"), "api_row",
+                        F.to_json(doc).alias("document"), *columns)
     return prepare(docs).withColumn("landed_day", F.current_date())
 
 

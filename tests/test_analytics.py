@@ -72,20 +72,27 @@ def test_invariants_on_adapter_data(spark):
     assert freq == n
 
 
-def test_exact_quantiles_with_bracketing(spark):
+def test_exact_quantiles_digit_by_digit(spark):
     import random
 
     import numpy as np
 
     from kontor.operators.quantiles import exact_quantiles
     rnd = random.Random(5)
-    vals = [round(rnd.uniform(0, 500), 2) for _ in range(4000)] + [77.7] * 2000
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    wide = [rnd.choice([-1, 1]) * rnd.uniform(1, 2) * 2.0 ** rnd.randint(-1070, 1020) for _ in range(500)]
+    cases = ([round(rnd.uniform(0, 500), 2) for _ in range(4000)] + [77.7] * 2000, wide + [0.0, -0.0, 5e-324, 1.7e308],
+             [1.0, np.nextafter(1.0, 2), np.nextafter(1.0, 0), 1.0, 2.0 ** 52, 2.0 ** 52 + 1], [-3.0, -3.0, -2.5, 0.0], [4.25])
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    want = {p: float(np.quantile(np.array(vals), p)) for p in probs}
-    for max_rows in (10**6, 100):
-        got = exact_quantiles(df, "x", probs, max_window_rows=max_rows, accuracy=50)
-        assert all(abs(got[p] - want[p]) < 1e-9 for p in probs)
+    for vals in cases:
+        df = spark.createDataFrame([(float(v),) for v in [*vals, float("nan")]] + [(None,)], "x double")
+        order = sorted(float(v) for v in vals)
+        for bits in (13, 4):
+            got = exact_quantiles(df, "x", probs, bits=bits)
+            for p in probs:
+                at = p * (len(order) - 1)
+                lo, hi = order[int(at)], order[min(int(at) + 1, len(order) - 1)]
+                assert got[p] == (lo if at == int(at) else lo + (hi - lo) * (at - int(at)))
+    assert exact_quantiles(df.limit(0), "x", [0.5]) == {0.5: None}
 
 
 @pytest.mark.parametrize("mx", [100.0, 500.0, 600.0, 999.0, 1000.5, 1234.56])

@@ -110,6 +110,88 @@ def test_entries_of_mixed_kinds(spark, tmp_dir):
     assert [(r.ORDER_ID, r["Kunde.KUNDENNR"], r.BRUTTO is not None) for r in got] == [("1", "K1", False), ("2", None, False), ("3", None, True)]
 
 
+SHAPES = {
+    "data": lambda d: {"meta": {"a": [{"b": 1}]}, "data": d, "other": [{"x": 1}, {"y": "}"}]}, "results": lambda d: {"results": d},
+    "rows": lambda d: {"data": None, "rows": d}, "list": lambda d: d,
+}
+NESTED = [{"BELEGNR": f"R{i}", "ORDER_ID": str(i), "BRUTTO": i + 0.5, "NAME1": 'a "quoted" } ] \\ { [ \u00e9\n"data":[',
+           "Kunde": {"KUNDENNR": f"K{i}", "data": [{"z": []}, [1, 2]]}} for i in range(25)]
+
+
+def kinds_of_entries(docs):
+    return {"plain": docs, "object": [{"Entries": d, "n": 1} for d in docs],
+            "array": [{"Entries": docs[i: i + 4]} for i in range(0, len(docs), 4)],
+            "mixed": [{"Entries": docs[0]}, {"Entries": docs[1:20]}, {"Entries": None}, {"other": 1}, {"Entries": docs[20:]}]}
+
+
+def test_every_shape_gives_the_same_documents_in_batch_and_stream(spark, tmp_dir):
+    from kontor.streaming import landing as L
+    inbox, want = os.path.join(tmp_dir, "shapes"), []
+    payloads = {}
+    for shape, wrap in SHAPES.items():
+        for kind, docs in kinds_of_entries(NESTED).items():
+            payloads[f"{shape}-{kind}.json"] = wrap(docs)
+    names = list(NESTED[0])
+    payloads["columns.json"] = {n: [d[n] for d in NESTED] for n in names}
+    payloads["one.json"] = NESTED[0]
+    payloads["blank.json"] = " \n"
+    write_payloads(inbox, {f: p if isinstance(p, str) else json.dumps(p, indent=[None, 2][len(f) % 2]) for f, p in payloads.items()})
+    for f, p in payloads.items():
+        want += [(f, d["BELEGNR"], d["BRUTTO"], d["NAME1"], d["Kunde"]["KUNDENNR"]) for d in (NESTED if f not in ("one.json", "blank.json") else NESTED[:1] if f == "one.json" else [])]
+
+    def rows(df, kunde):
+        cols = [F.element_at(F.split("api_row.payload", "/"), -1).alias("f"), "BELEGNR", F.col("BRUTTO").cast("double").alias("BRUTTO"), "NAME1", F.col(kunde)]
+        return [tuple(r) for r in df.orderBy("api_row").select(*cols).collect()]
+    batch = J.read_ledger_documents(spark, inbox)
+    assert rows(batch, "`Kunde.KUNDENNR`") == sorted(want, key=lambda x: x[0])
+    L.land_documents(spark, inbox, f"{tmp_dir}/shapes-table", f"{tmp_dir}/shapes-ckpt", fields=("Kunde.KUNDENNR",)).awaitTermination(120)
+    assert rows(spark.read.parquet(f"{tmp_dir}/shapes-table"), "`Kunde.KUNDENNR`") == rows(batch, "`Kunde.KUNDENNR`")
+    # one payload a line
+    lines = write_payloads(os.path.join(tmp_dir, "shape-lines"), {"all.jsonl": "\n".join(json.dumps(p) for p in payloads.values() if not isinstance(p, str))})
+    got = J.read_ledger_documents(spark, lines, multi_line=False)
+    assert [r.BELEGNR for r in got.orderBy("api_row").collect()] == [x[1] for f in payloads for x in want if x[0] == f]
+    L.land_documents(spark, lines, f"{tmp_dir}/lines-table", f"{tmp_dir}/lines-ckpt", multi_line=False).awaitTermination(120)
+    assert [r.BELEGNR for r in spark.read.parquet(f"{tmp_dir}/lines-table").orderBy("api_row").collect()] == [r.BELEGNR for r in got.orderBy("api_row").collect()]
+
+
+def test_streamed_entries_and_columns_are_not_lost(spark, tmp_dir):
+    from kontor.streaming import landing as L
+    inbox = write_payloads(os.path.join(tmp_dir, "in"), {
+        "a.json": {"data": [{"Entries": [{"BELEGNR": "R1"}, {"BELEGNR": "R2"}]}]}, "b.json": {"data": [{"Entries": [{"BELEGNR": "R3"}]}]},
+        "c.json": {"BELEGNR": ["R1", "R2"], "ORDER_ID": ["1"]}})
+    L.land_documents(spark, inbox, f"{tmp_dir}/t", f"{tmp_dir}/c").awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_dir}/t").orderBy("api_row").collect()
+    assert [(r.BELEGNR, r.ORDER_ID) for r in got] == [("R1", None), ("R2", None), ("R3", None), ("R1", "1"), ("R2", None)]
+
+
+def test_a_payload_spans_several_tasks(spark, tmp_dir):
+    """The same documents as the whole-file read, with splits of 200 bytes anywhere in the file."""
+    payloads = {}
+    for shape, wrap in SHAPES.items():
+        for kind, docs in kinds_of_entries(NESTED).items():
+            for indent in (None, 1):
+                payloads[f"{shape}-{kind}-{indent}.json"] = json.dumps(wrap(docs), indent=indent) + ("\n" if indent else "")
+    payloads |= {"columns.json": {n: [d[n] for d in NESTED] for n in NESTED[0]}, "empty.json": {"data": [], "rows": NESTED}, "none.json": [], "blank.json": "\n"}
+    folder = write_payloads(os.path.join(tmp_dir, "large"), payloads)
+    want = J.read_ledger_documents(spark, folder)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = J.read_ledger_documents(spark, folder, split=True)
+        columns = ["api_row.payload", "api_row.pos", "api_row.entry", *[f"`{c}`" for c in want.columns if c not in ("api_row", "other", "value")]]
+        rows = got.select(*columns).orderBy("api_row").collect()
+        parts = spark.read.text(f"{folder}/data-plain-None.json", lineSep="}").rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+    assert parts > 5
+    assert rows == want.select(*columns).orderBy("api_row").collect() and len(rows) == 25 * 33
+    cut = write_payloads(os.path.join(tmp_dir, "cut2"), {"a.json": '{"data": [{"a": 1}, {"a": "x}]}'})
+    with pytest.raises(Exception, match="unreadable payload"):
+        J.read_ledger_documents(spark, cut, split=True).collect()
+
+
 HEADER = [h for h, _, _ in K.EXPORT_FIELDS]
 
 
