@@ -33,9 +33,24 @@ MONEY = {"I": "transaktionsbetrag", "J": "zwischensumme", "K": "fixer_anteil", "
 FEE_LETTERS = ["K", "L", "M", "N", "O"]
 
 
-def _r2(c: Column) -> Column:
-    """Sums of amounts are reported to the cent."""
-    return F.round(c, 2)
+#: sums of amounts are taken in whole millionths, so that they do not depend on the order of the rows
+MILLIONTHS = 1e6
+#: larger amounts (no money any more) are summed as they are
+WIDE = 1e12
+
+
+def _sums(amount: Column, name: str) -> list[Column]:
+    """Aggregates of an amount: ``sum_<name>`` in millionths, ``wide_<name>`` of what is too large for that."""
+    fits = F.abs(amount) < F.lit(WIDE)
+    return [F.sum(F.when(fits, F.round(amount * F.lit(MILLIONTHS)).cast("long"))).alias(f"sum_{name}"),
+            F.sum(F.when(~fits, amount)).alias(f"wide_{name}")]
+
+
+def _total(*names: str) -> Column:
+    """The sum of the named sums as a number, converted once; 0 without rows."""
+    def plus(prefix: str, zero: Column) -> Column:
+        return reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{prefix}_{x}"), zero) for x in names])
+    return plus("sum", F.lit(0).cast("long")) / F.lit(MILLIONTHS) + plus("wide", F.lit(0.0))
 
 
 # --- B13-B17, S1: normalized transactions ------------------------------------------
@@ -152,8 +167,8 @@ def bucket_summary(tx: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     oth = F.col("is_other_fee")
     aggs = [F.count_if(reg).alias("regular_count"), F.count_if(oth).alias("other_fee_count")]
     for letter in FEE_LETTERS + ["J", "P"]:
-        aggs.append(F.sum(F.when(reg, F.col(MONEY[letter]))).alias(f"sum_{letter}"))
-    aggs.append(F.sum(F.when(oth, F.col("betrag_abzgl"))).alias("other_fee_total"))
+        aggs += _sums(F.when(reg, F.col(MONEY[letter])), letter)
+    aggs += _sums(F.when(oth, F.col("betrag_abzgl")), "other_fee")
     for c in LAST_FIELDS:
         v = F.col(c)
         at = F.when(v.isNotNull() & (v.cast("string") != "") & reg, F.col("row_idx"))
@@ -172,8 +187,7 @@ def file_summary(tx: DataFrame | None = None, buckets: DataFrame | None = None)
     rows (W3), and the date of the first other-fee row (W4)."""
     b = buckets if buckets is not None else bucket_summary(tx)
     aggs = [F.sum("regular_count").alias("regular_count"), F.sum("other_fee_count").alias("other_fee_count")]
-    aggs += [F.sum(f"sum_{x}").alias(f"sum_{x}") for x in FEE_LETTERS + ["J", "P"]]
-    aggs.append(F.sum("other_fee_total").alias("other_fee_total"))
+    aggs += [F.sum(f"{kind}_{x}").alias(f"{kind}_{x}") for x in FEE_LETTERS + ["J", "P", "other_fee"] for kind in ("sum", "wide")]
     aggs += [F.max_by(f"last_{c}", f"last_{c}_row").alias(f"last_{c}") for c in LAST_FIELDS]
     aggs.append(F.min_by("first_other", "first_other_row").alias("_first_other"))
     s = b.groupBy("file_id").agg(*aggs)
@@ -205,29 +219,20 @@ def _numbered(rows: DataFrame, offsets: DataFrame, first: int, bucket_rows: int
             .drop("bucket", "_off"))
 
 
-def _fees() -> list[Column]:
-    return [F.coalesce(_r2(F.col(f"sum_{x}")), F.lit(0.0)) for x in FEE_LETTERS]
-
-
-def _other_total() -> Column:
-    return F.coalesce(_r2(F.col("other_fee_total")), F.lit(0.0))
-
-
 def fee_line(datum_type, account: str = K.FEE_ACCOUNT) -> dict[str, Column]:
     """D26 values over the per-file summary: A last date, F 'Gebuehr', G fee
     account, H YYYYMM(A), K..O fee sums, J = K+..+O, I = J, P = 0, Q/R last payout."""
-    fees = _fees()
-    j = _r2(reduce(lambda a, b: a + b, fees))
+    j = _total(*FEE_LETTERS)
     v = {"A": F.col("last_datum"), "F": F.lit(K.FEE_LINE_LABEL), "G": F.lit(account),
          "H": cl.yyyymm(F.col("last_datum"), datum_type), "I": j, "J": j, "P": F.lit(0.0),
          "Q": F.col("last_auszahlungsnr"), "R": F.col("last_auszahlungsdatum")}
-    v.update(dict(zip(FEE_LETTERS, fees)))
+    v.update({x: _total(x) for x in FEE_LETTERS})
     return v
 
 
 def other_fee_line(datum_type, account: str = K.FEE_ACCOUNT) -> dict[str, Column]:
     """D27 values: A first other-fee date, F 'Andere Gebuehr', I = J = P = other-fee total."""
-    total = _other_total()
+    total = _total("other_fee")
     return {"A": F.col("andere_datum"), "F": F.lit(K.OTHER_FEE_LINE_LABEL), "G": F.lit(account),
             "H": cl.yyyymm(F.col("andere_datum"), datum_type), "I": total, "J": total, "P": total,
             "Q": F.col("last_auszahlungsnr"), "R": F.col("last_auszahlungsdatum")}
@@ -235,10 +240,7 @@ def other_fee_line(datum_type, account: str = K.FEE_ACCOUNT) -> dict[str, Column
 
 def totals_line() -> dict[str, Column]:
     """D28 values: J = sum J(data) + J(Gebuehr) + J(Andere); P likewise (Gebuehr P is 0)."""
-    fees = reduce(lambda a, b: a + b, _fees())
-    other = _other_total()
-    return {"J": _r2(F.coalesce(_r2(F.col("sum_J")), F.lit(0.0)) + _r2(fees) + other),
-            "P": _r2(F.coalesce(_r2(F.col("sum_P")), F.lit(0.0)) + other)}
+    return {"J": _total("J", *FEE_LETTERS, "other_fee"), "P": _total("P", "other_fee")}
 
 
 def fee_summary(summary: DataFrame, datum_type=None, account: str = K.FEE_ACCOUNT) -> DataFrame:
@@ -261,7 +263,7 @@ def report_totals(summary: DataFrame) -> DataFrame:
 def processing_summary(summary: DataFrame) -> DataFrame:
     """Regular count, other-fee count and other-fee total per file."""
     return summary.select("file_id", "regular_count", "other_fee_count",
-                          F.coalesce(_r2(F.col("other_fee_total")), F.lit(0.0)).alias("other_fee_total"))
+                          _total("other_fee").alias("other_fee_total"))
 
 
 # --- D29, A9 --------------------------------------------------------------------------
@@ -271,7 +273,7 @@ def preamble_metadata(preamble: DataFrame, header_rows: DataFrame | None = None)
     (column A contains the marker, value in column B; the last matching row wins)."""
     p = preamble
     if header_rows is not None:
-        p = p.join(F.broadcast(header_rows), "file_id").filter(F.col("row_idx") < F.col("header_row"))
+        p = p.join(header_rows, "file_id").filter(F.col("row_idx") < F.col("header_row"))
     a = F.col("c0").cast("string")
     seller = F.max_by(F.struct(F.col("c1").alias("v")), F.when(a.contains(K.SELLER_MARKER), F.col("row_idx")))
     amount = F.max_by(F.struct(F.col("c1").alias("v")), F.when(a.contains(K.AMOUNT_MARKER), F.col("row_idx")))
@@ -376,26 +378,27 @@ def other_fee_detail(tx: DataFrame, buckets: DataFrame | None = None, account: s
     vals.update({x: F.lit(0.0) for x in FEE_LETTERS})
     types = _types(tx)
     rows = oth.select(*_line_cols("detail", F.col("_n"), vals, types))
-    totals = b.groupBy("file_id").agg(F.sum("other_fee_count").alias("other_fee_count"),
-                                      F.sum("other_fee_total").alias("other_fee_total"))
-    return rows.unionByName(other_fee_detail_totals(tx, totals))
+    return rows.unionByName(other_fee_detail_totals(tx, _other_fee_files(b)))
 
 
 def _other_fee_buckets(tx: DataFrame) -> DataFrame:
     """Counts and totals of other-fee rows per (file, bucket): all the detail sheet
     needs when no shared :func:`bucket_summary` is at hand."""
     return (tx.filter(F.col("is_other_fee")).groupBy("file_id", _bucket().alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("other_fee_count"), F.sum("betrag_abzgl").alias("other_fee_total")))
+            .agg(F.count(F.lit(1)).alias("other_fee_count"), *_sums(F.col("betrag_abzgl"), "other_fee")))
+
+
+def _other_fee_files(buckets: DataFrame) -> DataFrame:
+    return buckets.groupBy("file_id").agg(*[F.sum(c).alias(c) for c in ("other_fee_count", "sum_other_fee", "wide_other_fee")])
 
 
 def other_fee_detail_totals(tx: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Sum line of the detail sheet (row n + 2), for files with other-fee rows."""
     types = _types(tx)
     if summary is None:
-        summary = _other_fee_buckets(tx).groupBy("file_id").agg(
-            F.sum("other_fee_count").alias("other_fee_count"), F.sum("other_fee_total").alias("other_fee_total"))
+        summary = _other_fee_files(_other_fee_buckets(tx))
     s = summary.filter(F.col("other_fee_count") > 0)
-    total = _r2(F.col("other_fee_total"))
+    total = _total("other_fee")
     return s.select(*_line_cols("detail_total", F.col("other_fee_count") + 2, {"J": total, "P": total}, types))
 
 

@@ -191,14 +191,14 @@ view("fs", ["txl"], f"""
 SELECT file_id,
        COUNT(*) FILTER (WHERE NOT is_other_fee) AS regular_count,
        COUNT(*) FILTER (WHERE is_other_fee) AS other_fee_count,
-       SUM(fixer_anteil) FILTER (WHERE NOT is_other_fee) AS sum_K,
-       SUM(variabler_anteil) FILTER (WHERE NOT is_other_fee) AS sum_L,
-       SUM(gebuehr_hohe_quote) FILTER (WHERE NOT is_other_fee) AS sum_M,
-       SUM(gebuehr_servicestatus) FILTER (WHERE NOT is_other_fee) AS sum_N,
-       SUM(internationale_gebuehr) FILTER (WHERE NOT is_other_fee) AS sum_O,
-       SUM(zwischensumme) FILTER (WHERE NOT is_other_fee) AS sum_J,
-       SUM(betrag_abzgl) FILTER (WHERE NOT is_other_fee) AS sum_P,
-       SUM(betrag_abzgl) FILTER (WHERE is_other_fee) AS other_fee_total,
+       SUM(CAST(fixer_anteil AS DECIMAL(18,6))) FILTER (WHERE NOT is_other_fee) AS sum_K,
+       SUM(CAST(variabler_anteil AS DECIMAL(18,6))) FILTER (WHERE NOT is_other_fee) AS sum_L,
+       SUM(CAST(gebuehr_hohe_quote AS DECIMAL(18,6))) FILTER (WHERE NOT is_other_fee) AS sum_M,
+       SUM(CAST(gebuehr_servicestatus AS DECIMAL(18,6))) FILTER (WHERE NOT is_other_fee) AS sum_N,
+       SUM(CAST(internationale_gebuehr AS DECIMAL(18,6))) FILTER (WHERE NOT is_other_fee) AS sum_O,
+       SUM(CAST(zwischensumme AS DECIMAL(18,6))) FILTER (WHERE NOT is_other_fee) AS sum_J,
+       SUM(CAST(betrag_abzgl AS DECIMAL(18,6))) FILTER (WHERE NOT is_other_fee) AS sum_P,
+       SUM(CAST(betrag_abzgl AS DECIMAL(18,6))) FILTER (WHERE is_other_fee) AS other_fee_total,
        max_by(datum, row_idx) FILTER (WHERE NOT is_other_fee AND {_NB.format(c='datum')}) AS last_datum,
        max_by(auszahlungsnr, row_idx) FILTER (WHERE NOT is_other_fee AND {_NB.format(c='auszahlungsnr')}) AS last_auszahlungsnr,
        max_by(auszahlungsdatum, row_idx) FILTER (WHERE NOT is_other_fee AND {_NB.format(c='auszahlungsdatum')}) AS last_auszahlungsdatum,

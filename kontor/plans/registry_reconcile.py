@@ -112,9 +112,16 @@ register("report_row_numbers",
 row_number() OVER (PARTITION BY file_id ORDER BY row_idx) + 4 AS row_no FROM tx WHERE NOT is_other_fee"""))
 
 # --- D26-D31 -----------------------------------------------------------------------------------
-_FEES = [f"COALESCE(round(sum_{x}, 2), 0.0)" for x in "KLMNO"]
-_J_FEE = f"round({' + '.join(_FEES)}, 2)"
-_OTHER = "COALESCE(round(other_fee_total, 2), 0.0)"
+def _sum(*columns: str) -> str:
+    """Exact sums, turned into a number once."""
+    return f"CAST({' + '.join(f'COALESCE({c}, 0)' for c in columns)} AS DOUBLE)"
+
+
+_FEES = [_sum(f"sum_{x}") for x in "KLMNO"]
+_J_FEE = _sum(*[f"sum_{x}" for x in "KLMNO"])
+_OTHER = _sum("other_fee_total")
+_J_TOTAL = _sum("sum_J", *[f"sum_{x}" for x in "KLMNO"], "other_fee_total")
+_P_TOTAL = _sum("sum_P", "other_fee_total")
 _YM = "COALESCE(strftime({c}, '%Y%m'), '')"
 
 register("fee_summary", lambda s, d: R.fee_summary(summary(s, d)),
@@ -128,9 +135,7 @@ register("other_fee_summary",
 {_YM.format(c='andere_datum')} AS H, {_OTHER} AS I, {_OTHER} AS J, {_OTHER} AS P,
 last_auszahlungsnr AS Q, last_auszahlungsdatum AS R FROM fs"""))
 register("report_totals", lambda s, d: R.report_totals(summary(s, d)),
-         with_views(["fs"], f"""SELECT file_id,
-round(COALESCE(round(sum_J, 2), 0.0) + round({' + '.join(_FEES)}, 2) + {_OTHER}, 2) AS J,
-round(COALESCE(round(sum_P, 2), 0.0) + {_OTHER}, 2) AS P FROM fs"""))
+         with_views(["fs"], f"SELECT file_id, {_J_TOTAL} AS J, {_P_TOTAL} AS P FROM fs"))
 register("processing_summary", lambda s, d: R.processing_summary(summary(s, d)),
          with_views(["fs"], f"SELECT file_id, regular_count, other_fee_count, {_OTHER} AS other_fee_total FROM fs"))
 register("preamble_metadata", lambda s, d: R.preamble_metadata(AD.shop_preamble(s, d)),
@@ -175,8 +180,7 @@ _REPORT_LINES_SQL = " UNION ALL ".join([
                                                   "P": _OTHER, "Q": "last_auszahlungsnr",
                                                   "R": "last_auszahlungsdatum"}, "fs"),
     _line("totals", "regular_count + 7", {
-        "J": f"round(COALESCE(round(sum_J, 2), 0.0) + round({' + '.join(_FEES)}, 2) + {_OTHER}, 2)",
-        "P": f"round(COALESCE(round(sum_P, 2), 0.0) + {_OTHER}, 2)"}, "fs"),
+        "J": _J_TOTAL, "P": _P_TOTAL}, "fs"),
 ])
 register("report_lines", lambda s, d: R.report_lines(txl(s, d)), with_views(["txl", "fs"], _REPORT_LINES_SQL))
 
@@ -185,7 +189,7 @@ _DETAIL_VALS = {"A": "datum", "B": "typ", "C": "bestellnummer", "D": "alte_beste
                 "K": "0.0", "L": "0.0", "M": "0.0", "N": "0.0", "O": "0.0", "P": "betrag_abzgl",
                 "Q": "auszahlungsnr", "R": "auszahlungsdatum"}
 _DETAIL_TOTALS_SQL = _line("detail_total", "n + 2", {"J": "s", "P": "s"},
-                           "(SELECT file_id, COUNT(*) AS n, round(SUM(betrag_abzgl), 2) AS s FROM tx WHERE is_other_fee GROUP BY file_id)")
+                           "(SELECT file_id, COUNT(*) AS n, CAST(SUM(CAST(betrag_abzgl AS DECIMAL(18,6))) AS DOUBLE) AS s FROM tx WHERE is_other_fee GROUP BY file_id)")
 register("other_fee_detail", lambda s, d: R.other_fee_detail(tx(s, d)),
          with_views(["tx"], _line("detail", "row_number() OVER (PARTITION BY file_id ORDER BY row_idx)", _DETAIL_VALS,
                                   "tx", "is_other_fee") + " UNION ALL " + _DETAIL_TOTALS_SQL))

@@ -106,3 +106,17 @@ def test_report_sheet_layout(spark):
     assert (got[1].A, got[1].B, got[2].B) == ("Verkäufer", "Shop", "4")
     assert got[4].A == "Datum der Transaktionserstellung" and got[4].R == "Auszahlungsdatum" and got[4].T is None
     assert got[7].F == "Gebuehr" and got[9].J is not None
+
+
+def test_sums_are_exact_and_unrounded(spark):
+    def export(fee, n):
+        data = [("f", i, "2025-10-01", "Bestellung", "1", None, None, None, "0.1", "0.2", fee, "1", None, None) for i in range(n)]
+        data += [("f", n + i, "2025-10-01", "Andere Gebühr", None, None, None, None, None, None, None, "-0.1", None, None) for i in range(3)]
+        return R.normalize_transactions(spark.createDataFrame(data, RAW).repartition(7))
+    s = R.file_summary(export("0.004", 1000))
+    fee, total = R.fee_summary(s).first(), R.report_totals(s).first()
+    assert (fee.K, fee.J) == (4.0, 4.0) and R.other_fee_summary(s).first().J == -0.3
+    assert total.J == 303.7 and total.P == 999.7
+    assert R.fee_summary(R.file_summary(export("0.0049", 1))).first().K == 0.0049
+    # what is no money any more neither fails nor wraps around
+    assert R.fee_summary(R.file_summary(export("1e300", 2))).first().K == 2e300
