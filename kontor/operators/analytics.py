@@ -274,6 +274,24 @@ def country_platform_long(prep: DataFrame, measures: DataFrame | None = None) ->
     return sl.select("ISOA2_LAND", "ORIGIN", _tot("BRUTTO").alias("BRUTTO"))
 
 
+def country_platform_map(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
+    """The matrix for any number of platforms: (ISOA2_LAND, platforms), a map from every platform, in order, to the
+    gross revenue of the country there, gaps 0.
+
+    Columns have to be known when a query is planned, keys of a map have not: the platforms do not go through
+    the driver. A row is as wide as there are platforms, not documents."""
+    require(prep, "ISOA2_LAND", "ORIGIN", "BRUTTO", report="country_platform_map")
+    sl = measures if measures is not None else keyed_measures(prep, ("ISOA2_LAND", "ORIGIN"))
+    # every cell of the matrix once, then what there is for it
+    cells = (sl.select("ISOA2_LAND").distinct()
+             .withColumn("_every", sl.agg(F.collect_set("ORIGIN").alias("p")).scalar())
+             .select("ISOA2_LAND", F.explode("_every").alias("ORIGIN")))
+    filled = cells.join(sl.select("ISOA2_LAND", "ORIGIN", _tot("BRUTTO").alias("_v")), ["ISOA2_LAND", "ORIGIN"], "left")
+    entry = F.struct("ORIGIN", F.coalesce("_v", F.lit(0.0)).alias("_v"))
+    return (filled.groupBy("ISOA2_LAND").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("platforms"))
+            .orderBy("ISOA2_LAND"))
+
+
 # --- D9-D13: time ---------------------------------------------------------------
 
 def daily_trend(prep: DataFrame, measures: DataFrame | None = None) -> DataFrame:
@@ -569,14 +587,14 @@ def order_value_stats(prep: DataFrame, exact: bool = True) -> DataFrame:
 
 # --- T4, T5: dashboard tables --------------------------------------------------------
 
-def top_countries_chart(prep: DataFrame, n: int = K.TOP_COUNTRIES) -> DataFrame:
-    s = country_share(prep).limit(n)
+def top_countries_chart(prep: DataFrame, n: int = K.TOP_COUNTRIES, measures: DataFrame | None = None) -> DataFrame:
+    s = country_share(prep, measures).limit(n)
     return s.withColumn("Country_Name", lb.country_name(F.col("ISOA2_LAND")))
 
 
-def country_table(prep: DataFrame, n: int = K.TOP_COUNTRIES) -> DataFrame:
+def country_table(prep: DataFrame, n: int = K.TOP_COUNTRIES, measures: DataFrame | None = None) -> DataFrame:
     require(prep, "ISOA2_LAND", "BRUTTO", report="country_table")
-    s = country_summary(prep).limit(n)
+    s = country_summary(prep, measures).limit(n)
     return s.select(lb.country_name(F.col("ISOA2_LAND")).alias("Country"),
                     "BRUTTO_sum", "BRUTTO_count", "BRUTTO_mean")
 

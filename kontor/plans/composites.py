@@ -85,6 +85,7 @@ def full_analysis(docs: DataFrame, checkpoint: bool = False) -> dict[str, dict[s
         out[family] = got.get("kpis") if family == "kpis" else got
     out["_prep"] = prep
     out["_keyed"] = keyed["_all"]
+    out["_countries"] = k("ISOA2_LAND")
     out["_customers"] = customers
     return out
 
@@ -93,10 +94,11 @@ def dashboard_frames(docs: DataFrame, checkpoint: bool = False) -> dict[str, Dat
     """The frames behind the dashboard's charts and tables."""
     a = full_analysis(docs, checkpoint)
     prep = a["_prep"]
+    countries = a["_countries"]
     frames = {
         "platform_revenue": a["platform"].get("platform_share"),
         "platform_orders": a["platform"].get("platform_orders"),
-        "geographic": _try(A.top_countries_chart, prep),
+        "geographic": _try(lambda p: A.top_countries_chart(p, measures=countries), prep),
         "daily_trend": a["time"].get("daily_trend"),
         "day_of_week": a["time"].get("day_of_week"),
         "hourly": a["time"].get("hourly_pattern"),
@@ -105,7 +107,7 @@ def dashboard_frames(docs: DataFrame, checkpoint: bool = False) -> dict[str, Dat
         "platform_profitability": a["profitability"].get("platform_profitability"),
         "order_value": a["order_value"].get("order_value_distribution"),
         "payment": a["payment"].get("payment_summary"),
-        "countries": _try(A.country_table, prep),
+        "countries": _try(lambda p: A.country_table(p, measures=countries), prep),
         "top_customers": a["customer"].get("top_customers"),
     }
     return {k: v for k, v in frames.items() if v is not None}

@@ -117,6 +117,9 @@ SELECT BELEGNR, ORDER_ID, KUNDENNR, BELEGDAT,
        BRUTTO, ERLOES, api_row,{_PREP_COLS}
 FROM belege_events""")
 
+# the same events in a smaller currency: all amounts below 100
+view("pe_tenth", ["pe"], "SELECT * REPLACE (BRUTTO * CAST(0.1 AS DECIMAL(2,1)) AS BRUTTO) FROM pe")
+
 # --- marketplace export -----------------------------------------------------------
 
 _TYP = """CASE WHEN l_returnflag = 'A' AND l_linenumber = 7 THEN 'Andere Gebühr'

@@ -5,6 +5,8 @@ grows with the data. ``__spark_entry__`` exposes this registry."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,6 +271,12 @@ register("country_platform_matrix",
 register("country_platform_matrix_dynamic",
          lambda s, d: A.country_platform_matrix(prep_orders(s, d)),
          REGISTRY["country_platform_matrix"].sql)
+register("country_platform_map",
+         lambda s, d: A.country_platform_map(prep_orders(s, d)).select("ISOA2_LAND", F.explode("platforms").alias("ORIGIN", "BRUTTO")),
+         with_views(["po"], """SELECT c.ISOA2_LAND, p.ORIGIN, COALESCE(s.BRUTTO, 0.0) AS BRUTTO
+FROM (SELECT DISTINCT ISOA2_LAND FROM po) c CROSS JOIN (SELECT DISTINCT ORIGIN FROM po) p
+LEFT JOIN (SELECT ISOA2_LAND, ORIGIN, CAST(SUM(BRUTTO) AS DOUBLE) AS BRUTTO FROM po GROUP BY ALL) s
+ON s.ISOA2_LAND = c.ISOA2_LAND AND s.ORIGIN = p.ORIGIN"""))
 register("country_platform_long", lambda s, d: A.country_platform_long(prep_orders(s, d)),
          with_views(["po"], f"""SELECT ISOA2_LAND, ORIGIN, {TOTAL('BRUTTO')} AS BRUTTO FROM po
 WHERE ISOA2_LAND IS NOT NULL AND ORIGIN IS NOT NULL GROUP BY ISOA2_LAND, ORIGIN"""))
@@ -390,8 +398,8 @@ register("order_value_distribution", lambda s, d: A.order_value_distribution(pre
 register("order_value_distribution_events", lambda s, d: A.order_value_distribution(prep_events(s, d)),
          _value_dist_sql("pe"))
 register("order_value_distribution_small_orders",
-         lambda s, d: A.order_value_distribution(prep_events(s, d).filter(F.col("BRUTTO") <= 100)),
-         _value_dist_sql("pe", "BRUTTO <= 100"))
+         lambda s, d: A.order_value_distribution(prep_events(s, d).withColumn("BRUTTO", F.col("BRUTTO") * F.lit(Decimal("0.1")))),
+         _value_dist_sql("pe_tenth"))
 
 
 def _value_stats_sql(v: str) -> str:

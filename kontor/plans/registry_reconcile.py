@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from kontor.functions import cleaning as cl
 from kontor.functions import constants as K
 from kontor.operators import reconcile as R
 from kontor.plans.oracle import CLEAN, with_views
-from kontor.plans.catalog import register
+from kontor.plans.catalog import REGISTRY, register
+from kontor.session import scratch_path
 from kontor.sources import adapters as AD
+from kontor.sources.sinks import write_documents_table
 
 
 def shop(s: SparkSession, d: str) -> DataFrame:
@@ -227,3 +231,19 @@ def _reconcile_exports(s, d):
 
 
 register("reconcile_exports", _reconcile_exports, with_views(["txg", "fsg"], _GRID_LINES_SQL))
+
+
+# --- C1-C4, D24 against documents landed by order number --------------------------------------
+
+BUCKETS = 16
+
+
+def landed_table(docs: DataFrame) -> DataFrame:
+    """Documents as a table in buckets of order numbers."""
+    name = f"documents_{uuid.uuid4().hex}"
+    return write_documents_table(docs, name, scratch_path(docs.sparkSession, name), BUCKETS)
+
+
+register("match_stats_landed", lambda s, d: R.match_stats(AD.shop_export(s, d), landed_table(AD.belege_orders(s, d))),
+         REGISTRY["match_stats"].sql)
+register("order_lookup_landed", lambda s, d: R.order_lookup(landed_table(AD.belege_lookup(s, d))), REGISTRY["order_lookup"].sql)

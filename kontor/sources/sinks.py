@@ -25,6 +25,19 @@ def write_documents_snapshot(docs: DataFrame, path: str, batch_id: str, fmt: str
      .options(**({"header": "true"} if fmt == "csv" else {})).save(path))
 
 
+def write_documents_table(docs: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """A10 for matching: the documents as a catalog table in ``path``, dealt by ORDER_ID into ``buckets``
+    buckets and sorted by it within each. Returns the table.
+
+    Lookups and matches by order number (:mod:`kontor.operators.reconcile`) read it as it lies: the documents
+    are grouped and joined without a shuffle, however often, and only the export rows move. Order numbers
+    become text. ``buckets``: a few per executor core, so that one holds what a task should."""
+    (docs.withColumn("ORDER_ID", F.col("ORDER_ID").cast("string"))
+     .write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, "ORDER_ID").sortBy("ORDER_ID").saveAsTable(table))
+    return docs.sparkSession.table(table)
+
+
 def write_matched(matched: DataFrame, path: str, fmt: str = "csv") -> None:
     """Persist matched export rows in their original column layout."""
     w = matched.write.mode("overwrite").format(fmt)

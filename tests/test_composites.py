@@ -3,7 +3,10 @@
 import json
 import os
 
+from pyspark.sql import functions as F
 
+from kontor.operators import analytics as A
+from kontor.operators.prepare import prepare
 from kontor.plans import composites as P
 from kontor.sources import adapters as AD
 from kontor.streaming import landing as L
@@ -106,8 +109,6 @@ def test_full_analysis_with_few_columns(spark):
 
 
 def test_grouping_sets_reports_equal_standalone(spark):
-    from kontor.operators import analytics as A
-    from kontor.operators.prepare import prepare
     docs = AD.belege_orders(spark, SF_SMALL)
     a = P.full_analysis(docs)
     prep = prepare(docs)
@@ -147,7 +148,6 @@ def test_dashboards_adapt_to_amount_columns(spark):
 def test_other_errors_are_not_swallowed(spark, monkeypatch):
     import pytest
 
-    from kontor.operators import analytics as A
 
     def broken(*_):
         raise ValueError("no missing column")
@@ -157,8 +157,6 @@ def test_other_errors_are_not_swallowed(spark, monkeypatch):
 
 
 def test_platform_names_with_quotes(spark):
-    from kontor.operators import analytics as A
-    from kontor.operators.prepare import prepare
     docs = spark.createDataFrame([("1", "a`b", "DE", 5.0), ("2", "c.d", "DE", 2.0)], "BELEGNR string, ORIGIN string, ISOA2_LAND string, BRUTTO double")
     r = A.country_platform_matrix(prepare(docs)).first()
     assert (r["a`b"], r["c.d"]) == (5.0, 2.0)
@@ -186,3 +184,13 @@ def test_a_cluster_names_the_shared_folder(monkeypatch):
         sparkContext, conf = Context(), Conf()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
+
+
+def test_matrix_of_any_number_of_platforms(spark):
+    docs = spark.range(40_000).select(F.col("id").cast("string").alias("BELEGNR"), F.concat(F.lit("p"), F.col("id") % 20_000).alias("ORIGIN"),
+                                      F.element_at(F.array(F.lit("DE"), F.lit("FR"), F.lit("IT")), (F.col("id") % 3 + 1).cast("int")).alias("ISOA2_LAND"),
+                                      F.lit("1.5").alias("BRUTTO"))
+    got = A.country_platform_map(prepare(docs)).select("ISOA2_LAND", F.size("platforms").alias("n"), F.aggregate(
+        F.map_values("platforms"), F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
+    assert [(r.ISOA2_LAND, r.n) for r in got] == [("DE", 20_000), ("FR", 20_000), ("IT", 20_000)]
+    assert sum(r.s for r in got) == 60_000.0

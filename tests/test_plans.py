@@ -66,3 +66,41 @@ def test_no_python_evaluation_in_any_registered_query(spark):
         if any(n in p for n in python_nodes):
             offenders.append(name)
     assert offenders == []
+
+
+def test_matching_does_not_shuffle_landed_documents(spark, tmp_dir):
+    from kontor.operators import reconcile as R
+    docs = AD.belege_lookup(spark, SF_SMALL)
+    table = S.write_documents_table(docs, "documents_plan_test", os.path.join(tmp_dir, "docs"), 8)
+    shop = AD.shop_export(spark, SF_SMALL)
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in plan(R.order_lookup(table), "simple")
+        for out in (R.match_orders(shop, table), R.attach_lookups(R.normalize_transactions(shop), table)):
+            p = plan(out, "simple")
+            scan = next(i for i, line in enumerate(p.splitlines()) if "documents_plan_test" in line or "/docs" in line)
+            lines = p.splitlines()
+            depth = len(lines[scan]) - len(lines[scan].lstrip(" :+-*()0123456789"))
+            up = []         # the operators above the scan
+            for line in reversed(lines[:scan]):
+                own = len(line) - len(line.lstrip(" :+-*()0123456789"))
+                if own < depth:
+                    up.append(line)
+                    depth = own
+                if "Join" in line and up and up[-1] is line:
+                    break
+            assert up and not any("Exchange" in line for line in up)
+        same = R.match_stats(shop, table).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert same == R.match_stats(shop, docs).collect()
+
+
+def test_exports_are_read_three_times(spark, tmp_dir):
+    """Split table (once, when the reader is made), first rows and transactions."""
+    root = write_exports(tmp_dir, {"a.csv": (3, False)})
+    e = G.read_exports(spark, root)
+    p = plan(e.rows, "simple")        # the first rows are cached and shown wherever they are used
+    assert p.count("FileScan text") - p.count("InMemoryRelation") == 1 and plan(e.first_rows, "simple").count("FileScan text") == 1
+    assert plan(G.read_export_grid(spark, root), "simple").count("FileScan text") == 1
