@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kontor.functions import constants as K
 from kontor.operators import reconcile as R
@@ -348,7 +349,8 @@ def _large_payloads(s, d):
                                        F.when(F.col("api_row") == F.col("last"), F.lit("]}")).otherwise(F.lit(","))).alias("value"))
     path = scratch_path(s, f"large-{uuid.uuid4().hex}")
     lines.repartition("payload").sortWithinPartitions("payload", "api_row").select("payload", "value").write.partitionBy("payload").text(path)
-    return _prepared_columns(prepare(J.read_ledger_documents(s, path, split=True)))
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in PAYLOAD_FIELDS])      # known, so nothing is read to find it
+    return _prepared_columns(prepare(J.read_ledger_documents(s, path, schema=schema, split=True)))
 
 
 register("src_json_split_payloads", _large_payloads, _PREP_SQL)
