@@ -2,7 +2,7 @@
 
 Templates are word sequences of license notices. The index keeps the postings (template,
 position) of each template's rarest words, by document frequency over the whole corpus. A file
-looks up every word that the index has (at most 30 words); each meeting of a posting and a place in
+looks up every word that the index has (a few for each template); each meeting of a posting and a place in
 the file proposes a template at a relative position, and proposals from different words fall
 together. A proposal is verified word by word at that position: enough of the template must be
 there, and all of its mandatory key phrase.
@@ -21,18 +21,48 @@ from kontor.llm.frames import landed
 TEMPLATES = (
     ("apache", "licensed under the apache license version 2 0", "apache license"),
     ("apache", "you may not use this file except in compliance with the license", "except in compliance with the license"),
+    ("apache", "you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+               "without warranties or conditions of any kind either express or implied", "distributed on an as is basis"),
+    ("agpl", "under the terms of the gnu affero general public license", "affero general public license"),
+    ("artistic", "you may distribute this package under the terms of the artistic license", "artistic license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+     "retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+            "documentation and or other materials provided with the distribution", "reproduce the above copyright notice"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+            "software without specific prior written permission", "endorse or promote products"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
     ("cc", "licensed under cc by nc 4 0", "cc by"),
     ("cc", "this work is licensed under a creative commons attribution license", "creative commons attribution"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+     "waived all copyright"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
     ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
     ("gpl", "under the terms of the gnu general public license", "general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+            "the free software foundation either version 3 of the license or at your option any later version", "gnu general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+     "with or without fee"),
+    ("lgpl", "under the terms of the gnu lesser general public license", "lesser general public license"),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+            "and or sell copies of the software", "merge publish distribute sublicense"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+     "copies or substantial portions"),
     ("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file "
+            "you can obtain one at", "mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+             "arising from the use of this software", "in no event will the authors be held liable"),
 )
 BASE = (("apache", ("apache", "license")), ("gpl", ("general", "public", "license")), ("mit", ("mit", "license")))
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-RARE_PER_TEMPLATE, ENOUGH = 3, 0.8
+ENOUGH = 0.8
+_BITS = len(TEMPLATES).bit_length()         # of a template number in a proposal
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,6 +75,11 @@ def _template_words() -> list[list[str]]:
     return [notice.split() for _, notice, _ in TEMPLATES]
 
 
+def _spare(n: int) -> int:
+    """Words that a notice of ``n`` may lack."""
+    return n - next(k for k in range(n + 1) if k / n >= ENOUGH)
+
+
 def _key_span(i: int) -> tuple[int, int]:
     words, key = TEMPLATES[i][1].split(), TEMPLATES[i][2].split()
     at = next(p for p in range(len(words)) if words[p: p + len(key)] == key)
@@ -56,30 +91,38 @@ def _strings(values) -> Column:
 
 
 def rare_words(docs: DataFrame) -> DataFrame:
-    """One row: ``idf``, a map of each template's rarest words that the corpus has to their IDF."""
+    """One row: ``idf``, a map of each template's rarest words that the corpus has to their IDF.
+
+    A notice that counts may lack some words; the index has one word more of each template, so at least one of
+    them is there. A template too many of whose words no document has is found nowhere and has no words."""
     vocabulary = sorted({w for ws in _template_words() for w in ws})
     present = docs.select(F.array_intersect(words_of(F.col("text")), _strings(vocabulary)).alias("w"))
     # '' counts the documents in the same aggregation
     counts = (present.select(F.explode(F.concat("w", F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("df")))
     table = counts.agg(F.map_from_entries(F.collect_list(F.struct("w", "df"))).alias("df"))
-    idf = {w: F.log((F.col("df")[""] + 1) / (F.col("df")[w] + 1)) for w in vocabulary}
-    rarest = []
-    for ws in _template_words():
-        known = F.filter(F.array(*[F.struct((-idf[w]).alias("a"), F.lit(w).alias("w")) for w in sorted(set(ws))]), lambda x: x["a"].isNotNull())
-        rarest.append(F.slice(F.array_sort(known), 1, RARE_PER_TEMPLATE))
-    every = F.array_distinct(F.flatten(F.array(*rarest)))
-    return table.select(F.map_from_entries(F.transform(every, lambda x: F.struct(x["w"].alias("key"), (-x["a"]).alias("value")))).alias("idf"))
+    notices, spare = F.array(*[_strings(ws) for ws in _template_words()]), F.array(*[F.lit(_spare(len(ws))) for ws in _template_words()])
+    known = lambda ws: F.filter(ws, lambda w: F.element_at("df", w).isNotNull())
+
+    def rarest(ws: Column, t: Column) -> Column:
+        by_df = F.array_sort(F.transform(F.array_distinct(known(ws)), lambda w: F.struct(F.element_at("df", w).alias("df"), w.alias("w"))))
+        return F.when(F.size(known(ws)) >= F.size(ws) - F.get(spare, t), F.slice(by_df, 1, F.get(spare, t) + 1))
+    every = F.array_distinct(F.flatten(F.filter(F.transform(notices, rarest), lambda x: x.isNotNull())))
+    return table.select(F.map_from_entries(F.transform(every, lambda x: F.struct(
+        x["w"].alias("key"), F.log((F.element_at("df", F.lit("")) + 1) / (x["df"] + 1)).alias("value")))).alias("idf"))
 
 
 def _proposals(words: Column, top: Column) -> Column:
     """Distinct (t, at): template t would begin at word ``at``. Told apart as numbers, by a hash set."""
-    postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(p).alias("p"))
-                         for t, ws in enumerate(_template_words()) for p, w in enumerate(ws)])
+    at: dict[str, list[Column]] = {}
+    for t, ws in enumerate(_template_words()):
+        for p, w in enumerate(ws):
+            at.setdefault(w, []).append(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")))
+    postings = F.create_map(*[c for w, places in at.items() for c in (F.lit(w), F.array(*places))])
     places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(top, h["w"]))
-    met = F.transform(places, lambda h: F.transform(F.filter(postings, lambda p: p["w"] == h["w"]),
-                                                     lambda p: F.shiftleft((h["i"] - p["p"]).cast("long"), 4).bitwiseOR(p["t"].cast("long"))))
-    return F.transform(F.array_distinct(F.flatten(met)), lambda c: F.struct(c.bitwiseAND(F.lit(15)).cast("int").alias("t"),
-                                                                           F.shiftright(c, 4).cast("int").alias("at")))
+    met = F.transform(places, lambda h: F.transform(F.element_at(postings, h["w"]),
+                                                     lambda p: F.shiftleft((h["i"] - p["p"]).cast("long"), _BITS).bitwiseOR(p["t"].cast("long"))))
+    return F.transform(F.array_distinct(F.flatten(met)), lambda c: F.struct(c.bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int").alias("t"),
+                                                                           F.shiftright(c, _BITS).cast("int").alias("at")))
 
 
 def _verified(words: Column, proposals: Column) -> Column:

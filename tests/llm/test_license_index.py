@@ -67,3 +67,18 @@ def test_many_notices_and_stray_rare_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in L.licenses(df).collect()}
     assert got == {d: brute(t) for d, t in rows}
+
+
+def test_index_words_missing(spark):
+    """A notice is found with any of the words gone that it may lack, its rarest ones too."""
+    rows, i = [], 0
+    for label, notice, key in L.TEMPLATES:
+        words, (a, b) = notice.split(), L._key_span(i)
+        i += 1
+        free = [p for p in range(len(words)) if not a <= p < b]
+        for seed in range(6):
+            gone = set(random.Random(seed).sample(free, min(len(free), L._spare(len(words)))))
+            rows.append((len(rows), label, "x " + " ".join("zzz" if p in gone else w for p, w in enumerate(words))))
+    rows += [(len(rows) + k, None, w) for k, w in enumerate(["permission granted charge", "of the license is in a", ""] * 40)]
+    got = {r.doc_id: r.labels.split(",") for r in L.licenses(spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")).collect()}
+    assert len(L.TEMPLATES) > 16 and all(label is None or label in got[d] for d, label, _ in rows)
