@@ -11,25 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int, rows_per_class: int, max_chars: int) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int, rows_per_class: int, max_chars: int,
+           most_classes: int = 32) -> DataFrame:
     """(doc_id, text, y) of at most ``rows_per_class`` labelled documents of each class
     outside the held-out fold, the first ones by a hash of the id.
 
     Longer texts than ``max_chars`` are no training examples (they are scored whole like all
     others), so that the sample is bounded in bytes too. NULL labels and ids are left out;
-    of several labels of one id the largest counts."""
+    of several labels of one id the largest counts. More than ``most_classes`` classes are an error: the
+    sample would have no bound."""
     from kontor.llm.frames import fold
     known = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", held_out) != 0))
              .groupBy("doc_id").agg(F.max(label).cast("int").alias("__y")))
     order = F.xxhash64("doc_id", F.lit(11))
-    classes = [r[0] for r in known.select("__y").distinct().orderBy("__y").limit(32).collect()]
+    classes = [r[0] for r in known.select("__y").distinct().orderBy("__y").limit(most_classes + 1).collect()]
+    if len(classes) > most_classes:
+        raise ValueError(f"more than {most_classes} classes in {label!r}")
     picked = None
     for c in classes:
         some = known.filter(F.col("__y") == c).orderBy(order, "doc_id").limit(rows_per_class)
         picked = some if picked is None else picked.unionByName(some)
     if picked is None:
         return docs.select("doc_id", "text", F.lit(0).alias("y")).limit(0)
-    # at most 32 * rows_per_class ids: a size that the parameters bound
+    # at most most_classes * rows_per_class ids: a size that the parameters bound
     return (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
             .filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
             .select("doc_id", "text", F.col("__y").alias("y")).dropDuplicates(["doc_id"]))

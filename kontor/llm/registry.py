@@ -38,8 +38,9 @@ def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 poor, 1 good but toxic, 2 good. score: at least 1."""
-    grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 2)
+    """Grades: 0 poor, 1 good but toxic, from 2 on good and not toxic (by ``quality``). A good document of
+    unknown toxicity has no grade. score: at least 1."""
+    grade = F.when(F.col("quality") <= 0, 0).when(F.col("toxic") != 0, 1).when(F.col("toxic") == 0, F.col("quality") + 1)
     labels = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
     return ordinal_quality.quality(table(spark, sf_dir, "documents"), labels)
 
