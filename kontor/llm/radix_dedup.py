@@ -109,13 +109,14 @@ def _blocks(width: int, kmer: int, most: int, size: int, alive: list[tuple[int |
     all of them keeps false hits from adding up.
 
     ``place`` is the first suffix and the number of suffixes, in one number."""
-    names = ["core", "cover", "row_key", "place", "block_key"]
+    names = ["core", "cover", "check", "row_key", "place", "block_key"]
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy().view(np.uint64)
             for data, bounds, row, base in _chunks(*K.buffer_of(batch.column(1)), width, most):
                 rh, h, anchor, first, last, chunk = _runs(data, bounds, width, kmer)
+                second = K.RangeHash(data, 1)
                 key = ids[row[chunk]]
                 at = anchor - bounds[chunk] + base[chunk]       # of the anchor, in the row
                 for parent, bits in alive[:2]:                  # anchors, whole runs
@@ -144,13 +145,14 @@ def _blocks(width: int, kmer: int, most: int, size: int, alive: list[tuple[int |
                 else:
                     core = h[a]
                 cover = K.mix(rh(a - hi, a - lo + width) + (lo * 1024 + hi).astype(np.uint64))
+                check = second(a - hi, a - lo + width)
                 start = a - hi - bounds[chunk[run_of]] + base[chunk[run_of]]
-                out = (core, cover, key[run_of], start * 1024 + (hi - lo + 1), _block_key(key[run_of], at[run_of], j, size))
+                out = (core, cover, check, key[run_of], start * 1024 + (hi - lo + 1), _block_key(key[run_of], at[run_of], j, size))
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in out], names=names)
     return run
 
 
-_BLOCKS = "core long, cover long, row_key long, place long, block_key long"
+_BLOCKS = "core long, cover long, check long, row_key long, place long, block_key long"
 
 
 def _only(bits: np.ndarray, column: int):
@@ -176,11 +178,11 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, bits
     found = None
     for size in (s for s in LEVELS if s < 2 or 2 * s <= width):   # a core must not be empty
         rows = landed(source.mapInArrow(_blocks(width, kmer, chunk, size, alive), _BLOCKS))
-        classes = landed(rows.groupBy("core", "cover").agg(F.count("*").alias("times"), F.min("block_key").alias("block_key")))
-        times = classes.filter("times > 1").select("cover")
+        classes = landed(rows.groupBy("core", "cover", "check").agg(F.count("*").alias("times"), F.min("block_key").alias("block_key")))
+        times = classes.filter("times > 1").select("cover", "check")
         repeated = bitmap(times, "cover", bits)
-        places = rows.select("cover", "row_key", "place")
-        equal = (places.mapInArrow(_only(repeated, 0), places.schema).join(times, "cover", "left_semi").select("row_key", "place"))
+        places = rows.select("cover", "check", "row_key", "place")
+        equal = (places.mapInArrow(_only(repeated, 0), places.schema).join(times, ["cover", "check"], "left_semi").select("row_key", "place"))
         found = equal if found is None else found.unionByName(equal)
         if size == 1:
             return found

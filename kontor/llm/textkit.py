@@ -14,10 +14,11 @@ import pyarrow.compute as pc
 
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-#: one random odd 64-bit number per byte value: polynomial hashes run over these
-BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: polynomial hashes run modulo two primes below 2**31: a power of two as the modulus lets patterned texts collide
+PRIMES = (2147483647, 2147483629)
+#: bases of each salt, one for each prime
+BASES = _RNG.integers(1 << 20, PRIMES[1], (2, 2)).tolist()
 _P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 2**64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -33,40 +34,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-@lru_cache(maxsize=1)
-def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_P, _P_INV):
-        a = np.full(n, base, np.uint64)
-        a[0] = 1
-        out.append(np.multiply.accumulate(a))
-    return out[0], out[1]
+@lru_cache(maxsize=4)
+def _powers_for(n: int, base: int, prime: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        out[have: 2 * have] = out[:have] * U(pow(base, have, prime)) % U(prime)
+        have *= 2
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**k and P**-k for k < n; grown in powers of two so that the cache holds."""
-    size = 1 << max(16, int(n - 1).bit_length())
-    return _powers_for(size)
+def powers(n: int, base: int, prime: int) -> np.ndarray:
+    """base**k modulo prime for k < n; grown in powers of two so that the cache holds."""
+    return _powers_for(1 << max(16, int(n - 1).bit_length()), base, prime)
 
 
 class RangeHash:
-    """64-bit hashes of any byte ranges of one buffer, by prefix sums."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.empty(len(data) + 1, np.uint64)
-        self.sums[0] = 0
-        np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=self.sums[1:])
+    """64-bit hashes of any byte ranges of one buffer, by prefix sums modulo two primes. Another
+    ``salt`` (0 or 1) gives other bases: an independent hash."""
+
+    def __init__(self, data: np.ndarray, salt: int = 0):
+        self.parts = []
+        value = data.astype(np.uint64) + U(1)
+        for base, prime in zip(BASES[salt], PRIMES, strict=True):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            term = value * powers(len(data) + 1, base, prime)[: len(data)]
+            # terms are below 2**40: sums of up to 2**24 of them fit as they are, of reduced ones up to 2**33
+            np.cumsum(term if len(data) <= 1 << 24 else term % U(prime), out=sums[1:])
+            self.parts.append((sums, powers(len(data) + 1, pow(base, -1, prime), prime), U(prime)))
+
+    def _ranges(self, start, end) -> np.ndarray:
+        a, b = (((sums[end] - sums[start]) % prime) * down[start] % prime for sums, down, prime in self.parts)
+        return mix((a << U(32)) | b)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        return self._ranges(start, end)
 
     def fixed(self, width: int) -> np.ndarray:
         """Hash of every range of ``width`` bytes."""
-        n = len(self.sums) - width
+        n = len(self.parts[0][0]) - width
         if n <= 0:
             return np.empty(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
+        return self._ranges(slice(0, n), slice(width, n + width))
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
