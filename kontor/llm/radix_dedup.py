@@ -64,7 +64,7 @@ def _chunks(data: np.ndarray, offsets: np.ndarray, width: int, most: int) -> Ite
 def _runs(data: np.ndarray, bounds: np.ndarray, width: int, kmer: int):
     """Runs of window starts that select the same anchor: hash function, anchor, first
     and last start, chunk of each run."""
-    rh = K.RangeHash(data)
+    rh = K.WrappingHash(data)
     span = width - kmer + 1
     h = rh.fixed(kmer)
     key = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
@@ -116,7 +116,6 @@ def _blocks(width: int, kmer: int, most: int, size: int, alive: list[tuple[int |
             ids = batch.column(0).to_numpy().view(np.uint64)
             for data, bounds, row, base in _chunks(*K.buffer_of(batch.column(1)), width, most):
                 rh, h, anchor, first, last, chunk = _runs(data, bounds, width, kmer)
-                second = K.RangeHash(data, 1)
                 key = ids[row[chunk]]
                 at = anchor - bounds[chunk] + base[chunk]       # of the anchor, in the row
                 for parent, bits in alive[:2]:                  # anchors, whole runs
@@ -144,8 +143,8 @@ def _blocks(width: int, kmer: int, most: int, size: int, alive: list[tuple[int |
                     core = K.mix(core + (j * 256 + size).astype(np.uint64))
                 else:
                     core = h[a]
-                cover = K.mix(rh(a - hi, a - lo + width) + (lo * 1024 + hi).astype(np.uint64))
-                check = second(a - hi, a - lo + width)
+                cover = K.mix(K.RangeHash(data)(a - hi, a - lo + width) + (lo * 1024 + hi).astype(np.uint64))
+                check = rh(a - hi, a - lo + width)
                 start = a - hi - bounds[chunk[run_of]] + base[chunk[run_of]]
                 out = (core, cover, check, key[run_of], start * 1024 + (hi - lo + 1), _block_key(key[run_of], at[run_of], j, size))
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in out], names=names)

@@ -16,9 +16,10 @@ U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 #: polynomial hashes run modulo two primes below 2**31: a power of two as the modulus lets patterned texts collide
 PRIMES = (2147483647, 2147483629)
-#: bases of each salt, one for each prime
-BASES = _RNG.integers(1 << 20, PRIMES[1], (2, 2)).tolist()
+#: a base for each prime
+BASES = _RNG.integers(1 << 20, PRIMES[1], 2).tolist()
 _P = 0x9E3779B97F4A7C15
+_P_INV = pow(_P, -1, 2**64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -34,12 +35,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=6)
 def _powers_for(n: int, base: int, prime: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     have = 1
     while have < n:
-        out[have: 2 * have] = out[:have] * U(pow(base, have, prime)) % U(prime)
+        out[have: 2 * have] = out[:have] * U(pow(base, have, prime))
+        if prime < 2**64:
+            out[have: 2 * have] %= U(prime)
         have *= 2
     return out
 
@@ -50,32 +53,41 @@ def powers(n: int, base: int, prime: int) -> np.ndarray:
 
 
 class RangeHash:
-    """64-bit hashes of any byte ranges of one buffer, by prefix sums modulo two primes. Another
-    ``salt`` (0 or 1) gives other bases: an independent hash."""
+    """64-bit hashes of any byte ranges of one buffer, by prefix sums modulo two primes."""
 
-    def __init__(self, data: np.ndarray, salt: int = 0):
+    def __init__(self, data: np.ndarray):
         self.parts = []
         value = data.astype(np.uint64) + U(1)
-        for base, prime in zip(BASES[salt], PRIMES, strict=True):
+        for base, prime in zip(BASES, PRIMES, strict=True):
             sums = np.zeros(len(data) + 1, np.uint64)
             term = value * powers(len(data) + 1, base, prime)[: len(data)]
             # terms are below 2**40: sums of up to 2**24 of them fit as they are, of reduced ones up to 2**33
             np.cumsum(term if len(data) <= 1 << 24 else term % U(prime), out=sums[1:])
             self.parts.append((sums, powers(len(data) + 1, pow(base, -1, prime), prime), U(prime)))
 
-    def _ranges(self, start, end) -> np.ndarray:
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         a, b = (((sums[end] - sums[start]) % prime) * down[start] % prime for sums, down, prime in self.parts)
         return mix((a << U(32)) | b)
 
+
+class WrappingHash:
+    """As :class:`RangeHash`, by prefix sums modulo 2**64: a third of the cost, for every position of a
+    buffer too. Patterned texts of 1,024 bytes and more can collide, so it never decides alone."""
+
+    def __init__(self, data: np.ndarray):
+        self.down = powers(len(data) + 1, _P_INV, 2**64)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + U(1)) * powers(len(data) + 1, _P, 2**64)[: len(data)], out=self.sums[1:])
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self._ranges(start, end)
+        return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
     def fixed(self, width: int) -> np.ndarray:
         """Hash of every range of ``width`` bytes."""
-        n = len(self.parts[0][0]) - width
+        n = len(self.sums) - width
         if n <= 0:
             return np.empty(0, np.uint64)
-        return self._ranges(slice(0, n), slice(width, n + width))
+        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -77,3 +77,14 @@ def test_repeated_rows_hold_each_place_once(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.n_removed for r in remove_repeats(df).collect()} == {900}
     assert held and all(len(r.places) == len(set(r.places)) for r in held)
+
+
+def test_patterned_texts_are_not_repeats(spark):
+    """A Thue-Morse text and its complement have one hash modulo 2**64; only the real repeats go."""
+    order = "a"
+    for _ in range(10):
+        order += order.translate(str.maketrans("ab", "ba"))
+    rows = [(1, order), (2, order.translate(str.maketrans("ab", "ba")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, 1024, 32).collect())
+    assert got == brute(rows, 1024)

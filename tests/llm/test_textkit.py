@@ -10,20 +10,21 @@ def test_patterned_texts_have_hashes_of_their_own():
         order += [1 - x for x in order]
     a = np.array(order, np.uint8) + 97
     b = 195 - a
-    for salt in (0, 1):
-        whole = [int(K.RangeHash(x, salt)(np.array([0]), np.array([1024]))[0]) for x in (a, b)]
-        assert whole[0] != whole[1]
+    whole = [int(K.RangeHash(x)(np.array([0]), np.array([1024]))[0]) for x in (a, b)]
+    joined = K.RangeHash(np.concatenate((a, b)))(np.array([0, 1024]), np.array([1024, 2048]))
+    assert whole[0] != whole[1] and whole == joined.tolist()
 
 
 def test_equal_ranges_hash_alike_wherever_they_are():
     data = np.random.default_rng(5).integers(0, 256, 5000).astype(np.uint8)
-    whole, part = K.RangeHash(data), K.RangeHash(data[700:900])
     start = np.arange(100)
-    assert (whole(start + 700, start + 800) == part(start, start + 100)).all()
+    for kind in (K.RangeHash, K.WrappingHash):
+        whole, part = kind(data), kind(data[700:900])
+        assert (whole(start + 700, start + 800) == part(start, start + 100)).all()
+        assert len(np.unique(whole(np.arange(4900), np.arange(4900) + 16))) == 4900
+    whole = K.WrappingHash(data)
     assert (whole.fixed(100) == whole(np.arange(4901), np.arange(4901) + 100)).all()
-    assert len(np.unique(whole.fixed(16))) == 4985
-    assert (whole(start, start + 9) != K.RangeHash(data, 1)(start, start + 9)).all()
-    assert len(K.RangeHash(data[:5]).fixed(16)) == 0
+    assert len(K.WrappingHash(data[:5]).fixed(16)) == 0
 
 
 def test_long_buffers_hash_alike():
