@@ -8,7 +8,8 @@ share of the item's words under tiles is its coverage. Tiles may come in any ord
 passage whose sentences were moved is covered like one in its old order.
 
 Every tile is made of seeds, so a document travels as the words under its shared seeds,
-with breaks between them, and its text stays where it is. The seeds of the items reach the scan
+with breaks between them, and its text stays where it is; pairs whose shared seeds cannot
+reach the coverage are dropped before any words are joined. The seeds of the items reach the scan
 as two bitmaps of fixed size (together a false hit is rare, and the join on the seed
 drops it)."""
 
@@ -25,7 +26,6 @@ from kontor.llm.frames import bitmap, id_and_text, in_bitmap, landed, small_batc
 SEED_WORDS, COVERAGE = 5, 0.6
 U = np.uint64
 _SECOND = 0x2545F4914F6CDD1D
-_MODULUS, _BASE = (1 << 61) - 1, 1_000_003
 
 
 def _seeds(h: np.ndarray, first: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -49,7 +49,7 @@ def _items(n: int):
                     for r, value in zip(row[fit], s[fit].view(np.int64).tolist(), strict=True):
                         seeds[r].append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.minimum(count, n).astype(np.int32)), pa.array([sorted(set(x)) for x in seeds], pa.list_(pa.int64())),
+                    [part.column(0), pa.array(np.minimum(count, n).astype(np.int32)), pa.array(seeds, pa.list_(pa.int64())),
                      pa.array([h[a:b].view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.int64()))],
                     names=["item_id", "shortest", "seeds", "item_words"])
     return run
@@ -84,54 +84,72 @@ def _hits(lengths: tuple[int, ...], one: np.ndarray, two: np.ndarray):
     return run
 
 
-def _windows(words: list[int], free: list[bool], size: int):
-    """(start, Karp-Rabin hash) of every run of ``size`` free words."""
-    lead = pow(_BASE, size - 1, _MODULUS)
-    h = run = 0
-    for i, w in enumerate(words):
-        if not free[i]:
-            h = run = 0
-            continue
-        if run >= size:
-            h = (h - words[i - size] * lead) % _MODULUS
-        h = (h * _BASE + w) % _MODULUS
-        run += 1
-        if run >= size:
-            yield i - size + 1, h
-
-
-def tiles(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
-    """(start in item, start in doc, length) of the tiles; words of value 0 match nothing."""
-    free_a, free_b = [w != 0 for w in item], [w != 0 for w in doc]
+class _Runs:
+    """Karp-Rabin hashes of runs of words, modulo two primes by prefix sums."""
+
+    def __init__(self, words: np.ndarray):
+        self.parts = []
+        for base, prime in zip(K.BASES, K.PRIMES, strict=True):
+            sums = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum(words % U(prime) * K.powers(len(words) + 1, base, prime)[: len(words)] % U(prime), out=sums[1:])
+            self.parts.append((sums, K.powers(len(words) + 1, pow(base, -1, prime), prime), U(prime)))
+
+    def __call__(self, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of every run of ``size`` free words."""
+        taken = np.zeros(len(free) + 1, np.int64)
+        np.cumsum(~free, out=taken[1:])
+        start = np.flatnonzero(taken[size:] == taken[: max(0, len(taken) - size)])
+        a, b = ((sums[start + size] - sums[start]) % prime * down[start] % prime for sums, down, prime in self.parts)
+        return start, (a << U(32)) | b
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(start in item, start in doc, length) of the tiles; words of value 0 match nothing.
+
+    The longest common run of free words is found by bisection on its length (a run has common runs of every
+    shorter length); then all runs of that length are marked, in the order of the item, each at the first free
+    place of the document. A round passes over both texts some log(words) times however often a word repeats,
+    and there are as many rounds as tiles have different lengths."""
+    item, doc = np.asarray(item, np.int64).view(np.uint64), np.asarray(doc, np.int64).view(np.uint64)
+    free_a, free_b = item != 0, doc != 0
+    runs_a, runs_b = _Runs(item), _Runs(doc)
     out: list[tuple[int, int, int]] = []
-    size = max(least, min(20, len(item)))
-    while True:
-        at: dict[int, list[int]] = {}
-        for b, h in _windows(doc, free_b, size):
-            at.setdefault(h, []).append(b)
-        found, longest = [], 0
-        for a, h in _windows(item, free_a, size):
-            for b in at.get(h, ()):
-                k = 0
-                while a + k < len(item) and b + k < len(doc) and free_a[a + k] and free_b[b + k] and item[a + k] == doc[b + k]:
-                    k += 1
-                if k >= size:
-                    found.append((-k, a, b))
-                    longest = max(longest, k)
-        if longest > 2 * size:
-            size = longest
-            continue
-        marked = False
-        for k, a, b in sorted(found):
-            if all(free_a[a: a - k]) and all(free_b[b: b - k]):      # else partly under a longer tile: found again
-                free_a[a: a - k] = free_b[b: b - k] = [False] * -k
-                out.append((a, b, -k))
-                marked = True
-        if marked and found:
-            continue
-        if size == least:
-            return out
-        size = max(least, size // 2) if size > 2 * least else least
+    most = min(len(item), len(doc))
+    while most >= least:
+        low, high = least - 1, most
+        guess = least               # most pairs end here or share runs far below their length
+        while low < high:
+            if len(np.intersect1d(runs_a(free_a, guess)[1], runs_b(free_b, guess)[1])):
+                low = guess
+            else:
+                high = guess - 1
+            guess = min(high, low * 2) if high == most else (low + high + 1) // 2
+        if low < least:
+            break
+        start, h = runs_b(free_b, low)
+        order = np.argsort(h, kind="stable")
+        start, h = start[order], h[order]
+        begin, own = runs_a(free_a, low)
+        place = {}                  # of each hash: the next place of the document to try
+        left, right = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
+        for i in np.flatnonzero(right > left):
+            a = int(begin[i])
+            # marks of this round are as long as the run: one that overlaps it covers an end of it
+            if not (free_a[a] and free_a[a + low - 1]):
+                continue
+            j = place.get(left[i], left[i])
+            while j < right[i] and not (free_b[start[j]] and free_b[start[j] + low - 1]):
+                j += 1
+            place[left[i]] = j
+            while j < right[i]:     # the words decide, not the hash
+                b = int(start[j])
+                if free_b[b] and free_b[b + low - 1] and np.array_equal(item[a: a + low], doc[b: b + low]):
+                    free_a[a: a + low] = free_b[b: b + low] = False
+                    out.append((a, b, low))
+                    break
+                j += 1
+        most = low - 1
+    return out
 
 
 def _cover(n: int):
@@ -140,7 +158,7 @@ def _cover(n: int):
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             covered, longest, pieces = [], [], []
             for i in range(batch.num_rows):
-                item, doc = col["item_words"][i].as_py(), col["doc_words"][i].as_py()
+                item, doc = (col[name][i].values.to_numpy() for name in ("item_words", "doc_words"))
                 got = tiles(item, doc, min(n, len(item)))
                 covered.append(sum(t[2] for t in got) / len(item))
                 longest.append(max((t[2] for t in got), default=0))
@@ -157,7 +175,8 @@ def _pairs(keyed: DataFrame, items: DataFrame, seed_words: int, coverage: float)
     prepared = landed(items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         _items(seed_words), f"item_id {kind}, shortest int, seeds array<long>, item_words array<long>")
         .filter("shortest > 0").withColumn("item_row", F.monotonically_increasing_id()))
-    seeds = prepared.select("item_row", F.explode("seeds").alias("seed")).select("*", F.col("seed").alias("k"))
+    seeds = landed(prepared.select("item_row", F.size("item_words").alias("n_words"), F.explode("seeds").alias("seed"))
+                   .groupBy("item_row", "n_words", "seed").agg(F.count("*").alias("places"))).withColumn("k", F.col("seed"))
     lengths = tuple(sorted(r[0] for r in prepared.select("shortest").distinct().collect()))      # at most seed_words numbers
     lengths = lengths or (seed_words,)
     one = bitmap(seeds, "k")
@@ -165,9 +184,13 @@ def _pairs(keyed: DataFrame, items: DataFrame, seed_words: int, coverage: float)
     two = bitmap(seeds.select("k").mapInArrow(_again, "k long"), "k")
     hits = landed(keyed.select("row_key", "text").mapInArrow(
         _hits(lengths, one, two), "row_key long, seeds array<long>, doc_words array<long>"))
-    near = (hits.select("row_key", F.explode("seeds").alias("seed")).join(seeds.select("item_row", "seed"), "seed")
-            .groupBy("row_key", "item_row").agg(F.count("*").alias("shared")))
-    work = (near.join(hits.select("row_key", "doc_words").dropDuplicates(["row_key"]), "row_key")
+    # tiles lie under shared seeds: a pair whose seeds together are shorter than the coverage asks for cannot have it,
+    # and goes before any list of words is joined. Equal rows have equal keys and count once.
+    hits = hits.dropDuplicates(["row_key"])
+    near = (hits.select("row_key", F.explode("seeds").alias("seed")).join(seeds.drop("k"), "seed")
+            .groupBy("row_key", "item_row", "n_words").agg(F.sum("places").alias("shared"))
+            .filter(F.col("shared") * F.least(F.lit(seed_words), "n_words") >= coverage * F.col("n_words")).select("row_key", "item_row"))
+    work = (near.join(hits.select("row_key", "doc_words"), "row_key")
             .join(prepared.select("item_row", "item_id", "item_words"), "item_row")
             .select("row_key", "item_id", "doc_words", "item_words"))
     return work.mapInArrow(_cover(seed_words), f"row_key long, item_id {kind}, coverage double, n_tiles int, longest_tile int").filter(

@@ -1,4 +1,6 @@
 import random
+import time
+from collections import Counter
 
 from kontor.llm.tiling import clean, contaminated, tiles
 
@@ -33,6 +35,45 @@ def test_longest_first():
     assert tiles(a, a[10:] + [0] + a[:14], 5) == [(10, 0, 30), (0, 31, 10)]
 
 
+def plain_tiles(a, b, least):
+    """The definition: of all pairs of equal free runs the longest, then the first in a, then in b, until none is left."""
+    free_a, free_b, out = [w != 0 for w in a], [w != 0 for w in b], []
+    while True:
+        best = None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
+                    k += 1
+                if k >= least and (best is None or k > best[2]):
+                    best = (i, j, k)
+        if best is None:
+            return out
+        i, j, k = best
+        free_a[i: i + k] = free_b[j: j + k] = [False] * k
+        out.append(best)
+
+
+def test_tiles_equal_the_definition():
+    rnd = random.Random(7)
+    for t in range(150):
+        top = (1, 2, 3, 30)[t % 4]
+        a = [rnd.randint(1, top) for _ in range(rnd.randint(1, 30))]
+        b = [rnd.choice([0, *range(1, top + 1), *range(1, top + 1)]) for _ in range(rnd.randint(0, 30))] + a[rnd.randint(0, len(a)):]
+        n = min(rnd.choice((2, 5)), len(a))
+        assert tiles(a, b, n) == plain_tiles(a, b, n)
+
+
+def test_repeated_words_take_a_pass_over_the_texts():
+    t0 = time.perf_counter()
+    assert tiles([7] * 100, [7] * 100_000, 5) == [(0, 0, 100)]
+    assert tiles([7] * 20_000, [7] * 300, 5) == [(0, 0, 300)]
+    got = tiles([7] * 5_000, ([7] * 50 + [0]) * 2_000, 5)
+    assert len(got) == 100 and {k for _, _, k in got} == {50}
+    check(tiles([1, 2] * 3_000, [2, 1, 1] * 20_000, 2), [1, 2] * 3_000, [2, 1, 1] * 20_000, 2)
+    assert time.perf_counter() - t0 < 10
+
+
 def rows_of(seed):
     rnd = random.Random(seed)
     vocab = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
@@ -71,6 +112,29 @@ def test_against_planted_items(spark):
     assert clean(d, b).columns == d.columns
 
 
+def test_against_tiling_of_all_pairs(spark):
+    """Every pair by the definition, from the whole texts: repeated words and seeds, ties, copies, short items."""
+    rnd = random.Random(11)
+    def text(top, n):
+        return " ".join(f"w{rnd.randint(1, top)}" for _ in range(n))
+    items = [(i, text((2, 6, 40)[i % 3], rnd.randint(1, 14))) for i in range(12)] + [(50, "la " * 12), (51, None), (52, "W1 w2")]
+    docs = [(d, text((2, 6, 40)[d % 3], rnd.randint(0, 25))) for d in range(24)]
+    docs += [(30, "la " * 40), (31, items[2][1] + " x " + items[5][1]), (31, items[2][1] + " x " + items[5][1]), (32, items[8][1][::-1]), (None, "la " * 9), (33, None)]
+    code = {}
+    def words(t):
+        return [code.setdefault(w, len(code) + 1) for w in (t or "").lower().split()]
+    want = Counter()
+    for d, t in docs:
+        for i, u in items:
+            a = words(u)
+            got = plain_tiles(a, words(t), min(5, len(a))) if a else []
+            if a and sum(k for *_, k in got) / len(a) >= 0.6:
+                want[d, i, round(sum(k for *_, k in got) / len(a), 9), len(got), max(k for *_, k in got)] += 1
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter((r.doc_id, r.item_id, round(r.coverage, 9), r.n_tiles, r.longest_tile) for r in found.collect()) == want
+    assert len(want) > 20
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
