@@ -93,3 +93,16 @@ def test_value_bins_zone_500_to_999(spark):
     assert _bins(spark, [999, 999])[0] == (999.0, 7, "€750-1000.00")
     got = _bins(spark, [1000.5, 1000, 20])
     assert got == [(1000.5, 8, "€1000-1001.50"), (1000.0, 7, "€750-1000"), (20.0, 1, "€0-50")]
+
+
+def test_amount_cells_that_are_no_plain_number_are_still_cleaned(spark):
+    cells = ["1.5", "1.5\n", " 1.5\t", "1.5 ", " -2e1　", "1_000.5", "1d", "Infinity", "--", "—", "", None, "+.5", "5."]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    got = [r.v for r in df.select("i", cl.clean_amount(F.col("c")).alias("v")).orderBy("i").collect()]
+    assert got == [1.5, 1.5, 1.5, 1.5, -20.0, 1000.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5, 5.0]
+
+
+def test_no_generated_method_is_too_long_to_be_compiled(spark):
+    from kontor.session import configure
+    configure(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
