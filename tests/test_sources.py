@@ -346,3 +346,34 @@ def test_report_sheet_written_in_row_order(spark, tmp_dir):
     rows = [line.split(";") for line in text.splitlines() if not line.startswith("row_no")]
     assert [r[0] for r in rows] == ["1", "2", "3", "4", "5", "6", "7", "8", "9"]
     assert rows[0][1:3] == ["Verkäufer", "Shop GmbH"] and rows[3][1] == "Datum der Transaktionserstellung"
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reading_a_grid_moves_no_rows(spark, tmp_path):
+    path = str(tmp_path / "grid")
+    for i in range(3):
+        (tmp_path / "grid" / f"file_id={i}").mkdir(parents=True)
+        (tmp_path / "grid" / f"file_id={i}" / "part-0").write_text(
+            "Verkäufer;S\nDatum der Transaktionserstellung;Typ;Bestellnummer;;;;;;\n2024-01-01;Bestellung;7;;;;;;\n", encoding="utf-8")
+    e = G.read_exports(spark, path, export_column="file_id")
+    assert "SortMergeJoin" not in _plan(e.rows.join(e.headers, "file_id"))       # which would deal the grid by export
+    assert sorted((r.file_id, r.bestellnummer) for r in e.rows.collect()) == [("0", "7"), ("1", "7"), ("2", "7")]
+
+
+def test_joined_records_are_written_once_and_cross_splits(spark, tmp_path):
+    path = tmp_path / "odd"
+    (path / "file_id=1").mkdir(parents=True)
+    cells = [f'{i};"a\n{"x" * (i % 7)}\n""b"" {i}";z' for i in range(400)]
+    (path / "file_id=1" / "part-0").write_text("\n".join(cells) + "\n", encoding="utf-8")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        text = G.export_text(spark, str(path), export_column="file_id")
+        got = sorted((r.row_idx, r.cells) for r in text.records(cells=True).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == [(i + 1, [str(i), f'a\n{"x" * (i % 7)}\n"b" {i}', "z"]) for i in range(400)]
+    assert "Scan text" not in _plan(text.joined)
