@@ -120,3 +120,24 @@ def test_sums_are_exact_and_unrounded(spark):
     assert R.fee_summary(R.file_summary(export("0.0049", 1))).first().K == 0.0049
     # what is no money any more neither fails nor wraps around
     assert R.fee_summary(R.file_summary(export("1e300", 2))).first().K == 2e300
+
+
+def test_report_lines_compute_the_transactions_once(spark, tmp_path):
+    from kontor.plans.registry_reconcile import txl
+    lines = R.report_lines(txl(spark, "/root/testdata/sf0.001"))
+    assert not any("lineitem" in f or "orders" in f for f in lines.inputFiles())      # only what was written
+
+
+def test_numbering_sorts_rows_once(spark):
+    from kontor.operators.ordinal import ordinal
+    df = spark.range(1000).selectExpr("cast(id % 3 as string) AS g", "id AS o")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ordinal(df, ["g"], [F.col("o")], F.floor(F.col("o") / 64), out="n")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(" Sort [g#" in line and "o#" in line for line in plan.splitlines()) == 1
+    assert plan.split("SortMergeJoin", 1)[1].count("Window [row_number()") == 1       # below the join
+    assert all(r.n == r.o // 3 + 1 for r in rows)
