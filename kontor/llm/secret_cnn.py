@@ -5,10 +5,11 @@ a candidate, letters alone included. The network sees the candidate in passages
 with 24 characters on either side: character embeddings, a convolution, maximum over the
 positions, a logistic output. It is trained in numpy on labelled findings (base findings
 are secrets, other candidates are not; the context is hidden in half of the examples, so that
-the value itself has to tell; the key of an assignment is cut out, as candidates have none).
+the value itself has to tell; the key of an assignment is cut out, as candidates have none), on all
+distinct ones of the corpus: tasks train on buckets of them, and their networks are averaged.
 On a part kept back, presented as candidates are scored, the logits are calibrated by a slope and
 an offset, and the threshold is the highest one that still finds the wanted share of the
-known secrets there. A candidate above it is an added finding of kind ``cnn``."""
+known secrets there, by a standard error. A candidate above it is an added finding of kind ``cnn``."""
 
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.llm import textkit as K
-from kontor.llm.frames import id_and_text, small_batches
+from kontor.llm.frames import id_and_text, landed, small_batches
 
 # The base patterns, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "cnn")
@@ -34,6 +35,10 @@ VALUE_LEAST, ACCESS_LEAST, HEX_LEAST, CANDIDATE_LEAST = 12, 18, 16, 12
 SIDE, BODY = 24, 48
 WINDOW = SIDE + BODY + SIDE
 RECALL = 0.95
+#: rounds of training; passages that all of them go over whole; least examples of the rarer class in a bucket
+ROUNDS, LEARNT, RARE = 6, 20_000, 64
+#: bins of the logits of kept-back passages, for 1; units of averaged parameters, for 1
+BINS, FIXED = 1024, 2.0**40
 _HEX, _TOKEN = (np.zeros(256, bool) for _ in range(2))
 _HEX[list(b"0123456789abcdef")] = True
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
@@ -155,103 +160,217 @@ def _hidden_context(codes: np.ndarray) -> np.ndarray:
     return codes
 
 
-def train(codes: np.ndarray, labels: np.ndarray, recall: float = RECALL, epochs: int = 6, filters: int = 24, dim: int = 8, seed: int = 3) -> Network:
-    """Fit on passages and 0/1; every fifth passage is kept back for calibration and threshold."""
+@dataclass
+class State:
+    """A network in training, with the two moments of its gradients."""
+    net: Network
+    m: dict[str, np.ndarray]
+    v: dict[str, np.ndarray]
+    steps: float = 0.0
+
+
+PARAMETERS = ("emb", "conv", "conv_bias", "out", "out_bias")
+
+
+def _start(filters: int, dim: int, seed: int) -> State:
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (CODES, dim)).astype(np.float32), rng.normal(0, 0.2, (KERNEL * dim, filters)).astype(np.float32),
                   np.zeros(filters, np.float32), rng.normal(0, 0.3, filters).astype(np.float32), 0.0)
+    return State(net, *({k: np.zeros(np.shape(getattr(net, k))) for k in PARAMETERS} for _ in range(2)))
+
+
+def _batches(y: np.ndarray, rng: np.random.Generator, size: int = 128):
+    """Each passage at least once, in batches with a quarter at least of either class: the rarer one is repeated."""
+    rare, usual = sorted((np.flatnonzero(y == k) for k in (0, 1)), key=len)
+    rare, usual = rng.permutation(rare), rng.permutation(usual)
+    own = max(size // 4, round(size * len(rare) / len(y)))
+    for i in range(-(-len(usual) // (size - own))):
+        yield np.concatenate((usual[i * (size - own): (i + 1) * (size - own)], rare[np.arange(i * own, (i + 1) * own) % len(rare)]))
+
+
+def _learn(state: State, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
+    """One pass over passages of both classes, each class weighing a half."""
+    net, m, v = state.net, state.m, state.v
+    for pick in _batches(y, rng):
+        t = y[pick].astype(np.float32)
+        weight = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
+        c = np.where((rng.random(len(pick)) < 0.5)[:, None], _hidden_context(x[pick]), x[pick])
+        cols, best, top, hidden, z = _forward(net, c)
+        dz = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - t) * weight / len(pick)).astype(np.float32)
+        dh = dz[:, None] * net.out[None, :] * (top > 0)
+        met = np.take_along_axis(cols, best[:, :, None], axis=1)                 # the columns that won, per filter
+        dconv = np.einsum("nf,nfk->kf", dh, met)
+        dcols = (dh[:, :, None] * net.conv.T[None, :, :]).reshape(-1, KERNEL, net.emb.shape[1])
+        where = (best[:, :, None] + np.arange(KERNEL)).reshape(len(pick), -1)
+        demb = np.zeros_like(net.emb)
+        np.add.at(demb, np.take_along_axis(c, where, axis=1).ravel(), dcols.reshape(-1, net.emb.shape[1]))
+        grads = {"emb": demb, "conv": dconv, "conv_bias": dh.sum(0), "out": hidden.T @ dz, "out_bias": dz.sum()}
+        state.steps += 1
+        for k, g in grads.items():
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.99 * v[k] + 0.01 * g * g
+            change = 0.01 * (m[k] / (1 - 0.9**state.steps)) / (np.sqrt(v[k] / (1 - 0.99**state.steps)) + 1e-8)
+            own = getattr(net, k) - change
+            setattr(net, k, float(own) if k == "out_bias" else own.astype(np.float32))
+
+
+def _binned(z: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(z, -40, 40) * BINS).astype(np.int32)
+
+
+def _calibrate(net: Network, bins: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float) -> None:
+    """Slope, offset and threshold from how many passages (``n``) of a class have a logit in a bin."""
+    z = (bins + 0.5) / BINS
+    ones = n[y == 1].sum()
+    wanted = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (n.sum() - ones + 2))     # so that the slope stays finite
+    a, b = 1.0, 0.0
+    for _ in range(50):                     # slope and offset of the probabilities, by Newton's method
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
+        err, w = (p - wanted) * n, p * (1 - p) * n + 1e-12
+        ga, gb, haa, hab, hbb = (err * z).sum(), err.sum(), (w * z * z).sum(), (w * z).sum(), w.sum()
+        da = -np.clip((hbb * ga - hab * gb) / max(haa * hbb - hab * hab, 1e-12), -1, 1)
+        da = max(0.05, a + da) - a
+        a, b = float(a + da), float(b - np.clip((gb + hab * da) / hbb, -2, 2))
+    net.slope, net.offset = a, b
+    known = np.argsort(bins[y == 1], kind="stable")
+    upto = np.cumsum(n[y == 1][known])
+    # a standard error below the quantile: of few secrets the quantile itself is missed by luck as often as not
+    missed = (1 - recall) * upto[-1]
+    at = int(np.searchsorted(upto, np.floor(max(0.0, missed - np.sqrt(missed * recall))), side="right"))
+    # the lower edge of the bin: what is in it is found
+    net.threshold = float(probability(net, np.float64(bins[y == 1][known][at] / BINS)))
+
+
+def train(codes: np.ndarray, labels: np.ndarray, recall: float = RECALL, epochs: int = 6, filters: int = 24, dim: int = 8, seed: int = 3) -> Network:
+    """Fit on passages and 0/1 in one process; every fifth passage is kept back for calibration and threshold."""
+    state = _start(filters, dim, seed)
     held = np.arange(len(labels)) % 5 == 0
     if any(len(set(labels[part].tolist())) < 2 for part in (held, ~held)):
-        return net
-    x, y = codes[~held], labels[~held].astype(np.float32)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-    names = ("emb", "conv", "conv_bias", "out")
-    m, v, t = {k: 0.0 for k in (*names, "b")}, {k: 0.0 for k in (*names, "b")}, 0
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for i in range(0, len(order), 128):
-            pick = order[i: i + 128]
-            c = np.where((rng.random(len(pick)) < 0.5)[:, None], _hidden_context(x[pick]), x[pick])
-            cols, best, top, hidden, z = _forward(net, c)
-            dz = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
-            dh = dz[:, None] * net.out[None, :] * (top > 0)
-            met = np.take_along_axis(cols, best[:, :, None], axis=1)                 # the columns that won, per filter
-            dconv = np.einsum("nf,nfk->kf", dh, met)
-            dcols = (dh[:, :, None] * net.conv.T[None, :, :]).reshape(-1, KERNEL, dim)
-            demb = np.zeros_like(net.emb)
-            where = (best[:, :, None] + np.arange(KERNEL)).reshape(len(pick), -1)
-            np.add.at(demb, np.take_along_axis(c, where, axis=1).ravel(), dcols.reshape(-1, dim))
-            grads = {"emb": demb, "conv": dconv, "conv_bias": dh.sum(0), "out": hidden.T @ dz, "b": dz.sum()}
-            t += 1
-            for k, g in grads.items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                change = 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-                if k == "b":
-                    net.out_bias -= float(change)
-                else:
-                    setattr(net, k, (getattr(net, k) - change).astype(np.float32))
+        return state.net
+    for epoch in range(epochs):
+        _learn(state, codes[~held], labels[~held], np.random.default_rng([seed, epoch]))
     # what is kept back is judged as findings() judges candidates: with the context given
-    z, y = logits(net, codes[held]), labels[held].astype(float)
-    a, b = 1.0, 0.0
-    for _ in range(200):                    # slope and offset of the probabilities, by gradient descent
-        err = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40))) - y
-        a, b = max(0.05, a - 0.05 * float((err * z).mean())), b - 0.2 * float(err.mean())
-    net.slope, net.offset = a, b
-    p = np.sort(probability(net, z)[y == 1])
-    net.threshold = float(p[int(np.floor((1 - recall) * len(p)))])
-    return net
+    cells, n = np.unique(np.stack((_binned(logits(state.net, codes[held])), labels[held])), axis=1, return_counts=True)
+    _calibrate(state.net, *cells, n, recall)
+    return state.net
 
 
 def probability(net: Network, z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(net.slope * z + net.offset, -40, 40)))
+    return 1 / (1 + np.exp(-np.clip(net.slope * np.asarray(z, np.float64) + net.offset, -40, 40)))
+
+
+_EXAMPLE = np.dtype([("h", "<i8"), ("codes", f"S{WINDOW}")])
+
+
+def _examples(batches):
+    """Passages of each label, distinct within a batch."""
+    for batch in batches:
+        for part in K.pieces(batch):
+            data, offsets = K.buffer_of(part.column(1))
+            base = base_findings(data, offsets)
+            s, e, known = candidates(data, offsets, base)
+            for label, at in enumerate(((s[~known], e[~known], None), unkeyed(data, base))):
+                codes, _ = windows(data, offsets, *at)
+                if not len(codes):
+                    continue
+                h = np.zeros(len(codes), np.uint64)
+                for j in range(0, WINDOW, 8):
+                    h = K.mix(h * np.uint64(0x9E3779B97F4A7C15) + np.ascontiguousarray(codes[:, j: j + 8]).view(np.uint64)[:, 0])
+                rows = np.empty(len(codes), _EXAMPLE)
+                rows["h"], rows["codes"] = h.view(np.int64), np.ascontiguousarray(codes).view(f"S{WINDOW}")[:, 0]
+                rows = np.unique(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c.ljust(WINDOW, b"\0") for c in rows["codes"].tolist()], pa.binary()), pa.array([bool(label)] * len(rows)),
+                     pa.array(rows["h"])], names=["codes", "known", "h"])
+
+
+def _codes_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), WINDOW)
 
 
-def _first(rows: np.ndarray, most: int) -> np.ndarray:
-    """The distinct (hash, codes) rows with the ``most`` smallest hashes."""
-    return np.unique(rows)[:most]
+def _pack(state: State) -> np.ndarray:
+    parts = [np.ravel(x[k]) for x in ({k: getattr(state.net, k) for k in PARAMETERS}, state.m, state.v) for k in PARAMETERS]
+    return np.concatenate([*parts, [state.steps]]).astype(np.float64)
 
 
-_EXAMPLE = np.dtype([("h", ">u8"), ("codes", f"S{WINDOW}")])
+def _unpack(values: np.ndarray, like: State) -> State:
+    out, at = [], 0
+    for _ in range(3):
+        own = {}
+        for k in PARAMETERS:
+            shape = np.shape(getattr(like.net, k))
+            size = int(np.prod(shape))
+            own[k], at = values[at: at + size].reshape(shape), at + size
+        out.append(own)
+    net = Network(*(out[0][k].astype(np.float32) for k in PARAMETERS[:-1]), float(out[0]["out_bias"]))
+    return State(net, out[1], out[2], float(values[-1]))
 
 
-def _examples(most: tuple[int, int]):
-    """Distinct passages of each label (others, secrets): the first by a hash of the task's, which are
-    all that can be among the first of the corpus."""
+def _learn_buckets(state: State, seed: int):
+    """The state after a pass over each bucket from ``state`` on, in fixed point: sums of it do not depend on any order."""
     def run(batches):
-        held = [np.empty(0, _EXAMPLE), np.empty(0, _EXAMPLE)]
+        buckets: dict[int, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for part in K.pieces(batch):
-                data, offsets = K.buffer_of(part.column(1))
-                base = base_findings(data, offsets)
-                s, e, known = candidates(data, offsets, base)
-                for label, at in enumerate(((s[~known], e[~known], None), unkeyed(data, base))):
-                    codes, _ = windows(data, offsets, *at)
-                    if not len(codes):
-                        continue
-                    h = np.zeros(len(codes), np.uint64)
-                    for j in range(0, WINDOW, 8):
-                        h = K.mix(h * np.uint64(0x9E3779B97F4A7C15) + np.ascontiguousarray(codes[:, j: j + 8]).view(np.uint64)[:, 0])
-                    new = np.empty(len(codes), _EXAMPLE)
-                    new["h"], new["codes"] = h, np.ascontiguousarray(codes).view(f"S{WINDOW}")[:, 0]
-                    held[label] = _first(np.concatenate((held[label], new)), most[label])
-        for label, rows in enumerate(held):
-            if len(rows):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c.ljust(WINDOW, b"\0") for c in rows["codes"].tolist()], pa.binary()), pa.array([bool(label)] * len(rows)),
-                     pa.array(rows["h"].astype(np.uint64).view(np.int64) ^ np.int64(-2**63))], names=["codes", "known", "h"])
+            which = batch.column(0).to_numpy()
+            for b in np.unique(which).tolist():
+                buckets.setdefault(b, []).append(batch.filter(pa.array(which == b)))
+        for b in sorted(buckets):
+            table = pa.Table.from_batches(buckets.pop(b)).sort_by([("h", "ascending"), ("known", "ascending"), ("codes", "ascending")])
+            y = table.column("known").to_numpy().astype(np.int64)
+            if y.min() == y.max():
+                continue
+            own = _unpack(_pack(state), state)
+            _learn(own, _codes_of(table.column("codes")), y, np.random.default_rng([seed, b]))
+            values = np.round(np.clip(_pack(own), -1e4, 1e4) * FIXED).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["i", "value"])
     return run
 
 
-def fit(docs: DataFrame, secrets: int = 1500, others: int = 3000, recall: float = RECALL) -> Network:
-    """Train on a bounded sample of the distinct labelled passages, the first by a hash."""
-    rows = id_and_text(docs).mapInArrow(_examples((others, secrets)), "codes binary, known boolean, h long").distinct()
-    picked = [r.orderBy("h", "codes").limit(n).toArrow() for r, n in ((rows.filter("known"), secrets), (rows.filter("not known"), others))]
-    codes = [c for t in picked for c in t.column("codes").to_pylist()]
-    labels = np.array([k for t in picked for k in t.column("known").to_pylist()], np.int64)
-    order = np.random.default_rng(0).permutation(len(labels))
-    x = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), WINDOW)
-    return train(x[order], labels[order], recall)
+def _bins_of(net: Network):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_binned(logits(net, _codes_of(batch.column(0))))), batch.column(1)], names=["bin", "known"])
+    return run
+
+
+def fit(docs: DataFrame, recall: float = RECALL, per_bucket: int = 25_000, filters: int = 24, dim: int = 8, seed: int = 3) -> Network:
+    """Train on all distinct labelled passages; a fifth by hash is kept back for calibration and threshold.
+
+    The passages are dealt by hash to buckets of about ``per_bucket``, over which ``ROUNDS`` rounds go: in each
+    one every bucket trains on from the same state, and the states are averaged. A few passages are all gone over in
+    each round; of many, a round takes a share, so that each is learnt from once at least. A rare class
+    is copied to as many buckets as it takes for each to have some of it. The driver gets the averages
+    and the numbers of kept-back passages by logit, to 1 / BINS: both of a fixed size."""
+    spark = docs.sparkSession
+    rows = landed(id_and_text(docs).mapInArrow(_examples, "codes binary, known boolean, h long").distinct())
+    held = F.pmod("h", F.lit(5)) == 0
+    number = {(r.held, r.known): r["count"] for r in rows.groupBy(held.alias("held"), "known").count().collect()}
+    state = _start(filters, dim, seed)
+    if len(number) < 4:
+        return state.net
+    learnt, rare = sum(number[False, k] for k in (False, True)), min(number[False, k] for k in (False, True))
+    shares = next(n for n in (1, 2, 3, ROUNDS) if learnt <= n * LEARNT or n == ROUNDS)
+    buckets = max(1, -(-learnt // per_bucket))
+    copies = min(buckets, -(-RARE * shares * buckets // rare))
+    rarer = F.lit(number[False, True] <= number[False, False]) == F.col("known")
+    first = F.pmod(F.shiftrightunsigned("h", 8), F.lit(buckets))
+    dealt = rows.filter(~held).withColumn("share", F.pmod(F.shiftrightunsigned("h", 36), F.lit(shares))).withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), F.when(rarer, copies - 1).otherwise(0))))
+    dealt = dealt.select(((first + F.col("copy")) % buckets).cast("int").alias("bucket"), "codes", "known", "h", "share")
+    small_batches(spark, 10_000)
+    for i in range(ROUNDS):
+        # a class too rare to be cut in shares is in each of them
+        part = dealt.filter((F.col("share") == i % shares) | (rarer & F.lit(rare < RARE * shares)))
+        sums = (part.drop("share").repartition(buckets, "bucket").mapInArrow(_learn_buckets(state, seed + i), "i int, value long")
+                .groupBy("i").agg(F.sum("value").alias("value"), F.count("*").alias("n")).orderBy("i").toArrow())
+        if sums.num_rows:
+            state = _unpack(sums.column("value").to_numpy() / (sums.column("n").to_numpy() * FIXED), state)
+    # what is kept back is judged as findings() judges candidates: with the context given
+    bins = (rows.filter(held).select("codes", "known").mapInArrow(_bins_of(state.net), "bin int, known boolean")
+            .groupBy("bin", "known").count().orderBy("bin", "known").toArrow())
+    small_batches(spark)
+    _calibrate(state.net, bins.column("bin").to_numpy(), bins.column("known").to_numpy().astype(np.int64), bins.column("count").to_numpy(), recall)
+    return state.net
 
 
 def findings(net: Network, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int, float]]]:

@@ -111,3 +111,50 @@ def test_the_key_is_cut_out_of_examples():
     start, end, key = S.unkeyed(data, S.base_findings(data, offsets))
     bare = np.frombuffer(b"words before abcdefabcdef0123 after", np.uint8)
     assert (S.windows(data, offsets, start, end, key)[0] == S.windows(bare, np.array([0, len(bare)]), np.array([13]), np.array([29]))[0]).all()
+
+
+def test_the_network_learns_from_all_passages(spark):
+    """Any passage changes the model, also one whose hash is the largest of 3,500: no sample is taken."""
+    rnd = random.Random(6)
+    def word(n):
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs = [(i, f"{word(5)} {word(14)}-{word(6)} {word(4)}") for i in range(3500)] + [(5000 + i, f"token={word(20)}9") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = S.id_and_text(df).mapInArrow(S._examples, "codes binary, known boolean, h long").filter("not known").collect()
+    assert len({bytes(r.codes) for r in rows}) == 3500
+    last = max((r for r in rows if r.h % 5), key=lambda r: r.h % 2**64)
+    with_, without = S.fit(df), None
+    for i, text in docs:
+        data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+        s, e, known = S.candidates(data, offsets, S.base_findings(data, offsets))
+        if not known.any() and S.windows(data, offsets, s, e)[0][0].tobytes() == bytes(last.codes):
+            without = S.fit(df.filter(f"doc_id <> {i}"))
+    assert without is not None and (with_.emb != without.emb).any()
+    again = S.fit(df.repartition(7))
+    assert (with_.emb == again.emb).all() and with_.threshold == again.threshold
+
+
+def test_buckets_with_a_rare_class(spark):
+    """Many buckets and few secrets: each bucket has some, and the recall on those kept back holds."""
+    rnd = random.Random(7)
+    def value(letters, n):
+        return "".join(rnd.choice(letters) for _ in range(n))
+    docs = [(i, f"see {value('ghijklmnop', 12)}-{value('qrstuvwxyz', 8)} there") for i in range(3000)]
+    docs += [(5000 + i, f"set token={value('ABCDEFGHIJ0123456789', 24)} there") for i in range(40)]
+    net = S.fit(spark.createDataFrame(docs, "doc_id long, text string"), per_bucket=500)
+    texts = [f"set {value('ABCDEFGHIJ0123456789', 24)} there" for _ in range(50)] + [f"see {value('ghijklmnop', 12)}-{value('qrstuvwxyz', 8)} there" for _ in range(50)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = [bool(r) for r in S.findings(net, data, offsets)]
+    assert sum(got[:50]) >= 40 and sum(got[50:]) <= 5
+
+
+def test_calibrated_probabilities_have_the_share_of_secrets():
+    rng = np.random.default_rng(3)
+    z = rng.normal(0, 2, 20000)
+    y = (rng.random(20000) < 1 / (1 + np.exp(-(0.5 * z - 4)))).astype(np.int64)
+    cells, n = np.unique(np.stack((S._binned(z), y)), axis=1, return_counts=True)
+    net = S._start(4, 2, 1).net
+    S._calibrate(net, *cells, n, 0.95)
+    p = S.probability(net, z)
+    assert abs(p.mean() - y.mean()) < 1e-3 and abs(net.slope - 0.5) < 0.1
+    assert (p[y == 1] >= net.threshold).mean() >= 0.95
