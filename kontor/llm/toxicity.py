@@ -42,38 +42,50 @@ def _mean(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, edges[:-1], axis=0) / np.diff(edges)[:, None].astype(np.float32)
 
 
+def _means_of(values: np.ndarray, at: np.ndarray, edges: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Mean of ``values[at]`` over each segment of ``at``, some segments at a time."""
+    return np.concatenate([_mean(values[at[e[0]: e[-1]]], e - e[0]) for e in
+                           (edges[i: i + step + 1] for i in range(0, len(edges) - 1, step))])
+
+
 def _passages(per_row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(passage of each word, row of each passage) of passages of ``size`` words."""
     per = -(-per_row // size)
     base, first = np.cumsum(per) - per, np.cumsum(per_row) - per_row
     row = np.repeat(np.arange(len(per_row)), per_row)
-    return base[row] + (np.arange(len(row)) - first[row]) // size, np.repeat(np.arange(len(per_row)), per)
-
-
-def _lexicon(raw: list[bytes], step: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each text, kind of each word, bucket and kind of the n-grams of every kind of word)."""
-    per_row, names, known, buckets, owners = [], [], [], [], []
+    place = np.arange(len(row))
+    place -= first[row]
+    place //= size
+    place += base[row]
+    return place, np.repeat(np.arange(len(per_row)), per)
+
+
+def _lexicon(raw: list[bytes], step: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, kind of each word, bucket and kind of the n-grams of every kind of word).
+    The n-grams of a kind are taken from the first piece that has it; others are not kept."""
+    per_row, names, fresh, buckets, owners = [], [], [], [], []
+    kinds = np.empty(0, np.uint64)
     for i in range(0, len(raw), step):
         words = Words(*_buffer(raw[i: i + step]))
         name = words.identity()
-        own, example, which = np.unique(name, return_index=True, return_inverse=True)
-        is_example = np.zeros(words.count, bool)
-        is_example[example] = True
+        own, example = np.unique(name, return_index=True)
+        at = np.searchsorted(kinds, own)
+        new = at == len(kinds)
+        new[~new] = kinds[at[~new]] != own[~new]
+        own, example = own[new], example[new]
+        place = np.full(words.count, -1, np.int32)          # of the words that are the example of a new kind
+        place[example] = np.arange(len(own)) + sum(map(len, fresh))
         for b, w in words.grams():
-            keep = is_example[w]
-            buckets.append(b[keep])
-            owners.append(which[w[keep]] + sum(map(len, known)))
-        known.append(own)
+            keep = place[w] >= 0
+            buckets.append(b[keep].astype(np.int32))
+            owners.append(place[w[keep]])
+        fresh.append(own)
+        kinds = np.union1d(kinds, own)
         names.append(name)
         per_row.append(words.per_row)
-    every = np.concatenate(known)
-    kinds, first = np.unique(every, return_index=True)
-    bucket, owner = np.concatenate(buckets), np.concatenate(owners)
-    is_first = np.zeros(len(every), bool)
-    is_first[first] = True
-    keep = is_first[owner]          # a kind's n-grams are taken from the first piece that has it
-    return (np.concatenate(per_row), np.searchsorted(kinds, np.concatenate(names)).astype(np.int32),
-            bucket[keep], np.searchsorted(kinds, every[owner[keep]]))
+    which = np.searchsorted(kinds, np.concatenate(fresh)).astype(np.int32)
+    return (np.concatenate(per_row), np.concatenate([np.searchsorted(kinds, n).astype(np.int32) for n in names]),
+            np.concatenate(buckets), which[np.concatenate(owners)])
 
 
 def _pool(z: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +129,10 @@ def _fit(examples: list[tuple[str, int]], dim: int, stages: tuple[tuple[int, int
     per_row, kind, bucket, of = _lexicon([t.encode() for t, _ in examples])
     order = np.argsort(of, kind="stable")
     bucket, of = bucket[order], of[order]
-    used, bucket = np.unique(bucket, return_inverse=True)
+    del order
+    is_used = np.zeros(1 << BUCKET_BITS, bool)
+    is_used[bucket] = True
+    used, bucket = np.flatnonzero(is_used), (np.cumsum(is_used) - 1)[bucket]
     types = int(of[-1]) + 1
     type_edges = np.searchsorted(of, np.arange(types + 1))
     per_type = 1.0 / np.diff(type_edges)
@@ -132,8 +147,7 @@ def _fit(examples: list[tuple[str, int]], dim: int, stages: tuple[tuple[int, int
             passage_edges = np.searchsorted(passage, np.arange(len(row) + 1))
             per_passage = 1.0 / np.diff(passage_edges)
         emb, w, b = params
-        t = _mean(emb[bucket], type_edges)
-        p = _mean(t[kind], passage_edges)
+        p = _means_of(_means_of(emb, bucket, type_edges), kind, passage_edges)
         z = 20.0 * (p @ w) + b[0]
         doc, a = _pool(z, row, len(y))
         err = (1 / (1 + np.exp(-doc)) - y) * share

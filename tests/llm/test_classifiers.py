@@ -78,3 +78,18 @@ def test_ordered_grades(spark):
     assert all(b - a > 0.3 for a, b in zip(means, means[1:], strict=False))
     assert np.mean([(g >= 2) == r.predicted for g, r in held]) > 0.9
     assert 0 <= got[9001].score <= 1 and got[9001].score == got[9002].score
+
+
+def test_training_memory_does_not_hold_the_n_grams_of_every_word():
+    """Words that come again cost nothing: only the n-grams of kinds that are new are kept."""
+    import tracemalloc
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(6000)]
+    raw = [" ".join(rnd.choice(vocab) for _ in range(300)).encode() for _ in range(1500)]
+    tracemalloc.start()
+    per_row, kind, bucket, of = T._lexicon(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert per_row.sum() == len(kind) == 450_000 and len(set(kind.tolist())) == 6000
+    assert (np.bincount(of) == np.bincount(of)[0]).all() and bucket.max() < 1 << T.BUCKET_BITS
+    assert peak < 40e6
