@@ -97,6 +97,53 @@ def test_words_as_contexts_tell_more_than_endings(spark):
     assert few < -2 and words > -0.5
 
 
+def test_every_word_is_a_context(spark):
+    """The ring again: how many contexts have a number only decides which way they take, none are put together."""
+    rnd = random.Random(3)
+    ring = [f"{i}ung" for i in range(200)]
+    rows = [(i, " ".join(ring[(at + k) % 200] for k in range(60))) for i, at in enumerate(rnd.randrange(200) for _ in range(300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for setting in (L.Setting(named=5), L.Setting(named=5, head=20)):
+        held = [r for r in L.corpus_scores(df, setting).collect() if r.held_out]
+        assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -0.5
+
+
+@pytest.mark.parametrize("named,head", [(3, 0), (3, 40), (60, 15), (992, 8192)])
+def test_scores_by_the_definition(spark, named, head):
+    """No pair of words occurs twice in training, so nothing is drawn: each cell has one table."""
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(90)]
+    met, rows = set(), []
+    for i in range(60):
+        text = [f"first{i}"]
+        for _ in range(rnd.randint(3, 40)):
+            nxt = [w for w in rnd.sample(words, 12) if (text[-1], w) not in met and text[-1] != w]
+            if nxt:
+                text.append(nxt[0])
+                met.add((text[-2], text[-1]))
+        rows.append((i, " ".join([*text, f"last{i}"])))
+    rows.append((100, "w1 w2 never w3"))
+    def train(d):
+        return d < 100
+    cell = {}
+    for d, t in rows:
+        if train(d):
+            w = toks(t)
+            for pair in zip([0, *w[:-1]], w, strict=True):
+                assert pair not in cell
+                cell[pair] = 1
+    customers, root = Counter(u for u, _ in cell), Counter(w for _, w in cell)
+    ones = sum(n == 1 for n in root.values())
+    d1, d2, theta = L.discount(ones, sum(n == 2 for n in root.values())), L.discount(len(cell), 0), L.THETA
+    def p(u, w):
+        base = (root[w] - d1 if root[w] else L.THETA_ROOT + d1 * len(root)) / (L.THETA_ROOT + len(cell))
+        return ((1 - d2) * ((u, w) in cell) + (theta + d2 * customers[u]) * base) / (theta + customers[u])
+    want = {d: sum(math.log10(p(u, w)) for u, w in zip([0, *toks(t)[:-1]], toks(t), strict=True)) for d, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in L.score_texts(df, L.F.col("doc_id") < 100, L.Setting(named=named, head=head)).collect()}
+    assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_seating_matches_a_restaurant_customer_by_customer():
     """Mean tables of the vectorised seating and of a plain simulation agree."""
     rng = np.random.default_rng(5)
