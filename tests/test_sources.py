@@ -377,3 +377,19 @@ def test_joined_records_are_written_once_and_cross_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert got == [(i + 1, [str(i), f'a\n{"x" * (i % 7)}\n"b" {i}', "z"]) for i in range(400)]
     assert "Scan text" not in _plan(text.joined)
+
+
+def _payload_files(path, n):
+    for i in range(n):
+        os.makedirs(f"{path}/p={i:03d}", exist_ok=True)
+        with open(f"{path}/p={i:03d}/one.json", "w") as f:
+            f.write(json.dumps({"data": [{"BELEGNR": str(i), "NETTO": 1.0 if i % 2 else 2, "Kunde": {"KUNDENNR": i}}]}))
+
+
+def test_a_split_payload_is_read_once(spark, tmp_dir):
+    """The pieces are counted and put together once; what is built on them reads neither the files nor the counts again."""
+    from kontor.sources.json_split import split_documents
+    _payload_files(f"{tmp_dir}/split", 3)
+    docs = split_documents(spark, f"{tmp_dir}/split")
+    assert docs.count() == 3
+    assert not [f for f in docs.inputFiles() if f"{tmp_dir}/split" in f]
