@@ -393,3 +393,15 @@ def test_a_split_payload_is_read_once(spark, tmp_dir):
     docs = split_documents(spark, f"{tmp_dir}/split")
     assert docs.count() == 3
     assert not [f for f in docs.inputFiles() if f"{tmp_dir}/split" in f]
+
+
+def test_one_read_finds_the_schema(spark, tmp_dir, monkeypatch):
+    from kontor.sources import ledger_json as J
+    _payload_files(f"{tmp_dir}/schema", 4)
+    kind, calls = type(spark.range(1)), []
+    first = kind.first
+    monkeypatch.setattr(kind, "first", lambda self: calls.append(1) or first(self))
+    docs = J.read_ledger_documents(spark, f"{tmp_dir}/schema")
+    assert len(calls) == 1
+    assert dict(docs.drop("api_row").dtypes) == {"BELEGNR": "string", "NETTO": "double", "Kunde": "struct<KUNDENNR:bigint>"}
+    assert sorted((r.BELEGNR, r.NETTO, r.Kunde.KUNDENNR) for r in docs.collect()) == [("0", 2.0, 0), ("1", 1.0, 1), ("2", 2.0, 2), ("3", 1.0, 3)]
