@@ -405,3 +405,12 @@ def test_one_read_finds_the_schema(spark, tmp_dir, monkeypatch):
     assert len(calls) == 1
     assert dict(docs.drop("api_row").dtypes) == {"BELEGNR": "string", "NETTO": "double", "Kunde": "struct<KUNDENNR:bigint>"}
     assert sorted((r.BELEGNR, r.NETTO, r.Kunde.KUNDENNR) for r in docs.collect()) == [("0", 2.0, 0), ("1", 1.0, 1), ("2", 2.0, 2), ("3", 1.0, 3)]
+
+
+def test_many_small_payload_files_land_in_one_step(spark, tmp_dir):
+    from kontor.streaming import landing as L
+    _payload_files(f"{tmp_dir}/inbox", 120)
+    q = L.land_documents(spark, f"{tmp_dir}/inbox", f"{tmp_dir}/small", f"{tmp_dir}/small-ckpt")
+    q.awaitTermination(120)
+    assert len([p for p in q.recentProgress if p["numInputRows"]]) == 1
+    assert spark.read.parquet(f"{tmp_dir}/small").count() == 120
