@@ -136,6 +136,18 @@ def test_grouping_sets_reports_equal_standalone(spark):
     a["_prep"].unpersist()
 
 
+def test_united_reports_read_one_keyed_aggregation(spark):
+    """In a union Spark numbers the columns of each report anew; none may run the aggregation again."""
+    docs = AD.belege_orders(spark, SF_SMALL)
+    a = P.full_analysis(docs)
+    reports = [a["time"]["monthly_trend"], a["time"]["weekly_trend"].withColumnRenamed("Week", "Month"), a["time"]["monthly_trend"]]
+    both = reports[0].unionByName(reports[1]).unionByName(reports[2])
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "lineitem" not in plan
+    assert sorted(map(tuple, both.collect())) == sorted(tuple(r) for df in reports for r in df.collect())
+    a["_prep"].unpersist()
+
+
 def test_dashboards_adapt_to_amount_columns(spark):
     """Country and net amounts without gross ones: frames that need gross amounts are left out."""
     docs = spark.createDataFrame([("1", "Amazon", "DE", "2025-10-01 10:00:00", 5.0)],
