@@ -171,3 +171,37 @@ def test_empty_table_and_reruns(spark):
     one = sorted((str(r.doc_id), round(r.score, 4)) for r in L.corpus_scores(df).collect())
     two = sorted((str(r.doc_id), round(r.score, 4)) for r in L.corpus_scores(df.repartition(5)).collect())
     assert one == two
+
+
+def test_each_bucket_is_sampled_once(spark, tmp_path, monkeypatch):
+    from pyspark import cloudpickle
+    log, whole = str(tmp_path / "calls"), L.sample_tables
+
+    def counted(*args):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return whole(*args)
+
+    monkeypatch.setattr(L, "sample_tables", counted)
+    cloudpickle.register_pickle_by_value(L)          # the tasks get the module as it is here
+    try:
+        df = spark.createDataFrame(corpus(), "doc_id long, text string")
+        L.corpus_scores(df, L.Setting(head=50, named=20)).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(L)
+    with open(log) as f:
+        assert len(f.readlines()) <= 1 + L.LEAST_BUCKETS          # the head, and each bucket
+
+
+def test_places_and_hashes_do_not_depend_on_how_they_are_looked_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    h = np.append(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 40, 5000, dtype=np.uint64))
+    for head in (np.empty(0, np.uint64), np.unique(h[:1]), np.unique(h[::3]), np.append(np.unique(h[::7]), np.uint64(2**64 - 1))):
+        at = {int(x): i for i, x in enumerate(head)}
+        assert L._place(head, np.append(h, np.uint64(2**64 - 1))).tolist() == [at.get(int(x), -1) for x in [*h, 2**64 - 1]]
+    data = rng.choice(np.frombuffer(b"abc \n", np.uint8), 3000)
+    start, end, _ = L.K.words(data, np.array([0, 1000, 3000]))
+    want = L.K.RangeHash(data)(start, end)
+    for block in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(L, "HASH_BYTES", block)
+        assert (L._hashes(data, start, end) == want).all()
