@@ -60,3 +60,31 @@ def txl_rows(spark):
     return spark.range(1, 31).selectExpr("'f' AS file_id", "id AS row_idx", *[
         "CASE WHEN id % 7 = 0 THEN '' WHEN id % 3 = 0 THEN 'Andere Gebühr' ELSE 'Bestellung' END AS typ" if f == "typ" else f"cast(id AS string) AS {f}"
         for f in fields], "cast(id AS string) AS betrag_abzgl_raw")
+
+
+def exports(spark, tmp_path):
+    from kontor.sources import export_grid as G
+    rows = txl_rows(spark).selectExpr("'1' AS file_id", "row_idx", "datum", "typ", "bestellnummer", "alte_bestellnummer", "nutzername", "name",
+                                      "betrag_abzgl_raw", "auszahlungsnr", "auszahlungsdatum",
+                                      *[f"cast(null AS string) AS {f}_raw" for f in G.K.AMOUNT_FIELDS if f != "betrag_abzgl"])
+    return rows.repartition(3, "row_idx"), str(tmp_path / "exports")
+
+
+def test_written_exports_keep_no_shuffle(spark, tmp_path):
+    from kontor.sources import export_grid as G
+    rows, path = exports(spark, tmp_path)
+    assert not left_by(spark, lambda: (rows, G.write_export_grid(rows, None, path)))
+
+
+def test_reconciled_transactions_are_written_not_cached(spark, tmp_path):
+    """One table serves all outputs; nothing of them is a cached block, in memory or spilled to disk."""
+    from kontor.plans import composites as P
+    from kontor.sources import export_grid as G
+    rows, path = exports(spark, tmp_path)
+    G.write_export_grid(rows, None, path)
+    docs = spark.createDataFrame([("4", "K1", "R1", 1)], "ORDER_ID string, KUNDENNR string, BELEGNR string, api_row long")
+    for run in (P.reconcile_exports, P.match_and_process):
+        out = run(spark, path, docs, export_column="file_id")
+        assert "InMemoryRelation" not in out["report_lines"]._jdf.queryExecution().executedPlan().toString()
+        assert out["transactions"].inputFiles() and not any(path in f for f in out["transactions"].inputFiles())
+        assert out["transactions"].count() == 26 and out["report_lines"].filter("G = 'K1'").count() == 1
