@@ -88,3 +88,21 @@ def test_reconciled_transactions_are_written_not_cached(spark, tmp_path):
         assert "InMemoryRelation" not in out["report_lines"]._jdf.queryExecution().executedPlan().toString()
         assert out["transactions"].inputFiles() and not any(path in f for f in out["transactions"].inputFiles())
         assert out["transactions"].count() == 26 and out["report_lines"].filter("G = 'K1'").count() == 1
+
+
+def test_joined_records_keep_no_shuffle_of_lines(spark, tmp_path):
+    from kontor.sources import export_grid as G
+    folder = tmp_path / "odd" / "file_id=1"
+    folder.mkdir(parents=True)
+    (folder / "part-0").write_text("".join(f'{i};"a\n{hash(str(i))}{hash(str(-i))}";z\n' for i in range(20000)), encoding="utf-8")
+    sizes = {}
+
+    def job():
+        text = G.export_text(spark, str(tmp_path / "odd"), export_column="file_id")
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        time.sleep(2)       # deleted in the background
+        sizes.update({f.getName(): f.length() for f in (files.apply(i) for i in range(files.size()))})
+        return text
+
+    left = left_by(spark, job)
+    assert sum(sizes.get(f, 0) for f in left) < 20000       # of the small tables, not of 900,000 bytes of lines
