@@ -106,3 +106,41 @@ def test_joined_records_keep_no_shuffle_of_lines(spark, tmp_path):
 
     left = left_by(spark, job)
     assert sum(sizes.get(f, 0) for f in left) < 20000       # of the small tables, not of 900,000 bytes of lines
+
+
+def test_pieces_of_a_payload_do_not_move_to_meet_small_tables(spark, tmp_path, monkeypatch):
+    """Offsets of the splits, places of the arrays and flags are a row a split or a payload, written before they are joined."""
+    import json
+
+    from kontor.sources import json_split
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"data": [{"n": k * 3 + i, "t": str(hash(str(k)))} for k in range(4000)]}))
+    plans = []
+
+    def recorded(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return landed(df, name)
+
+    monkeypatch.setattr(json_split, "landed", recorded)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        docs = json_split.split_documents(spark, str(tmp_path))
+        plans.append(docs._jdf.queryExecution().executedPlan().toString())
+        rows = docs.selectExpr("try_variant_get(document, '$.n', 'int') AS n").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    # only the two sides of the places of the arrays, a row a payload each, may be shuffled to each other
+    assert [p.count("SortMergeJoin") for p in plans if "raise_error" in p] == [0] * sum("raise_error" in p for p in plans)
+    assert sorted(r.n for r in rows) == list(range(12000))
+
+
+def test_a_large_payload_is_whole_in_one_file(spark, monkeypatch):
+    """Its first and last document are found in the task that writes it, also when numbers of documents repeat."""
+    from kontor.plans import registry_sources as RS
+    docs = RS.AD.belege_orders(spark, SF_SMALL)
+    twice = docs.unionAll(docs)
+    monkeypatch.setattr(RS.AD, "belege_orders", lambda s, d: twice)
+    monkeypatch.setattr(RS, "LARGE_DOCS", 100)
+    got = RS._large_payloads(spark, SF_SMALL)
+    assert sorted(r.BELEGNR for r in got.select("BELEGNR").collect()) == sorted(r.BELEGNR for r in twice.select("BELEGNR").collect())
